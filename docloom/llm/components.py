@@ -16,9 +16,10 @@ FOREST_NODES = 500_000
 
 def local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Union-find over the links of one task; yields node-to-root links only, so cliques shrink to stars."""
-    parent: dict[int, int] = {}
+    parent: dict = {}
+    kind = pa.int64()
 
-    def find(x: int) -> int:
+    def find(x):
         root = x
         while (up := parent.get(root, root)) != root:
             root = up
@@ -30,9 +31,10 @@ def local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = [(x, find(x)) for x in list(parent)]
         pairs = [(x, r) for x, r in pairs if x != r]
         parent.clear()
-        return table({"u": pa.array([x for x, _ in pairs], pa.int64()), "v": pa.array([r for _, r in pairs], pa.int64())})
+        return table({"u": pa.array([x for x, _ in pairs], kind), "v": pa.array([r for _, r in pairs], kind)})
 
     for batch in batches:
+        kind = batch.schema.field(0).type
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             ra, rb = find(a), find(b)
             if ra != rb:
@@ -46,7 +48,7 @@ def local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def connected_components(links: DataFrame, label: str = "components") -> DataFrame:
-    """(node, component) for every node of the bigint links (u, v); component is the smallest node of each.
+    """(node, component) for every node of the links (u, v), bigint or binary; component is the smallest node of each.
 
     Every task first unites its own links. The remaining forests are then hooked to their smallest
     neighbour, large star and small star in turn, until nothing changes; that takes a number of rounds
@@ -54,7 +56,8 @@ def connected_components(links: DataFrame, label: str = "components") -> DataFra
     no task holds all links of a node. Self links and repeated links do no harm; nodes are not null.
     """
     links = links.toDF("u", "v").where("u <> v")
-    forest = materialize(links.mapInArrow(local_forest, "u long, v long").distinct(), f"{label}-forest")
+    kind = dict(links.dtypes)["u"]
+    forest = materialize(links.mapInArrow(local_forest, f"u {kind}, v {kind}").distinct(), f"{label}-forest")
     seen = None
     while True:
         state = forest.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
