@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import decontaminate as leaks
-from docloom.llm import simhash
+from docloom.llm import hd_langid, line_dedup, mixing, secret_scan, simhash, token_count, warc
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,8 +53,87 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT AS n_
 FROM doc_words d LEFT JOIN hit h USING (doc_id) LEFT JOIN items t USING (doc_id)
 """
 
+def op3_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deduplicated(read(spark, sf_dir, "documents")).select("doc_id", "text", "lines_full", "lines_dropped")
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(read(spark, sf_dir, "documents"))
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+OP4_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source),
+placed AS (
+  SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS place, 3 * source_size AS cap,
+         ((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3) + 1 AS weight FROM sources),
+rated AS (SELECT *, cap::DOUBLE / weight AS ratio FROM placed),
+levels AS (
+  SELECT *, ((sum(source_size) OVER ()) - (sum(cap) OVER o - cap))::DOUBLE / ((sum(weight) OVER ()) - (sum(weight) OVER o - weight))::DOUBLE AS level
+  FROM rated WINDOW o AS (ORDER BY ratio, place ROWS UNBOUNDED PRECEDING)),
+final AS (SELECT ratio AS fr, place AS fp, level AS fl FROM levels WHERE level <= ratio ORDER BY ratio, place LIMIT 1),
+targets AS (
+  SELECT source, source_size, CASE WHEN fr IS NOT NULL AND (ratio > fr OR (ratio = fr AND place >= fp)) THEN weight * fl ELSE cap::DOUBLE END AS target
+  FROM levels LEFT JOIN final ON TRUE),
+units AS (
+  SELECT *, least(floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END * 4294967296), 3 * 4294967296::BIGINT)::BIGINT AS units,
+         ('0x' || substr(md5('mix/offset/' || coalesce(source, '-')), 1, 8))::BIGINT AS off FROM targets),
+ranked AS (
+  SELECT d.doc_id, d.size, u.source_size, u.target, u.units, u.off,
+         row_number() OVER (PARTITION BY d.source ORDER BY d.size, md5('mix/order/' || coalesce(d.doc_id::VARCHAR, '-')), d.doc_id NULLS LAST) - 1 AS r
+  FROM docs d JOIN units u ON d.source IS NOT DISTINCT FROM u.source)
+SELECT doc_id, size, source_size, target,
+       ((((r + 1) * units + off) >> 32) - ((r * units + off) >> 32)) * size AS taken
+FROM ranked
+"""
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hd_langid.identify(read(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.round_trip(read(spark, sf_dir, "pages"))
+    return back.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP7_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS d, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+f AS (SELECT d, min(page_id) AS original FROM p WHERE n >= 100 GROUP BY d)
+SELECT page_id, n::BIGINT AS payload_bytes, p.d AS payload_digest,
+       CASE WHEN original IS NOT NULL AND original IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN original IS DISTINCT FROM page_id THEN original END AS refers_to
+FROM p LEFT JOIN f ON p.d = f.d
+"""
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = token_count.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def _joined(spans: str) -> F.Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.secret_spans(read(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in secret_scan.KINDS]
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op3_fuzzy_line_dedup": op3_fuzzy_line_dedup,
+    "op4_source_mixing": op4_source_mixing,
+    "op6_language_id": op6_language_id,
+    "op7_warc_round_trip": op7_warc_round_trip,
+    "op8_token_counts": op8_token_counts,
+    "op9_secret_scan": op9_secret_scan,
 }
-ORACLES = {"op2_benchmark_decontamination": OP2_SQL}
+ORACLES = {"op2_benchmark_decontamination": OP2_SQL, "op4_source_mixing": OP4_SQL, "op7_warc_round_trip": OP7_SQL}
