@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import decontaminate as leaks
-from docloom.llm import hd_langid, line_dedup, mixing, secret_scan, simhash, token_count, warc
+from docloom.llm import hd_langid, line_dedup, mixing, mtree, secret_scan, simhash, token_count, warc
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -126,6 +126,22 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
 
 
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(read(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+OP10_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e)::BIGINT AS score
+  FROM v q JOIN v ON q.vec_id <> v.vec_id AND len(q.e) = len(v.e) WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -135,5 +151,6 @@ QUERIES = {
     "op7_warc_round_trip": op7_warc_round_trip,
     "op8_token_counts": op8_token_counts,
     "op9_secret_scan": op9_secret_scan,
+    "op10_exact_top_k": op10_exact_top_k,
 }
-ORACLES = {"op2_benchmark_decontamination": OP2_SQL, "op4_source_mixing": OP4_SQL, "op7_warc_round_trip": OP7_SQL}
+ORACLES = {"op2_benchmark_decontamination": OP2_SQL, "op4_source_mixing": OP4_SQL, "op7_warc_round_trip": OP7_SQL, "op10_exact_top_k": OP10_SQL}

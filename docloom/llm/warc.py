@@ -187,6 +187,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     records = files.mapInArrow(split, parts)
     # archives are parsed once: records and segments take the same written table
     records = materialize(records, "warc-records")
+    small_batches(spark, 64)
     fields = ["id", "declared", "bytes", "type", "refers_to"]
     whole = records.where("segment = 0").select(*fields, F.array("segment").alias("numbers"), "total", F.array("block").alias("blocks"))
     ordered = F.sort_array(F.collect_list(F.struct("segment", "block")))
