@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import decontaminate as leaks
-from docloom.llm import hd_langid, line_dedup, mixing, mtree, secret_scan, simhash, token_count, warc
+from docloom.llm import hd_langid, line_dedup, maxent_lm, mixing, mtree, secret_scan, simhash, token_count, warc
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,6 +90,10 @@ FROM ranked
 """
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.score(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hd_langid.identify(read(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
@@ -147,6 +151,7 @@ QUERIES = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_fuzzy_line_dedup": op3_fuzzy_line_dedup,
     "op4_source_mixing": op4_source_mixing,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_language_id": op6_language_id,
     "op7_warc_round_trip": op7_warc_round_trip,
     "op8_token_counts": op8_token_counts,

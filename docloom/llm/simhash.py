@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import combinations
 from math import comb
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import materialize, small_batches, table, utf8
 from docloom.llm.components import connected_components
+from docloom.llm.verify import verified
 
 BITS = 64
 SEED = 42
@@ -93,7 +95,7 @@ def choose_parts(n: int, limit: int) -> int:
         keys = sum(sum(comb(width, d) for d in range(t + 1)) for t in share)
         return keys * (PROBE_COST + n / 2**width)
 
-    return min((2, 3, 4), key=cost)
+    return min(range(2, max(4, (limit + 1) // 2) + 1), key=cost)
 
 
 def take_bits(fps: np.ndarray, bits: list[int]) -> np.ndarray:
@@ -166,7 +168,18 @@ class Allocation:
         return out - 1
 
 
-def near_components(distinct: DataFrame, limit: int = 4) -> DataFrame:
+def whole(pairs: DataFrame) -> DataFrame:
+    """Takes all candidate pairs as links."""
+    return pairs
+
+
+@lru_cache
+def flips(width: int, distance: int) -> np.ndarray:
+    """All keys with ``distance`` of ``width`` bits set."""
+    return np.array([sum(1 << b for b in c) for c in combinations(range(width), distance)], dtype=np.int64)
+
+
+def near_components(distinct: DataFrame, limit: int = 4, check: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(fp, root) of every distinct fingerprint; root is the smallest one that links of at most ``limit`` bits reach.
 
     1. Bits are grouped by correlation, and keys of all groups are counted.
@@ -175,13 +188,14 @@ def near_components(distinct: DataFrame, limit: int = 4) -> DataFrame:
     3. Every fingerprint probes the keys within its own thresholds, and candidates of other components
        are verified on the whole 64 bits inside an equi-join, whose hot keys Spark splits.
     No pair within the limit is missed: its larger fingerprint probes, and by the generalised
-    pigeonhole principle at least one group lies within its threshold.
+    pigeonhole principle at least one group lies within its threshold. ``check`` may take the candidate
+    pairs (u, v) and return those that are links; without it all are.
     """
+    check = check or whole
     spark = distinct.sparkSession
     n = distinct.count()
     groups = bit_groups(distinct, choose_parts(n, limit))
     plan = spark.sparkContext.broadcast(Allocation(distinct, groups, n, limit).__dict__)  # at most 4 tables of 2^16 x 5 floats
-    masks = [[[sum(1 << b for b in c) for c in combinations(range(len(g)), d)] for d in range(limit + 1)] for g in groups]
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -200,7 +214,7 @@ def near_components(distinct: DataFrame, limit: int = 4) -> DataFrame:
                 for d in range(limit + 1):
                     use = taken[i] >= d
                     if use.any():
-                        m = np.array(masks[i][d], dtype=np.int64)
+                        m = flips(len(g), d)
                         for lo in range(0, len(m), 64):
                             part = m[lo : lo + 64]
                             probe = (keys[use][:, None] ^ part[None, :]) | (i << 40)
@@ -209,13 +223,18 @@ def near_components(distinct: DataFrame, limit: int = 4) -> DataFrame:
     index = distinct.select("fp", F.col("fp").alias("root")).mapInArrow(keyed, "key long, x long, x_root long").select("key", "x")
     pivots = index.groupBy("key").agg(F.min("x").alias("pivot"))
     close = index.join(pivots, "key").where((F.col("x") != F.col("pivot")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("pivot"))) <= limit))
-    first = connected_components(close.select("x", "pivot"), "simhash-dense")
+    first = connected_components(check(close.select(F.col("x").alias("u"), F.col("pivot").alias("v"))), "simhash-dense")
     rooted = distinct.select("fp").join(first.withColumnRenamed("node", "fp"), "fp", "left")
     rooted = materialize(rooted.select("fp", F.coalesce("component", "fp").alias("root")), "simhash-rooted")
 
     found = rooted.mapInArrow(probes, "key long, q long, q_root long").join(rooted.mapInArrow(keyed, "key long, x long, x_root long"), "key")
     found = found.where((F.col("q") > F.col("x")) & (F.col("q_root") != F.col("x_root")) & (F.bit_count(F.col("q").bitwiseXOR(F.col("x"))) <= limit))
-    second = connected_components(found.select("q_root", "x_root"), "simhash-links")
+    if check is whole:
+        second = connected_components(found.select("q_root", "x_root"), "simhash-links")
+    else:
+        links = check(found.select(F.col("q").alias("u"), F.col("x").alias("v")))
+        second = connected_components(links.union(rooted.where("fp <> root").select("fp", "root")), "simhash-links")
+        return rooted.select("fp").join(second.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("root"))
     joined = rooted.join(second.withColumnRenamed("node", "root"), "root", "left")
     return joined.select("fp", F.coalesce("component", "root").alias("root"))
 
@@ -236,12 +255,60 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(roots.select("fp", "root").join(named, "root").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, limit: int = 4) -> DataFrame:
-    """The row with the smallest id of each near-duplicate component, with all its columns.
+def word_shingles(text: str | None, width: int = 5) -> set[bytes]:
+    """Distinct word shingles in lower case (A-Z); a shorter text is one shingle, a wordless one has none."""
+    words = utf8(text).lower().split()
+    return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
 
-    Repeated rows with that id stay one row; rows with a null id are kept, as nothing tells them apart.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, limit: int = 12, similarity: float = 0.8) -> DataFrame:
+    """The row with the smallest id of each group of near duplicates, with all its columns.
+
+    Fingerprints at most ``limit`` bits apart (a similarity of 0.8 of their 64 bits) make candidates; a link
+    needs a Jaccard similarity of ``similarity`` or more of the word shingles themselves. Texts with one
+    fingerprint are compared with the first of them. Groups are what links reach.
+
+    Null and wordless texts count as equal. Rows alike in id and text stay one row. Rows with a null id
+    are all kept and take no part, as nothing tells them apart.
     """
-    groups = near_duplicates(docs, id_col, text_col, width, limit)
-    keep = materialize(groups.where(F.col("id") == F.col("component_id")).select("id").distinct(), "simhash-keep")
-    kept = docs.join(keep.withColumnRenamed("id", id_col), id_col, "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull())).select(*docs.columns)
+    small_batches(docs.sparkSession)
+    version = F.xxhash64(F.col(text_col))
+    based = docs.withColumn("simhash_version", version)
+    kind = dict(docs.dtypes)[id_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(2).to_pylist()
+            fps = np.array([simhash(t, width) for t in texts], dtype=np.uint64)
+            words = [xxhash.xxh64_intdigest(b" ".join(utf8(t).lower().split())) for t in texts]
+            yield table({"id": b.column(0), "version": b.column(1), "fp": pa.array(fps.view(np.int64)), "words": pa.array(np.array(words, dtype=np.uint64).view(np.int64))})
+
+    rows = based.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col("simhash_version").alias("version"), F.col(text_col).alias("text"))
+    signed = materialize(rows.mapInArrow(run, f"id {kind}, version long, fp long, words long"), "keep-signed")
+    # exact copies by words first: one row of each
+    texts = materialize(signed.groupBy("fp", "words").agg(F.min(F.struct("id", "version")).alias("least")), "keep-texts")
+    classes = materialize(texts.groupBy("fp").agg(F.min("least").alias("least"), F.count("*").alias("n")), "keep-classes")
+
+    def fetch(wanted: DataFrame) -> DataFrame:
+        """(node, text) of (node, least)."""
+        found = rows.join(wanted.select("node", F.col("least.id").alias("id"), F.col("least.version").alias("version")), ["id", "version"])
+        return found.groupBy("node").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+
+    def check(pairs: DataFrame) -> DataFrame:
+        pairs = materialize(pairs.distinct(), "keep-candidates")
+        nodes = pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).distinct()
+        known = materialize(fetch(classes.join(nodes, "fp").select(F.col("fp").alias("node"), "least")), "keep-fetched")
+        return materialize(verified(pairs, known, lambda t: word_shingles(t, width), similarity), "keep-verified")
+
+    roots = materialize(near_components(classes.select("fp"), limit, check), "keep-roots")
+    # texts that share a fingerprint but not their words
+    crowded = classes.where("n > 1").select("fp", F.col("least").alias("first"))
+    shared = texts.join(crowded, "fp").where("least <> first").withColumn("node", F.xxhash64("fp", "words")).select("node", "fp", "least")
+    shared = materialize(shared, "keep-shared")
+    nodes = shared.select("node", "least").union(crowded.select(F.col("fp").alias("node"), F.col("first").alias("least")))
+    same = verified(shared.select("node", "fp"), fetch(nodes), lambda t: word_shingles(t, width), similarity)
+    apart = shared.join(same.select(F.col("u").alias("node")), "node", "left_anti").select("least")
+    firsts = roots.join(classes, "fp").groupBy("root").agg(F.min("least").alias("least")).select("least")
+    keep = materialize(firsts.union(apart).select("least.id", "least.version").distinct(), "keep-keys")
+    kept = based.join(keep.toDF(id_col, "simhash_version"), [id_col, "simhash_version"], "left_semi").dropDuplicates([id_col, "simhash_version"])
+    return kept.unionByName(based.where(F.col(id_col).isNull())).select(*docs.columns)
