@@ -5,12 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docloom.llm import decontaminate as leaks
-from docloom.llm import simhash
+from docloom.llm import hd_langid, line_dedup, mixing, simhash
 from docloom.llm.common import materialize
 
+#: A closest prototype with less than this cosine is no better than chance (vectors have 1,024 places).
+LEAST_COSINE = 0.05
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters go, and those that resemble no learned language."""
+    prototypes = hd_langid.train(docs.where(hd_langid.fold("doc_id", 4) != 2))
+    known = hd_langid.predict(docs, prototypes).where(f"lang_pred <> 'und' AND score >= {LEAST_COSINE}")
+    return known.select(*docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One line stays of each component of near-duplicate lines; documents that lose all their lines go."""
+    return line_dedup.dedup_lines(docs, drop_emptied=True)
+
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays (five-word shingles, at most 4 of 64 bits apart)."""
+    """One document stays of each group of near duplicates (five-word shingles, similarity 0.8 or more)."""
     return simhash.keep_one(docs)
 
 
@@ -19,12 +34,24 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return leaks.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-STAGES = [("simhash_near_dedup", near_dedup), ("benchmark_decontamination", decontaminate)]
-#: Fingerprints, signatures and trained profiles have no SQL form; tests compare with brute force.
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it, numbered by copy_number."""
+    return mixing.sample(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", dedup_lines),
+    ("simhash_near_dedup", near_dedup),
+    ("benchmark_decontamination", decontaminate),
+    ("source_mixing", mix_sources),
+]
+#: Trained profiles, signatures and fingerprints have no SQL form; a test compares with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over documents; n_chars stays that of the text as it was read."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
