@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.plans import texts  # noqa: F401
+from docloom.plans import questions, retrieval, texts  # noqa: F401
 from docloom.plans.registry import ORACLES, QUERIES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["b11_detect_structure"](spark, sf_dir)
+    return QUERIES["z01_question_context"](spark, sf_dir)
 
 
 def queries() -> dict:
