@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -11,14 +12,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import materialize, shared_folder, small_batches, table, utf8
+from docloom.llm.common import shared_folder, small_batches, table, utf8
 
 #: Blocks longer than this are cut into segments.
 SEGMENT_BYTES = 16_384
 #: Size of the chunks of the chunked transfer coding.
 TRANSFER_BYTES = 4_096
-#: About so many bytes of payload go into one archive, which a reading task holds in memory.
-ARCHIVE_BYTES = 16_000_000
 #: Equal payloads shorter than this are stored each time.
 REVISIT_BYTES = 100
 END = b"\r\n\r\n"
@@ -105,14 +104,14 @@ def revisits(pages: DataFrame, id_col: str = "page_id", text_col: str = "html",
     return joined.select("id", "url", "payload", F.when(~F.col("id").eqNullSafe(F.col("original")), F.col("original")).alias("refers_to"))
 
 
-def write_archives(records: DataFrame, path: str, segment: int = SEGMENT_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """Write (id, url, payload, refers_to) as uncompressed WARC files, one for each task, by Spark's text writer.
+def write_archives(records: DataFrame, path: str, segment: int = SEGMENT_BYTES) -> None:
+    """Write (id, url, payload, refers_to) as WARC files, one for each task, by Spark's text writer.
 
-    The blank lines that close a record are the writer's line separator, so the files are plain WARC, go
-    to any file system that Spark knows, and are committed by task.
+    The blank lines that close a record are the writer's line separator, so the unpacked files are plain
+    WARC, go to any file system that Spark knows, and are committed by task. Tasks, and so archives, have
+    the size of Spark's input splits or of its shuffle partitions.
     """
-    spark = records.sparkSession
-    small_batches(spark)
+    small_batches(records.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, task = 0, TaskContext.get().partitionId()
@@ -123,79 +122,80 @@ def write_archives(records: DataFrame, path: str, segment: int = SEGMENT_BYTES,
                 number += 1
             yield table({"record": pa.array(out, pa.binary())})
 
-    total = records.agg(F.coalesce(F.sum(F.octet_length("payload")), F.lit(0))).first()[0]
-    spread = records.repartition(max(1, -(-total // archive_bytes)), F.xxhash64("id", "url"))
-    raw = spread.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
-    raw.write.option("lineSep", END.decode()).text(path)
+    raw = records.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
+    raw.write.option("lineSep", END.decode()).option("compression", "gzip").text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row for each archived page: id, payload (null for revisits), payload_bytes, payload_digest, record_type, refers_to, intact.
 
-    Each archive is parsed once. Whole records pass straight on. Segments are grouped by their origin,
-    put in order by number and checked against the total length of the last; then the transfer framing
-    goes. ``intact`` tells whether numbers, lengths and digest hold; damaged records stay, with it false.
+    Whole records are decoded where they are parsed. Segments are grouped by their origin, put in order by
+    number and checked against the total length of the last; then the transfer framing goes. ``intact``
+    tells whether numbers, lengths and digest hold; damaged records stay, with it false. Archives are
+    parsed twice, once for each kind, which saves writing their content again.
     """
     small_batches(spark, 1)
-    parts = "origin string, segment int, total long, id string, declared string, bytes long, type string, refers_to string, block binary"
+    files = spark.read.format("binaryFile").load(path).select("content")
+    head = [("id", pa.string()), ("declared", pa.string()), ("bytes", pa.int64()), ("type", pa.string()), ("refers_to", pa.string())]
+    kinds = [("origin", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), *head, ("block", pa.binary())]
+
+    def records(archive: bytes) -> Iterator[dict]:
+        for f, block in parse(archive if archive[:2] != b"\x1f\x8b" else gzip.decompress(archive)):
+            origin = f.get("warc-segment-origin-id", f["warc-record-id"])
+            total, length = f.get("warc-segment-total-length"), f.get("x-payload-length")
+            yield {
+                "origin": origin, "segment": int(f.get("warc-segment-number", 0)), "total": total and int(total), "id": origin[len("<urn:page:") : -1].split(":")[0] or None,
+                "declared": f.get("warc-payload-digest", "")[7:], "bytes": length and int(length), "type": f["warc-type"],
+                "refers_to": f.get("warc-refers-to", "")[len("<urn:page:") : -1] or None, "block": block,
+            }
+
+    def decoded(r: dict, numbers: list[int], block: bytes) -> dict:
+        payload, good = None, True
+        if r["type"] != "revisit":
+            good = numbers == [0] or (numbers == list(range(1, len(numbers) + 1)) and len(block) == r["total"])
+            try:
+                payload = dechunked(block.partition(END)[2])
+            except ValueError:
+                good = False
+        digest = r["declared"] if payload is None else hashlib.sha256(payload).hexdigest()
+        good = good and digest == r["declared"]
+        size = r["bytes"] if payload is None else len(payload)
+        return {"id": r["id"], "payload": payload, "payload_bytes": size, "payload_digest": digest, "record_type": r["type"], "refers_to": r["refers_to"], "intact": good}
+
+    result = pa.schema([("id", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("intact", pa.bool_())])
+
+    def in_parts(rows: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for row in rows:
+            held.append(row)
+            size += len(row.get("block") or row.get("payload") or b"")
+            if size > 4 << 20:
+                yield pa.RecordBatch.from_pylist(held, schema=schema)
+                held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema=schema)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for archive in b.column(0).to_pylist():
+                yield from in_parts((decoded(r, [0], r["block"]) for r in records(archive) if not r["segment"]), result)
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in parts.split(", ")]
-        kinds = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for archive in b.column(0).to_pylist():
-                rows, size = [], 0
-                for f, block in parse(archive):
-                    kind = f["warc-type"]
-                    record = f["warc-record-id"]
-                    origin = f.get("warc-segment-origin-id", record)
-                    total = f.get("warc-segment-total-length")
-                    refers = f.get("warc-refers-to", "")[len("<urn:page:") : -1] or None
-                    length = f.get("x-payload-length")
-                    rows.append((origin, int(f.get("warc-segment-number", 0)), total and int(total), origin[len("<urn:page:") : -1].split(":")[0] or None, f.get("warc-payload-digest", "")[7:], length and int(length), kind, refers, block))
-                    size += len(block)
-                    if size > 4 << 20:
-                        yield table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(names, kinds, strict=True))})
-                        rows, size = [], 0
-                yield table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(names, kinds, strict=True))})
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                yield from in_parts((r for r in records(archive) if r["segment"]), pa.schema(kinds))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            c = dict(zip(b.schema.names, (x.to_pylist() for x in b.columns), strict=True))
-            payloads, intact = [], []
-            for kind, blocks, numbers, total, declared in zip(c["type"], c["blocks"], c["numbers"], c["total"], c["declared"], strict=True):
-                payload, good = None, True
-                if kind != "revisit":
-                    block = b"".join(blocks)
-                    good = numbers == [0] or (numbers == list(range(1, len(numbers) + 1)) and len(block) == total)
-                    try:
-                        payload = dechunked(block.partition(END)[2])
-                    except ValueError:
-                        good = False
-                    good = good and payload is not None and hashlib.sha256(payload).hexdigest() == declared
-                payloads.append(payload)
-                intact.append(good)
-            found = [None if p is None else hashlib.sha256(p).hexdigest() for p in payloads]
-            yield table({
-                "id": b.column(0), "payload": pa.array(payloads, pa.binary()),
-                "payload_bytes": pa.array([n if p is None else len(p) for p, n in zip(payloads, c["bytes"], strict=True)], pa.int64()),
-                "payload_digest": pa.array([d if f is None else f for f, d in zip(found, c["declared"], strict=True)], pa.string()),
-                "record_type": b.column(b.schema.get_field_index("type")), "refers_to": b.column(b.schema.get_field_index("refers_to")), "intact": pa.array(intact),
-            })
+            yield from in_parts((decoded(r, r["numbers"], b"".join(r["blocks"])) for r in b.to_pylist()), result)
 
-    files = spark.read.format("binaryFile").load(path).select("content")
-    records = files.mapInArrow(split, parts)
-    # archives are parsed once: records and segments take the same written table
-    records = materialize(records, "warc-records")
-    small_batches(spark, 64)
-    fields = ["id", "declared", "bytes", "type", "refers_to"]
-    whole = records.where("segment = 0").select(*fields, F.array("segment").alias("numbers"), "total", F.array("block").alias("blocks"))
-    ordered = F.sort_array(F.collect_list(F.struct("segment", "block")))
-    firsts = [F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c) for c in fields if c != "type"]
-    pieces = records.where("segment > 0").groupBy("origin").agg(*firsts, F.max("total").alias("total"), ordered.alias("ordered"))
-    pieces = pieces.select("id", "declared", "bytes", F.lit("response").alias("type"), "refers_to", F.col("ordered.segment").alias("numbers"), "total", F.col("ordered.block").alias("blocks"))
     schema = "id string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to string, intact boolean"
-    return whole.unionByName(pieces).mapInArrow(decode, schema)
+    pieces = files.mapInArrow(segments, "origin string, segment int, total long, id string, declared string, bytes long, type string, refers_to string, block binary")
+    firsts = [F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c) for c, _ in head]
+    ordered = F.sort_array(F.collect_list(F.struct("segment", "block")))
+    pieces = pieces.groupBy("origin").agg(*firsts, F.max("total").alias("total"), ordered.alias("ordered"))
+    pieces = pieces.select(*[c for c, _ in head], "total", F.col("ordered.segment").alias("numbers"), F.col("ordered.block").alias("blocks"))
+    return files.mapInArrow(whole, schema).unionByName(pieces.mapInArrow(join, schema))
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", text_col: str = "html") -> DataFrame:
