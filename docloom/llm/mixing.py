@@ -93,8 +93,8 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     taken = mix(docs, id_col, text_col, source_col, **how).where("copies > 0")
     # rows alike in id, source and text are taken as one stack, so their copies are added up
     taken = taken.groupBy("id", "version", "source").agg(F.sum("copies").alias("mix_copies"))
-    base = docs.withColumn("mix_version", F.xxhash64(F.col(text_col)))
-    one = base.dropDuplicates([id_col, source_col, "mix_version"])
-    same = one[id_col].eqNullSafe(taken["id"]) & (one["mix_version"] == taken["version"]) & one[source_col].eqNullSafe(taken["source"])
-    joined = one.join(taken, same).select(*[one[c] for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))).alias("copy_number"))
-    return joined
+    kept = [c for c in docs.columns if c != "copy_number"]
+    base = docs.select(F.struct(*kept).alias("row"), F.col(id_col).alias("own_id"), F.col(source_col).alias("own_source"), F.xxhash64(F.col(text_col)).alias("own_version"))
+    one = base.dropDuplicates(["own_id", "own_source", "own_version"])
+    same = one["own_id"].eqNullSafe(taken["id"]) & (one["own_version"] == taken["version"]) & one["own_source"].eqNullSafe(taken["source"])
+    return one.join(taken, same).select("row.*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))).alias("copy_number"))

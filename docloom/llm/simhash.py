@@ -273,7 +273,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     """
     small_batches(docs.sparkSession)
     version = F.xxhash64(F.col(text_col))
-    based = docs.withColumn("simhash_version", version)
+    based = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), version.alias("version"), F.col(text_col).alias("text"))
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,7 +283,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
             words = [xxhash.xxh64_intdigest(b" ".join(utf8(t).lower().split())) for t in texts]
             yield table({"id": b.column(0), "version": b.column(1), "fp": pa.array(fps.view(np.int64)), "words": pa.array(np.array(words, dtype=np.uint64).view(np.int64))})
 
-    rows = based.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col("simhash_version").alias("version"), F.col(text_col).alias("text"))
+    rows = based.where("id IS NOT NULL").select("id", "version", "text")
     signed = materialize(rows.mapInArrow(run, f"id {kind}, version long, fp long, words long"), "keep-signed")
     # exact copies by words first: one row of each
     texts = materialize(signed.groupBy("fp", "words").agg(F.min(F.struct("id", "version")).alias("least")), "keep-texts")
@@ -310,5 +310,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     apart = shared.join(same.select(F.col("u").alias("node")), "node", "left_anti").select("least")
     firsts = roots.join(classes, "fp").groupBy("root").agg(F.min("least").alias("least")).select("least")
     keep = materialize(firsts.union(apart).select("least.id", "least.version").distinct(), "keep-keys")
-    kept = based.join(keep.toDF(id_col, "simhash_version"), [id_col, "simhash_version"], "left_semi").dropDuplicates([id_col, "simhash_version"])
-    return kept.unionByName(based.where(F.col(id_col).isNull())).select(*docs.columns)
+    kept = based.select("row", "id", "version").join(keep, ["id", "version"], "left_semi").dropDuplicates(["id", "version"]).select("row.*")
+    return kept.union(docs.where(F.col(id_col).isNull()))
