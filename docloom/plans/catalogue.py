@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.plans import context, operations, questions, retrieval, texts  # noqa: F401
+from docloom.plans import context, operations, questions, retrieval, streams, texts  # noqa: F401
 from docloom.plans.registry import ORACLES, QUERIES
 
 
