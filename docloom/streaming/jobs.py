@@ -24,16 +24,21 @@ def ingest_stream(spark: SparkSession, path: str, out: str, checkpoint: str, sch
     return chunks.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
+def watermarked(events: DataFrame, column: str, late: str) -> DataFrame:
+    """Watermarks hang on timestamps of the session's zone; zoneless ones are cast."""
+    return events.withColumn(column, F.col(column).cast("timestamp")).withWatermark(column, late)
+
+
 def queue_windows(events: DataFrame, late: str | None = "10 minutes") -> DataFrame:
     """Completed and failed jobs by hour; on a stream, events later than ``late`` are left out."""
-    rows = events.withWatermark("ts", late) if late and events.isStreaming else events
+    rows = watermarked(events, "ts", late) if late and events.isStreaming else events
     counted = rows.groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count_if(F.col("event_type") == "purchase").alias("completed"), F.count_if(F.col("event_type") == "error").alias("failed"))
     return counted.select(F.col("w.start").alias("start"), "completed", "failed")
 
 
 def success_windows(events: DataFrame, late: str | None = "10 minutes") -> DataFrame:
     """Success rate over the last 24 hours, sliding by the hour."""
-    rows = events.withWatermark("ts", late) if late and events.isStreaming else events
+    rows = watermarked(events, "ts", late) if late and events.isStreaming else events
     done, failed = F.count_if(F.col("event_type") == "purchase"), F.count_if(F.col("event_type") == "error")
     rated = rows.groupBy(F.window("ts", "24 hours", "1 hour").alias("w")).agg(F.coalesce(F.round(F.try_divide(done * 100.0, done + failed), 4), F.lit(100.0)).alias("success_rate"))
     return rated.select(F.col("w.start").alias("start"), "success_rate")
@@ -100,7 +105,7 @@ def cached_hits(lookups: DataFrame, inserts: DataFrame, hours: int = 2, late: st
     a = lookups.select(F.col("id").alias("lookup_id"), "key", F.col("ts").alias("asked_at"))
     b = inserts.select(F.col("id").alias("insert_id"), F.col("key").alias("insert_key"), F.col("ts").alias("inserted_at"))
     if lookups.isStreaming:
-        a, b = a.withWatermark("asked_at", late), b.withWatermark("inserted_at", late)
+        a, b = watermarked(a, "asked_at", late), watermarked(b, "inserted_at", late)
     near = F.expr(f"key = insert_key AND inserted_at < asked_at AND inserted_at >= asked_at - INTERVAL {hours} HOURS")
     return a.join(b, near).select("lookup_id", "insert_id")
 
@@ -108,5 +113,5 @@ def cached_hits(lookups: DataFrame, inserts: DataFrame, hours: int = 2, late: st
 def without_repeats(events: DataFrame, keys: list[str], late: str = "10 minutes") -> DataFrame:
     """Events once each; on a stream the keys are remembered within the watermark."""
     if events.isStreaming:
-        return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+        return watermarked(events, "ts", late).dropDuplicatesWithinWatermark(keys)
     return events.dropDuplicates(keys)
