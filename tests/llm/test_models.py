@@ -121,7 +121,7 @@ def test_search_is_exact_with_ties(spark, monkeypatch):
     rng = np.random.default_rng(9)
     rows = [(i, (rng.standard_normal(6) * (0.2 + i % 3)).tolist()) for i in range(700)]
     rows += [(i, rows[3][1]) for i in range(700, 1000)]  # one hot vector
-    bad = [(1001, None), (1002, [1.0, None, 0, 0, 0, 0]), (1003, [float("nan")] * 6), (1004, [float("inf")] * 6), (None, [0.0] * 6), (1020, [1.0, 2.0]), (1021, [3.0, 1.0])]
+    bad = [(1001, None), (1002, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (1003, [float("nan")] * 6), (1004, [float("inf")] * 6), (None, [0.0] * 6), (1020, [1.0, 2.0]), (1021, [3.0, 1.0])]
     frame = spark.createDataFrame([*rows, *bad, rows[0]], "vec_id long, embedding array<float>")
     got = sorted(tuple(r) for r in mtree.top_k(frame, F.col("id") % 20 == 0).collect())
     assert got == sorted(brute_top([*rows, (1020, [1.0, 2.0]), (1021, [3.0, 1.0])], 20))
