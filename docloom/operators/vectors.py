@@ -29,13 +29,14 @@ def top(rows: DataFrame, keys: list[str], score: str, tie: str, k: int) -> DataF
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def knn(queries: DataFrame, chunks: DataFrame, k: int, by: str = "document_id", blocks: int = 1) -> DataFrame:
+def knn(queries: DataFrame, chunks: DataFrame, k: int, by: str = "document_id", block: int = BLOCK) -> DataFrame:
     """(query_id, chunk_id, similarity, rank): the k chunks nearest by cosine to each query within its document.
 
     Queries (query_id, ``by``, query_vector) and chunks (chunk_id, ``by``, embedding) meet by document in
-    a cogroup; ``blocks`` salts the chunks of large documents and repeats the queries, so a hot document
-    spreads over tasks. In a task, a matrix product gives the similarities, and only k rows of each query and
-    block leave it, which a window then merges. Ties go to the smaller chunk id.
+    a cogroup. Chunks and queries of a document are dealt to blocks of about ``block`` rows, and every block
+    of the one meets every block of the other, so a hot document spreads over tasks and memory is bounded.
+    In a task, a matrix product gives the similarities, and only k rows of each query and block leave it,
+    which a window then merges. Ties go to the smaller chunk id.
     """
 
     def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
@@ -55,9 +56,14 @@ def knn(queries: DataFrame, chunks: DataFrame, k: int, by: str = "document_id",
         return pd.concat(out)
 
     ids = dict(chunks.dtypes)["chunk_id"]
-    salted = chunks.select(by, "chunk_id", "embedding", F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).alias("salt"))
-    asked = queries.select(by, "query_id", "query_vector", F.explode(F.array(*[F.lit(i).cast("long") for i in range(blocks)])).alias("salt"))
-    met = asked.groupBy(by, "salt").cogroup(salted.groupBy(by, "salt")).applyInPandas(run, f"query_id {dict(queries.dtypes)['query_id']}, chunk_id {ids}, similarity double")
+    number = lambda rows, name: rows.groupBy(by).agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    sizes = number(chunks, "chunk_blocks").join(number(queries, "query_blocks"), by)
+    mine = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = chunks.select(by, "chunk_id", "embedding").join(sizes, by).withColumn("cb", mine("chunk_id", "chunk_blocks")).withColumn("qb", each("query_blocks"))
+    asked = queries.select(by, "query_id", "query_vector").join(sizes, by).withColumn("qb", mine("query_id", "query_blocks")).withColumn("cb", each("chunk_blocks"))
+    dealt, asked = dealt.drop("chunk_blocks", "query_blocks"), asked.drop("chunk_blocks", "query_blocks")
+    met = asked.groupBy(by, "qb", "cb").cogroup(dealt.groupBy(by, "qb", "cb")).applyInPandas(run, f"query_id {dict(queries.dtypes)['query_id']}, chunk_id {ids}, similarity double")
     return top(met, ["query_id"], "similarity", "chunk_id", k)
 
 

@@ -17,7 +17,7 @@ WS = r"[ \t\n\r\f\x0B]"
 @query("d01_parents_of_children", f"""WITH {VECS}, {knn_sql(20, "c.vec_id % 3 = 1", name="kid").format(shift=0)}, p_ AS (SELECT query_id, chunk_id // 5 AS parent_chunk_id, max(similarity) AS similarity FROM kid_ GROUP BY 1, 2)
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, parent_chunk_id)::INTEGER AS rank FROM p_) WHERE rank <= 10""")
 def parents(spark, sf_dir):
-    hits = vectors.knn(vector_queries(spark, sf_dir), vector_chunks(spark, sf_dir).where("chunk_id % 3 = 1"), 20, blocks=4)
+    hits = vectors.knn(vector_queries(spark, sf_dir), vector_chunks(spark, sf_dir).where("chunk_id % 3 = 1"), 20)
     edges = vector_chunks(spark, sf_dir).select(F.floor(F.col("chunk_id") / 5).alias("parent_chunk_id"), F.col("chunk_id").alias("child_chunk_id"))
     return joins.parents_of_children(hits, edges, 10)
 

@@ -85,7 +85,7 @@ def knn_sql(k: int, where: str = "TRUE", query: str = "q.v", name: str = "knn")
 
 def _knn(name: str, k: int, where: str = "TRUE", spark_where: str = "TRUE"):
     def run(spark, sf_dir):
-        return vectors.knn(vector_queries(spark, sf_dir), vector_chunks(spark, sf_dir).where(spark_where), k, blocks=4)
+        return vectors.knn(vector_queries(spark, sf_dir), vector_chunks(spark, sf_dir).where(spark_where), k)
 
     query(name, f"WITH {VECS}, {knn_sql(k, where).format(shift=0)} SELECT * FROM knn_")(run)
 
@@ -98,7 +98,7 @@ _knn("e04_knn_children", 20, "c.vec_id % 3 = 1", "chunk_id % 3 = 1")
 
 def knn_multi(spark, sf_dir, k: int):
     """Hits of the question (set 0) and of one variation (set 1)."""
-    sets = [vectors.knn(vector_queries(spark, sf_dir, s), vector_chunks(spark, sf_dir), k, blocks=4).withColumn("set_id", F.lit(s)) for s in (0, 1)]
+    sets = [vectors.knn(vector_queries(spark, sf_dir, s), vector_chunks(spark, sf_dir), k).withColumn("set_id", F.lit(s)) for s in (0, 1)]
     return sets[0].unionByName(sets[1])
 
 
@@ -150,7 +150,7 @@ def occurrence_ranked(spark, sf_dir):
 @query("e10_rerank", f"""WITH {VECS}, {knn_sql(40, name="k1").format(shift=1)}, r_ AS (SELECT k.query_id, k.chunk_id, k.similarity AS original_similarity, round({COS.format(a='q.v', b='c.v')}, 9) AS similarity FROM k1_ k JOIN vecs_ q ON q.vec_id = k.query_id JOIN vecs_ c ON c.vec_id = k.chunk_id)
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id)::INTEGER AS rank FROM r_) WHERE rank <= 15""")
 def reranked(spark, sf_dir):
-    found = vectors.knn(vector_queries(spark, sf_dir, 1), vector_chunks(spark, sf_dir), 40, blocks=4)
+    found = vectors.knn(vector_queries(spark, sf_dir, 1), vector_chunks(spark, sf_dir), 40)
     full = found.join(vector_queries(spark, sf_dir).drop("document_id"), "query_id").join(vector_chunks(spark, sf_dir).drop("document_id"), "chunk_id")
     return vectors.rerank(full).select("query_id", "chunk_id", "original_similarity", "similarity", "rank")
 
@@ -215,8 +215,8 @@ def with_content(spark, sf_dir, hits, score: str = "similarity"):
   parts_ AS (SELECT query_id, chunk_id AS item_id, content, round(similarity, 9) AS score, 0 AS source FROM knn_ JOIN shown_ USING (chunk_id) UNION ALL SELECT query_id, chunk_id, content, round(similarity * 1.2::DOUBLE, 9), 1 FROM sent_ JOIN shown_ USING (chunk_id)), {MERGE_SQL}
   SELECT * FROM merged_ WHERE rank <= 12""")
 def merged(spark, sf_dir):
-    chunks = vectors.knn(vector_queries(spark, sf_dir), vector_chunks(spark, sf_dir), 10, blocks=4)
-    sentences = vectors.knn(vector_queries(spark, sf_dir), vector_chunks(spark, sf_dir).where("chunk_id % 3 = 0"), 10, blocks=4)
+    chunks = vectors.knn(vector_queries(spark, sf_dir), vector_chunks(spark, sf_dir), 10)
+    sentences = vectors.knn(vector_queries(spark, sf_dir), vector_chunks(spark, sf_dir).where("chunk_id % 3 = 0"), 10)
     return fusion.merge_sentences(with_content(spark, sf_dir, chunks), with_content(spark, sf_dir, sentences), limit=12)
 
 
@@ -243,5 +243,5 @@ def retrieve(spark, sf_dir):
     best = vectors.top(fused(spark, sf_dir), ["query_id"], "score", "chunk_id", 40).select("query_id", "chunk_id", F.col("score").alias("similarity"))
     full = best.join(vector_queries(spark, sf_dir).drop("document_id"), "query_id").join(vector_chunks(spark, sf_dir).drop("document_id"), "chunk_id")
     again = vectors.rerank(full)
-    sentences = vectors.knn(vector_queries(spark, sf_dir), vector_chunks(spark, sf_dir).where("chunk_id % 3 = 0"), 10, blocks=4)
+    sentences = vectors.knn(vector_queries(spark, sf_dir), vector_chunks(spark, sf_dir).where("chunk_id % 3 = 0"), 10)
     return fusion.merge_sentences(with_content(spark, sf_dir, again), with_content(spark, sf_dir, sentences), limit=10)

@@ -21,10 +21,10 @@ def frames(spark, x):
     return chunks.where("chunk_id % 20 = 3").select(F.col("chunk_id").alias("query_id"), "document_id", F.col("embedding").alias("query_vector")), chunks
 
 
-@pytest.mark.parametrize("blocks", [1, 5])
-def test_knn_is_exact(spark, data, blocks):
+@pytest.mark.parametrize("block", [3, 4096])
+def test_knn_is_exact(spark, data, block):
     q, c = frames(spark, data)
-    got = {(r.query_id, r.rank): r.chunk_id for r in vectors.knn(q, c, 5, blocks=blocks).collect()}
+    got = {(r.query_id, r.rank): r.chunk_id for r in vectors.knn(q, c, 5, block=block).collect()}
     x = data.astype(np.float32).astype(np.float64)
     n = np.maximum(np.linalg.norm(x, axis=1), 1e-300)
     for i in range(3, 200, 20):
