@@ -62,7 +62,9 @@ def knn(queries: DataFrame, chunks: DataFrame, k: int, by: str = "document_id",
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     dealt = chunks.select(by, "chunk_id", "embedding").join(sizes, by).withColumn("cb", mine("chunk_id", "chunk_blocks")).withColumn("qb", each("query_blocks"))
     asked = queries.select(by, "query_id", "query_vector").join(sizes, by).withColumn("qb", mine("query_id", "query_blocks")).withColumn("cb", each("chunk_blocks"))
-    dealt, asked = dealt.drop("chunk_blocks", "query_blocks"), asked.drop("chunk_blocks", "query_blocks")
+    # aliased, as both sides may come from one table
+    dealt = dealt.select(*[F.col(c).alias(c) for c in (by, "qb", "cb", "chunk_id", "embedding")])
+    asked = asked.select(*[F.col(c).alias(c) for c in (by, "qb", "cb", "query_id", "query_vector")])
     met = asked.groupBy(by, "qb", "cb").cogroup(dealt.groupBy(by, "qb", "cb")).applyInPandas(run, f"query_id {dict(queries.dtypes)['query_id']}, chunk_id {ids}, similarity double")
     return top(met, ["query_id"], "similarity", "chunk_id", k)
 
