@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+_local: dict[str, str] = {}
 #: Records in an Arrow batch sent to Python; keeps batches of very long texts small.
 BATCH_ROWS = 512
 
@@ -15,14 +17,16 @@ BATCH_ROWS = 512
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Where the setting is missing (local tests) a temporary folder is made and set.
+    Where the setting is missing (local tests) one temporary folder is made for the application.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="docloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        name = spark.sparkContext.applicationId
+        if name not in _local:
+            _local[name] = "file://" + tempfile.mkdtemp(prefix="docloom-")
+        folder = _local[name]
     return folder
 
 
@@ -34,6 +38,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of finished steps.
+
+    It does so only when the driver's JVM collects garbage, which between large steps may take too long
+    for the executors' disks.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Send few rows at a time to Python, as single texts may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
