@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docloom.operators import analytics, answers
 from docloom.plans.context import CITED, HEADS, cited, cited_answers, conversation_heads
 from docloom.plans.questions import QUESTION
-from docloom.plans.registry import PAGES, query, read, word_set
+from docloom.plans.registry import ORACLES, PAGES, QUERIES, query, read, word_set
 from docloom.plans.texts import pages
 
 NOW = "2024-01-30"
@@ -213,3 +213,8 @@ def durations(spark, sf_dir):
     last = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_shipdate").alias("done"))
     both = read(spark, sf_dir, "orders").join(last, "o_orderkey")
     return both.groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"), F.round(F.avg(F.datediff("done", "o_orderdate")), 4).alias("avg_days"))
+
+
+# Window functions that other operators are made of, under their own names.
+for _name, _source in (("j06_headers_so_far", "d02_preceding_headers"), ("j07_adjacent_distances", "c05_split_semantic"), ("j08_carry_over", "c04_repair_boundaries")):
+    query(_name, ORACLES.get(_source))(QUERIES[_source])
