@@ -37,6 +37,11 @@ def owned(rows: DataFrame, owners: DataFrame, on: str) -> DataFrame:
     return rows.join(owners.select(on), on, "left_semi")
 
 
+def conversation_list(conversations: DataFrame, documents: DataFrame) -> DataFrame:
+    """Conversations with their document, which may be missing, newest first."""
+    return conversations.join(documents, "doc_id", "left").orderBy(F.col("last_turn").desc(), F.col("conv_id").desc())
+
+
 def cascade_delete(tables: dict[str, DataFrame], dropped: DataFrame) -> dict[str, DataFrame]:
     """documents, chunks, edges, conversations and messages without the dropped doc_ids and all that hangs on them."""
     out = dict(tables)

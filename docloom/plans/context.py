@@ -55,13 +55,10 @@ def conversation_heads(spark, sf_dir):
 HEADS = "heads_ AS (SELECT conv_id, max(turn) AS last_turn, conv_id * 7 AS doc_id FROM conversations GROUP BY conv_id)"
 
 
-@query("d06_conversation_list", f"WITH {HEADS} SELECT conv_id, last_turn, h.doc_id, d.lang, row_number() OVER (ORDER BY last_turn DESC, conv_id DESC)::INTEGER AS place FROM heads_ h LEFT JOIN documents d ON d.doc_id = h.doc_id")
+@query("d06_conversation_list", f"WITH {HEADS} SELECT conv_id, last_turn, h.doc_id, d.lang FROM heads_ h LEFT JOIN documents d ON d.doc_id = h.doc_id ORDER BY last_turn DESC, conv_id DESC")
 def conversation_list(spark, sf_dir):
-    from pyspark.sql import Window
-
     docs = read(spark, sf_dir, "documents").select("doc_id", "lang")
-    both = conversation_heads(spark, sf_dir).join(docs, "doc_id", "left")
-    return both.withColumn("place", F.row_number().over(Window.orderBy(F.col("last_turn").desc(), F.col("conv_id").desc())))
+    return joins.conversation_list(conversation_heads(spark, sf_dir), docs)
 
 
 @query("d07_cascade_delete", f"""WITH {PAGES}, {HEADS}, c_ AS (SELECT doc_id, doc_id * 1000 + page_number AS chunk_id FROM pages_)
