@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import materialize, small_batches, table, utf8
+from docloom.llm.common import materialize, release, small_batches, table, utf8
 from docloom.llm.components import connected_components
 from docloom.llm.verify import verified
 
@@ -26,6 +26,7 @@ SEEN_LINES = 500_000
 FILTER_BITS = 1 << 26
 _rng = np.random.default_rng(20_240_229)
 _MULTIPLIERS = (_rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64) | 1).astype(np.uint32)
+_FIRST, _SECOND = ((_rng.integers(0, 1 << 32, (2, SHINGLE), dtype=np.uint64)) | 1).astype(np.uint32)
 _MIXERS = _rng.integers(0, 1 << 63, ROWS, dtype=np.uint64) | np.uint64(1)
 
 
@@ -43,6 +44,26 @@ def digest(line: str) -> bytes:
     return xxhash.xxh128_digest(utf8(line))
 
 
+def shingle_hashes(lines: list[str], multipliers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit hashes of the shingles of all lines, one after the other, and the number of places by line.
+
+    A line has SHINGLE - 1 places more than characters; those after its last shingle repeat its first.
+    """
+    pad = "\n" * (SHINGLE - 1)
+    codes = np.frombuffer((pad.join(lines) + pad + pad).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    sizes = np.fromiter((len(x) for x in lines), dtype=np.int64, count=len(lines))
+    places = sizes + SHINGLE - 1
+    n = int(places.sum())
+    hashed = codes[:n] * multipliers[0]
+    for k in range(1, SHINGLE):
+        hashed += codes[k : k + n] * multipliers[k]
+    starts = np.cumsum(places) - places
+    spare = places - np.maximum(1, sizes - SHINGLE + 1)
+    after = np.repeat(starts + places - np.cumsum(spare), spare) + np.arange(spare.sum())
+    hashed[after] = np.repeat(hashed[starts], spare)
+    return hashed, places
+
+
 def band_keys(lines: list[str]) -> np.ndarray:
     """[line, band] 64-bit keys from MinHash signatures of normalised, non-empty lines."""
     out = np.empty((len(lines), BANDS), dtype=np.int64)
@@ -52,23 +73,14 @@ def band_keys(lines: list[str]) -> np.ndarray:
         while end < len(lines) and (end == at or total + len(lines[end]) <= CHUNK):
             total += len(lines[end])
             end += 1
-        part = lines[at:end]
-        pad = "\n" * (SHINGLE - 1)
-        codes = np.frombuffer((pad.join(part) + pad).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        sizes = np.fromiter((len(x) for x in part), dtype=np.int64, count=len(part))
-        starts = np.cumsum(sizes + SHINGLE - 1) - (sizes + SHINGLE - 1)
-        spread = codes.astype(np.uint64)
-        hashed = np.zeros(len(codes) - SHINGLE + 1, dtype=np.uint64)
-        for k in range(SHINGLE):
-            hashed = hashed * np.uint64(0x9E3779B97F4A7C15) + spread[k : k + len(hashed)]
-        hashed = ((hashed ^ (hashed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.uint32)
-        counts = np.maximum(1, sizes - SHINGLE + 1)
-        firsts = np.cumsum(counts) - counts
-        valid = hashed[np.repeat(starts - firsts, counts) + np.arange(counts.sum())]
+        hashed, places = shingle_hashes(lines[at:end], _FIRST)
+        hashed = (hashed ^ (hashed >> np.uint32(15))) * np.uint32(0x85EBCA6B)
+        hashed ^= hashed >> np.uint32(13)
+        firsts = np.cumsum(places) - places
         for band in range(BANDS):
-            key = np.full(len(part), np.uint64(band * 0x2545F491 + 1))
+            key = np.full(end - at, np.uint64(band * 0x2545F491 + 1))
             for r in range(ROWS):
-                least = np.minimum.reduceat(valid * _MULTIPLIERS[band * ROWS + r], firsts)
+                least = np.minimum.reduceat(hashed * _MULTIPLIERS[band * ROWS + r], firsts)
                 key = (key ^ (least.astype(np.uint64) * _MIXERS[r])) * np.uint64(0x94D049BB133111EB)
                 key ^= key >> np.uint64(29)
             out[at:end, band] = key.view(np.int64)
@@ -76,6 +88,30 @@ def band_keys(lines: list[str]) -> np.ndarray:
     return out
 
 
+def quick_similarities(left: list[str], right: list[str]) -> np.ndarray:
+    """Jaccard similarities of pairs of lines from 55-bit hashes of their shingles, by one sort for 256 pairs."""
+    out = np.empty(len(left))
+    step, body = 256, np.uint64((1 << 56) - 2)
+    for lo in range(0, len(left), step):
+        n = len(left[lo : lo + step])
+        lines = left[lo : lo + step] + right[lo : lo + step]
+        high, places = shingle_hashes(lines, _FIRST)
+        low, _ = shingle_hashes(lines, _SECOND)
+        number = np.arange(n, dtype=np.uint64) << np.uint64(56)
+        keys = high.astype(np.uint64) << np.uint64(32)
+        keys |= low
+        keys &= body
+        keys |= np.repeat(np.concatenate([number, number | np.uint64(1)]), places)
+        keys.sort()
+        keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
+        shared = keys[1:][(keys[1:] ^ keys[:-1]) == 1]
+        edges = np.append(number, np.uint64(n - 1) << np.uint64(56) | np.uint64((1 << 56) - 1))
+        total = np.diff(np.searchsorted(keys, edges[:-1], side="left"), append=len(keys))
+        common = np.diff(np.searchsorted(shared, edges[:-1], side="left"), append=len(shared))
+        out[lo : lo + n] = common / (total - common)
+    return out
+
+
 def line_occurrences(rows: DataFrame) -> DataFrame:
     """(node, doc, version, pos): the digest of every line that isn't blank and where it stands."""
 
@@ -165,24 +201,36 @@ def candidate_texts(rows: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def line_components(rows: DataFrame) -> DataFrame:
-    """(node, component) of the lines with a near duplicate.
+    """(node, component) of the lines with a near duplicate; components have numbers.
 
     Lines of a bucket are first verified against its pivot, which folds large groups of near copies
     at a cost linear in their size. Pairs of a bucket that still lie in different components are then
     verified one by one. So every banded pair is verified or already united.
     """
-    members = materialize(candidate_buckets(rows), "lines-buckets")
-    texts = materialize(candidate_texts(rows, materialize(members.select("node").distinct(), "lines-candidates")), "lines-texts")
-    stars = members.where("node <> pivot").select("pivot", "node").distinct()
-    links = materialize(verified(stars, texts, shingles, THRESHOLD), "lines-stars")
-    first = connected_components(links, "lines-dense")
-    rooted = members.join(first, "node", "left").select("key", "node", "pivot", F.coalesce("component", "node").alias("root"))
+    spark = rows.sparkSession
+    banded = materialize(candidate_buckets(rows), "lines-buckets")
+    release(spark)
+    found = candidate_texts(rows, materialize(banded.select("node").distinct(), "lines-candidates"))
+    # short numbers stand for the candidate lines from here on
+    texts = found.select(F.monotonically_increasing_id().alias("id"), F.col("node").alias("digest"), "text")
+    texts = materialize(texts, "lines-texts")
+    plain = texts.select(F.col("id").alias("node"), "text")
+    members = banded.select("key", "node").join(texts, banded["node"] == texts["digest"]).select("key", "id")
+    pivots = members.groupBy("key").agg(F.min("id").alias("pivot"))
+    members = materialize(members.join(pivots, "key"), "lines-members")
+    stars = members.where("id <> pivot").select("pivot", "id").distinct()
+    links = materialize(verified(stars, plain, shingles, THRESHOLD, quick_similarities), "lines-stars")
+    release(spark)
+    first = connected_components(links, "lines-dense").withColumnRenamed("node", "id")
+    rooted = members.join(first, "id", "left").select("key", "id", "pivot", F.coalesce("component", "id").alias("root"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    open_members = materialize(rooted.where("node <> pivot").join(mixed, "key", "left_semi").select("key", "node", "root"), "lines-open")
-    other = open_members.toDF("key", "node2", "root2")
-    pairs = open_members.join(other, "key").where("node < node2 and root <> root2").select("node", "node2").distinct()
-    more = verified(pairs, texts, shingles, THRESHOLD)
-    return connected_components(links.union(more), "lines-links")
+    left = materialize(rooted.where("id <> pivot").join(mixed, "key", "left_semi").select("key", "id", "root"), "lines-open")
+    right = left.toDF("key", "id2", "root2")
+    pairs = left.join(right, "key").where("id < id2 and root <> root2").select("id", "id2").distinct()
+    more = materialize(verified(pairs, plain, shingles, THRESHOLD, quick_similarities), "lines-pairs")
+    release(spark)
+    united = connected_components(links.union(more), "lines-links")
+    return united.join(texts, united["node"] == texts["id"]).select(F.col("digest").alias("node"), "component")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = False) -> DataFrame:
@@ -192,35 +240,43 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     link at a Jaccard similarity of 0.8 or more of their character 5-shingles. The line that stays is the first by document
     id, then by place; all others go. Blank lines stay. Null and empty texts stay as they are. Rows
     that repeat id and text count as one document and are all returned alike; a null id comes first.
-    With ``drop_emptied`` documents go that had lines and lost all of them. Adds no column.
+    With ``drop_emptied`` documents go that lost all their lines. Adds no column.
     """
     found = deduplicated(docs, id_col, text_col)
     if drop_emptied:
-        found = found.where("lines_dropped = 0 or lines_dropped < lines_full")
-    return found.drop("lines_full", "lines_dropped")
+        found = found.where((F.col("lines_dropped") == 0) | F.col(text_col).rlike(r"\S"))
+    return found.drop("lines_dropped")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As dedup_lines, with lines_full (lines that aren't blank) and lines_dropped added."""
+    """As dedup_lines, with the number of lines_dropped added (a column of that name is replaced)."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.col(text_col)).alias("version"), F.col(text_col).alias("text"))
     components = line_components(rows)
     occurrences = materialize(line_occurrences(rows), "lines-occurrences")
     kept = occurrences.groupBy("node").agg(F.min(F.struct("doc", "version", "pos")).alias("first"), F.count("*").alias("n"))
-    named = kept.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = materialize(named, "lines-named")
-    firsts = named.groupBy("component").agg(F.min("first").alias("keep"), F.sum("n").alias("all")).where("all > 1")
-    losers = named.select("node", "component").join(firsts, "component").select("node", "keep")
+    named = materialize(kept.join(components, "node", "left").where("n > 1 or component is not null"), "lines-named")
+    alike = named.where("component is not null")
+    firsts = alike.groupBy("component").agg(F.min("first").alias("keep"))
+    losers = alike.join(firsts, "component").select("node", "keep").union(named.where("component is null").select("node", "first"))
     gone = occurrences.join(losers, "node").where(~F.struct("doc", "version", "pos").eqNullSafe(F.col("keep")))
-    gone = gone.groupBy("doc", "version").agg(F.collect_set("pos").alias("gone_lines"))
-    base = docs.withColumn("dedup_version", F.xxhash64(F.col(text_col)))
-    joined = base.join(gone, base[id_col].eqNullSafe(gone["doc"]) & (base["dedup_version"] == gone["version"]), "left")
-    lines = F.split(F.col(text_col), "\n", -1)
-    left = F.array_except(F.sequence(F.lit(1), F.size(lines)), F.transform("gone_lines", lambda x: x + 1))
-    text = F.when(F.col("gone_lines").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.element_at(lines, i)), "\n"))
-    full = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(F.filter(lines, lambda x: F.length(F.trim(F.regexp_replace(x, r"\s+", ""))) > 0)))
-    return joined.select(
-        *[text.alias(c) if c == text_col else base[c] for c in docs.columns],
-        full.cast("long").alias("lines_full"),
-        F.coalesce(F.size("gone_lines"), F.lit(0)).cast("long").alias("lines_dropped"),
-    )
+    gone = materialize(gone.groupBy("doc", "version").agg(F.collect_set("pos").alias("gone_lines")), "lines-gone")
+    release(docs.sparkSession)
+
+    def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, dropped = [], []
+            for text, lost in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if lost:
+                    lost = set(lost)
+                    text = "\n".join([line for i, line in enumerate(text.split("\n")) if i not in lost])
+                texts.append(text)
+                dropped.append(len(lost or ()))
+            yield table({"row": b.column(0), "text": pa.array(texts, pa.string()), "lines_dropped": pa.array(dropped, pa.int64())})
+
+    columns = [c for c in docs.columns if c != "lines_dropped"]
+    base = docs.select(F.struct(*[c for c in columns if c != text_col]).alias("row"), F.col(id_col).alias("own_id"), F.xxhash64(F.col(text_col)).alias("own_version"), F.col(text_col).alias("text"))
+    joined = base.join(gone, base["own_id"].eqNullSafe(gone["doc"]) & (base["own_version"] == gone["version"]), "left")
+    packed = joined.select("row", "text", "gone_lines")
+    made = packed.mapInArrow(rebuild, f"row {dict(packed.dtypes)['row']}, text string, lines_dropped long")
+    return made.select(*[F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in columns], "lines_dropped")

@@ -54,7 +54,7 @@ FROM doc_words d LEFT JOIN hit h USING (doc_id) LEFT JOIN items t USING (doc_id)
 """
 
 def op3_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.deduplicated(read(spark, sf_dir, "documents")).select("doc_id", "text", "lines_full", "lines_dropped")
+    return line_dedup.deduplicated(read(spark, sf_dir, "documents")).select("doc_id", "text", "lines_dropped")
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

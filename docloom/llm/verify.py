@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,9 +16,15 @@ def jaccard(a: set, b: set) -> float:
     return len(a & b) / len(a | b) if a or b else 1.0
 
 
-def verified(pairs: DataFrame, texts: DataFrame, shingles: Callable[[str], set], threshold: float) -> DataFrame:
+def verified(
+    pairs: DataFrame, texts: DataFrame, shingles: Callable[[str], set], threshold: float, quick: Callable[[list[str], list[str]], np.ndarray] | None = None
+) -> DataFrame:
     """The pairs (u, v) whose shingle sets have a Jaccard similarity of ``threshold`` or more.
 
+    ``quick`` may give the similarities of a batch from hashed shingles. It decides pairs that it puts more
+    than 0.01 from the threshold, as a hundredth of a pair's shingles would have to collide to get one of
+    them wrong; the others are compared shingle by shingle.
+
     ``texts`` is (node, text) with one row for each node. Texts meet their pairs in two equi-joins, and
     a pair is judged where it stands, so memory holds one Arrow batch.
     """
@@ -26,7 +33,12 @@ def verified(pairs: DataFrame, texts: DataFrame, shingles: Callable[[str], set],
         last, made = None, set()
         for b in batches:
             keep = []
-            for ta, tb in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            left, right = b.column(2).to_pylist(), b.column(3).to_pylist()
+            near = quick(left, right).tolist() if quick and left else [threshold] * len(left)
+            for ta, tb, estimate in zip(left, right, near, strict=True):
+                if abs(estimate - threshold) > 0.01:
+                    keep.append(estimate > threshold)
+                    continue
                 if ta != last:
                     last, made = ta, shingles(ta)
                 other = shingles(tb)
