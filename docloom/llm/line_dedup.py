@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import materialize, release, small_batches, table, utf8
 from docloom.llm.components import connected_components
-from docloom.llm.verify import verified
+from docloom.llm.verify import similarities, verified
 
 SHINGLE = 5
 THRESHOLD = 0.8
 #: 12 bands of 5 rows meet in 99.1 of 100 pairs at similarity 0.8 and in 99.9 at 0.85.
 BANDS, ROWS = 12, 5
+#: Bounds that rule pairs out are widened by this.
+SLACK = 0.01
 #: Shingles handled at once, so that arrays stay in a core's cache.
 CHUNK = 1 << 16
 #: Line digests that a task remembers in order not to sign a repeated line twice.
@@ -112,6 +114,15 @@ def quick_similarities(left: list[str], right: list[str]) -> np.ndarray:
     return out
 
 
+def distinct_counts(lines: list[str]) -> np.ndarray:
+    """Number of distinct shingles of each line (by 32-bit hash, so rarely one too few)."""
+    hashed, places = shingle_hashes(lines, _FIRST)
+    keys = np.repeat(np.arange(len(lines), dtype=np.uint64) << np.uint64(32), places) | hashed
+    keys.sort()
+    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
+    return np.bincount((keys >> np.uint64(32)).astype(np.int64), minlength=len(lines))
+
+
 def line_occurrences(rows: DataFrame) -> DataFrame:
     """(node, doc, version, pos): the digest of every line that isn't blank and where it stands."""
 
@@ -160,7 +171,7 @@ def _bits(nodes: list[bytes], bits: int) -> np.ndarray:
 
 
 def candidate_texts(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, text) of the candidate lines, fetched by one more scan.
+    """(node, text, size) of the candidate lines, fetched by one more scan; size counts distinct shingles.
 
     A Bloom filter of at most ``FILTER_BITS`` bits goes to the tasks, so that few other lines are
     exchanged; the join that follows is exact.
@@ -192,12 +203,14 @@ def candidate_texts(rows: DataFrame, nodes: DataFrame) -> DataFrame:
                 hit = ((words[(at // np.uint64(64)).astype(np.int64)] >> (at % np.uint64(64))) & np.uint64(1)).all(axis=0)
                 found = [x for x, h in zip(lines.items(), hit, strict=True) if h]
                 seen.update(n for n, _ in found)
-                yield table({"node": pa.array([n for n, _ in found], pa.binary()), "text": pa.array([t for _, t in found], pa.string())})
+                if found:
+                    texts = [t for _, t in found]
+                    yield table({"node": pa.array([n for n, _ in found], pa.binary()), "text": pa.array(texts, pa.string()), "size": pa.array(distinct_counts(texts))})
             if len(seen) > SEEN_LINES:
                 seen.clear()
 
-    fetched = rows.mapInArrow(fetch, "node binary, text string")
-    return fetched.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+    fetched = rows.mapInArrow(fetch, "node binary, text string, size long")
+    return fetched.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"), F.min("size").alias("size"))
 
 
 def line_components(rows: DataFrame) -> DataFrame:
@@ -205,28 +218,34 @@ def line_components(rows: DataFrame) -> DataFrame:
 
     Lines of a bucket are first verified against its pivot, which folds large groups of near copies
     at a cost linear in their size. Pairs of a bucket that still lie in different components are then
-    verified one by one. So every banded pair is verified or already united.
+    verified one by one, but for those that two bounds rule out: the numbers of shingles differ too much,
+    or the distances to the pivot do, as the Jaccard distance keeps the triangle inequality. So every banded
+    pair is verified, ruled out or already united.
     """
     spark = rows.sparkSession
     banded = materialize(candidate_buckets(rows), "lines-buckets")
     release(spark)
     found = candidate_texts(rows, materialize(banded.select("node").distinct(), "lines-candidates"))
     # short numbers stand for the candidate lines from here on
-    texts = found.select(F.monotonically_increasing_id().alias("id"), F.col("node").alias("digest"), "text")
+    texts = found.select(F.monotonically_increasing_id().alias("id"), F.col("node").alias("digest"), "text", "size")
     texts = materialize(texts, "lines-texts")
     plain = texts.select(F.col("id").alias("node"), "text")
-    members = banded.select("key", "node").join(texts, banded["node"] == texts["digest"]).select("key", "id")
+    members = banded.select("key", "node").join(texts, banded["node"] == texts["digest"]).select("key", "id", "size")
     pivots = members.groupBy("key").agg(F.min("id").alias("pivot"))
     members = materialize(members.join(pivots, "key"), "lines-members")
     stars = members.where("id <> pivot").select("pivot", "id").distinct()
-    links = materialize(verified(stars, plain, shingles, THRESHOLD, quick_similarities), "lines-stars")
+    stars = materialize(similarities(stars, plain, shingles, THRESHOLD, quick_similarities).toDF("pivot", "id", "near"), "lines-stars")
     release(spark)
+    links = stars.where(F.col("near") >= THRESHOLD).select(F.col("pivot").alias("u"), F.col("id").alias("v"))
     first = connected_components(links, "lines-dense").withColumnRenamed("node", "id")
-    rooted = members.join(first, "id", "left").select("key", "id", "pivot", F.coalesce("component", "id").alias("root"))
+    rooted = members.join(first, "id", "left").select("key", "id", "size", "pivot", F.coalesce("component", "id").alias("root"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    left = materialize(rooted.where("id <> pivot").join(mixed, "key", "left_semi").select("key", "id", "root"), "lines-open")
-    right = left.toDF("key", "id2", "root2")
-    pairs = left.join(right, "key").where("id < id2 and root <> root2").select("id", "id2").distinct()
+    rest = rooted.join(mixed, "key", "left_semi").join(stars, ["pivot", "id"])
+    left = materialize(rest.select("key", "id", "size", "root", "near"), "lines-open")
+    right = left.toDF("key", "id2", "size2", "root2", "near2")
+    # a little slack, as sizes and similarities come from hashes
+    may = (F.abs(F.col("near") - F.col("near2")) <= 1 - THRESHOLD + SLACK) & (F.least("size", "size2") >= (THRESHOLD - SLACK) * F.greatest("size", "size2"))
+    pairs = left.join(right, "key").where((F.col("id") < F.col("id2")) & (F.col("root") != F.col("root2")) & may).select("id", "id2").distinct()
     more = materialize(verified(pairs, plain, shingles, THRESHOLD, quick_similarities), "lines-pairs")
     release(spark)
     united = connected_components(links.union(more), "lines-links")
