@@ -38,6 +38,11 @@ def knn(queries: DataFrame, chunks: DataFrame, k: int, by: str = "document_id",
     In a task, a matrix product gives the similarities, and only k rows of each query and block leave it,
     which a window then merges. Ties go to the smaller chunk id.
     """
+    return top(block_hits(queries, chunks, k, by, block), ["query_id"], "similarity", "chunk_id", k)
+
+
+def block_hits(queries: DataFrame, chunks: DataFrame, k: int, by: str, block: int = BLOCK) -> DataFrame:
+    """(query_id, chunk_id, similarity): the k best of each query and block, as described at ``knn``."""
 
     def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if q.empty or c.empty:
@@ -65,24 +70,39 @@ def knn(queries: DataFrame, chunks: DataFrame, k: int, by: str = "document_id",
     # aliased, as both sides may come from one table
     dealt = dealt.select(*[F.col(c).alias(c) for c in (by, "qb", "cb", "chunk_id", "embedding")])
     asked = asked.select(*[F.col(c).alias(c) for c in (by, "qb", "cb", "query_id", "query_vector")])
-    met = asked.groupBy(by, "qb", "cb").cogroup(dealt.groupBy(by, "qb", "cb")).applyInPandas(run, f"query_id {dict(queries.dtypes)['query_id']}, chunk_id {ids}, similarity double")
-    return top(met, ["query_id"], "similarity", "chunk_id", k)
+    return asked.groupBy(by, "qb", "cb").cogroup(dealt.groupBy(by, "qb", "cb")).applyInPandas(run, f"query_id {dict(queries.dtypes)['query_id']}, chunk_id {ids}, similarity double")
 
 
-def ann(queries: DataFrame, chunks: DataFrame, k: int, by: str = "document_id", planes: int = 6, tables: int = 8, dim: int = 64, seed: int = 1) -> DataFrame:
-    """Approximate knn: chunks share a bucket with a query in one of ``tables`` random-hyperplane tables; candidates are scored exactly."""
+def ann(queries: DataFrame, chunks: DataFrame, k: int, by: str = "document_id", planes: int = 6, tables: int = 8, dim: int = 64, seed: int = 1, probes: int = 12) -> DataFrame:
+    """Approximate knn over ``tables`` random-hyperplane tables; candidates are scored exactly, block by block as in ``knn``.
+
+    Every chunk stands in one bucket of each table. A query looks into ``probes`` buckets of each table: its own
+    and those across the planes nearest to it (the least sum of distances to the planes crossed).
+    """
     normals = np.random.default_rng(seed).standard_normal((tables * planes, dim))
+    masks = np.arange(1 << planes)
+    crossed = (masks[:, None] >> np.arange(planes)) & 1
+
+    def sides(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+        """[vector, table, plane] distances to the planes and [vector, table] keys."""
+        at = (np.stack(vectors.to_numpy()).astype(np.float64) @ normals.T).reshape(len(vectors), tables, planes)
+        return np.abs(at), ((at > 0) * (1 << np.arange(planes))).sum(axis=2)
 
     @F.pandas_udf("array<int>")
     def keys(vectors: pd.Series) -> pd.Series:
-        bits = (np.stack(vectors.to_numpy()).astype(np.float64) @ normals.T > 0).reshape(len(vectors), tables, planes)
-        return pd.Series(list((bits * (1 << np.arange(planes))).sum(axis=2) + (np.arange(tables) << planes)))
-
-    q = queries.select(by, "query_id", "query_vector", F.explode(keys("query_vector")).alias("bucket"))
-    c = chunks.select(by, "chunk_id", "embedding", F.explode(keys("embedding")).alias("bucket"))
-    pairs = q.select(by, "query_id", "bucket").join(c.select(by, "chunk_id", "bucket"), [by, "bucket"]).select("query_id", "chunk_id").distinct()
-    full = pairs.join(queries.select("query_id", "query_vector"), "query_id").join(chunks.select("chunk_id", "embedding"), "chunk_id")
-    scored = full.select("query_id", "chunk_id", F.round(cosine(F.col("query_vector"), F.col("embedding")), 9).alias("similarity"))
+        return pd.Series(list(sides(vectors)[1] + (np.arange(tables) << planes)))
+
+    @F.pandas_udf("array<int>")
+    def probed(vectors: pd.Series) -> pd.Series:
+        far, own = sides(vectors)
+        near = masks[np.argsort(far @ crossed.T, axis=2, kind="stable")[:, :, :probes]]
+        return pd.Series(list(((own[:, :, None] ^ near) + (np.arange(tables) << planes)[:, None]).reshape(len(vectors), -1)))
+
+    place = lambda rows, buckets: rows.withColumn("bucket", F.explode(buckets)).withColumn("place", F.concat(F.col(by).cast("string"), F.lit("/"), F.col("bucket").cast("string")))
+    q = place(queries.select(by, "query_id", "query_vector"), probed("query_vector"))
+    c = place(chunks.select(by, "chunk_id", "embedding"), keys("embedding"))
+    # a chunk may be met in several tables
+    scored = block_hits(q, c, k, "place").groupBy("query_id", "chunk_id").agg(F.max("similarity").alias("similarity"))
     return top(scored, ["query_id"], "similarity", "chunk_id", k)
 
 

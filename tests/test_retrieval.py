@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.operators import budget, fusion, keyword, vectors
+from docloom.plans import catalogue
 
 
 @pytest.fixture(scope="module")
@@ -41,6 +42,13 @@ def test_ann_recall(spark, data):
     assert len(exact & near) / len(exact) >= 0.9
 
 
+def test_registered_ann_recall(spark, sf):
+    pairs = lambda name: {(r.query_id, r.chunk_id) for r in catalogue.queries()[name](spark, sf).collect()}
+    exact, near = pairs("e02_knn"), pairs("e06_ann")
+    assert len(near) == len(exact)
+    assert len(exact & near) / len(exact) >= 0.9
+
+
 def test_one_set_keeps_raw_scores(spark):
     rows = spark.createDataFrame([(1, 0, 7, 1, 0.9), (2, 0, 7, 1, 0.8), (2, 1, 7, 2, 0.1)], "query_id int, set_id int, chunk_id int, rank int, score double")
     got = {r.query_id: r.score for r in fusion.rrf(rows).collect()}
