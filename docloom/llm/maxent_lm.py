@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 from docloom.llm.common import lower_words, materialize, small_batches, table
 
 #: Word classes; the last is the end of a text.
-CLASSES = 33
+CLASSES = 49
 END = CLASSES - 1
 #: Rows of the weight table for each kind of feature.
-BUCKETS = 1 << 12
+BUCKETS = 1 << 13
 KINDS = 4
 #: Words that may be sent to the tasks with their counts; the others are looked up by a join.
 HEAD_WORDS = 1 << 17

@@ -90,6 +90,12 @@ def test_scores(spark, sf):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_model_keeps_its_size():
+    rows, classes, _ = lm.encoded([" ".join(f"{i:x}" for i in range(40_000))], lm.Coder())
+    assert all(len(np.unique(rows[:, k])) > 8000 for k in range(3))  # of 8192 rows for each feature kind of words
+    assert len(np.unique(classes)) > 40  # of 49
+
+
 def test_class_probabilities_add_up():
     rng = np.random.default_rng(1)
     w = lm.Weights(rng.standard_normal(lm.CLASSES).astype(np.float32), rng.standard_normal((lm.KINDS * lm.BUCKETS, lm.CLASSES)).astype(np.float32))
