@@ -57,16 +57,29 @@ def admitted(times: list[float], held: list[float], limit: int, span: float) ->
 
 
 def rate_limit(requests: DataFrame, limit: int = 60, span: float = 60.0) -> DataFrame:
-    """(client, request_id, ts, admitted) in batch; the fold is per client, as each decision hangs on those before."""
+    """(client, request_id, ts, admitted) in batch; each decision hangs on those before.
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["ts", "request_id"])
-        ok, _ = admitted([t.timestamp() for t in group["ts"]], [], limit, span)
-        return group.assign(admitted=ok)
+    Rows sorted by client and time are folded batch by batch; only the log of a client's admitted requests is
+    carried on, at most ``limit`` times, so a hot client does not stand in memory.
+    """
 
     rows = requests.select("client", "request_id", "ts")
     kinds = dict(rows.dtypes)
-    return rows.groupBy("client").applyInPandas(fold, f"client {kinds['client']}, request_id {kinds['request_id']}, ts {kinds['ts']}, admitted boolean")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client, held, begun = None, [], False
+        for batch in batches:
+            ok = []
+            for c, t in zip(batch["client"], batch["ts"], strict=True):
+                c = None if pd.isna(c) else c
+                if not begun or c != client:
+                    client, held, begun = c, [], True
+                (one,), held = admitted([t.timestamp()], held, limit, span)
+                ok.append(one)
+            yield batch.assign(admitted=ok)
+
+    dealt = rows.repartition("client").sortWithinPartitions("client", "ts", "request_id")
+    return dealt.mapInPandas(fold, f"client {kinds['client']}, request_id {kinds['request_id']}, ts {kinds['ts']}, admitted boolean")
 
 
 def rate_limit_stream(requests: DataFrame, limit: int = 60, span: float = 60.0) -> DataFrame:

@@ -33,6 +33,21 @@ def test_rate_limit_stream_equals_batch(spark, sf):
     assert sorted(map(tuple, spark.table("limits").collect())) == sorted(map(tuple, batch.collect()))
 
 
+def test_every_user_is_a_client(spark, sf):
+    from docloom.plans import catalogue
+
+    events = read(spark, sf, "events")
+    got = catalogue.queries()["k03_rate_limit"](spark, sf).collect()
+    assert len(got) == events.count()
+    assert {r.client for r in got} == {r.user_id for r in events.select("user_id").collect()}
+    want = {}
+    for user in {r.client for r in got}:
+        mine = sorted((r.ts, r.request_id) for r in got if r.client == user)
+        ok, _ = jobs.admitted([t.timestamp() for t, _ in mine], [], 4, 3600.0)
+        want |= {request: a for (_, request), a in zip(mine, ok, strict=True)}
+    assert {r.request_id: r.admitted for r in got} == want
+
+
 def test_answers_stop_at_the_first_end(spark):
     rows = [(1, 0, "chunk", "a"), (1, 2, "done", None), (1, 1, "chunk", "b"), (1, 3, "chunk", "late"), (2, 0, "chunk", "x")]
     got = jobs.assemble_answers(spark.createDataFrame(rows, "message_id int, seq int, type string, content string"))
