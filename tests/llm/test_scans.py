@@ -104,6 +104,14 @@ def test_wrapped_secrets_are_found_where_they_stand(wrap):
     assert (start, start + len(wrap(SECRET)), "assign") in spans
 
 
+def test_deeply_compressed_secrets():
+    raw = SECRET.encode()
+    for _ in range(12):
+        raw = gzip.compress(raw)
+    layer = base64.b64encode(raw).decode()
+    assert ss.scan(f"x {layer} y")[1] == [(2, 2 + len(layer), "assign")]
+
+
 def test_plain_secrets():
     text = "Token = abcde; SECRET:'abcdef' token=token=abcdefgh AKIA" + "A1" * 8 + " AKIASHORT " + "0f" * 12 + " deadbeef"
     base, spans = ss.scan(text)
