@@ -104,6 +104,13 @@ def test_wrapped_secrets_are_found_where_they_stand(wrap):
     assert (start, start + len(wrap(SECRET)), "assign") in spans
 
 
+@pytest.mark.parametrize("odd", [b"\x0c", b"\x1b", b"\x00", b"\xff", "\u00a0".encode(), "\u3000".encode(), "\u200b".encode(), "\ufeff".encode()])
+def test_odd_characters_hide_no_secret(odd):
+    raw = odd + b" " + SECRET.encode() + b" " + odd
+    for layer in (base64.b64encode(raw).decode(), "".join(f"%{b:02X}" for b in raw)):
+        assert (2, 2 + len(layer), "assign") in ss.scan(f"x {layer} y")[1]
+
+
 def test_deeply_compressed_secrets():
     raw = SECRET.encode()
     for _ in range(12):
