@@ -5,11 +5,13 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
+_written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 #: Records in an Arrow batch sent to Python; keeps batches of very long texts small.
 BATCH_ROWS = 512
 
@@ -35,7 +37,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    _written[back] = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written steps that nothing reads any more; what ``materialize`` did not write is left alone."""
+    for df in tables:
+        if path := _written.pop(df, None):
+            jvm = df.sparkSession._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
 def release(spark: SparkSession) -> None:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import materialize, table
+from docloom.llm.common import discard, materialize, table
 
 #: Nodes that a task keeps in its local forest before it passes them on.
 FOREST_NODES = 500_000
@@ -73,6 +73,7 @@ def connected_components(links: DataFrame, label: str = "components") -> DataFra
             F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("x")
         )
         small = small.select(F.col("x.a").alias("u"), F.col("x.b").alias("v")).where("u <> v").distinct()
-        forest = materialize(small, f"{label}-small")
+        before, forest = forest, materialize(small, f"{label}-small")
+        discard(before, large)
     roots = forest.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return forest.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

@@ -7,28 +7,28 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import materialize, release, small_batches, table, utf8
+from docloom.llm.common import discard, materialize, release, small_batches, table, utf8
 from docloom.llm.components import connected_components
-from docloom.llm.verify import similarities, verified
+from docloom.llm.verify import jaccard, verified, with_texts
 
 SHINGLE = 5
 THRESHOLD = 0.8
-#: 12 bands of 5 rows meet in 99.1 of 100 pairs at similarity 0.8 and in 99.9 at 0.85.
-BANDS, ROWS = 12, 5
-#: Bounds that rule pairs out are widened by this.
-SLACK = 0.01
+#: By formula 12 bands of 7 rows meet in 94 of 100 pairs at similarity 0.8, in 99 at 0.85 and in 29 at 0.6.
+BANDS, ROWS = 12, 7
 #: Shingles handled at once, so that arrays stay in a core's cache.
 CHUNK = 1 << 16
-#: Line digests that a task remembers in order not to sign a repeated line twice.
+#: Lines that a task remembers in order not to sign a repeated line twice.
 SEEN_LINES = 500_000
+#: Lines whose band keys a task folds before it sends them on, and the parts that the folded ones are dealt to.
+FOLD_LINES, SALTS = 150_000, 64
 #: Most bits of the filter that keeps lines without candidates away from the text exchange.
 FILTER_BITS = 1 << 26
 _rng = np.random.default_rng(20_240_229)
 _MULTIPLIERS = (_rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64) | 1).astype(np.uint32)
-_FIRST, _SECOND = ((_rng.integers(0, 1 << 32, (2, SHINGLE), dtype=np.uint64)) | 1).astype(np.uint32)
+_PLACES = (_rng.integers(0, 1 << 32, SHINGLE, dtype=np.uint64) | 1).astype(np.uint32)
 _MIXERS = _rng.integers(0, 1 << 63, ROWS, dtype=np.uint64) | np.uint64(1)
 
 
@@ -46,7 +46,7 @@ def digest(line: str) -> bytes:
     return xxhash.xxh128_digest(utf8(line))
 
 
-def shingle_hashes(lines: list[str], multipliers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """32-bit hashes of the shingles of all lines, one after the other, and the number of places by line.
 
     A line has SHINGLE - 1 places more than characters; those after its last shingle repeat its first.
@@ -56,9 +56,9 @@ def shingle_hashes(lines: list[str], multipliers: np.ndarray) -> tuple[np.ndarra
     sizes = np.fromiter((len(x) for x in lines), dtype=np.int64, count=len(lines))
     places = sizes + SHINGLE - 1
     n = int(places.sum())
-    hashed = codes[:n] * multipliers[0]
+    hashed = codes[:n] * _PLACES[0]
     for k in range(1, SHINGLE):
-        hashed += codes[k : k + n] * multipliers[k]
+        hashed += codes[k : k + n] * _PLACES[k]
     starts = np.cumsum(places) - places
     spare = places - np.maximum(1, sizes - SHINGLE + 1)
     after = np.repeat(starts + places - np.cumsum(spare), spare) + np.arange(spare.sum())
@@ -75,7 +75,7 @@ def band_keys(lines: list[str]) -> np.ndarray:
         while end < len(lines) and (end == at or total + len(lines[end]) <= CHUNK):
             total += len(lines[end])
             end += 1
-        hashed, places = shingle_hashes(lines[at:end], _FIRST)
+        hashed, places = shingle_hashes(lines[at:end])
         hashed = (hashed ^ (hashed >> np.uint32(15))) * np.uint32(0x85EBCA6B)
         hashed ^= hashed >> np.uint32(13)
         firsts = np.cumsum(places) - places
@@ -90,39 +90,6 @@ def band_keys(lines: list[str]) -> np.ndarray:
     return out
 
 
-def quick_similarities(left: list[str], right: list[str]) -> np.ndarray:
-    """Jaccard similarities of pairs of lines from 55-bit hashes of their shingles, by one sort for 256 pairs."""
-    out = np.empty(len(left))
-    step, body = 256, np.uint64((1 << 56) - 2)
-    for lo in range(0, len(left), step):
-        n = len(left[lo : lo + step])
-        lines = left[lo : lo + step] + right[lo : lo + step]
-        high, places = shingle_hashes(lines, _FIRST)
-        low, _ = shingle_hashes(lines, _SECOND)
-        number = np.arange(n, dtype=np.uint64) << np.uint64(56)
-        keys = high.astype(np.uint64) << np.uint64(32)
-        keys |= low
-        keys &= body
-        keys |= np.repeat(np.concatenate([number, number | np.uint64(1)]), places)
-        keys.sort()
-        keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
-        shared = keys[1:][(keys[1:] ^ keys[:-1]) == 1]
-        edges = np.append(number, np.uint64(n - 1) << np.uint64(56) | np.uint64((1 << 56) - 1))
-        total = np.diff(np.searchsorted(keys, edges[:-1], side="left"), append=len(keys))
-        common = np.diff(np.searchsorted(shared, edges[:-1], side="left"), append=len(shared))
-        out[lo : lo + n] = common / (total - common)
-    return out
-
-
-def distinct_counts(lines: list[str]) -> np.ndarray:
-    """Number of distinct shingles of each line (by 32-bit hash, so rarely one too few)."""
-    hashed, places = shingle_hashes(lines, _FIRST)
-    keys = np.repeat(np.arange(len(lines), dtype=np.uint64) << np.uint64(32), places) | hashed
-    keys.sort()
-    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
-    return np.bincount((keys >> np.uint64(32)).astype(np.int64), minlength=len(lines))
-
-
 def line_occurrences(rows: DataFrame) -> DataFrame:
     """(node, doc, version, pos): the digest of every line that isn't blank and where it stands."""
 
@@ -141,40 +108,74 @@ def line_occurrences(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"node binary, doc {dict(rows.dtypes)['doc']}, version long, pos int")
 
 
+def short(line: str) -> int:
+    """64-bit number of a line among the candidates; lines that should share one are told apart by their digests."""
+    return xxhash.xxh3_64_intdigest(utf8(line))
+
+
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set[bytes] = set()
+    """(key, salt, id): one line of each bucket of a task has salt 0; the others are dealt to their own salts.
+
+    So a key has a row for each task under salt 0 however many lines share it. One of the others stands
+    under salt 0 too, which shows there that the bucket has more than one line.
+    """
+    seen: set[int] = set()
+    keys: list[np.ndarray] = []
+    ids: list[np.ndarray] = []
+
+    def fold() -> Iterator[pa.RecordBatch]:
+        key = np.concatenate(keys).ravel()
+        line = np.repeat(np.concatenate(ids), BANDS)
+        keys.clear()
+        ids.clear()
+        order = np.argsort(key, kind="stable")
+        key, line = key[order], line[order]
+        first = np.concatenate([[True], key[1:] != key[:-1]])
+        second = np.concatenate([[False], ~first[1:] & first[:-1]])
+        salt = np.where(first, 0, 1 + (line % SALTS)).astype(np.int32)
+        for lo in range(0, len(key), CHUNK):
+            part = slice(lo, lo + CHUNK)
+            yield table({"key": pa.array(key[part]), "salt": pa.array(salt[part]), "id": pa.array(line[part])})
+        if second.any():
+            yield table({"key": pa.array(key[second]), "salt": pa.array(np.zeros(int(second.sum()), np.int32)), "id": pa.array(line[second])})
+
     for b in batches:
         lines = {}
         for text in b.column(2).to_pylist():
             for line in text.split("\n") if text else ():
-                if (line := normal(line)) and (node := digest(line)) not in seen:
+                if (line := normal(line)) and (node := short(line)) not in seen:
                     seen.add(node)
                     lines[node] = line
         if lines:
-            keys = band_keys(list(lines.values()))
-            yield table({"key": pa.array(keys.ravel()), "node": pa.array(list(lines), pa.binary()).take(pa.array(np.repeat(np.arange(len(lines)), BANDS)))})
+            keys.append(band_keys(list(lines.values())))
+            ids.append(np.array(list(lines), dtype=np.uint64).view(np.int64))
+        if sum(map(len, ids)) > FOLD_LINES:
+            yield from fold()
         if len(seen) > SEEN_LINES:
             seen.clear()
+    if ids:
+        yield from fold()
 
 
 def candidate_buckets(rows: DataFrame) -> DataFrame:
-    """(key, node, pivot) of the band buckets with two lines or more; the pivot is the smallest node."""
-    bands = rows.mapInArrow(_banded, "key long, node binary")
-    bucket = Window.partitionBy("key")
-    ends = bands.withColumn("pivot", F.min("node").over(bucket)).withColumn("last", F.max("node").over(bucket))
-    return ends.where("pivot <> last").select("key", "node", "pivot")
+    """(key, id) of the band buckets with two lines or more."""
+    bands = rows.mapInArrow(_banded, "key long, salt int, id long")
+    part = Window.partitionBy("key", "salt")
+    ends = bands.withColumn("low", F.min("id").over(part)).withColumn("high", F.max("id").over(part))
+    return ends.where("salt > 0 OR low <> high").select("key", "id").distinct()
 
 
-def _bits(nodes: list[bytes], bits: int) -> np.ndarray:
-    halves = np.frombuffer(b"".join(nodes), dtype=np.uint64).reshape(-1, 2)
-    return np.stack([halves[:, 0], halves[:, 1], halves[:, 0] ^ (halves[:, 1] >> np.uint64(7))]) % np.uint64(bits)
+def _bits(ids: np.ndarray, bits: int) -> np.ndarray:
+    mixed = ids * np.uint64(0x9E3779B97F4A7C15)
+    return np.stack([ids, mixed ^ (mixed >> np.uint64(29)), ids ^ (mixed >> np.uint64(7))]) % np.uint64(bits)
 
 
 def candidate_texts(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, text, size) of the candidate lines, fetched by one more scan; size counts distinct shingles.
+    """(id, digest, text) of the candidate lines, fetched by one more scan.
 
     A Bloom filter of at most ``FILTER_BITS`` bits goes to the tasks, so that few other lines are
-    exchanged; the join that follows is exact.
+    exchanged; the join that follows is exact. With far more candidates than the filter can tell
+    apart, each distinct line of a task is exchanged once.
     """
     spark = rows.sparkSession
     bits = int(min(FILTER_BITS, 64 * max(1, nodes.count() * 12 // 64)))
@@ -182,7 +183,7 @@ def candidate_texts(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                at = np.unique(_bits(b.column(0).to_pylist(), bits).ravel())
+                at = np.unique(_bits(b.column(0).to_numpy().view(np.uint64), bits).ravel())
                 yield table({"word": pa.array((at // 64).astype(np.int64)), "mask": pa.array((np.uint64(1) << (at % np.uint64(64))).view(np.int64))})
 
     marked = nodes.mapInArrow(mark, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
@@ -196,60 +197,129 @@ def candidate_texts(rows: DataFrame, nodes: DataFrame) -> DataFrame:
             lines = {}
             for text in b.column(2).to_pylist():
                 for line in text.split("\n") if text else ():
-                    if (line := normal(line)) and (node := digest(line)) not in seen:
-                        lines[node] = line
+                    if line := normal(line):
+                        lines[line] = None
             if lines:
-                at = _bits(list(lines), bits)
+                lines = list(lines)
+                ids = np.array([short(x) for x in lines], dtype=np.uint64)
+                at = _bits(ids, bits)
                 hit = ((words[(at // np.uint64(64)).astype(np.int64)] >> (at % np.uint64(64))) & np.uint64(1)).all(axis=0)
-                found = [x for x, h in zip(lines.items(), hit, strict=True) if h]
-                seen.update(n for n, _ in found)
+                found = [(i, d, x) for i, x, h in zip(ids.tolist(), lines, hit.tolist(), strict=True) if h and (d := digest(x)) not in seen]
+                seen.update(d for _, d, _ in found)
                 if found:
-                    texts = [t for _, t in found]
-                    yield table({"node": pa.array([n for n, _ in found], pa.binary()), "text": pa.array(texts, pa.string()), "size": pa.array(distinct_counts(texts))})
+                    numbers = pa.array(np.array([i for i, _, _ in found], dtype=np.uint64).view(np.int64))
+                    yield table({"id": numbers, "digest": pa.array([d for _, d, _ in found], pa.binary()), "text": pa.array([x for _, _, x in found], pa.string())})
             if len(seen) > SEEN_LINES:
                 seen.clear()
 
-    fetched = rows.mapInArrow(fetch, "node binary, text string, size long")
-    return fetched.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"), F.min("size").alias("size"))
+    fetched = rows.mapInArrow(fetch, "id long, digest binary, text string")
+    return fetched.join(nodes, "id", "left_semi").groupBy("digest").agg(F.min("id").alias("id"), F.min("text").alias("text"))
+
+
+def _deltas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compares (hub, node, text of hub, text of node) and keeps what the node has besides its hub, and what it lacks."""
+    number = lambda found: [xxhash.xxh3_64_intdigest(utf8(x)) - (1 << 63) for x in found]
+    last, base = None, set()
+    for b in batches:
+        near, sizes, more, less = [], [], [], []
+        for hub, text in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            if hub != last:
+                last, base = hub, shingles(hub)
+            own = shingles(text)
+            near.append(jaccard(base, own) >= THRESHOLD)
+            sizes.append(len(own))
+            more.append(number(own - base))
+            less.append(number(base - own))
+        many = pa.list_(pa.int64())
+        yield table({"hub": b.column(0), "node": b.column(1), "near": pa.array(near, pa.bool_()), "size": pa.array(sizes, pa.int32()), "more": pa.array(more, many), "less": pa.array(less, many)})
+
+
+def open_pairs(stars: DataFrame, roots: DataFrame) -> DataFrame:
+    """(u, v): the pairs around one hub, in different components so far, that may be as similar as ``THRESHOLD``.
+
+    Let a node have E shingles besides its hub's and lack M of them. Two nodes of sizes a and b are similar
+    if they differ in at most T = (1 - t) / (1 + t) * (a + b) shingles. They differ in at least
+    E1 + E2 - 2 * (extras shared) + abs(M1 - M2), and likewise with M and E exchanged. So they share so many
+    extras, or else so many lacking shingles, or else (both numbers being zero) are close to the hub themselves.
+    A shared shingle is looked for by equi-join, rarest ones first: if what follows it in both nodes
+    can't make up the number, the pair has shared a rarer one or isn't similar. Independent changes of one line share
+    nothing but what is common to all, so a large group of near copies makes few pairs. No similar pair is missed.
+    """
+    slack = (1 - THRESHOLD) / (1 + THRESHOLD)
+    rooted = stars.join(roots, "node", "left").withColumn("root", F.coalesce("component", "node"))
+    mixed = rooted.groupBy("hub").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("size").alias("most")).where("low <> high")
+    around = rooted.join(mixed.select("hub", "most"), "hub").withColumn("e", F.size("more")).withColumn("m", F.size("less"))
+    around = materialize(around.select("hub", "node", "near", "root", "size", "most", "e", "m", "more", "less"), "lines-around")
+
+    bare = ["hub", "node", "root", "size", "e", "m"]
+    kinds = [around.select(*bare, F.lit(i).alias("kind"), F.explode(c).alias("token")) for i, c in enumerate(("more", "less"))]
+    # lacking shingles only count where extras are few enough not to be shared
+    kinds[1] = kinds[1].where(F.col("e") <= slack * F.col("size") * (1 + 1 / THRESHOLD) + 1e-6)
+    tokens = kinds[0].union(kinds[1])
+    counted = tokens.join(tokens.groupBy("hub", "kind", "token").agg(F.count("*").alias("n")), ["hub", "kind", "token"])
+    place = F.row_number().over(Window.partitionBy("hub", "kind", "node").orderBy("n", "token"))
+    placed = materialize(counted.withColumn("at", place).where("n > 1").drop("n"), "lines-tokens")
+
+    other = lambda df: df.toDF(*[c if c in ("hub", "kind", "token") else f"{c}2" for c in df.columns])
+    both = lambda f, c: f(F.col(c), F.col(f"{c}2"))
+    apart = lambda c: F.abs(F.col(c) - F.col(f"{c}2"))
+    limit = slack * (F.col("size") + F.col("size2")) + 1e-6
+
+    def shared(a: str, b: str) -> Column:
+        return F.col(a) + F.col(f"{a}2") + apart(b) - limit  # twice the number that must be shared
+
+    def enough(a: str, b: str) -> Column:
+        return 2 * (1 + F.least(F.col(a) - F.col("at"), F.col(f"{a}2") - F.col("at2"))) >= shared(a, b)
+
+    distinct = F.col("root") != F.col("root2")
+    fits = (apart("e") + apart("m") <= limit) & F.when(F.col("kind") == 0, enough("e", "m")).otherwise((shared("e", "m") <= 0) & enough("m", "e"))
+    found = placed.join(other(placed), ["hub", "kind", "token"]).where((F.col("node") < F.col("node2")) & distinct & fits).select("node", "node2")
+
+    # of two nodes this close to their hub, one at least isn't similar to it and so lies in a narrow ring
+    tight = around.where(F.col("e") + F.col("m") <= slack * F.col("size") * (1 + 1 / THRESHOLD) + 1e-6)
+    outer = tight.where(~F.col("near") & (F.col("e") + F.col("m") <= slack * (F.col("size") + F.col("most")) + 1e-6)).select(*bare)
+    close = outer.join(other(tight.select(*bare)), "hub").where(distinct & (both(F.greatest, "e") + both(F.greatest, "m") <= limit) & (F.col("node") != F.col("node2")))
+    close = close.select(both(F.least, "node").alias("node"), both(F.greatest, "node").alias("node2"))
+    pairs = materialize(found.union(close).toDF("u", "v").distinct(), "lines-pairs")
+    discard(around, placed)
+    return pairs
 
 
 def line_components(rows: DataFrame) -> DataFrame:
-    """(node, component) of the lines with a near duplicate; components have numbers.
+    """(node, component) of the lines with a near duplicate; node is the digest and components have numbers.
 
-    Lines of a bucket are first verified against its pivot, which folds large groups of near copies
-    at a cost linear in their size. Pairs of a bucket that still lie in different components are then
-    verified one by one, but for those that two bounds rule out: the numbers of shingles differ too much,
-    or the distances to the pivot do, as the Jaccard distance keeps the triangle inequality. So every banded
-    pair is verified, ruled out or already united.
+    Every bucket has a hub, its line with the most company. All its lines are compared with the hub first, which
+    folds large groups of near copies at a cost linear in their size. Of the pairs of a bucket that lie in
+    different components after that, those that what is known of both against the hub does not rule out
+    are verified one by one (``open_pairs``). So every banded pair is verified, ruled out or already united.
     """
     spark = rows.sparkSession
     banded = materialize(candidate_buckets(rows), "lines-buckets")
     release(spark)
-    found = candidate_texts(rows, materialize(banded.select("node").distinct(), "lines-candidates"))
+    wanted = materialize(banded.select("id").distinct(), "lines-candidates")
     # short numbers stand for the candidate lines from here on
-    texts = found.select(F.monotonically_increasing_id().alias("id"), F.col("node").alias("digest"), "text", "size")
+    texts = candidate_texts(rows, wanted).select(F.monotonically_increasing_id().alias("node"), "id", "digest", "text")
     texts = materialize(texts, "lines-texts")
-    plain = texts.select(F.col("id").alias("node"), "text")
-    members = banded.select("key", "node").join(texts, banded["node"] == texts["digest"]).select("key", "id", "size")
-    pivots = members.groupBy("key").agg(F.min("id").alias("pivot"))
-    members = materialize(members.join(pivots, "key"), "lines-members")
-    stars = members.where("id <> pivot").select("pivot", "id").distinct()
-    stars = materialize(similarities(stars, plain, shingles, THRESHOLD, quick_similarities).toDF("pivot", "id", "near"), "lines-stars")
+    members = materialize(banded.join(texts.select("id", "node"), "id").select("key", "node"), "lines-members")
+    release(spark)
+    discard(banded, wanted)
+    company = members.join(members.groupBy("key").agg(F.count("*").alias("n")), "key").groupBy("node").agg(F.sum("n").alias("company"))
+    ranked = materialize(members.join(company, "node"), "lines-ranked")
+    hubs = ranked.groupBy("key").agg(F.max(F.struct("company", "node")).alias("top")).select("key", F.col("top.node").alias("hub"))
+    spokes = ranked.join(hubs, "key").where("node <> hub").select("hub", "node").distinct()
+    kind = "hub long, node long, near boolean, size int, more array<long>, less array<long>"
+    stars = materialize(with_texts(spokes, texts).mapInArrow(_deltas, kind), "lines-stars")
     release(spark)
-    links = stars.where(F.col("near") >= THRESHOLD).select(F.col("pivot").alias("u"), F.col("id").alias("v"))
-    first = connected_components(links, "lines-dense").withColumnRenamed("node", "id")
-    rooted = members.join(first, "id", "left").select("key", "id", "size", "pivot", F.coalesce("component", "id").alias("root"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    rest = rooted.join(mixed, "key", "left_semi").join(stars, ["pivot", "id"])
-    left = materialize(rest.select("key", "id", "size", "root", "near"), "lines-open")
-    right = left.toDF("key", "id2", "size2", "root2", "near2")
-    # a little slack, as sizes and similarities come from hashes
-    may = (F.abs(F.col("near") - F.col("near2")) <= 1 - THRESHOLD + SLACK) & (F.least("size", "size2") >= (THRESHOLD - SLACK) * F.greatest("size", "size2"))
-    pairs = left.join(right, "key").where((F.col("id") < F.col("id2")) & (F.col("root") != F.col("root2")) & may).select("id", "id2").distinct()
-    more = materialize(verified(pairs, plain, shingles, THRESHOLD, quick_similarities), "lines-pairs")
+    discard(members, ranked)
+    links = stars.where("near").select(F.col("hub").alias("u"), F.col("node").alias("v"))
+    first = connected_components(links, "lines-dense")
+    pairs = open_pairs(stars.select("hub", "node", "near", "size", "more", "less"), first)
+    more = materialize(verified(pairs, texts, shingles, THRESHOLD), "lines-more")
     release(spark)
     united = connected_components(links.union(more), "lines-links")
-    return united.join(texts, united["node"] == texts["id"]).select(F.col("digest").alias("node"), "component")
+    found = materialize(united.join(texts.select("node", "digest"), "node").select(F.col("digest").alias("node"), "component"), "lines-components")
+    discard(texts, stars, pairs, more, first, united)
+    return found
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = False) -> DataFrame:
@@ -281,6 +351,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     gone = occurrences.join(losers, "node").where(~F.struct("doc", "version", "pos").eqNullSafe(F.col("keep")))
     gone = materialize(gone.groupBy("doc", "version").agg(F.collect_set("pos").alias("gone_lines")), "lines-gone")
     release(docs.sparkSession)
+    discard(components, occurrences, named)
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,44 +12,34 @@ from docloom.llm.common import table
 
 
 def jaccard(a: set, b: set) -> float:
-    return len(a & b) / len(a | b) if a or b else 1.0
+    shared = len(a & b)
+    return shared / (len(a) + len(b) - shared) if a or b else 1.0
 
 
-def similarities(
-    pairs: DataFrame, texts: DataFrame, shingles: Callable[[str], set], threshold: float, quick: Callable[[list[str], list[str]], np.ndarray] | None = None
-) -> DataFrame:
-    """(u, v, similarity): the Jaccard similarity of the shingle sets of each pair.
+def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(u, v, text_u, text_v) of pairs (u, v): two equi-joins with ``texts``, which has (node, text), one row a node."""
+    left = texts.select(F.col("node").alias("u"), F.col("text").alias("text_u"))
+    right = texts.select(F.col("node").alias("v"), F.col("text").alias("text_v"))
+    return pairs.toDF("u", "v").join(right, "v").join(left, "u").select("u", "v", "text_u", "text_v")
 
-    ``quick`` may give the similarities of a batch from hashed shingles. It holds for pairs that it puts
-    more than 0.01 from the threshold, as a hundredth of a pair's shingles would have to collide to get one
-    of them onto the wrong side; the others are compared shingle by shingle.
 
-    ``texts`` is (node, text) with one row for each node. Texts meet their pairs in two equi-joins, and
-    a pair is judged where it stands, so memory holds one Arrow batch.
+def verified(pairs: DataFrame, texts: DataFrame, shingles: Callable[[str], set], threshold: float) -> DataFrame:
+    """The pairs (u, v) whose shingle sets have a Jaccard similarity of ``threshold`` or more.
+
+    A pair is judged where it stands, so memory holds one Arrow batch.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, made = None, set()
         for b in batches:
-            exact = []
-            left, right = b.column(2).to_pylist(), b.column(3).to_pylist()
-            near = quick(left, right).tolist() if quick and left else [threshold] * len(left)
-            for ta, tb, estimate in zip(left, right, near, strict=True):
-                if abs(estimate - threshold) > 0.01:
-                    exact.append(estimate)
-                    continue
-                if ta != last:
-                    last, made = ta, shingles(ta)
-                exact.append(jaccard(made, shingles(tb)))
-            yield table({"u": b.column(0), "v": b.column(1), "similarity": pa.array(exact, pa.float64())})
-
-    left = texts.select(F.col("node").alias("u"), F.col("text").alias("text_u"))
-    right = texts.select(F.col("node").alias("v"), F.col("text").alias("text_v"))
-    both = pairs.toDF("u", "v").join(right, "v").join(left, "u").select("u", "v", "text_u", "text_v")
+            same = []
+            for left, right in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if left != last:
+                    last, made = left, shingles(left)
+                same.append(jaccard(made, shingles(right)) >= threshold)
+            keep = pa.array(same, pa.bool_())
+            yield table({"u": b.column(0).filter(keep), "v": b.column(1).filter(keep)})
+
+    both = with_texts(pairs, texts)
     kind = dict(both.dtypes)["u"]
-    return both.mapInArrow(run, f"u {kind}, v {kind}, similarity double")
-
-
-def verified(pairs: DataFrame, texts: DataFrame, shingles: Callable[[str], set], threshold: float, quick: Callable | None = None) -> DataFrame:
-    """The pairs (u, v) whose shingle sets have a Jaccard similarity of ``threshold`` or more."""
-    return similarities(pairs, texts, shingles, threshold, quick).where(F.col("similarity") >= threshold).select("u", "v")
+    return both.mapInArrow(run, f"u {kind}, v {kind}")
