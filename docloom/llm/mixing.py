@@ -56,6 +56,18 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     return table.select("source", "source_size", "target", units.alias("units"))
 
 
+def boundaries(rank: F.Column, units: F.Column, offset: F.Column) -> F.Column:
+    """Whole numbers in ``(rank * units + offset) / 2^32``, by parts, so that no product leaves a long.
+
+    rank is below 2^61 and units below 2^34.
+    """
+    whole, part = F.shiftright(units, 32), units.bitwiseAND(F.lit(UNIT - 1))
+    high, low = F.shiftright(rank, 30), rank.bitwiseAND(F.lit((1 << 30) - 1))
+    upper = high * part
+    rest = low * part + F.shiftleft(upper.bitwiseAND(F.lit(3)), 30) + offset
+    return rank * whole + F.shiftright(upper, 2) + F.shiftright(rest, 32)
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = MOST_COPIES, seed: str = "mix") -> DataFrame:
     """(id, version, source, size, source_size, target, copies) of every row; version is a hash of the text.
 
@@ -84,17 +96,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     # one row for each source and partition that holds some of it
     joined = ordered.join(parts, same).select(ordered["*"], "begin", "earlier", "source_size", "target", "units", "offset")
     rank = F.col("earlier") + F.col("at") - F.col("begin")
-    crossed = lambda r: F.shiftright(r * F.col("units") + F.col("offset"), 32)
+    crossed = lambda r: boundaries(r, F.col("units"), F.col("offset"))
     return joined.withColumn("copies", crossed(rank + 1) - crossed(rank)).select("id", "version", "source", "size", "source_size", "target", "copies")
 
 
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The mix itself: every document as often as it is taken, all columns, with copy_number (from 1) added."""
-    taken = mix(docs, id_col, text_col, source_col, **how).where("copies > 0")
-    # rows alike in id, source and text are taken as one stack, so their copies are added up
-    taken = taken.groupBy("id", "version", "source").agg(F.sum("copies").alias("mix_copies"))
+    """The mix itself: every document as often as it is taken, all columns, with copy_number (from 1) added.
+
+    Texts are exchanged once. Rows alike in id, source and text are taken as one stack.
+    """
+    counted = mix(docs, id_col, text_col, source_col, **how).groupBy("id", "version", "source")
+    counted = counted.agg(F.sum("copies").alias("mix_copies"), F.count("*").alias("rows")).where("mix_copies > 0")
+    taken = materialize(counted, "mix-taken")
     kept = [c for c in docs.columns if c != "copy_number"]
     base = docs.select(F.struct(*kept).alias("row"), F.col(id_col).alias("own_id"), F.col(source_col).alias("own_source"), F.xxhash64(F.col(text_col)).alias("own_version"))
-    one = base.dropDuplicates(["own_id", "own_source", "own_version"])
-    same = one["own_id"].eqNullSafe(taken["id"]) & (one["own_version"] == taken["version"]) & one["own_source"].eqNullSafe(taken["source"])
-    return one.join(taken, same).select("row.*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))).alias("copy_number"))
+    same = base["own_id"].eqNullSafe(taken["id"]) & (base["own_version"] == taken["version"]) & base["own_source"].eqNullSafe(taken["source"])
+    found = base.join(taken.where("rows = 1"), same)
+    if not taken.where("rows > 1").isEmpty():
+        stacks = base.join(taken.where("rows > 1"), same)
+        found = found.union(stacks.dropDuplicates(["own_id", "own_source", "own_version"]))
+    return found.select("row.*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))).alias("copy_number"))
