@@ -3,8 +3,11 @@
 import base64
 import gzip
 import random
+import time
+import zlib
 from urllib.parse import quote
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,15 +103,82 @@ def test_wrapped_secrets_are_found_where_they_stand(wrap):
     text = f"before é {wrap(SECRET)} after"
     base, spans = ss.scan(text)
     assert base == []
-    start = text.index(wrap(SECRET))
-    assert (start, start + len(wrap(SECRET)), "assign") in spans
+    begin = text.index(wrap(SECRET))
+    whole = begin + len(wrap(SECRET))
+    assert {k for _, _, k in spans} == {"assign"}
+    for start, end, _ in spans:
+        assert begin <= start < end <= whole
+    # escapes and base64 are traced to the characters that hold the secret, compressed content to its whole range
+    inner, value = SECRET.index("password"), len("password: hunter2hunter2")
+    if wrap("a") in ("%61", "\\u0061"):
+        each = len(wrap("a"))
+        assert spans == [(begin + each * inner, begin + each * (inner + value), "assign")]
+    elif not wrap(SECRET).startswith("H4sI") and "%" not in wrap(SECRET):
+        assert base64.b64decode(wrap(SECRET)[(spans[0][0] - begin) // 4 * 4 : -(-(spans[0][1] - begin) // 4) * 4]).strip().startswith(b"password") or spans[0][1] - spans[0][0] < whole - begin
 
 
 @pytest.mark.parametrize("odd", [b"\x0c", b"\x1b", b"\x00", b"\xff", "\u00a0".encode(), "\u3000".encode(), "\u200b".encode(), "\ufeff".encode()])
 def test_odd_characters_hide_no_secret(odd):
     raw = odd + b" " + SECRET.encode() + b" " + odd
     for layer in (base64.b64encode(raw).decode(), "".join(f"%{b:02X}" for b in raw)):
-        assert (2, 2 + len(layer), "assign") in ss.scan(f"x {layer} y")[1]
+        (start, end, kind), = ss.scan(f"x {layer} y")[1]
+        assert kind == "assign"
+        assert 2 < start < end < 2 + len(layer)
+        assert end - start in (3 * 24, 32, 33, 34)
+
+
+@pytest.mark.parametrize("text", ["password%3A hunter2hunter2", "\\u0070assword: hunter2hunter2", r"pass\u0077ord: \"hunter2\x68unter2", "a=%ff%70assword%3Dhunter2hunter2 b"])
+def test_partly_encoded_secrets(text):
+    assert [k for _, _, k in ss.scan(text)[1]] == ["assign"]
+
+
+@pytest.mark.parametrize("front", ["x-", "path_", "https://host/", "word", "ab", "abc", "+"])
+def test_base64_behind_anything(front):
+    for raw in (SECRET.encode(), gzip.compress(SECRET.encode()), zlib.compress(SECRET.encode())):
+        text = f"see {front}{base64.b64encode(raw).decode()}"
+        assert {k for _, _, k in ss.scan(text)[1]} == {"assign"}
+
+
+def test_members_large_layers_and_long_runs():
+    two = gzip.compress(b"nothing") + gzip.compress(SECRET.encode())
+    assert ss.scan("v " + base64.b64encode(two).decode())[1]
+    for secret_first in (True, False):
+        filler = b"lorem ipsum " * 3_000_000
+        raw = SECRET.encode() + filler if secret_first else filler + SECRET.encode()
+        layer = base64.b64encode(gzip.compress(gzip.compress(raw, 1), 1)).decode()
+        assert {k for _, _, k in ss.scan(f"v {layer}")[1]} == {"assign"}
+    noise = np.random.default_rng(3).integers(0, 256, 700_000, dtype=np.uint8).tobytes()
+    long = base64.b64encode(noise).decode() + "%41" + "a" * 1_000_000 + "\\u0041" + SECRET
+    began = time.process_time()
+    spans = ss.scan(long)[1]
+    assert time.process_time() - began < 20
+    assert any(k == "assign" for _, _, k in spans)
+
+
+def test_scan_equals_brute_force_on_single_layers():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        front = "".join(rng.choice(list("ab cd-_/"), 12))
+        lead = "".join(rng.choice(list("xyz "), int(rng.integers(0, 5))))
+        raw = f"{lead}token={''.join(rng.choice(list('abcdef123'), 9))} "
+        text = front + base64.b64encode(raw.encode()).decode() + " tail"
+        run = max(text.split(" "), key=len)
+        want = set()
+        for k in range(4):
+            cut = run[k:].replace("-", "+").replace("_", "/").rstrip("=")
+            cut = cut[: len(cut) - (len(cut) % 4 == 1)]
+            inner = base64.b64decode(cut + "=" * (-len(cut) % 4)).decode("latin-1")
+            want |= {k2 for _, _, k2 in ss.direct(inner)}
+        got = {k2 for _, _, k2 in ss.scan(text)[1]}
+        assert want <= got
+
+
+def test_secret_spans_edges(spark):
+    rows = [(1, "token = abcdefgh"), (1, "token = abcdefgh"), (None, "x"), (3, None), (4, ""), (5, "lorem " * 50_000 + "AKIA" + "A" * 16)]
+    docs = spark.createDataFrame([(i, t, "q", "r") for i, t in rows], "doc_id long, text string, base string, spans string")
+    got = [(r.id, len(r.base), len(r.spans)) for r in ss.secret_spans(docs).collect()]
+    assert sorted(got, key=repr) == sorted([(1, 1, 1), (1, 1, 1), (None, 0, 0), (3, 0, 0), (4, 0, 0), (5, 1, 1)], key=repr)
+    assert ss.secret_spans(docs.limit(0)).count() == 0
 
 
 def test_deeply_compressed_secrets():
