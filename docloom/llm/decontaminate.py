@@ -109,7 +109,9 @@ def _scanner(sent, window: int):
     name = uuid.uuid4().hex
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _matchers:  # one automaton for each Python worker and shard
+        if name not in _matchers:  # one automaton for each Python worker and shard; those of earlier calls go
+            if len(_matchers) > 2:
+                _matchers.clear()
             _matchers[name] = Matcher(sent.value, window)
         matcher = _matchers[name]
         for b in batches:

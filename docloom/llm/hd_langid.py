@@ -14,7 +14,6 @@ from docloom.llm.common import small_batches, table
 DIM = 1024
 #: Letters a-z and blank have numbers of their own; all others share the rest by code point.
 LETTERS = 96
-_GRAMS = LETTERS**3
 _rng = np.random.default_rng(11)
 _BASE = _rng.choice(np.array([-1, 1], dtype=np.int8), size=(LETTERS, DIM))
 #: The letter's place in an n-gram is bound in by rotating its vector.
@@ -49,14 +48,14 @@ def grams(text: str | None) -> np.ndarray:
     return (letters[:-2] * LETTERS + letters[1:-1]) * LETTERS + letters[2:]
 
 
-def bundle(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def bundle(ids: np.ndarray, counts: np.ndarray, kind: type = np.float32) -> np.ndarray:
     """Sum of the n-gram vectors, each the product of its three rotated letter vectors."""
-    out = np.zeros(DIM, dtype=np.float32)
-    weights = counts.astype(np.float32)
+    out = np.zeros(DIM, dtype=kind)
+    weights = counts.astype(kind)
     for lo in range(0, len(ids), 2048):
         part = ids[lo : lo + 2048]
         bound = _FIRST[part // (LETTERS * LETTERS)] * _SECOND[part // LETTERS % LETTERS] * _THIRD[part % LETTERS]
-        out += weights[lo : lo + 2048] @ bound.astype(np.float32)
+        out += weights[lo : lo + 2048] @ bound.astype(kind)
     return out
 
 
@@ -72,20 +71,24 @@ def train(labelled: DataFrame) -> dict[str, np.ndarray]:
     and each distinct one is bound once.
     """
 
+    def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        ids, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        return ids, np.bincount(place, np.concatenate([p[1] for p in parts]), len(ids)).astype(np.int64)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
+        sums: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
         for b in batches:
             by: dict[str, list[np.ndarray]] = {}
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 by.setdefault(lang, []).append(grams(text))
             for lang, parts in by.items():
-                if lang not in sums:
-                    sums[lang] = np.zeros(_GRAMS, dtype=np.int64)
-                ids, counts = np.unique(np.concatenate(parts), return_counts=True)
-                sums[lang][ids] += counts
-        for lang, total in sums.items():
-            ids = np.flatnonzero(total)
-            yield table({"lang": pa.array([lang] * len(ids), pa.string()), "gram": pa.array(ids), "n": pa.array(total[ids])})
+                held = sums.setdefault(lang, [])
+                held.append(np.unique(np.concatenate(parts), return_counts=True))
+                if len(held) > 64:
+                    sums[lang] = [summed(held)]
+        for lang, held in sums.items():
+            ids, n = summed(held)
+            yield table({"lang": pa.array([lang] * len(ids), pa.string()), "gram": pa.array(ids.astype(np.int64)), "n": pa.array(n)})
 
     def bind(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -94,15 +97,16 @@ def train(labelled: DataFrame) -> dict[str, np.ndarray]:
             names = np.array(lang, dtype=object)
             for name in set(lang):
                 at = names == name
-                sums[name] = sums.get(name, 0) + bundle(ids[at], n[at])
+                sums[name] = sums.get(name, 0) + bundle(ids[at], n[at], np.float64)
         for name, vector in sums.items():
-            yield table({"lang": pa.array([name]), "vector": pa.array([vector.tolist()], pa.list_(pa.float64()))})
+            yield table({"lang": pa.array([name] * DIM), "place": pa.array(np.arange(DIM, dtype=np.int32)), "value": pa.array(vector.astype(np.int64))})
 
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang")
     counted = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    bound = counted.mapInArrow(bind, "lang string, place int, value long").groupBy("lang", "place").agg(F.sum("value").alias("value"))
     sums: dict[str, np.ndarray] = {}
-    for lang, vector in sorted(counted.mapInArrow(bind, "lang string, vector array<double>").collect()):  # a vector for each language and task
-        sums[lang] = sums.get(lang, 0) + np.array(vector)
+    for lang, place, value in bound.collect():  # DIM numbers for each language
+        sums.setdefault(lang, np.zeros(DIM))[place] = value
     return {lang: (v / max(np.linalg.norm(v), 1e-9)).astype(np.float32) for lang, v in sorted(sums.items())}
 
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import materialize, small_batches, table
+from docloom.llm.common import discard, materialize, small_batches, table
 
 #: Entries of a leaf page, and of a tree (one row of the index, one read of a task).
 PAGE, TREE = 256, 8192
@@ -51,93 +51,120 @@ def spread_centres(x: np.ndarray, count: int) -> np.ndarray:
 
 
 def build_tree(ids: np.ndarray, x: np.ndarray, metric: Metric, page: int = PAGE) -> dict[str, bytes | int]:
-    """A tree as arrays: entries sorted by page and distance to the page's routing object, pages with covering radii."""
+    """A tree as arrays: a root over pages with covering radii, entries sorted by page and distance to the page's routing object.
+
+    Every page has its distance to the root and every entry its distance to the page.
+    """
     lifted = metric.lift(x)
     centres = lifted[spread_centres(lifted, max(1, -(-len(x) // page)))]
-    to_centre = Metric.distances(lifted, centres)
-    owner = to_centre.argmin(axis=1)
-    own = to_centre[np.arange(len(x)), owner]
+    owner, own = np.empty(len(x), dtype=np.int64), np.empty(len(x))
+    for lo in range(0, len(x), TREE):
+        near = Metric.distances(lifted[lo : lo + TREE], centres)
+        owner[lo : lo + TREE] = near.argmin(axis=1)
+        own[lo : lo + TREE] = near.min(axis=1)
     order = np.lexsort((own, owner))
     owner, own = owner[order], own[order]
     # a crowded page is cut into several with the same routing object
     begins = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1])]))
     begins = np.concatenate([np.arange(a, b, 2 * page) for a, b in zip(begins, [*begins[1:], len(x)], strict=True)])
     ends = np.append(begins[1:], len(x))
-    root = lifted.mean(axis=0)
+    root, pages = lifted.mean(axis=0), centres[owner[begins]]
     return {
-        "n": len(x), "ids": ids[order].astype(np.int64).tobytes(), "x": x[order].astype(np.int32).tobytes(), "parent": own.tobytes(),
-        "begins": begins.astype(np.int64).tobytes(), "centres": centres[owner[begins]].tobytes(), "radii": own[ends - 1].tobytes(),
+        "n": len(x), "ids": ids[order].astype(np.int64).tobytes(), "x": x[order].astype(np.float64).tobytes(), "parent": own.tobytes(),
+        "begins": begins.astype(np.int64).tobytes(), "centres": pages.tobytes(), "radii": own[ends - 1].tobytes(), "page_parent": Metric.distances(pages, root[None, :])[:, 0].tobytes(),
         "root": root.tobytes(), "root_radius": float(Metric.distances(lifted, root[None, :]).max()),
     }
 
 
-def search(tree: dict, q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int, metric: Metric) -> list[tuple[int, np.ndarray, np.ndarray]]:
+def products(x: np.ndarray, q: np.ndarray, metric: Metric) -> np.ndarray:
+    """Integer inner products of rows with one vector: in floating point where that is exact, else in whole numbers."""
+    if metric.most < 2.0**52:
+        return (x @ q).astype(np.int64)
+    whole = [int(c) for c in q]
+    return np.array([sum(int(a) * b for a, b in zip(row, whole, strict=True)) for row in x], dtype=object)
+
+
+def search(tree: dict, q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int, metric: Metric, counts: dict[str, int] | None = None) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """For each query (id, vec_ids, scores) of its best k entries here, those that can't reach ``floor`` left out.
 
-    Pages are visited by their lower bound, d(q, centre) - radius, and the search ends at the first that
-    can't hold a better entry; inside a page, an entry is passed over without its product where
-    |d(q, centre) - d(entry, centre)| already exceeds the distance of the k-th best.
+    Best first: pages wait in the order of their lower bound, d(q, page) - radius, and the search ends at the first
+    that can't hold a better entry. Stored distances save others: d(q, page) is not computed where
+    |d(q, root) - d(page, root)| - radius is out of reach already, and an entry's product not where
+    |d(q, page) - d(entry, page)| exceeds the distance of the k-th best. ``counts`` gets how many of each were computed.
     """
     ids = np.frombuffer(tree["ids"], dtype=np.int64)
     dim = q.shape[1]
-    x = np.frombuffer(tree["x"], dtype=np.int32).reshape(len(ids), dim).astype(np.float64)
+    x = np.frombuffer(tree["x"]).reshape(len(ids), dim)
     parent, begins = np.frombuffer(tree["parent"]), np.frombuffer(tree["begins"], dtype=np.int64)
     ends = np.append(begins[1:], len(ids))
-    radii = np.frombuffer(tree["radii"])
+    radii, page_parent = np.frombuffer(tree["radii"]), np.frombuffer(tree["page_parent"])
     centres = np.frombuffer(tree["centres"]).reshape(len(begins), dim + 1)
-    raised = np.hstack([q.astype(np.float64), np.zeros((len(q), 1))])
-    to_centre = Metric.distances(raised, centres)
-    lower = np.maximum(0, to_centre - radii[None, :])
-    norms = (q.astype(np.float64) ** 2).sum(axis=1) + metric.most
+    raised = np.hstack([q, np.zeros((len(q), 1))])
+    to_root = Metric.distances(raised, np.frombuffer(tree["root"])[None, :])[:, 0]
+    norms = (q**2).sum(axis=1) + metric.most
+    slack = 1e-6 * (1 + norms)
+    reaches = np.where(floor > -np.inf, np.sqrt(np.maximum(0, norms - 2 * np.where(floor > -np.inf, floor, 0)) + slack), np.inf)
+    counts = {} if counts is None else counts
     out = []
     for i in range(len(q)):
-        worst, reach = float(floor[i]), np.inf
-        slack = 1e-6 * (1 + norms[i])
-        if worst > -np.inf:
-            reach = np.sqrt(max(0.0, norms[i] - 2 * worst) + slack)
+        worst, reach = float(floor[i]), float(reaches[i])
         best_ids, best = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        vector = q[i].astype(np.float64)
-        for p in np.argsort(lower[i], kind="stable"):
-            if lower[i, p] > reach:
+        open_pages = np.flatnonzero(np.abs(to_root[i] - page_parent) - radii <= reach)
+        to_page = Metric.distances(raised[i : i + 1], centres[open_pages])[0] if len(open_pages) else np.zeros(0)
+        counts["pages"] = counts.get("pages", 0) + len(open_pages)
+        lower = np.maximum(0, to_page - radii[open_pages])
+        for j in np.argsort(lower, kind="stable"):
+            if lower[j] > reach:
                 break
-            a, b, d = begins[p], ends[p], to_centre[i, p]
+            a, b, d = begins[open_pages[j]], ends[open_pages[j]], to_page[j]
             lo = a + np.searchsorted(parent[a:b], d - reach)  # parent distances are sorted within a page
             hi = a + np.searchsorted(parent[a:b], d + reach, side="right")
             if lo >= hi:
                 continue
-            scores = x[lo:hi] @ vector
-            use = (scores >= worst) & (ids[lo:hi] != q_ids[i])
+            counts["entries"] = counts.get("entries", 0) + int(hi - lo)
+            scores = products(x[lo:hi], q[i], metric)
+            use = (scores >= worst).astype(bool) & (ids[lo:hi] != q_ids[i])
             if use.any():
-                best = np.concatenate([best, scores[use].astype(np.int64)])
+                best = np.concatenate([best, scores[use]])
                 best_ids = np.concatenate([best_ids, ids[lo:hi][use]])
                 if len(best) > k:
-                    top = np.lexsort((best_ids, -best))[:k]
+                    top = np.lexsort((best_ids, -best))[:k] if best.dtype != object else np.array(sorted(range(len(best)), key=lambda t: (-best[t], best_ids[t]))[:k])
                     best, best_ids = best[top], best_ids[top]
                 if len(best) == k and best.min() > worst:
                     worst = float(best.min())
-                    reach = np.sqrt(max(0.0, norms[i] - 2 * worst) + slack)
+                    if int(worst) > best.min():  # rounded up
+                        worst = float(np.nextafter(worst, -np.inf))
+                    reach = np.sqrt(max(0.0, norms[i] - 2 * worst) + slack[i])
         out.append((int(q_ids[i]), best_ids, best))
     return out
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """(id, v array<int>) of the vectors without null or non-finite components; rows alike count once."""
+    """(id, v array<double>, whole numbers) of the vectors without null or non-finite components."""
     x = F.col(vector_col)
     finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     rows = vectors.where(x.isNotNull() & F.col(id_col).isNotNull()).where(finite)
-    return rows.select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("int")).alias("v")).distinct()
+
+    def floor(c: F.Column) -> F.Column:
+        scaled = c.cast("double") * scale
+        return F.when(F.abs(scaled) < 2.0**53, F.floor(scaled).cast("double")).otherwise(scaled)  # beyond, all doubles are whole
+
+    return rows.select(F.col(id_col).cast("long").alias("id"), F.transform(x, floor).alias("v"))
 
 
 def top_k(vectors: DataFrame, is_query: F.Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest integer inner products of every query row with all other rows.
 
     Components become floor(scale * x). Ties go to the smaller id. Rows with a null id, a null vector or a
-    null or non-finite component take no part; vectors meet only those of their own length; rows alike
-    in id and vector count once, and a query never meets its own id. An empty table gives no rows.
+    null or non-finite component take no part; vectors meet only those of their own length. Repeated rows are
+    candidates one by one, query rows alike in id and vector ask once, and a query never meets its own id.
+    An empty table gives no rows. A score that a long can't hold raises an error.
 
     Rows go to the nearest of a bounded set of routing objects; crowded ones are salted. Each group
-    becomes one tree. The directory of roots (at most ``MOST_TREES``, or a few more by salting) is sent to the tasks, which give
-    each block of queries the trees within its bound: blocks meet trees in an equi-join.
+    becomes one tree. The directory of roots (at most ``MOST_TREES``, or a few more by salting) is sent to the tasks.
+    The search goes through the trees in waves, best first: every query visits its nearest tree, then the next two, the
+    next four and so on, each time only those that its k-th best so far leaves within reach. So
+    the rows that come back grow with queries times k times the number of waves, not with the number of trees.
     """
     spark = vectors.sparkSession
     small_batches(spark)
@@ -157,10 +184,10 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 def _top_k(rows: DataFrame, queries: DataFrame, dim: int, k: int) -> DataFrame:
     spark = rows.sparkSession
-    n, most = rows.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c))).first()
+    n, most = rows.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c))).first()
     metric, size = Metric(float(most)), max(TREE, -(-n // MOST_TREES))
     drawn = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()  # bounded
-    sample_ids, sample = np.array([r[0] for r in drawn]), np.array([r[1] for r in drawn], dtype=np.int32).reshape(-1, dim)
+    sample_ids, sample = np.array([r[0] for r in drawn]), np.array([r[1] for r in drawn], dtype=np.float64).reshape(-1, dim)
     lifted = metric.lift(sample)
     routes = lifted[spread_centres(lifted, max(1, min(SAMPLE, -(-n // size))))]
 
@@ -170,12 +197,12 @@ def _top_k(rows: DataFrame, queries: DataFrame, dim: int, k: int) -> DataFrame:
                 near = Metric.distances(metric.lift(_matrix(b.column(1), dim)), routes).argmin(axis=1)
                 yield table({"id": b.column(0), "v": b.column(1), "route": pa.array(near.astype(np.int32))})
 
-    routed = materialize(rows.mapInArrow(assign, "id long, v array<int>, route int"), "mtree-routed")
+    routed = materialize(rows.mapInArrow(assign, "id long, v array<double>, route int"), "mtree-routed")
     salts = routed.groupBy("route").agg(F.ceil(F.count("*") / size).cast("long").alias("salts"))
     tree_id = F.col("route").cast("long") * (1 << 32) + F.pmod(F.xxhash64("id"), F.col("salts"))
     # at most SAMPLE routes
     placed = routed.join(F.broadcast(salts), "route").select("id", "v", tree_id.alias("tree"))
-    fields = "tree long, n long, ids binary, x binary, parent binary, begins binary, centres binary, radii binary, root binary, root_radius double"
+    fields = "tree long, n long, ids binary, x binary, parent binary, begins binary, centres binary, radii binary, page_parent binary, root binary, root_radius double"
 
     def grow(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
@@ -187,33 +214,53 @@ def _top_k(rows: DataFrame, queries: DataFrame, dim: int, k: int) -> DataFrame:
     found = trees.select("tree", "root", "root_radius").collect()
     directory = spark.sparkContext.broadcast((np.array([r[0] for r in found]), np.array([np.frombuffer(r[1]) for r in found]).reshape(-1, dim + 1), np.array([r[2] for r in found])))
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, roots, radii = directory.value
-        for b in batches:
-            for lo in range(0, b.num_rows, QUERY_BLOCK):
-                part = b.slice(lo, QUERY_BLOCK)
-                ids, q = part.column(0).to_numpy(), _matrix(part.column(1), dim)
-                scores = q.astype(np.float64) @ sample.T.astype(np.float64)
-                scores[ids[:, None] == sample_ids[None, :]] = -np.inf
-                floor = np.sort(scores, axis=1)[:, -k] if len(sample) > k else np.full(len(q), -np.inf)
-                norms = (q.astype(np.float64) ** 2).sum(axis=1) + metric.most
-                reach = np.sqrt(np.maximum(0, norms - 2 * floor) + 1e-6 * (1 + norms))
-                raised = np.hstack([q.astype(np.float64), np.zeros((len(q), 1))])
-                near = Metric.distances(raised, roots) - radii[None, :] <= reach[:, None]
-                for t in np.flatnonzero(near.any(axis=0)):
-                    m = near[:, t]
-                    yield table({"tree": pa.array([int(names[t])]), "q_ids": pa.array([ids[m].tobytes()], pa.binary()), "q": pa.array([q[m].astype(np.int32).tobytes()], pa.binary()), "floor": pa.array([floor[m].tobytes()], pa.binary())})
+    def asking(first: int, last: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """Blocks of queries for each tree that is from first-th to before last-th nearest to them and within their reach."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, roots, radii = directory.value
+            for b in batches:
+                for lo in range(0, b.num_rows, QUERY_BLOCK):
+                    part = b.slice(lo, QUERY_BLOCK)
+                    ids, q, floor = part.column(0).to_numpy(), _matrix(part.column(1), dim), part.column(2).to_numpy(zero_copy_only=False)
+                    norms = (q**2).sum(axis=1) + metric.most
+                    if first == 0 and len(sample) > k:
+                        scores = q @ sample.T
+                        scores[ids[:, None] == sample_ids[None, :]] = -np.inf
+                        floor = np.sort(scores, axis=1)[:, -k] - 1e-9 * norms
+                    if metric.most >= 2.0**52:
+                        floor = floor - 1e-9 * norms  # scores so large are rounded here
+                    reach = np.sqrt(np.maximum(0, norms - 2 * np.maximum(floor, -norms)) + 1e-6 * (1 + norms))
+                    far = Metric.distances(np.hstack([q, np.zeros((len(q), 1))]), roots)
+                    rank = far.argsort(axis=1, kind="stable").argsort(axis=1, kind="stable")
+                    near = (far - radii[None, :] <= reach[:, None]) & (rank >= first) & (rank < last)
+                    for t in np.flatnonzero(near.any(axis=0)):
+                        m = near[:, t]
+                        yield table({"tree": pa.array([int(names[t])]), "q_ids": pa.array([ids[m].tobytes()], pa.binary()), "q": pa.array([q[m].tobytes()], pa.binary()), "floor": pa.array([floor[m].tobytes()], pa.binary())})
+
+        return run
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                q = np.frombuffer(row["q"], dtype=np.int32).reshape(-1, dim)
+                q = np.frombuffer(row["q"]).reshape(-1, dim)
                 hits = search(row, np.frombuffer(row["q_ids"], dtype=np.int64), q, np.frombuffer(row["floor"]), k, metric)
-                yield table({"query_id": pa.array(np.repeat([h[0] for h in hits], [len(h[1]) for h in hits]).astype(np.int64)), "vec_id": pa.array(np.concatenate([h[1] for h in hits])), "score": pa.array(np.concatenate([h[2] for h in hits]))})
+                scores = [int(s) for h in hits for s in h[2]]
+                yield table({"query_id": pa.array(np.repeat([h[0] for h in hits], [len(h[1]) for h in hits]).astype(np.int64)), "vec_id": pa.array(np.concatenate([h[1] for h in hits])), "score": pa.array(scores, pa.int64())})
 
-    asked = materialize(queries.select("id", "v").mapInArrow(blocks, "tree long, q_ids binary, q binary, floor binary"), "mtree-asked")
-    small_batches(spark, 8)
-    met = materialize(asked.join(trees, "tree").mapInArrow(visit, "query_id long, vec_id long, score long"), "mtree-met")
-    small_batches(spark)
+    asked = materialize(queries.select("id", "v").distinct(), "mtree-queries")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best, first, last = None, 0, 1
+    while first < len(found):
+        floors = asked.withColumn("floor", F.lit(float("-inf")))
+        if best is not None:
+            kth = best.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("floor"))
+            floors = asked.join(kth.groupBy("id").agg(F.min("floor").alias("floor")), "id", "left").fillna(float("-inf"), "floor")
+        blocks = materialize(floors.select("id", "v", "floor").mapInArrow(asking(first, last), "tree long, q_ids binary, q binary, floor binary"), f"mtree-asked-{first}")
+        met = blocks.join(trees, "tree").mapInArrow(visit, "query_id long, vec_id long, score long")
+        met = met if best is None else met.union(best.drop("rank"))
+        before, best = best, materialize(met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), f"mtree-best-{first}")
+        discard(blocks, *[df for df in [before] if df is not None])
+        first, last = last, 2 * last + 1
+    discard(trees, asked)
+    return best.select("query_id", "rank", "vec_id", "score")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from unicodedata import ucd_3_2_0
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,6 +16,10 @@ CHUNK = 16_384
 OVERLAP = 256
 #: Counts of pieces that a worker remembers.
 REMEMBER = 400_000
+_BLANK = " \n\r\t"
+#: First letters of the Unicode categories on both sides of a sure boundary: letter or digit, then a sign; letter and digit.
+_BREAKS = {"LP", "LS", "LN", "NL", "NP", "NS"}
+category = ucd_3_2_0.category
 
 
 def load(path: str):
@@ -30,42 +35,58 @@ def load(path: str):
     return tokenizer
 
 
-def is_seam(text: str, at: int) -> bool:
-    """Whether tokens on both sides of ``at`` are proven independent: a blank after a character that is no white space.
+def specials(tokenizer) -> list[str]:
+    """The special strings that the tokenizer takes out of a text before all else."""
+    return [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
-    The byte-level pre-tokenizer ends every match of non-blank characters before white space, and looks
-    behind none; no special string holds a blank.
+
+def is_seam(text: str, at: int, special: list[str] = ()) -> bool:
+    """Whether tokens on both sides of ``at`` are proven independent by the rule of the byte-level pre-tokenizer.
+
+    Its matches are runs of letters, of digits, of other signs (all with one leading blank at most), of white
+    space, or short forms such as 's; it looks behind none. So every match ends before white space that follows
+    something else, and where a letter is followed by a sign, a digit by a letter or a letter by a digit. Letters and
+    signs count as such here only if they have been since Unicode 3.2, as the library may know fewer than Python.
+    A place inside a special string is none.
     """
-    return 0 < at < len(text) and text[at] == " " and not text[at - 1].isspace()
+    if not 0 < at < len(text) or text[at - 1].isspace():
+        return False
+    after = text[at]
+    if after not in _BLANK:
+        before, after = category(text[at - 1])[0], category(after)[0]
+        if before + after not in _BREAKS:
+            return False
+    return not any(text.find(s, max(0, at - len(s) + 1), at + len(s) - 1) >= 0 for s in special)
 
 
 def spliced_count(tokenizer, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
     """Token count of a huge text from chunks [begin, begin + chunk) that share ``overlap`` characters.
 
     Neighbours are spliced at a position inside the overlap that is a token boundary in both encodings
-    and a proven seam. If there is none, the next chunk starts further back, and in the end the
-    left chunk grows over all that remains.
+    and a proven seam. If there is none, the overlap doubles, and in the end the left chunk doubles, so
+    that all encodings together stay within a few times the text even where it has no seam at all.
     """
+    special = specials(tokenizer)
     total, begin, size, wide = 0, 0, chunk, overlap
     left = tokenizer.encode(text[:size], add_special_tokens=False).offsets
     while begin + size < len(text):
         end = begin + size
         start = max(begin + 1, end - wide)
-        right = tokenizer.encode(text[start : start + chunk], add_special_tokens=False).offsets
-        ends_left = {begin + e for _, e in left}
-        starts_right = {start + s for s, _ in right}
-        seam = next((p for p in sorted(ends_left & starts_right) if start < p < end and is_seam(text, p)), None)
+        right = tokenizer.encode(text[start : start + chunk + wide], add_special_tokens=False).offsets
+        ends_left = {begin + e for _, e in left if begin + e > start}
+        starts_right = {start + s for s, _ in right if start + s < end}
+        seam = next((p for p in sorted(ends_left & starts_right) if start < p < end and is_seam(text, p, special)), None)
         if seam is None:
             if start > begin + 1:
-                wide *= 2  # widen the overlap
+                wide *= 4  # widen the overlap
             else:
-                size += chunk  # no seam in the whole chunk: let it grow
-                wide = overlap
+                size, wide = 2 * size, overlap  # no seam in the whole chunk: let it grow
                 left = tokenizer.encode(text[begin : begin + size], add_special_tokens=False).offsets
             continue
         total += sum(1 for _, e in left if begin + e <= seam)
+        size = min(len(text), start + chunk + wide) - seam
         left = [(s + start - seam, e + start - seam) for s, e in right if start + s >= seam]
-        begin, size, wide = seam, start + chunk - seam, overlap
+        begin, wide = seam, overlap
     return total + len(left)
 
 
@@ -74,6 +95,8 @@ class Counter:
 
     def __init__(self, path: str, chunk: int = CHUNK, overlap: int = OVERLAP):
         self.tokenizer, self.chunk, self.overlap = load(path), chunk, overlap
+        if any(" " in s for s in specials(self.tokenizer)):
+            raise ValueError("a special string holds a blank, at which texts are cut")
         self.known: dict[str, int] = {}
 
     def pieces(self, text: str) -> list[str]:

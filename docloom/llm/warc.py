@@ -16,6 +16,8 @@ from docloom.llm.common import shared_folder, small_batches, table, utf8
 
 #: Blocks longer than this are cut into segments.
 SEGMENT_BYTES = 16_384
+#: Records in an archive at most; as each holds a segment at most, this bounds what is read back at once (128 MB).
+ARCHIVE_RECORDS = 8_192
 #: Size of the chunks of the chunked transfer coding.
 TRANSFER_BYTES = 4_096
 #: Equal payloads shorter than this are stored each time.
@@ -97,7 +99,7 @@ def revisits(pages: DataFrame, id_col: str = "page_id", text_col: str = "html",
 
     A payload with null ids only is stored each time; with others, its null ids are revisits.
     """
-    rows = pages.select(F.col(id_col).alias("id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col(text_col), F.lit("")).alias("payload"))
+    rows = pages.select(F.col(id_col).alias("id"), (F.col("url").cast("string") if "url" in pages.columns else F.lit(None).cast("string")).alias("url"), F.coalesce(F.col(text_col), F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     firsts = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("id").alias("original"))
     joined = rows.join(firsts, "digest", "left")
@@ -108,8 +110,8 @@ def write_archives(records: DataFrame, path: str, segment: int = SEGMENT_BYTES)
     """Write (id, url, payload, refers_to) as WARC files, one for each task, by Spark's text writer.
 
     The blank lines that close a record are the writer's line separator, so the unpacked files are plain
-    WARC, go to any file system that Spark knows, and are committed by task. Tasks, and so archives, have
-    the size of Spark's input splits or of its shuffle partitions.
+    WARC, go to any file system that Spark knows, and are committed by task. A task begins a new archive
+    after ``ARCHIVE_RECORDS`` records.
     """
     small_batches(records.sparkSession)
 
@@ -123,7 +125,7 @@ def write_archives(records: DataFrame, path: str, segment: int = SEGMENT_BYTES)
             yield table({"record": pa.array(out, pa.binary())})
 
     raw = records.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
-    raw.write.option("lineSep", END.decode()).option("compression", "gzip").text(path)
+    raw.write.option("maxRecordsPerFile", ARCHIVE_RECORDS).option("lineSep", END.decode()).option("compression", "gzip").text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -134,7 +136,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     tells whether numbers, lengths and digest hold; damaged records stay, with it false. Archives are
     parsed twice, once for each kind, which saves writing their content again.
     """
-    small_batches(spark, 1)
+    small_batches(spark)  # batches are bounded in bytes as well, and archives are unpacked one by one
     files = spark.read.format("binaryFile").load(path).select("content")
     head = [("id", pa.string()), ("declared", pa.string()), ("bytes", pa.int64()), ("type", pa.string()), ("refers_to", pa.string())]
     kinds = [("origin", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), *head, ("block", pa.binary())]
@@ -202,10 +204,13 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", text_col: str = "html"
     """Archive the pages in the shared folder and read them back; ids have their own type again.
 
     Null payloads are empty. Null ids and urls are archived without them. Repeated rows have a record each.
+    Other columns are not archived. A record that comes back damaged raises an error.
     """
     spark = pages.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     write_archives(revisits(pages, id_col, text_col), path)
     kind = dict(pages.dtypes)[id_col]
     back = read_archives(spark, path)
+    damaged = F.raise_error(F.concat(F.lit("damaged record of page "), F.coalesce(F.col("id"), F.lit("without id"))))
+    back = back.withColumn("payload_digest", F.when(F.col("intact"), F.col("payload_digest")).otherwise(damaged.cast("string")))
     return back.withColumn("id", F.col("id").cast(kind)).withColumn("refers_to", F.col("refers_to").cast(kind))

@@ -113,11 +113,19 @@ def test_score_edges(spark):
     assert lm.score(docs.limit(0)).count() == 0
 
 
+def test_boundaries_of_very_large_sources(spark):
+    rng = np.random.default_rng(12)
+    cases = [(int(r), int(u), int(o)) for r in [0, 1, 10**9, 2**40, 2**50 + 12345] for u in [0, 1, 2**32 - 1, 2**32, 3 * 2**32, *rng.integers(0, 3 * 2**32, 5)] for o in [0, 2**32 - 1]]
+    frame = spark.createDataFrame(cases, "r long, u long, o long")
+    got = frame.select("*", mixing.boundaries(F.col("r"), F.col("u"), F.col("o")).alias("n")).collect()
+    assert all(x.n == (x.r * x.u + x.o) >> 32 for x in got)
+
+
 def brute_top(rows, k):
-    x = {i: np.floor(64 * np.asarray(v, dtype=np.float32).astype(np.float64)) for i, v in rows}
+    x = [(i, [int(c) for c in np.floor(64 * np.asarray(v, dtype=np.float32).astype(np.float64))]) for i, v in rows]
     out = []
-    for q in sorted(i for i in x if i % 20 == 0):
-        best = sorted(((-int(x[q] @ x[i]), i) for i in x if i != q and len(x[i]) == len(x[q])))[:k]
+    for q, v in sorted({(i, tuple(v)) for i, v in x if i % 20 == 0}):
+        best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in x if i != q and len(w) == len(v))[:k]
         out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
     return out
 
@@ -127,24 +135,44 @@ def test_search_is_exact_with_ties(spark, monkeypatch):
     rng = np.random.default_rng(9)
     rows = [(i, (rng.standard_normal(6) * (0.2 + i % 3)).tolist()) for i in range(700)]
     rows += [(i, rows[3][1]) for i in range(700, 1000)]  # one hot vector
-    bad = [(1001, None), (1002, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (1003, [float("nan")] * 6), (1004, [float("inf")] * 6), (None, [0.0] * 6), (1020, [1.0, 2.0]), (1021, [3.0, 1.0])]
-    frame = spark.createDataFrame([*rows, *bad, rows[0]], "vec_id long, embedding array<float>")
+    rows += [rows[0], rows[3], rows[3], (1020, [1.0, 2.0]), (1021, [3.0, 1.0])]  # repeated rows are rows of their own
+    bad = [(1001, None), (1002, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (1003, [float("nan")] * 6), (1004, [float("inf")] * 6), (None, [0.0] * 6)]
+    frame = spark.createDataFrame([*rows, *bad], "vec_id long, embedding array<float>")
     got = sorted(tuple(r) for r in mtree.top_k(frame, F.col("id") % 20 == 0).collect())
-    assert got == sorted(brute_top([*rows, (1020, [1.0, 2.0]), (1021, [3.0, 1.0])], 20))
+    assert got == sorted(brute_top(rows, 20))
     assert mtree.top_k(frame.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
-def test_search_passes_pages_over():
+def test_search_with_large_components(spark):
+    rng = np.random.default_rng(10)
+    rows = [(i, (rng.standard_normal(3) * (2e7 if i % 2 else 1.0)).tolist()) for i in range(300)]
+    frame = spark.createDataFrame([(i, v, "x", "y") for i, v in rows], "vec_id long, embedding array<float>, id string, v string")
+    got = sorted(tuple(r) for r in mtree.top_k(frame, F.col("id") % 20 == 0, k=5).collect())
+    assert got == sorted(brute_top(rows, 5))
+
+
+def test_stored_distances_avoid_computations():
     rng = np.random.default_rng(4)
     centres = rng.standard_normal((20, 8)) * 300
-    x = (centres[np.arange(2000) % 20] + rng.standard_normal((2000, 8)) * 3).astype(np.int32)
-    metric = mtree.Metric(float((x.astype(float) ** 2).sum(axis=1).max()))
+    x = (centres[np.arange(2000) % 20] + rng.standard_normal((2000, 8)) * 3).astype(np.int32).astype(np.float64)
+    metric = mtree.Metric(float((x**2).sum(axis=1).max()))
     tree = mtree.build_tree(np.arange(2000), x, metric, 50)
-    assert len(np.frombuffer(tree["begins"], dtype=np.int64)) >= 20
-    (_, ids, scores), *_ = mtree.search(tree, np.array([0]), x[:1], np.array([-np.inf]), 5, metric)
-    full = x.astype(float) @ x[0]
-    want = [i for i in np.lexsort((np.arange(2000), -full)) if i != 0][:5]
-    assert sorted(ids) == sorted(want) and sorted(scores) == sorted(full[want])
+    pages = len(np.frombuffer(tree["begins"], dtype=np.int64))
+    assert pages >= 20
+    counts = {}
+    hits = mtree.search(tree, np.arange(100), x[:100], np.full(100, -np.inf), 5, metric, counts)
+    for i, ids, scores in hits:
+        full = x @ x[i]
+        full[i] = -np.inf
+        want = np.lexsort((np.arange(2000), -full))[:5]
+        assert sorted(ids) == sorted(want)
+        assert sorted(scores) == sorted(full[want])
+    assert counts["entries"] < 0.35 * 100 * 2000  # of all products
+    floors = np.array([sorted(x @ x[i])[-6] for i in range(100)])
+    again = {}
+    mtree.search(tree, np.arange(100), x[:100], floors, 5, metric, again)
+    assert again["pages"] < 0.9 * 100 * pages  # of all distances to pages
+    assert again["entries"] <= counts["entries"]
 
 
 def test_pipeline(spark, sf):

@@ -226,6 +226,40 @@ def test_token_edges(spark, vocabulary):
     assert tc.token_counts(docs.limit(0), vocabulary).count() == 0
 
 
+def test_huge_texts_are_counted_in_linear_time(vocabulary):
+    counter = tc.Counter(vocabulary)
+    rng = random.Random(1)
+    signs = [chr(c) for c in range(0x4E00, 0x4F00)]
+    chinese = "".join(rng.choice(signs) + ("。" if rng.random() < 0.05 else "") for _ in range(150_000))
+    lines = "\n".join(f"word{rng.randrange(999)}" for _ in range(60_000))
+    unbroken = "".join(rng.choice("abcdefgh") for _ in range(70_000))
+    for text, times in ((chinese, 3), (lines, 3), (unbroken, 20)):
+        began = time.process_time()
+        want = len(counter.tokenizer.encode(text, add_special_tokens=False).ids)
+        plain = time.process_time() - began
+        began = time.process_time()
+        assert tc.spliced_count(counter.tokenizer, text) == want
+        assert time.process_time() - began < times * plain + 0.3
+
+
+def test_seams_never_change_a_count(vocabulary):
+    counter = tc.Counter(vocabulary)
+    rng = random.Random(2)
+    parts = ["don't", "  ", "\n", "a1", "é", "x.y", " 12 ", "<|endoftext|>", "’s", "'s", " ", "\t\n ", "ß", "你好。", "…", "--", "e\u0301", "\x1c", "\ufeff", "Ⅷ", "²"]
+    for _ in range(300):
+        text = "".join(rng.choice(parts) for _ in range(60))
+        assert tc.spliced_count(counter.tokenizer, text, 40, 8) == len(counter.tokenizer.encode(text, add_special_tokens=False).ids)
+
+
+def test_archives_are_rolled_and_damage_is_told(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(warc, "ARCHIVE_RECORDS", 3)
+    pages = spark.createDataFrame([(i, f"<p>{i}</p>" * 40) for i in range(10)], "page_id long, html string").coalesce(1)
+    warc.write_archives(warc.revisits(pages), f"file://{tmp_path}/rolled")
+    assert len(list((tmp_path / "rolled").glob("*.gz"))) == 4
+    back = warc.read_archives(spark, f"file://{tmp_path}/rolled/*.gz")
+    assert sorted(r.id for r in back.where("intact").collect()) == sorted(str(i) for i in range(10))
+
+
 def test_archives_round_trip(spark):
     rows = [(1, "u", "a" * 200), (2, None, "a" * 200), (None, "x", "a" * 200), (3, "u", None), (4, "u", "b"), (5, "u", "b"), (5, "u", "b"), (6, "u", "\r\n\r\nWARC/1.1é" * 9000), (7, "v", "a" * 200)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
