@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docloom.plans.registry import bounded
 from docloom.sources.tables import WHITE, stripped
 
 # Word lists of the sentence and question classifiers.
@@ -57,8 +56,13 @@ def lookup(key: Column, table: dict, default) -> Column:
     return out.otherwise(F.lit(default))
 
 
+_WORD = r"[\p{L}\p{N}_]"
+
+
 def has_words(text: Column, alternatives: str) -> Column:
-    return text.rlike(bounded(alternatives))
+    """Whether one of the alternatives, which begin with a word character, stands between word boundaries."""
+    end = rf"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
+    return text.rlike(rf"(?i)(?<!{_WORD})(?=[0-9a-z])(?:{alternatives}){end}")
 
 
 def _sum(flags: list[Column]) -> Column:
@@ -67,12 +71,13 @@ def _sum(flags: list[Column]) -> Column:
 
 def split_sentences(text: Column) -> Column:
     """Array of stripped, non-empty sentences; a break follows . ! or ? and white space before a capital A-Z."""
-    parts = F.split(text, r"(?<=[.!?])[ \t\n\r\f\x0B]+(?=[A-Z])", -1)
+    parts = F.split(text, r"(?<=[.!?])[\t-\r\x1C-\x20\x85\pZ]+(?=[A-Z])", -1)
     return F.filter(F.transform(parts, lambda s: F.btrim(s, F.lit(WHITE))), lambda s: s != "")
 
 
 def critical_matches(text: Column) -> Column:
-    return _sum([has_words(text, p) for p in CRITICAL])
+    """How many of the critical patterns occur; one search for all of them rules most sentences out first."""
+    return F.when(has_words(text, "|".join(CRITICAL)), _sum([has_words(text, p) for p in CRITICAL])).otherwise(F.lit(0))
 
 
 def is_detail_query(q: Column) -> Column:
@@ -80,7 +85,7 @@ def is_detail_query(q: Column) -> Column:
 
 
 def word_number(q: Column) -> Column:
-    return F.regexp_count(q, F.lit(r"[^ \t\n\r\f\x0B]+"))
+    return F.regexp_count(q, F.lit(r"[^\t-\r\x1C-\x20\x85\pZ]+"))
 
 
 def is_complex_query(q: Column) -> Column:
@@ -92,7 +97,7 @@ def is_complex_query(q: Column) -> Column:
 
 def adaptive_weights(q: Column) -> tuple[Column, Column]:
     """(semantic, keyword) weights: keyword-minded, semantic-minded or balanced."""
-    keyword = _sum([q.rlike(r'"[\p{L}\p{N}_ \t\n\r\f\x0B]+"'), q.rlike("[0-9]"), has_words(F.lower(q), KEYWORD_WORDS), word_number(q) < 5]) / F.lit(4.0)
+    keyword = _sum([q.rlike(r'"[\p{L}\p{N}_\t-\r\x1C-\x20\x85\pZ]+"'), q.rlike("[0-9]"), has_words(F.lower(q), KEYWORD_WORDS), word_number(q) < 5]) / F.lit(4.0)
     semantic = _sum([has_words(F.lower(q), SEMANTIC_WORDS), word_number(q) > 10, q.contains("?")]) / F.lit(3.0)
     pick = lambda a, b, c: F.when(keyword > semantic + 0.3, F.lit(a)).when(semantic > keyword + 0.3, F.lit(b)).otherwise(F.lit(c))
     return pick(0.4, 0.85, 0.7), pick(0.6, 0.15, 0.3)
@@ -172,7 +177,7 @@ def annotation_colour(kind: Column) -> Column:
 
 
 def fallback_title(text: Column) -> Column:
-    words = F.filter(F.split(stripped(text), r"[ \t\n\r\f\x0B]+"), lambda w: w != "")
+    words = F.filter(F.split(stripped(text), r"[\t-\r\x1C-\x20\x85\pZ]+"), lambda w: w != "")
     title = F.array_join(F.slice(words, 1, 6), " ")
     return F.substring(F.when(F.length(text) > F.length(title), F.concat(title, F.lit("..."))).otherwise(title), 1, 50)
 
@@ -211,8 +216,8 @@ def parse_query_list(text: Column, most: int, least_quoted: int) -> Column:
     long = lambda xs: F.filter(xs, lambda x: F.length(x) > 3)
     listed = F.from_json(text, "array<string>")
     quoted = F.regexp_extract_all(text, F.lit('"([^"]+)"'), 1)
-    numbered = F.regexp_extract_all(text, F.lit(r"[0-9]+\.[ \t\n\r\f\x0B]*([^\n]+)"), 1)
-    dashed = F.regexp_extract_all(text, F.lit(r"-[ \t\n\r\f\x0B]*([^\n]+)"), 1)
+    numbered = F.regexp_extract_all(text, F.lit(r"[0-9]+\.[\t-\r\x1C-\x20\x85\pZ]*([^\n]+)"), 1)
+    dashed = F.regexp_extract_all(text, F.lit(r"-[\t-\r\x1C-\x20\x85\pZ]*([^\n]+)"), 1)
     unquoted = lambda xs: F.transform(long(trim(F.slice(xs, 1, most))), lambda x: F.btrim(x, F.lit('"')))
     fallback = F.when(F.size(quoted) >= least_quoted, long(trim(F.slice(quoted, 1, most)))).when(F.size(numbered) > 0, unquoted(numbered)).otherwise(unquoted(dashed))
     return F.when(listed.isNotNull(), F.slice(long(trim(listed)), 1, most)).otherwise(fallback)

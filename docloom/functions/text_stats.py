@@ -12,7 +12,7 @@ PUNCTUATION = ".,;:!?()[]{}\"-"
 SPECIAL = "$%&*+=<>|~^_\\/#@`"
 WORDS = r"[\p{L}\p{N}_]+"
 DIGITS = r"[\p{Nd}²³¹⁰⁴-⁹₀-₉]"
-SPACES = r"[ \t\n\r\f\x0B]"
+SPACES = r"[\t-\r\x1C-\x20\x85\pZ]"
 NORMS = {"token": 0.25, "punctuation": 0.20, "special": 0.15, "numeric": 0.30, "line": 0.10, "whitespace": 0.30}
 WEIGHTS = {"special": 0.30, "numeric": 0.25, "line": 0.20, "punctuation": 0.10, "token": 0.10, "whitespace": 0.05}
 STRUCTURED = {"special": 0.4, "numeric": 0.5, "line": 0.6}
@@ -88,10 +88,10 @@ def recommend_overlap(size: Column) -> Column:
     return F.greatest(F.lit(50), F.least(F.lit(400), (size * F.lit(0.15)).cast("int")))
 
 
-NUMBERED = r"(?i)^([0-9]+\.|[0-9]+\.[0-9]+\.?|[\p{L}\p{N}_]+[ \t\n\r\f\x0B]+[0-9]+|Chapter[ \t\n\r\f\x0B]+[0-9]+|Section[ \t\n\r\f\x0B]+[0-9]+)"
-BULLET = r"^[•\-*◦▪][ \t\n\r\f\x0B]+"
-NUMBER_ITEM = r"^[0-9]+[.)][ \t\n\r\f\x0B]+"
-WIDE_GAP = r"[ \t\n\r\f\x0B]{4,}"
+NUMBERED = r"(?i)^([0-9]+\.|[0-9]+\.[0-9]+\.?|[\p{L}\p{N}_]+[\t-\r\x1C-\x20\x85\pZ]+[0-9]+|Chapter[\t-\r\x1C-\x20\x85\pZ]+[0-9]+|Section[\t-\r\x1C-\x20\x85\pZ]+[0-9]+)"
+BULLET = r"^[•\-*◦▪][\t-\r\x1C-\x20\x85\pZ]+"
+NUMBER_ITEM = r"^[0-9]+[.)][\t-\r\x1C-\x20\x85\pZ]+"
+WIDE_GAP = r"[\t-\r\x1C-\x20\x85\pZ]{4,}"
 
 
 def is_caps(text: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docloom.functions import questions as fq
 from docloom.sources.tables import stripped
 
-FENCE = r"(?s)```(?:annotations|json)[ \t\n\r\f\x0B]*(.*?)[ \t\n\r\f\x0B]*```"
+FENCE = r"(?s)```(?:annotations|json)[\t-\r\x1C-\x20\x85\pZ]*(.*?)[\t-\r\x1C-\x20\x85\pZ]*```"
 _ITEM = "struct<pageNumber:string,type:string,textToHighlight:string,imageChunkId:string,bbox:array<double>,explanation:string>"
 
 
@@ -48,7 +48,7 @@ def annotations_by_page(routed: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def citations(answers: DataFrame) -> DataFrame:
     """(answer_id, place, page_number) of every [Page n]."""
-    found = F.regexp_extract_all("text", F.lit(r"\[Page[ \t\n\r\f\x0B]+([0-9]+)\]"), 1)
+    found = F.regexp_extract_all("text", F.lit(r"\[Page[\t-\r\x1C-\x20\x85\pZ]+([0-9]+)\]"), 1)
     return answers.select("answer_id", F.posexplode(found).alias("place", "page")).select("answer_id", "place", F.col("page").cast("int").alias("page_number"))
 
 

@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import questions as fq
-
-WHITE = " \t\n\r\f\x0b"
+from docloom.sources.tables import WHITE
 
 
 def count_tokens(text: Column) -> Column:
@@ -30,7 +29,7 @@ def context_tokens(messages: DataFrame, key: str = "conv_id", text: str = "text"
 def truncate_tokens(text: Column, most: Column) -> Column:
     """A text cut to ``most`` tokens: after its last sentence end, else before its last blank if that is past half, else hard."""
     cut = F.substr(text, F.lit(1), (most * 4).cast("int"))
-    sentence = F.regexp_extract(cut, r"(?s)^(.*[.!?])[ \t\n\r\f\x0B]+", 1)
+    sentence = F.regexp_extract(cut, r"(?s)^(.*[.!?])[\t-\r\x1C-\x20\x85\pZ]+", 1)
     word = F.regexp_extract(cut, r"(?s)^(.*) [^ ]*$", 1)
     ended = F.rtrim(sentence, F.lit(WHITE))
     short = F.when(ended != "", ended).when(F.length(word) > F.length(cut) * 0.5, F.rtrim(word, F.lit(WHITE))).otherwise(cut)

@@ -78,7 +78,7 @@ def highlight_spans(spans: DataFrame) -> DataFrame:
     characters and the query holds it; an item without any match takes the spans with the first such word.
     """
     q, s = F.lower(stripped("query")), F.lower("span")
-    words = F.filter(F.split(q, r"[ \t\n\r\f\x0B]+"), lambda w: F.length(w) > 2)
+    words = F.filter(F.split(q, r"[\t-\r\x1C-\x20\x85\pZ]+"), lambda w: F.length(w) > 2)
     hit = F.exists(words, lambda w: s.contains(w)) | ((F.length(stripped(s)) > 3) & q.contains(stripped(s)))
     marked = spans.withColumn("hit", F.coalesce(hit, F.lit(False))).withColumn("starts", F.coalesce(s.contains(F.get(words, F.lit(0))), F.lit(False)))
     marked = marked.where(stripped("span") != "").withColumn("any_hit", F.max("hit").over(Window.partitionBy("item_id")))

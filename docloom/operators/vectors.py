@@ -36,7 +36,8 @@ def knn(queries: DataFrame, chunks: DataFrame, k: int, by: str = "document_id",
     a cogroup. Chunks and queries of a document are dealt to blocks of about ``block`` rows, and every block
     of the one meets every block of the other, so a hot document spreads over tasks and memory is bounded.
     In a task, a matrix product gives the similarities, and only k rows of each query and block leave it,
-    which a window then merges. Ties go to the smaller chunk id.
+    which a window then merges. Ties go to the smaller chunk id. Queries and chunks whose vector is null or
+    holds a null or a NaN take no part.
     """
     return top(block_hits(queries, chunks, k, by, block), ["query_id"], "similarity", "chunk_id", k)
 
@@ -60,6 +61,8 @@ def block_hits(queries: DataFrame, chunks: DataFrame, k: int, by: str, block: in
             out.append(pd.DataFrame({"query_id": np.repeat(part["query_id"].to_numpy(), take.shape[1]), "chunk_id": ids[take].ravel(), "similarity": np.take_along_axis(s, take, 1).ravel()}))
         return pd.concat(out)
 
+    whole = lambda rows, name: rows.where(F.col(name).isNotNull() & ~F.exists(name, lambda x: x.isNull() | F.isnan(x)))
+    queries, chunks = whole(queries, "query_vector"), whole(chunks, "embedding")
     ids = dict(chunks.dtypes)["chunk_id"]
     number = lambda rows, name: rows.groupBy(by).agg(F.ceil(F.count("*") / block).cast("int").alias(name))
     sizes = number(chunks, "chunk_blocks").join(number(queries, "query_blocks"), by)

@@ -11,7 +11,7 @@ from docloom.plans.retrieval import VECS, knn_sql, vector_chunks, vector_queries
 from docloom.plans.texts import STRUCTURE, lines, pages, structure
 from docloom.sources import tables
 
-WS = r"[ \t\n\r\f\x0B]"
+WS = r"[\t-\r\x1C-\x20\x85\pZ]"
 
 
 @query("d01_parents_of_children", f"""WITH {VECS}, {knn_sql(20, "c.vec_id % 3 = 1", name="kid").format(shift=0)}, p_ AS (SELECT query_id, chunk_id // 5 AS parent_chunk_id, max(similarity) AS similarity FROM kid_ GROUP BY 1, 2)
@@ -131,7 +131,7 @@ def image_match(spark, sf_dir):
 
 
 @query("d12_highlight_spans", rf"""WITH {PAGES}, s_ AS (SELECT doc_id AS item_id, page_number * 10000 + i - 1 AS span_id, lower(l[i]) AS s, trim(l[i], {TRIM}) AS bare FROM (SELECT doc_id, page_number, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, page_number, string_split(content, chr(10)) AS l FROM pages_))),
-  q_ AS (SELECT doc_id AS item_id, lower(trim(substr(text, 10, 14), {TRIM})) AS q FROM documents), w_ AS (SELECT item_id, q, list_filter(regexp_extract_all(q, '[^ \t\n\r\f\x0B]+'), lambda x: length(x) > 2) AS w FROM q_),
+  q_ AS (SELECT doc_id AS item_id, lower(trim(substr(text, 10, 14), {TRIM})) AS q FROM documents), w_ AS (SELECT item_id, q, list_filter(regexp_extract_all(q, '[^\t-\r\x1C-\x20\x85\pZ]+'), lambda x: length(x) > 2) AS w FROM q_),
   m_ AS (SELECT item_id, span_id, len(list_filter(w, lambda x: contains(s, x))) > 0 OR (length(bare) > 3 AND contains(q, lower(bare))) AS hit, coalesce(contains(s, w[1]), FALSE) AS starts FROM s_ JOIN w_ USING (item_id) WHERE bare <> ''),
   a_ AS (SELECT *, bool_or(hit) OVER (PARTITION BY item_id) AS any_hit FROM m_)
   SELECT item_id, span_id FROM a_ WHERE hit OR (NOT any_hit AND starts)""")
@@ -196,15 +196,13 @@ def available(spark, sf_dir):
     return budget.context_tokens(read(spark, sf_dir, "conversations")).select("conv_id", budget.available_tokens(F.lit(500), F.lit(50), F.col("tokens") * 100, F.lit(2000)).alias("available"))
 
 
-RANKED = "rk_ AS (SELECT doc_id % 50 AS query_id, row_number() OVER (PARTITION BY doc_id % 50 ORDER BY doc_id)::INTEGER AS rank, (doc_id % 9)::INTEGER AS page_number, substr(text, 1, 400) AS content, (doc_id % 50) * 17 + 60 AS available FROM documents WHERE text IS NOT NULL)"
+RANKED = f"{PAGES}, rk_ AS (SELECT doc_id AS query_id, page_number AS rank, page_number, content, (doc_id % 50) * 67 + 60 AS available FROM pages_)"
 
 
 def ranked_chunks(spark, sf_dir):
-    from pyspark.sql import Window
-
-    docs = read(spark, sf_dir, "documents").where("text IS NOT NULL")
-    q = F.col("doc_id") % 50
-    return docs.select(q.alias("query_id"), F.row_number().over(Window.partitionBy(q).orderBy("doc_id")).alias("rank"), (F.col("doc_id") % 9).cast("int").alias("page_number"), F.substring("text", 1, 400).alias("content"), (q * 17 + 60).alias("available"))
+    """Every document asks for its own pages, in their order, with a budget that fits some of them."""
+    number = F.col("page_number")
+    return pages(spark, sf_dir).select(F.col("doc_id").alias("query_id"), number.alias("rank"), number.alias("page_number"), "content", (F.col("doc_id") % 50 * 67 + 60).alias("available"))
 
 
 _TOK = "(length('[Page ' || page_number || ']: ' || content) // 4)"
@@ -218,7 +216,10 @@ def selected(spark, sf_dir):
     return budget.select_chunks(ranked_chunks(spark, sf_dir))
 
 
-@query("g06_select_chunks_whole")
+@query("g06_select_chunks_whole", f"""WITH RECURSIVE {RANKED}, t_ AS (SELECT *, {_TOK}::BIGINT AS tokens, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS i FROM rk_),
+  f_ AS (SELECT query_id, i, tokens <= available AS fits, CASE WHEN tokens <= available THEN tokens ELSE 0 END AS used FROM t_ WHERE i = 1
+   UNION ALL SELECT t_.query_id, t_.i, f_.used + t_.tokens <= t_.available, f_.used + CASE WHEN f_.used + t_.tokens <= t_.available THEN t_.tokens ELSE 0 END FROM f_ JOIN t_ ON t_.query_id = f_.query_id AND t_.i = f_.i + 1)
+  SELECT query_id, rank, page_number, content, tokens, FALSE AS truncated FROM t_ JOIN f_ USING (query_id, i) WHERE fits""")
 def selected_whole(spark, sf_dir):
     return budget.select_chunks(ranked_chunks(spark, sf_dir), truncate=False)
 

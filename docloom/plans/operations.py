@@ -199,7 +199,7 @@ query("l06_except_pages", f"WITH {CITED} SELECT answer_id, page_number FROM cite
 def common_terms(spark, sf_dir):
     words = lambda t: F.explode(F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit(r"[\p{L}\p{N}_]+"), 0))).alias("term")
     rows = pages(spark, sf_dir)
-    return rows.select(words(F.col("content"))).intersect(rows.limit(1).select(words(F.lit(QUESTION))))
+    return rows.select(words(F.col("content"))).intersect(spark.range(1).select(words(F.lit(QUESTION))))
 
 
 query("l08_union_all_kinds", f"WITH {PAGES} SELECT doc_id, 'page' AS kind FROM pages_ UNION ALL SELECT conv_id, 'message' FROM conversations UNION ALL SELECT page_id, 'web' FROM pages")(

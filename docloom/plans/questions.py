@@ -26,7 +26,7 @@ def questions(spark, sf_dir):
 
 SENTENCES = rf"""{PAGES}, sentences_ AS (SELECT doc_id, page_number, (i - 1)::INTEGER AS sentence_index, s[i] AS content FROM (
   SELECT doc_id, page_number, s, unnest(range(1, len(s) + 1)) AS i FROM (
-   SELECT doc_id, page_number, list_filter(list_transform(string_split(regexp_replace(content, '([.!?])[ \t\n\r\f\x0B]+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x, {TRIM})), lambda x: x <> '') AS s FROM pages_)))"""
+   SELECT doc_id, page_number, list_filter(list_transform(string_split(regexp_replace(content, '([.!?])[\t-\r\x1C-\x20\x85\pZ]+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x, {TRIM})), lambda x: x <> '') AS s FROM pages_)))"""
 
 
 def sentences(spark, sf_dir):
@@ -65,7 +65,7 @@ def detail(spark, sf_dir):
     return questions(spark, sf_dir).select("query_id", fq.is_detail_query(F.col("query")).alias("is_detail"))
 
 
-WORDS_N = count_re("query", r"[^ \t\n\r\f\x0B]+")
+WORDS_N = count_re("query", r"[^\t-\r\x1C-\x20\x85\pZ]+")
 COMPLEX = f"(({WORDS_N} > 15)::INTEGER + contains(lower(query), ' and ')::INTEGER + contains(lower(query), ' or ')::INTEGER + (length(query) - length(replace(query, '?', '')) > 1)::INTEGER + regexp_matches(lower(query), '{'|'.join(fq.COMPARING)}')::INTEGER) >= 2"
 
 
@@ -74,7 +74,7 @@ def complex_query(spark, sf_dir):
     return questions(spark, sf_dir).select("query_id", fq.is_complex_query(F.col("query")).alias("is_complex"))
 
 
-_KW = rf"""(regexp_matches(query, '"[\p{{L}}\p{{N}}_ \t\n\r\f\x0B]+"')::INTEGER + regexp_matches(query, '[0-9]')::INTEGER + regexp_matches(lower(query), '{bounded(fq.KEYWORD_WORDS)}')::INTEGER + ({WORDS_N} < 5)::INTEGER) / 4.0::DOUBLE"""
+_KW = rf"""(regexp_matches(query, '"[\p{{L}}\p{{N}}_\t-\r\x1C-\x20\x85\pZ]+"')::INTEGER + regexp_matches(query, '[0-9]')::INTEGER + regexp_matches(lower(query), '{bounded(fq.KEYWORD_WORDS)}')::INTEGER + ({WORDS_N} < 5)::INTEGER) / 4.0::DOUBLE"""
 _SEM = rf"(regexp_matches(lower(query), '{bounded(fq.SEMANTIC_WORDS)}')::INTEGER + ({WORDS_N} > 10)::INTEGER + contains(query, '?')::INTEGER) / 3.0::DOUBLE"
 
 
@@ -185,7 +185,7 @@ def colour(spark, sf_dir):
 
 
 @query("b30_fallback_title", rf"""SELECT conv_id, turn, substr(CASE WHEN length(text) > length(t) THEN t || '...' ELSE t END, 1, 50) AS title FROM (
-  SELECT *, array_to_string(regexp_extract_all(text, '[^ \t\n\r\f\x0B]+')[1:6], ' ') AS t FROM conversations) WHERE role = 'user'""")
+  SELECT *, array_to_string(regexp_extract_all(text, '[^\t-\r\x1C-\x20\x85\pZ]+')[1:6], ' ') AS t FROM conversations) WHERE role = 'user'""")
 def title(spark, sf_dir):
     return read(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", fq.fallback_title(F.col("text")).alias("title"))
 

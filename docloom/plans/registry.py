@@ -24,8 +24,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: White space as DuckDB's trim takes it.
-TRIM = "chr(32)||chr(9)||chr(10)||chr(13)||chr(12)||chr(11)"
+#: White space of Unicode as DuckDB's trim takes it.
+TRIM = "||".join(f"chr({c})" for c in [9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288])
 PAGES = f"""pages_ AS (
   SELECT doc_id, (i + 1)::INTEGER AS page_number, substr(text, 1 + 3000 * i, 3000) AS content
   FROM (SELECT doc_id, text, unnest(range(0, greatest(1, ceil(length(text) / 3000.0)::BIGINT))) AS i FROM documents WHERE text IS NOT NULL)
@@ -40,6 +40,13 @@ def word_set(text: str) -> str:
     return rf"list_distinct(regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}_]+'))"
 
 
-def bounded(alternatives: str, group: bool = False) -> str:
-    """A pattern for whole words that means the same in Java and RE2."""
-    return rf"(?i)(?:^|[^\p{{L}}\p{{N}}_])(?:{alternatives})(?:$|[^\p{{L}}\p{{N}}_])"
+def bounded(alternatives: str) -> str:
+    """Whole words for RE2, which has no look-around: what stands beside a word is consumed.
+
+    An alternative that ends in a percent sign ends at a boundary where a word begins.
+    """
+    inside, outside = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]"
+    signs = [a for a in alternatives.split("|") if a.endswith("%")]
+    words = "|".join(a for a in alternatives.split("|") if not a.endswith("%"))
+    out = rf"(?i)(?:^|{outside})(?:{words})(?:$|{outside})"
+    return out + "".join(rf"|(?:^|{outside}){a}{inside}" for a in signs)

@@ -117,13 +117,13 @@ def approximate(spark, sf_dir):
 
 STOP_SQL = "[" + ", ".join(f"'{w}'" for w in keyword.STOP) + "]"
 WORDS_SQL = r"regexp_extract_all(lower({t}), '[\p{{L}}\p{{N}}_]+')"
-KEYED = f"""{PAGES}, q_ AS (SELECT doc_id AS query_id, doc_id, list_filter(list_distinct({WORDS_SQL.format(t="substr(text, 1, 60)")}[2:4]), lambda x: NOT list_contains({STOP_SQL}, x)) AS t FROM documents WHERE doc_id % 3 = 0 AND text IS NOT NULL),
+KEYED = f"""{PAGES}, q_ AS (SELECT doc_id AS query_id, doc_id, list_filter(list_distinct({WORDS_SQL.format(t="substr(text, 1, 60)")}[2:4]), lambda x: NOT list_contains({STOP_SQL}, x)) AS t FROM documents WHERE doc_id % 50 = 0 AND text IS NOT NULL),
   post_ AS (SELECT doc_id, doc_id * 1000 + page_number AS chunk_id, term, count(*) AS n FROM (SELECT doc_id, page_number, unnest({WORDS_SQL.format(t="content")}) AS term FROM pages_) GROUP BY ALL),
   match_ AS (SELECT query_id, chunk_id, len(t)::INTEGER AS n_terms, sum(n)::BIGINT AS occurrences, count(*) AS found FROM (SELECT query_id, doc_id, t, unnest(t) AS term FROM q_ WHERE len(t) > 0) JOIN post_ USING (doc_id, term) GROUP BY query_id, chunk_id, t HAVING count(*) = len(t))"""
 
 
 def keyword_queries(spark, sf_dir, first: int = 2, n: int = 3):
-    docs = read(spark, sf_dir, "documents").where("doc_id % 3 = 0 AND text IS NOT NULL")
+    docs = read(spark, sf_dir, "documents").where("doc_id % 50 = 0 AND text IS NOT NULL")
     words = F.slice(keyword.terms(F.substring("text", 1, 60)), first, n)
     return docs.select(F.col("doc_id").alias("query_id"), "doc_id", F.array_join(words, " ").alias("query"))
 
@@ -170,7 +170,7 @@ def fused_ranks(spark, sf_dir):
 
 # Keyword hits on the texts whose document id is the chunk id; only some queries have any.
 HITS = f"""texts_ AS (SELECT vec_id, label, text, {WORDS_SQL.format(t="text")} AS w FROM embeddings JOIN documents ON doc_id = vec_id),
-  qt_ AS (SELECT vec_id AS query_id, label, list_filter(list_distinct(w[2:3]), lambda x: NOT list_contains({STOP_SQL}, x)) AS t FROM texts_ WHERE vec_id % 50 = 0 AND vec_id % 100 = 0),
+  qt_ AS (SELECT vec_id AS query_id, label, list_filter(list_distinct(w[2:3]), lambda x: NOT list_contains({STOP_SQL}, x)) AS t FROM texts_ WHERE vec_id % 50 = 0),
   kp_ AS (SELECT vec_id AS chunk_id, label, term, count(*) AS n FROM (SELECT vec_id, label, unnest(w) AS term FROM texts_) GROUP BY ALL),
   km_ AS (SELECT query_id, chunk_id, 0.1::DOUBLE * sum(n) AS s FROM (SELECT query_id, label, t, unnest(t) AS term FROM qt_ WHERE len(t) > 0) JOIN kp_ USING (label, term) GROUP BY query_id, chunk_id, t HAVING count(*) = len(t)),
   kw_ AS (SELECT query_id, chunk_id, round(s / max(s) OVER (PARTITION BY query_id), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS r FROM km_) WHERE r <= 20)"""
@@ -179,7 +179,7 @@ HITS = f"""texts_ AS (SELECT vec_id, label, text, {WORDS_SQL.format(t="text")} A
 def keyword_hits(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
     chunks = vector_chunks(spark, sf_dir).drop("embedding").join(docs, "chunk_id")
-    asked = chunks.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "document_id", F.array_join(F.slice(keyword.terms(F.col("content")), 2, 2), " ").alias("query"))
+    asked = chunks.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "document_id", F.array_join(F.slice(keyword.terms(F.col("content")), 2, 2), " ").alias("query"))
     return keyword.occurrence_rank(asked, chunks, 20, "document_id")
 
 

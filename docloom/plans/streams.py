@@ -16,7 +16,11 @@ from docloom.streaming import jobs
 
 def shared(spark) -> str:
     """A new path in the folder that all executors share."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="docloom-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="docloom-")
     return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -65,12 +69,12 @@ def limited(spark, sf_dir):
     return jobs.rate_limit(rows, 4, 3600.0)
 
 
-@query("k04_assemble_answers", """WITH d_ AS (SELECT user_id AS message_id, event_id AS seq, CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'done' ELSE 'chunk' END AS type, event_type || ' ' AS content FROM events WHERE event_id % 3 = 0),
+@query("k04_assemble_answers", """WITH d_ AS (SELECT user_id AS message_id, event_id AS seq, CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'done' ELSE 'chunk' END AS type, event_type || ' ' AS content FROM events),
   l_ AS (SELECT message_id, min(seq) FILTER (type IN ('done', 'error')) AS last, min_by(type, seq) FILTER (type IN ('done', 'error')) AS ended FROM d_ GROUP BY message_id)
   SELECT l_.message_id, coalesce(string_agg(content, '' ORDER BY seq) FILTER (type = 'chunk' AND (last IS NULL OR seq < last)), '') AS content, any_value(ended) AS ended FROM l_ JOIN d_ USING (message_id) GROUP BY l_.message_id""")
 def assembled(spark, sf_dir):
     kind = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "signup", "done").otherwise("chunk")
-    rows = read(spark, sf_dir, "events").where("event_id % 3 = 0").select(F.col("user_id").alias("message_id"), F.col("event_id").alias("seq"), kind.alias("type"), F.concat(F.col("event_type"), F.lit(" ")).alias("content"))
+    rows = read(spark, sf_dir, "events").select(F.col("user_id").alias("message_id"), F.col("event_id").alias("seq"), kind.alias("type"), F.concat(F.col("event_type"), F.lit(" ")).alias("content"))
     return jobs.assemble_answers(rows)
 
 
@@ -86,6 +90,13 @@ def hits(spark, sf_dir):
     return jobs.cached_hits(rows.where("event_type = 'view'"), rows.where("event_type = 'purchase'"))
 
 
+@query("k06_semantic_cache")
+def answered(spark, sf_dir):
+    """Every vector as a question about its document, one a minute, answered by a similar one of the last ten hours."""
+    rows = read(spark, sf_dir, "embeddings").select(F.col("label").alias("key"), F.col("vec_id").alias("id"), F.timestamp_seconds(F.col("vec_id") * 60).alias("ts"), F.col("embedding").alias("vector"))
+    return jobs.semantic_cache(rows, 0.3, 36_000.0)
+
+
 query("k07_without_repeats", "SELECT count(*) AS n FROM (SELECT DISTINCT event_id FROM events)")(
     lambda s, d: jobs.without_repeats(read(s, d, "events").unionAll(read(s, d, "events").where("event_id % 2 = 0")), ["event_id"]).agg(F.count("*").alias("n"))
 )

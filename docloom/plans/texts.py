@@ -16,7 +16,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 query("a01_read_pages", f"WITH {PAGES} SELECT doc_id, page_number, content FROM pages_")(pages)
 
-WS = r"[ \t\n\r\f\x0B]"
+WS = r"[\t-\r\x1C-\x20\x85\pZ]"
 DIGIT = r"[\p{Nd}²³¹⁰⁴-⁹₀-₉]"
 SPECIAL_SQL = "'$%&*+=<>|~^_' || chr(92) || '/#@`'"
 
@@ -70,7 +70,7 @@ def recommend(spark, sf_dir):
     return sized.withColumn("overlap", ts.recommend_overlap(F.col("size")))
 
 
-NUMBERED = r"(?i)^([0-9]+\.|[0-9]+\.[0-9]+\.?|[\p{L}\p{N}_]+[ \t\n\r\f\x0B]+[0-9]+|Chapter[ \t\n\r\f\x0B]+[0-9]+|Section[ \t\n\r\f\x0B]+[0-9]+)"
+NUMBERED = r"(?i)^([0-9]+\.|[0-9]+\.[0-9]+\.?|[\p{L}\p{N}_]+[\t-\r\x1C-\x20\x85\pZ]+[0-9]+|Chapter[\t-\r\x1C-\x20\x85\pZ]+[0-9]+|Section[\t-\r\x1C-\x20\x85\pZ]+[0-9]+)"
 
 
 def header_sql(t: str) -> str:
@@ -79,15 +79,15 @@ def header_sql(t: str) -> str:
 
 
 def gate_sql(t: str) -> str:
-    return rf"(contains({t}, '|') OR contains({t}, chr(9)||chr(9)) OR regexp_matches({t}, '[ \t\n\r\f\x0B]{{4,}}'))"
+    return rf"(contains({t}, '|') OR contains({t}, chr(9)||chr(9)) OR regexp_matches({t}, '[\t-\r\x1C-\x20\x85\pZ]{{4,}}'))"
 
 
 def list_sql(t: str) -> str:
-    return rf"(regexp_matches({t}, '^[•\-*◦▪][ \t\n\r\f\x0B]+') OR regexp_matches({t}, '^[0-9]+[.)][ \t\n\r\f\x0B]+'))"
+    return rf"(regexp_matches({t}, '^[•\-*◦▪][\t-\r\x1C-\x20\x85\pZ]+') OR regexp_matches({t}, '^[0-9]+[.)][\t-\r\x1C-\x20\x85\pZ]+'))"
 
 
 CONTENT_TYPE = rf"""CASE WHEN bare = '' THEN 'paragraph' WHEN {header_sql("bare")} IS NOT NULL THEN 'header'
-  WHEN {gate_sql("content")} AND ({_minus("'|'")} >= 2 OR {count_re("content", "[ \\t\\n\\r\\f\\x0B]{4,}")} >= 2) THEN 'table'
+  WHEN {gate_sql("content")} AND ({_minus("'|'")} >= 2 OR {count_re("content", "[\\t-\\r\\x1C-\\x20\\x85\\pZ]{4,}")} >= 2) THEN 'table'
   WHEN {list_sql("bare")} THEN 'list'
   WHEN len(string_split(content, chr(10))) > 1
    AND len(list_filter(string_split(content, chr(10)), lambda x: starts_with(x, '    ') OR starts_with(x, chr(9)))) > 0.5 * len(string_split(content, chr(10)))
@@ -124,7 +124,7 @@ def structure(spark, sf_dir):
     return detect_structure(pages(spark, sf_dir))
 
 
-@query("b12_chunk_counts", rf"WITH {PAGES} SELECT doc_id, page_number, length(content)::INTEGER AS char_count, len(regexp_extract_all(content, '[^ \t\n\r\f\x0B]+'))::INTEGER AS word_count, {count_re('content', '[.!?]+')}::INTEGER AS sentence_count FROM pages_")
+@query("b12_chunk_counts", rf"WITH {PAGES} SELECT doc_id, page_number, length(content)::INTEGER AS char_count, len(regexp_extract_all(content, '[^\t-\r\x1C-\x20\x85\pZ]+'))::INTEGER AS word_count, {count_re('content', '[.!?]+')}::INTEGER AS sentence_count FROM pages_")
 def counts(spark, sf_dir):
     return pages(spark, sf_dir).select("doc_id", "page_number", *[v.alias(k) for k, v in ts.chunk_counts(F.col("content")).items()])
 

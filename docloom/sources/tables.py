@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PAGE_CHARS = 3000
-WHITE = " \t\n\r\f\x0b"
+#: White space of Unicode, with the four ASCII separators.
+WHITE = "".join(chr(c) for c in [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
 
 CHUNK = T.StructType([
     T.StructField("chunk_id", T.StringType()), T.StructField("doc_id", T.LongType()), T.StructField("page_number", T.IntegerType()),
@@ -28,11 +29,13 @@ def stable_id(*parts: F.Column | str) -> F.Column:
 
 
 def pages_of(documents: DataFrame, size: int = PAGE_CHARS) -> DataFrame:
-    """(doc_id, page_number, content): windows of ``size`` code points, pages with blank text left out."""
-    count = F.greatest(F.lit(1), F.ceil(F.length("text") / size)).cast("int")
-    rows = documents.where("text IS NOT NULL").select("doc_id", "text", F.explode(F.sequence(F.lit(0), count - 1)).alias("i"))
-    rows = rows.select("doc_id", (F.col("i") + 1).alias("page_number"), F.expr(f"substring(text, 1 + {size} * i, {size})").alias("content"))
-    return rows.where(stripped("content") != "")
+    """(doc_id, page_number, content): windows of ``size`` code points, pages with blank text left out.
+
+    One pass cuts a text into its pages, so no page row carries the whole text.
+    """
+    cut = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{size}}}"), 0)
+    rows = documents.where("text IS NOT NULL").select("doc_id", F.posexplode(cut).alias("i", "content"))
+    return rows.where(stripped("content") != "").select("doc_id", (F.col("i") + 1).alias("page_number"), "content")
 
 
 def read_pages(spark: SparkSession, path: str, size: int = PAGE_CHARS) -> DataFrame:
@@ -40,12 +43,15 @@ def read_pages(spark: SparkSession, path: str, size: int = PAGE_CHARS) -> DataFr
 
 
 def write_chunks(chunks: DataFrame, path: str, buckets: int = 64) -> dict[str, int]:
-    """Write chunks by document bucket; a null type is text, a null level flat, and rows without content are errors."""
+    """Write chunks by document bucket; a null type is text, a null level flat, and rows without content are errors.
+
+    Spark sizes the writing tasks: small buckets share one, a large bucket is split over several.
+    """
     seen = Observation()
     ready = backfill_defaults(chunks).withColumn("bad", F.col("content").isNull())
     ready = ready.observe(seen, F.count_if(~F.col("bad")).alias("success"), F.count_if("bad").alias("errors"))
     out = ready.where(~F.col("bad")).drop("bad").withColumn("doc_bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
-    out.repartition("doc_bucket").write.mode("overwrite").partitionBy("doc_bucket").parquet(path)
+    out.hint("rebalance", "doc_bucket").write.mode("overwrite").partitionBy("doc_bucket").parquet(path)
     return {k: int(v or 0) for k, v in seen.get.items()}
 
 

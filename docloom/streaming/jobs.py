@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,11 +38,16 @@ def queue_windows(events: DataFrame, late: str | None = "10 minutes") -> DataFra
 
 
 def success_windows(events: DataFrame, late: str | None = "10 minutes") -> DataFrame:
-    """Success rate over the last 24 hours, sliding by the hour."""
-    rows = watermarked(events, "ts", late) if late and events.isStreaming else events
-    done, failed = F.count_if(F.col("event_type") == "purchase"), F.count_if(F.col("event_type") == "error")
-    rated = rows.groupBy(F.window("ts", "24 hours", "1 hour").alias("w")).agg(F.coalesce(F.round(F.try_divide(done * 100.0, done + failed), 4), F.lit(100.0)).alias("success_rate"))
-    return rated.select(F.col("w.start").alias("start"), "success_rate")
+    """Success rate over the last 24 hours, sliding by the hour; a table is counted by the hour first, and only the counts meet their 24 windows."""
+    done, failed = F.col("event_type") == "purchase", F.col("event_type") == "error"
+    rate = lambda a, b: F.coalesce(F.round(F.try_divide(a * 100.0, a + b), 4), F.lit(100.0)).alias("success_rate")
+    if events.isStreaming:
+        rows = watermarked(events, "ts", late) if late else events
+        rated = rows.groupBy(F.window("ts", "24 hours", "1 hour").alias("w")).agg(rate(F.count_if(done), F.count_if(failed)))
+        return rated.select(F.col("w.start").alias("start"), "success_rate")
+    hours = events.groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count_if(done).alias("done"), F.count_if(failed).alias("failed"))
+    starts = F.explode(F.sequence(F.col("w.start") - F.expr("INTERVAL 23 HOURS"), F.col("w.start"), F.expr("INTERVAL 1 HOUR"))).alias("start")
+    return hours.select(starts, "done", "failed").groupBy("start").agg(rate(F.sum("done"), F.sum("failed")))
 
 
 def admitted(times: list[float], held: list[float], limit: int, span: float) -> tuple[list[bool], list[float]]:
@@ -82,20 +88,59 @@ def rate_limit(requests: DataFrame, limit: int = 60, span: float = 60.0) -> Data
     return dealt.mapInPandas(fold, f"client {kinds['client']}, request_id {kinds['request_id']}, ts {kinds['ts']}, admitted boolean")
 
 
-def rate_limit_stream(requests: DataFrame, limit: int = 60, span: float = 60.0) -> DataFrame:
-    """The same over a stream: the state of a client is the log of its admitted requests, at most ``limit`` times."""
+def rate_limit_stream(requests: DataFrame, limit: int = 60, span: float = 60.0, late: str = "10 minutes") -> DataFrame:
+    """The same over a stream: the state of a client is the log of its admitted requests, at most ``limit`` times.
+
+    It goes when the watermark is ``span`` past the client's last request.
+    """
 
     def fold(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         held = list(state.get[0]) if state.exists else []
         group = pd.concat(list(batches)).sort_values(["ts", "request_id"])
-        ok, held = admitted([t.timestamp() for t in group["ts"]], held, limit, span)
+        times = [t.timestamp() for t in group["ts"]]
+        ok, held = admitted(times, held, limit, span)
         state.update((held,))
+        state.setTimeoutTimestamp(max(int((max([*times, *held]) + span) * 1000), state.getCurrentWatermarkMs() + 1))
         yield group.assign(client=key[0], admitted=ok)[["client", "request_id", "ts", "admitted"]]
 
-    rows = requests.select("client", "request_id", "ts")
+    rows = watermarked(requests.select("client", "request_id", "ts"), "ts", late)
     kinds = dict(rows.dtypes)
     schema = f"client {kinds['client']}, request_id {kinds['request_id']}, ts {kinds['ts']}, admitted boolean"
-    return rows.groupBy("client").applyInPandasWithState(fold, schema, "held array<double>", "append", "NoTimeout")
+    return rows.groupBy("client").applyInPandasWithState(fold, schema, "held array<double>", "append", "EventTimeTimeout")
+
+
+def assemble_answers_stream(deltas: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """assemble_answers over a stream of (message_id, seq, type, content, ts).
+
+    The state of a message holds its deltas, in whatever order they come; it is put together and goes when the watermark
+    has passed its last delta, so late deltas are in time if they are within ``late``.
+    """
+
+    def fold(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        seqs, kinds, parts = (list(x) for x in state.get[:3]) if state.exists else ([], [], [])
+        if state.hasTimedOut:
+            state.remove()
+            rows = sorted(zip(seqs, kinds, parts, strict=True))
+            end = next((i for i, r in enumerate(rows) if r[1] in ("done", "error")), None)
+            text = "".join(c for _, k, c in rows[:end] if k == "chunk")
+            yield pd.DataFrame({"message_id": [key[0]], "content": [text], "ended": [rows[end][1] if end is not None else None]})
+            return
+        newest = state.get[3] if state.exists else 0
+        for b in batches:
+            seqs += b["seq"].tolist()
+            kinds += b["type"].tolist()
+            parts += b["content"].fillna("").tolist()
+            newest = max(newest, int(b["ts"].max().timestamp() * 1000))
+        state.update((seqs, kinds, parts, newest))
+        state.setTimeoutTimestamp(max(newest + 1, state.getCurrentWatermarkMs() + 1))
+
+    rows = watermarked(deltas.select("message_id", "seq", "type", "content", "ts"), "ts", late)
+    kind = dict(rows.dtypes)["message_id"]
+    held = "seqs array<long>, kinds array<string>, parts array<string>, newest long"
+    return rows.groupBy("message_id").applyInPandasWithState(fold, f"message_id {kind}, content string, ended string", held, "append", "EventTimeTimeout")
 
 
 def assemble_answers(deltas: DataFrame) -> DataFrame:
@@ -123,6 +168,99 @@ def cached_hits(lookups: DataFrame, inserts: DataFrame, hours: int = 2, late: st
     return a.join(b, near).select("lookup_id", "insert_id")
 
 
+def looked_up(vector: np.ndarray, held: list[tuple[float, int, np.ndarray]], least: float) -> tuple[int | None, float | None]:
+    """(entry id, similarity) of the most similar live entry, the older of equals; null below ``least``."""
+    if not held:
+        return None, None
+    x = np.stack([v for _, _, v in held])
+    norms = np.linalg.norm(x, axis=1) * np.linalg.norm(vector)
+    near = np.round(np.divide(x @ vector, norms, out=np.zeros(len(x)), where=norms > 0), 9)
+    best = int(near.argmax())
+    return (held[best][1], float(near[best])) if near[best] >= least else (None, None)
+
+
+def semantic_cache(questions: DataFrame, least: float = 0.85, span: float = 7200.0) -> DataFrame:
+    """(key, id, ts, entry_id, similarity) of every question (key, id, ts, vector): the cached answer it is given, in time order.
+
+    A question is compared by cosine with the live entries of its key, no older than ``span`` seconds; without a hit its
+    own answer is put in after the lookup, so entry_id is null. Rows sorted by key and time are folded batch by batch; only
+    live entries are carried on. Rows with a null vector hit nothing and are not put in.
+    """
+    rows = questions.select("key", "id", "ts", "vector")
+    kinds = dict(rows.dtypes)
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held, begun = None, [], False
+        for batch in batches:
+            hits = []
+            for k, i, t, v in zip(batch["key"], batch["id"], batch["ts"], batch["vector"], strict=True):
+                k = None if pd.isna(k) else k
+                if not begun or k != key:
+                    key, held, begun = k, [], True
+                hit, held = asked(i, t.timestamp(), v, held, least, span)
+                hits.append(hit)
+            yield batch[["key", "id", "ts"]].assign(entry_id=pd.array([h[0] for h in hits], dtype="Int64"), similarity=[h[1] for h in hits])
+
+    dealt = rows.repartition("key").sortWithinPartitions("key", "ts", "id")
+    return dealt.mapInPandas(fold, f"key {kinds['key']}, id long, ts {kinds['ts']}, entry_id long, similarity double")
+
+
+def asked(i: int, t: float, v, held: list, least: float, span: float) -> tuple[tuple, list]:
+    """The hit of one question and the live entries after it."""
+    held = [h for h in held if h[0] > t - span]
+    if v is None:
+        return (None, None), held
+    vector = np.asarray(v, dtype=np.float64)
+    hit = looked_up(vector, held, least)
+    return hit, held if hit[0] is not None else [*held, (t, int(i), vector)]
+
+
+def semantic_cache_stream(questions: DataFrame, least: float = 0.85, span: float = 7200.0, late: str = "10 minutes") -> DataFrame:
+    """semantic_cache over a stream; the entries of a key go when the watermark has passed the life of the last one."""
+
+    def fold(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = []
+        if state.exists:
+            times, ids, flat = state.get
+            held = [(t, i, v) for t, i, v in zip(times, ids, np.asarray(flat, dtype=np.float64).reshape(len(ids), -1), strict=True)] if len(ids) else []
+        group, hits = pd.concat(list(batches)).sort_values(["ts", "id"]), []
+        for i, t, v in zip(group["id"], group["ts"], group["vector"], strict=True):
+            hit, held = asked(i, t.timestamp(), v, held, least, span)
+            hits.append(hit)
+        state.update(([h[0] for h in held], [h[1] for h in held], [float(x) for h in held for x in h[2]]))
+        last = max([h[0] for h in held], default=0.0)
+        state.setTimeoutTimestamp(max(int((last + span) * 1000), state.getCurrentWatermarkMs() + 1))
+        yield group[["id", "ts"]].assign(key=key[0], entry_id=pd.array([h[0] for h in hits], dtype="Int64"), similarity=[h[1] for h in hits])[["key", "id", "ts", "entry_id", "similarity"]]
+
+    rows = watermarked(questions.select("key", "id", "ts", "vector"), "ts", late)
+    schema = f"key {dict(rows.dtypes)['key']}, id long, ts timestamp, entry_id long, similarity double"
+    return rows.groupBy("key").applyInPandasWithState(fold, schema, "times array<double>, ids array<long>, vectors array<double>", "append", "EventTimeTimeout")
+
+
+def ingest_levels_stream(spark: SparkSession, path: str, chunks: str, edges: str, progress: str, checkpoint: str, schema):
+    """Ingests the Parquet files that arrive at ``path`` as parents, children and edges, and keeps count.
+
+    Every micro-batch writes its own folder of each table, so a repeated batch overwrites itself. ``progress`` has a row for
+    each batch with its numbers of documents, pages, chunks and edges.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        pages = pages_of(batch)
+        levels = chunking.split_hierarchical(pages).persist()
+        both = chunking.parents(levels).unionByName(chunking.children(levels))
+        both.write.mode("overwrite").parquet(f"{chunks}/batch={number}")
+        chunking.edges(levels).write.mode("overwrite").parquet(f"{edges}/batch={number}")
+        counted = levels.agg(F.count_distinct("doc_id").alias("documents"), F.count_distinct("doc_id", "page_number").alias("pages"), (F.count_distinct("parent_id") + F.count("*")).alias("chunks"), F.count("*").alias("edges"))
+        counted.coalesce(1).write.mode("overwrite").parquet(f"{progress}/batch={number}")
+        levels.unpersist()
+
+    source = spark.readStream.schema(schema).parquet(path)
+    return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def without_repeats(events: DataFrame, keys: list[str], late: str = "10 minutes") -> DataFrame:
     """Events once each; on a stream the keys are remembered within the watermark."""
     if events.isStreaming:

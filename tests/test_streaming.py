@@ -52,3 +52,112 @@ def test_answers_stop_at_the_first_end(spark):
     rows = [(1, 0, "chunk", "a"), (1, 2, "done", None), (1, 1, "chunk", "b"), (1, 3, "chunk", "late"), (2, 0, "chunk", "x")]
     got = jobs.assemble_answers(spark.createDataFrame(rows, "message_id int, seq int, type string, content string"))
     assert {r.message_id: (r.content, r.ended) for r in got.collect()} == {1: ("ab", "done"), 2: ("x", None)}
+
+
+def batches_of(spark, rows, schema, folder):
+    """A stream that reads the given lists of rows one micro-batch after the other."""
+    for i, part in enumerate(rows):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{folder}/part{i}")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(folder))
+
+
+def at(minute):
+    from datetime import datetime, timedelta
+
+    return datetime(2024, 1, 1) + timedelta(minutes=minute)
+
+
+def test_answer_stream_equals_batch(spark, tmp_path):
+    rows = [
+        [(1, 0, "chunk", "a", at(0)), (2, 1, "chunk", "y", at(1))],
+        [(1, 2, "done", None, at(2)), (1, 1, "chunk", "b", at(1)), (2, 0, "chunk", "x", at(0)), (1, 3, "chunk", "late", at(3))],
+        [(9, 0, "chunk", "push", at(600))],
+        [(9, 1, "error", "push", at(1200))],
+    ]
+    schema = "message_id long, seq long, type string, content string, ts timestamp"
+    run(jobs.assemble_answers_stream(batches_of(spark, rows, schema, tmp_path)), "answers")
+    batch = jobs.assemble_answers(spark.createDataFrame([r for part in rows for r in part], schema))
+    want = {tuple(r) for r in batch.where("message_id < 9").collect()}
+    got = {tuple(r) for r in spark.table("answers").collect() if r.message_id < 9}
+    assert got == want == {(1, "ab", "done"), (2, "xy", None)}
+
+
+def cache_rows(n=60):
+    import random
+
+    rng = random.Random(3)
+    base = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(4)]
+    out = []
+    for i in range(n):
+        near = base[rng.randrange(4)]
+        out.append((i % 2, i, at(7 * i), [x + rng.gauss(0, 0.2) for x in near] if i % 11 else (None if i % 2 else [0.0] * 8)))
+    return out
+
+
+def brute_cache(rows, least, span):
+    import numpy as np
+
+    out = []
+    for key in {r[0] for r in rows}:
+        held = []
+        for _, i, t, v in sorted((r for r in rows if r[0] == key), key=lambda r: (r[2], r[1])):
+            best = None
+            for h, then, w in held:
+                if v is not None and (t - then).total_seconds() < span and np.linalg.norm(v) * np.linalg.norm(w) > 0:
+                    near = round(float(np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w)), 9)
+                    if near >= least and (best is None or near > best[1]):
+                        best = (h, near)
+            out.append((key, i, best[0] if best else None))
+            if best is None and v is not None:
+                held.append((i, t, v))
+    return sorted(out, key=repr)
+
+
+def test_semantic_cache_equals_brute_force_in_batch_and_stream(spark, tmp_path):
+    rows, schema = cache_rows(), "key long, id long, ts timestamp, vector array<double>"
+    want = brute_cache(rows, 0.85, 7200)
+    assert sum(h is not None for _, _, h in want) > 10
+    got = jobs.semantic_cache(spark.createDataFrame(rows, schema)).collect()
+    assert sorted(((r.key, r.id, r.entry_id) for r in got), key=repr) == want
+    run(jobs.semantic_cache_stream(batches_of(spark, [rows[i : i + 20] for i in (0, 20, 40)], schema, tmp_path)), "cache")
+    assert sorted(((r.key, r.id, r.entry_id) for r in spark.table("cache").collect()), key=repr) == want
+
+
+def test_rate_limit_state_goes(spark, tmp_path):
+    rows = [[(1, i, at(0)) for i in range(3)], [(2, 9, at(300))], [(2, 10, at(301))]]
+    schema = "client long, request_id long, ts timestamp"
+    stream = jobs.rate_limit_stream(batches_of(spark, rows, schema, tmp_path), 2, 60.0)
+    q = stream.writeStream.format("memory").queryName("expiring").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {(r.client, r.request_id): r.admitted for r in spark.table("expiring").collect()}
+    assert got == {(1, 0): True, (1, 1): True, (1, 2): False, (2, 9): True, (2, 10): True}
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 1  # client 1 is forgotten
+
+
+def test_sessions_and_repeats_in_a_stream(spark, sf, tmp_path):
+    table = read(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    path = f"{tmp_path}/events"
+    table.coalesce(1).write.parquet(path)
+    events = spark.readStream.schema(table.schema).parquet(path)
+    run(jobs.user_sessions(events.withWatermark("ts", "1 hour")), "sessions", "append")
+    batch = {tuple(r) for r in jobs.user_sessions(table).collect()}
+    got = {tuple(r) for r in spark.table("sessions").collect()}
+    assert got and got <= batch
+    twice = spark.readStream.schema(table.schema).parquet(path).union(spark.readStream.schema(table.schema).parquet(path))
+    run(jobs.without_repeats(twice, ["event_id"]), "once", "append")
+    assert spark.table("once").count() == table.select("event_id").distinct().count()
+
+
+def test_levels_are_ingested_with_their_edges(spark, sf, tmp_path):
+    docs = read(spark, sf, "documents")
+    names = [f"{tmp_path}/{x}" for x in ("chunks", "edges", "progress", "checkpoint")]
+    jobs.ingest_levels_stream(spark, f"{sf}/documents.parque?", *names, docs.schema).awaitTermination()
+    from docloom.operators import chunking
+    from docloom.sources.tables import pages_of
+
+    levels = chunking.split_hierarchical(pages_of(docs))
+    edges = {tuple(r) for r in spark.read.parquet(names[1]).select("parent_chunk_id", "child_chunk_id", "child_index").collect()}
+    assert edges == {tuple(r) for r in chunking.edges(levels).collect()}
+    total = spark.read.parquet(names[2]).agg(F.sum("documents"), F.sum("edges")).first()
+    assert tuple(total) == (levels.select("doc_id").distinct().count(), len(edges))
+    assert spark.read.parquet(names[0]).count() == chunking.parents(levels).count() + chunking.children(levels).count()
