@@ -52,7 +52,7 @@ def line_break_density(text: Column) -> Column:
 def whitespace_density(text: Column) -> Column:
     """High where there is little white space."""
     n = F.length(text)
-    return F.when(n > 0, F.greatest(F.lit(0.0), 1 - F.regexp_count(text, F.lit(SPACES)) / n / F.lit(NORMS["whitespace"]))).otherwise(0.0)
+    return F.when(n > 0, F.greatest(F.lit(0.0), 1 - _count_of(text, WHITE) / n / F.lit(NORMS["whitespace"]))).otherwise(0.0)
 
 
 def densities(text: Column) -> dict[str, Column]:
@@ -62,22 +62,28 @@ def densities(text: Column) -> dict[str, Column]:
     }
 
 
-def overall_density(text: Column) -> Column:
-    parts = densities(text)
+def _overall(parts: dict[str, Column]) -> Column:
     total = sum((F.lit(w) * parts[k] for k, w in WEIGHTS.items()), F.lit(0.0))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), total))
+
+
+def overall_density(text: Column) -> Column:
     blank = F.coalesce(stripped(text), F.lit("")) == ""
-    return F.when(blank, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)))
+    return F.when(blank, 0.0).otherwise(_overall(densities(text)))
 
 
 def classify_density(text: Column) -> Column:
-    d = densities(text)
-    return (
-        F.when(F.coalesce(stripped(text), F.lit("")) == "", "empty")
-        .when((d["special"] > STRUCTURED["special"]) | (d["numeric"] > STRUCTURED["numeric"]) | (d["line"] > STRUCTURED["line"]), "structured")
-        .when((d["special"] > TECHNICAL["special"]) | (d["numeric"] > TECHNICAL["numeric"]), "technical")
-        .when(overall_density(text) > MIXED, "mixed")
-        .otherwise("narrative")
-    )
+    def classified(d: Column) -> Column:
+        return (
+            F.when((d["special"] > STRUCTURED["special"]) | (d["numeric"] > STRUCTURED["numeric"]) | (d["line"] > STRUCTURED["line"]), "structured")
+            .when((d["special"] > TECHNICAL["special"]) | (d["numeric"] > TECHNICAL["numeric"]), "technical")
+            .when(_overall({k: d[k] for k in WEIGHTS}) > MIXED, "mixed")
+            .otherwise("narrative")
+        )
+
+    # a list of one, so that each density is computed once however often it is asked for
+    once = F.array(F.struct(*[c.alias(k) for k, c in densities(text).items()]))
+    return F.when(F.coalesce(stripped(text), F.lit("")) == "", "empty").otherwise(F.get(F.transform(once, classified), F.lit(0)))
 
 
 def recommend_chunk_size(density: Column) -> Column:

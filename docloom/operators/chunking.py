@@ -119,9 +119,10 @@ def split_hierarchical(pages: DataFrame) -> DataFrame:
 
     One pass makes both levels; parents, children and edges are projections of it.
     """
-    base = ts.recommend_chunk_size(ts.overall_density(F.col("content")))
+    base = ts.recommend_chunk_size(F.col("density"))
     sizes = fq.hierarchical_sizes(base, ts.recommend_overlap(base))
-    rows = pages.select("doc_id", "page_number", "content", *[v.alias(k) for k, v in sizes.items()])
+    rows = pages.select("doc_id", "page_number", "content", ts.overall_density(F.col("content")).alias("density"))
+    rows = rows.select("doc_id", "page_number", "content", *[v.alias(k) for k, v in sizes.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
