@@ -34,7 +34,10 @@ _MIXERS = _rng.integers(0, 1 << 63, ROWS, dtype=np.uint64) | np.uint64(1)
 
 def normal(line: str) -> str:
     """Lines are compared in lower case, with runs of white space as one blank."""
-    return " ".join(line.lower().split())
+    line = line.lower()
+    if line.isprintable() and "  " not in line and line[:1] != " " != line[-1:]:
+        return line  # no white space but single blanks inside
+    return " ".join(line.split())
 
 
 def shingles(line: str) -> set[str]:
@@ -218,7 +221,6 @@ def candidate_texts(rows: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _deltas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Compares (hub, node, text of hub, text of node) and keeps what the node has besides its hub, and what it lacks."""
-    number = lambda found: [xxhash.xxh3_64_intdigest(utf8(x)) - (1 << 63) for x in found]
     last, base = None, set()
     for b in batches:
         near, sizes, more, less = [], [], [], []
@@ -228,9 +230,9 @@ def _deltas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = shingles(text)
             near.append(jaccard(base, own) >= THRESHOLD)
             sizes.append(len(own))
-            more.append(number(own - base))
-            less.append(number(base - own))
-        many = pa.list_(pa.int64())
+            more.append(list(own - base))
+            less.append(list(base - own))
+        many = pa.list_(pa.string())
         yield table({"hub": b.column(0), "node": b.column(1), "near": pa.array(near, pa.bool_()), "size": pa.array(sizes, pa.int32()), "more": pa.array(more, many), "less": pa.array(less, many)})
 
 
@@ -307,7 +309,7 @@ def line_components(rows: DataFrame) -> DataFrame:
     ranked = materialize(members.join(company, "node"), "lines-ranked")
     hubs = ranked.groupBy("key").agg(F.max(F.struct("company", "node")).alias("top")).select("key", F.col("top.node").alias("hub"))
     spokes = ranked.join(hubs, "key").where("node <> hub").select("hub", "node").distinct()
-    kind = "hub long, node long, near boolean, size int, more array<long>, less array<long>"
+    kind = "hub long, node long, near boolean, size int, more array<string>, less array<string>"
     stars = materialize(with_texts(spokes, texts).mapInArrow(_deltas, kind), "lines-stars")
     release(spark)
     discard(members, ranked)

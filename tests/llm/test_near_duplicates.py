@@ -138,7 +138,7 @@ def test_open_pairs_miss_nothing_around_a_hub(spark):
     lines = sorted(set(lines) - {hub})
     texts = spark.createDataFrame(list(enumerate([hub, *lines])), "node long, text string")
     spokes = spark.createDataFrame([(0, i + 1) for i in range(len(lines))], "hub long, node long")
-    kind = "hub long, node long, near boolean, size int, more array<long>, less array<long>"
+    kind = "hub long, node long, near boolean, size int, more array<string>, less array<string>"
     stars = with_texts(spokes, texts).mapInArrow(ld._deltas, kind).cache()
     # nothing is united yet but what is similar to the hub
     roots = stars.where("near").select("node", F.lit(0).cast("long").alias("component"))
@@ -166,6 +166,11 @@ def test_band_recall_of_pairs_at_the_threshold():
     assert met >= 0.9 * total
 
 
+def test_normal_lines():
+    cases = ["", " ", "A b", "A  b", " a b", "a b ", "a\tb", "a\u00a0b", "\u3000a", "a\u200bb  c", "É x", "a\x1cb", "x\r", "one two  "]
+    assert [ld.normal(x) for x in cases] == [" ".join(x.lower().split()) for x in cases]
+
+
 def test_folded_keys_show_every_shared_bucket():
     texts = ["one line\nanother line of words\nanother line of wordz", "another line of words\none line", None]
     batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([1, 2, 3]), pa.array(texts)], names=["doc", "version", "text"])
