@@ -83,5 +83,5 @@ def keyword_rank(queries: DataFrame, chunks: DataFrame, k: int = 10, by: str = "
     kinds = dict(placed.dtypes)
     scored = placed.mapInPandas(density, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id")
-    best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    best = scored.withColumn("score", F.round("score", 9)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return normalised(best).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")

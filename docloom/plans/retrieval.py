@@ -137,7 +137,16 @@ def matched(spark, sf_dir):
     return keyword.keyword_match(keyword_queries(spark, sf_dir), keyword_chunks(spark, sf_dir))
 
 
-@query("e08_keyword_rank")
+# A cover ends at a term and begins at the earliest of the terms' last places before that; of those with one beginning the shortest counts.
+COVERS = f"""{KEYED}, w_ AS (SELECT doc_id * 1000 + page_number AS chunk_id, {WORDS_SQL.format(t="content")} AS w FROM pages_),
+  p_ AS (SELECT query_id, chunk_id, nt, i AS pos, w[i] AS term FROM (SELECT m.query_id, m.chunk_id, q_.t, len(q_.t) AS nt, w, unnest(range(1, len(w) + 1)) AS i FROM match_ m JOIN q_ ON q_.query_id = m.query_id JOIN w_ ON w_.chunk_id = m.chunk_id) WHERE list_contains(t, w[i])),
+  l_ AS (SELECT a.query_id, a.chunk_id, a.nt, a.pos, b.term, max(b.pos) AS last FROM p_ a JOIN p_ b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id AND b.pos <= a.pos GROUP BY ALL),
+  s_ AS (SELECT query_id, chunk_id, nt, pos, min(last) AS start FROM l_ GROUP BY query_id, chunk_id, nt, pos HAVING count(*) = nt),
+  c_ AS (SELECT query_id, chunk_id, nt, start, min(pos) AS stop FROM s_ GROUP BY query_id, chunk_id, nt, start),
+  d_ AS (SELECT query_id, chunk_id, round(sum(0.1::DOUBLE / (1 + (stop - start + 1 - nt))), 9) AS score FROM c_ GROUP BY query_id, chunk_id)"""
+
+
+@query("e08_keyword_rank", f"WITH {COVERS}, best_ AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank FROM d_) WHERE rank <= 10) SELECT query_id, chunk_id, round(score / max(score) OVER (PARTITION BY query_id), 6) AS score, rank FROM best_")
 def cover_ranked(spark, sf_dir):
     return keyword.keyword_rank(keyword_queries(spark, sf_dir), keyword_chunks(spark, sf_dir))
 

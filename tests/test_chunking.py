@@ -36,6 +36,50 @@ def test_boundary_repair_carries_open_sentences():
     assert repaired(["open", "still open"]) == ["open still open"]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="ab AB.!?", min_size=1, max_size=40).map(str.strip).filter(bool), min_size=1, max_size=8))
+def test_repaired_chunks_end_where_a_sentence_does(chunks):
+    out = repaired(chunks)
+    assert "".join("".join(out).split()) == "".join("".join(chunks).split())
+    assert all(c[-1] in ".!?" for c in out[:-1])
+    page, at = "".join(chunks).replace(" ", ""), 0
+    ends = {sum(len(c.replace(" ", "")) for c in chunks[: i + 1]) for i in range(len(chunks))}
+    for c in out[:-1]:  # no chunk grows beyond the end that it had, but for taking up what is unfinished
+        at += len(c.replace(" ", ""))
+        assert any(at <= e for e in ends)
+        assert page[at - 1] in ".!?"
+
+
+def plain_split(text, size, marks):
+    """Without overlap, by cutting at the first mark that occurs and filling chunks greedily."""
+    mark = next(m for m in marks if m == "" or m in text)
+    pieces, rest = [], text
+    while rest:
+        cut = 1 if mark == "" else rest.find(mark, 1 if rest.startswith(mark) else 0)
+        cut = len(rest) if cut < 0 else cut
+        pieces.append(rest[:cut])
+        rest = rest[cut:]
+    out, held = [], ""
+    for p in pieces:
+        if len(p) >= size:
+            out += [held, *(plain_split(p, size, marks[marks.index(mark) + 1 :]) if mark else [p])]
+            held = ""
+        elif len(held) + len(p) > size:
+            out.append(held)
+            held = p
+        else:
+            held += p
+    return [c.strip() for c in [*out, held] if c.strip()]
+
+
+def test_splits_of_whole_tables_equal_a_plain_splitter(spark, sf):
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r.text]
+    for size in (90, 400, 1000):
+        for marks in (PROSE, LEVELS):
+            for text in texts:
+                assert split_text(text[:20_000], size, 0, marks) == plain_split(text[:20_000], size, marks)
+
+
 def test_children_lie_in_parents(spark):
     page = ("Some words here. " * 300).strip()
     rows = split_hierarchical(spark.createDataFrame([(1, 1, page)], "doc_id long, page_number int, content string")).collect()
