@@ -227,6 +227,11 @@ def cache_key(text: Column) -> Column:
     return F.substring(F.sha2(text, 256), 1, 16)
 
 
+def vector_key(vector: Column) -> Column:
+    """Cache key of a vector: that of its components as text, parted by commas; null for a null vector."""
+    return F.when(vector.isNotNull(), cache_key(F.array_join(F.transform(vector, lambda x: x.cast("double").cast("string")), ",")))
+
+
 def expansion_key(query: Column, n: Column, model: Column) -> Column:
     return F.md5(F.concat_ws("|", query, n.cast("string"), model))
 
