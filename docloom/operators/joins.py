@@ -15,13 +15,17 @@ def parents_of_children(hits: DataFrame, edges: DataFrame, k: int) -> DataFrame:
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def preceding_headers(pages: DataFrame, headers: DataFrame) -> DataFrame:
-    """(doc_id, page_number, headers): all headers of the document up to and on the page, by a running list over its pages."""
+def preceding_headers(pages: DataFrame, headers: DataFrame, most: int | None = None) -> DataFrame:
+    """(doc_id, page_number, headers): the headers of the document up to and on the page, by a running list over its pages.
+
+    All of them make lists that grow with the document; ``most`` keeps so many of the last ones.
+    """
     own = headers.groupBy("doc_id", "page_number").agg(F.sort_array(F.collect_list(F.struct("line_index", "text"))).alias("h"))
     base = pages.select("doc_id", "page_number").distinct().join(own, ["doc_id", "page_number"], "left")
     along = Window.partitionBy("doc_id").orderBy("page_number").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     texts = F.transform(F.flatten(F.collect_list("h").over(along)), lambda x: x["text"])
-    return base.select("doc_id", "page_number", texts.alias("headers"))
+    kept = texts if most is None else F.slice(texts, F.greatest(F.lit(1), F.size(texts) - most + 1), F.lit(most))
+    return base.select("doc_id", "page_number", kept.alias("headers"))
 
 
 def section_title(pages: DataFrame, headers: DataFrame) -> DataFrame:

@@ -39,3 +39,14 @@ def test_vector_keys(spark):
     assert keys[1] == keys[2] == hashlib.sha256(b"0.5,-2.0").hexdigest()[:16]
     assert keys[3] != keys[1]
     assert keys[4] is None
+
+
+def test_headers_so_far_with_a_cap(spark):
+    from docloom.operators.joins import preceding_headers
+
+    pages = spark.createDataFrame([(1, p) for p in range(1, 5)], "doc_id long, page_number int")
+    headers = spark.createDataFrame([(1, 1, 0, "a"), (1, 1, 3, "b"), (1, 3, 1, "c")], "doc_id long, page_number int, line_index int, text string")
+    got = lambda most: [r.headers for r in preceding_headers(pages, headers, most).orderBy("page_number").collect()]
+    assert got(None) == [["a", "b"], ["a", "b"], ["a", "b", "c"], ["a", "b", "c"]]
+    assert got(2) == [["a", "b"], ["a", "b"], ["b", "c"], ["b", "c"]]
+    assert got(5) == got(None)
