@@ -9,19 +9,19 @@ from docloom.functions import text_stats as ts
 from docloom.plans.registry import PAGES, TRIM, bounded, count_re, query, read, word_set
 from docloom.plans.texts import CONTENT_TYPE, DENSE, LINES, SIZE, lines, pages
 
-# Openings put before document text, so that every branch of the classifiers is met.
+# Openings put before users' messages, so that every branch of the classifiers is met.
 OPENINGS = [
     "What is the definition of", "Explain how and why, or describe:", "How many", "Compare both", "id 42", 'Find "exact name" in', "Is it so? Or not? And",
     "Summarise", "Which figure and which table or chart", "why", "What percentage", "According to the results, however,",
 ]
 _ARRAY = "[" + ", ".join("'" + o + "'" for o in OPENINGS) + "]"
-QUESTIONS = f"""questions_ AS (SELECT doc_id AS query_id, {_ARRAY}[(doc_id % {len(OPENINGS)} + 1)::INTEGER] || ' ' || substr(text, 1, (20 + doc_id % 90)::INTEGER) AS query FROM documents WHERE text IS NOT NULL)"""
+QUESTIONS = f"""questions_ AS (SELECT conv_id * 100 + turn AS query_id, {_ARRAY}[((conv_id + turn) % {len(OPENINGS)} + 1)::INTEGER] || ' ' || text AS query FROM conversations WHERE role = 'user' AND text IS NOT NULL)"""
 
 
 def questions(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").where("text IS NOT NULL")
-    opening = F.element_at(F.array(*[F.lit(o) for o in OPENINGS]), (F.col("doc_id") % len(OPENINGS) + 1).cast("int"))
-    return docs.select(F.col("doc_id").alias("query_id"), F.concat(opening, F.lit(" "), F.expr("substring(text, 1, int(20 + doc_id % 90))")).alias("query"))
+    messages = read(spark, sf_dir, "conversations").where("role = 'user' AND text IS NOT NULL")
+    opening = F.element_at(F.array(*[F.lit(o) for o in OPENINGS]), ((F.col("conv_id") + F.col("turn")) % len(OPENINGS) + 1).cast("int"))
+    return messages.select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), F.concat(opening, F.lit(" "), "text").alias("query"))
 
 
 SENTENCES = rf"""{PAGES}, sentences_ AS (SELECT doc_id, page_number, (i - 1)::INTEGER AS sentence_index, s[i] AS content FROM (
@@ -152,12 +152,12 @@ def context_text(spark, sf_dir):
 
 
 @query("b26_image_chunk_text", """SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'Image on page ' || (doc_id % 9) || ': No description available' ELSE
-  'Image on page ' || (doc_id % 9) || ': ' || coalesce(CASE WHEN doc_id % 5 > 0 THEN substr(text, 1, 30) END, 'No caption') || coalesce(chr(10) || chr(10) || 'Details: ' || nullif(substr(text, 31, 40), ''), '') || CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(10) || 'Text in image: ' || source ELSE '' END || chr(10) || chr(10) || 'Tags: ' || lang || ', ' || source END AS content FROM documents WHERE text IS NOT NULL""")
+  'Image on page ' || (doc_id % 9) || ': ' || coalesce(CASE WHEN doc_id % 5 > 0 THEN lang END, 'No caption') || coalesce(chr(10) || chr(10) || 'Details: ' || nullif(text, ''), '') || CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(10) || 'Text in image: ' || source ELSE '' END || chr(10) || chr(10) || 'Tags: ' || lang || ', ' || source END AS content FROM documents WHERE text IS NOT NULL""")
 def image_text(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").where("text IS NOT NULL")
     shown = lambda c: F.when(F.col("doc_id") % 7 != 0, c)
     text = fq.image_chunk_text(
-        F.col("doc_id") % 9, shown(F.when(F.col("doc_id") % 5 > 0, F.substring("text", 1, 30))), shown(F.substring("text", 31, 40)), shown(F.when(F.col("doc_id") % 2 == 0, F.col("source"))), shown(F.array("lang", "source"))
+        F.col("doc_id") % 9, shown(F.when(F.col("doc_id") % 5 > 0, F.col("lang"))), shown(F.col("text")), shown(F.when(F.col("doc_id") % 2 == 0, F.col("source"))), shown(F.array("lang", "source"))
     )
     return docs.select("doc_id", text.alias("content"))
 
@@ -231,21 +231,21 @@ def client(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", fq.client_key(F.when(k == 0, ip).otherwise(""), F.when(k == 1, F.concat(F.lit("real"), F.col("user_id").cast("string"))), F.when(k == 2, "host")).alias("client"))
 
 
-@query("b36_parse_caption", f"SELECT doc_id, trim(substr(text, 1, 40), {TRIM}) AS short, trim(substr(text, 41, 60), {TRIM}) AS detailed, nullif(trim(CASE WHEN doc_id % 3 = 0 THEN '' ELSE source END), '') AS ocr FROM documents WHERE text IS NOT NULL AND doc_id % 4 <> 3 AND trim(substr(text, 1, 40), {TRIM}) <> '' AND trim(substr(text, 41, 60), {TRIM}) <> '' AND NOT contains(text, '`')")
+@query("b36_parse_caption", f"SELECT doc_id, lang AS short, trim(text, {TRIM}) AS detailed, nullif(trim(CASE WHEN doc_id % 3 = 0 THEN '' ELSE source END), '') AS ocr FROM documents WHERE text IS NOT NULL AND doc_id % 4 <> 3 AND lang <> '' AND trim(text, {TRIM}) <> '' AND NOT contains(text, '`')")
 def caption(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").where("text IS NOT NULL AND NOT contains(text, '`')")
-    body = F.to_json(F.struct(F.substring("text", 1, 40).alias("short_caption"), F.substring("text", 41, 60).alias("detailed_description"), F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("source")).alias("ocr_text")))
+    body = F.to_json(F.struct(F.col("lang").alias("short_caption"), F.col("text").alias("detailed_description"), F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("source")).alias("ocr_text")))
     k = F.col("doc_id") % 4
     answer = F.when(k == 0, body).when(k == 1, F.concat(F.lit("Here:\n```json\n"), body, F.lit("\n```"))).when(k == 2, F.concat(F.lit("```\n"), body, F.lit("```"))).otherwise(F.lit("no json"))
     found = docs.select("doc_id", fq.parse_caption(answer).alias("c")).where("c IS NOT NULL")
     return found.select("doc_id", F.col("c.short").alias("short"), F.col("c.long").alias("detailed"), F.col("c.ocr").alias("ocr"))
 
 
-@query("b37_parse_query_list", rf"""WITH p_ AS (SELECT doc_id, list_filter(string_split(regexp_replace(substr(text, 1, 200), '[^A-Za-z ]', '', 'g'), ' '), lambda x: x <> '')[1:4] AS w FROM documents WHERE text IS NOT NULL)
+@query("b37_parse_query_list", rf"""WITH p_ AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '[^A-Za-z ]', '', 'g'), ' '), lambda x: x <> '')[1:4] AS w FROM documents WHERE text IS NOT NULL)
   SELECT doc_id, array_to_string(CASE WHEN doc_id % 4 = 0 THEN list_filter(w, lambda x: length(x) > 3)[1:3] ELSE list_filter(w[1:3], lambda x: length(x) > 3) END, '|') AS queries FROM p_ WHERE len(w) >= 4""")
 def query_list(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").where("text IS NOT NULL")
-    words = F.slice(F.filter(F.split(F.regexp_replace(F.substring("text", 1, 200), "[^A-Za-z ]", ""), " "), lambda x: x != ""), 1, 4)
+    words = F.slice(F.filter(F.split(F.regexp_replace("text", "[^A-Za-z ]", ""), " "), lambda x: x != ""), 1, 4)
     rows = docs.select("doc_id", words.alias("w")).where(F.size("w") >= 4)
     as_list = lambda mark, close: F.array_join(F.transform("w", lambda x: F.concat(F.lit(mark), x, F.lit(close))), "\n")
     k = F.col("doc_id") % 4

@@ -117,14 +117,14 @@ def approximate(spark, sf_dir):
 
 STOP_SQL = "[" + ", ".join(f"'{w}'" for w in keyword.STOP) + "]"
 WORDS_SQL = r"regexp_extract_all(lower({t}), '[\p{{L}}\p{{N}}_]+')"
-KEYED = f"""{PAGES}, q_ AS (SELECT doc_id AS query_id, doc_id, list_filter(list_distinct({WORDS_SQL.format(t="substr(text, 1, 60)")}[2:4]), lambda x: NOT list_contains({STOP_SQL}, x)) AS t FROM documents WHERE doc_id % 50 = 0 AND text IS NOT NULL),
+KEYED = f"""{PAGES}, q_ AS (SELECT doc_id AS query_id, doc_id, list_filter(list_distinct({WORDS_SQL.format(t="text")}[2:4]), lambda x: NOT list_contains({STOP_SQL}, x)) AS t FROM documents WHERE doc_id % 50 = 0 AND text IS NOT NULL),
   post_ AS (SELECT doc_id, doc_id * 1000 + page_number AS chunk_id, term, count(*) AS n FROM (SELECT doc_id, page_number, unnest({WORDS_SQL.format(t="content")}) AS term FROM pages_) GROUP BY ALL),
   match_ AS (SELECT query_id, chunk_id, len(t)::INTEGER AS n_terms, sum(n)::BIGINT AS occurrences, count(*) AS found FROM (SELECT query_id, doc_id, t, unnest(t) AS term FROM q_ WHERE len(t) > 0) JOIN post_ USING (doc_id, term) GROUP BY query_id, chunk_id, t HAVING count(*) = len(t))"""
 
 
 def keyword_queries(spark, sf_dir, first: int = 2, n: int = 3):
     docs = read(spark, sf_dir, "documents").where("doc_id % 50 = 0 AND text IS NOT NULL")
-    words = F.slice(keyword.terms(F.substring("text", 1, 60)), first, n)
+    words = F.slice(keyword.terms(F.col("text")), first, n)
     return docs.select(F.col("doc_id").alias("query_id"), "doc_id", F.array_join(words, " ").alias("query"))
 
 
