@@ -63,7 +63,13 @@ query("k02_success_windows", "WITH e_ AS (SELECT time_bucket(INTERVAL 1 HOUR, ts
 )
 
 
-@query("k03_rate_limit")
+_LOG = "list_filter(f_.held, lambda h: h > t_.ts - INTERVAL 3600 SECONDS)"
+
+
+@query("k03_rate_limit", f"""WITH RECURSIVE t_ AS (SELECT user_id AS client, event_id AS request_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+  f_ AS (SELECT client, i, request_id, ts, TRUE AS admitted, [ts] AS held FROM t_ WHERE i = 1
+   UNION ALL SELECT t_.client, t_.i, t_.request_id, t_.ts, len({_LOG}) < 4, CASE WHEN len({_LOG}) < 4 THEN list_append({_LOG}, t_.ts) ELSE {_LOG} END FROM f_ JOIN t_ ON t_.client = f_.client AND t_.i = f_.i + 1)
+  SELECT client, request_id, ts, admitted FROM f_""")
 def limited(spark, sf_dir):
     rows = read(spark, sf_dir, "events").select(F.col("user_id").alias("client"), F.col("event_id").alias("request_id"), "ts")
     return jobs.rate_limit(rows, 4, 3600.0)
@@ -90,7 +96,14 @@ def hits(spark, sf_dir):
     return jobs.cached_hits(rows.where("event_type = 'view'"), rows.where("event_type = 'purchase'"))
 
 
-@query("k06_semantic_cache")
+_LIVE = "list_filter(f_.held, lambda h: h.ts > t_.ts - INTERVAL 10 HOURS)"
+_NEAR = f"list_sort(list_filter(list_transform({_LIVE}, lambda h: {{'far': -round(list_cosine_similarity(h.v, t_.v), 9), 'id': h.id}}), lambda x: x.far <= -0.3))[1]"
+
+
+@query("k06_semantic_cache", f"""WITH RECURSIVE t_ AS (SELECT label AS key, vec_id AS id, make_timestamp(vec_id * 60000000) AS ts, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i FROM embeddings),
+  f_ AS (SELECT key, i, id, ts, NULL::BIGINT AS entry_id, NULL::DOUBLE AS similarity, [{{'ts': ts, 'id': id, 'v': v}}] AS held FROM t_ WHERE i = 1
+   UNION ALL SELECT t_.key, t_.i, t_.id, t_.ts, ({_NEAR}).id, -({_NEAR}).far, CASE WHEN ({_NEAR}).id IS NULL THEN list_append({_LIVE}, {{'ts': t_.ts, 'id': t_.id, 'v': t_.v}}) ELSE {_LIVE} END FROM f_ JOIN t_ ON t_.key = f_.key AND t_.i = f_.i + 1)
+  SELECT key, id, ts, entry_id, similarity FROM f_""")
 def answered(spark, sf_dir):
     """Every vector as a question about its document, one a minute, answered by a similar one of the last ten hours."""
     rows = read(spark, sf_dir, "embeddings").select(F.col("label").alias("key"), F.col("vec_id").alias("id"), F.timestamp_seconds(F.col("vec_id") * 60).alias("ts"), F.col("embedding").alias("vector"))
