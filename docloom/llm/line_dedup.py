@@ -24,6 +24,8 @@ CHUNK = 1 << 16
 SEEN_LINES = 500_000
 #: Lines whose band keys a task folds before it sends them on, and the parts that the folded ones are dealt to.
 FOLD_LINES, SALTS = 150_000, 64
+#: Up to so many nodes around a hub are compared pair by pair.
+FEW = 8
 #: Most bits of the filter that keeps lines without candidates away from the text exchange.
 FILTER_BITS = 1 << 26
 _rng = np.random.default_rng(20_240_229)
@@ -246,26 +248,39 @@ def open_pairs(stars: DataFrame, roots: DataFrame) -> DataFrame:
     A shared shingle is looked for by equi-join, rarest ones first: if what follows it in both nodes
     can't make up the number, the pair has shared a rarer one or isn't similar. Independent changes of one line share
     nothing but what is common to all, so a large group of near copies makes few pairs. No similar pair is missed.
+    Around a hub with up to ``FEW`` nodes the numbers are simply counted for each pair.
     """
     slack = (1 - THRESHOLD) / (1 + THRESHOLD)
     rooted = stars.join(roots, "node", "left").withColumn("root", F.coalesce("component", "node"))
-    mixed = rooted.groupBy("hub").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("size").alias("most")).where("low <> high")
-    around = rooted.join(mixed.select("hub", "most"), "hub").withColumn("e", F.size("more")).withColumn("m", F.size("less"))
-    around = materialize(around.select("hub", "node", "near", "root", "size", "most", "e", "m", "more", "less"), "lines-around")
+    mixed = rooted.groupBy("hub").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("size").alias("most"), F.count("*").alias("members")).where("low <> high")
+    around = rooted.join(mixed.select("hub", "most", "members"), "hub").withColumn("e", F.size("more")).withColumn("m", F.size("less"))
+    around = materialize(around.select("hub", "node", "near", "root", "size", "most", "members", "e", "m", "more", "less"), "lines-around")
+    whole = around
 
     bare = ["hub", "node", "root", "size", "e", "m"]
-    kinds = [around.select(*bare, F.lit(i).alias("kind"), F.explode(c).alias("token")) for i, c in enumerate(("more", "less"))]
-    # lacking shingles only count where extras are few enough not to be shared
-    kinds[1] = kinds[1].where(F.col("e") <= slack * F.col("size") * (1 + 1 / THRESHOLD) + 1e-6)
-    tokens = kinds[0].union(kinds[1])
-    counted = tokens.join(tokens.groupBy("hub", "kind", "token").agg(F.count("*").alias("n")), ["hub", "kind", "token"])
-    place = F.row_number().over(Window.partitionBy("hub", "kind", "node").orderBy("n", "token"))
-    placed = materialize(counted.withColumn("at", place).where("n > 1").drop("n"), "lines-tokens")
-
     other = lambda df: df.toDF(*[c if c in ("hub", "kind", "token") else f"{c}2" for c in df.columns])
     both = lambda f, c: f(F.col(c), F.col(f"{c}2"))
     apart = lambda c: F.abs(F.col(c) - F.col(f"{c}2"))
     limit = slack * (F.col("size") + F.col("size2")) + 1e-6
+    distinct = F.col("root") != F.col("root2")
+
+    # a few nodes: their pairs are compared by the shingles themselves
+    few = around.where(F.col("members") <= FEW).select(*bare, "more", "less")
+    common = lambda c: F.size(F.array_intersect(c, f"{c}2"))
+    differ = F.col("e") + F.col("e2") - 2 * common("more") + F.col("m") + F.col("m2") - 2 * common("less")
+    alike = few.join(other(few), "hub").where((F.col("node") < F.col("node2")) & distinct & (apart("e") + apart("m") <= limit) & (differ <= limit)).select("node", "node2")
+
+    around = around.where(F.col("members") > FEW)
+    kinds = [around.select("hub", "node", F.lit(i).alias("kind"), F.explode(c).alias("token")) for i, c in enumerate(("more", "less"))]
+    # lacking shingles only count where extras are few enough not to be shared
+    kinds[1] = kinds[1].join(around.where(F.col("e") <= slack * F.col("size") * (1 + 1 / THRESHOLD) + 1e-6).select("hub", "node"), ["hub", "node"])
+    tokens = kinds[0].union(kinds[1]).withColumn("token", F.xxhash64("token"))
+    often = tokens.groupBy("hub", "kind", "token").agg(F.count("*").alias("n")).where("n > 1")
+    counted = tokens.join(often, ["hub", "kind", "token"]).join(around.select(*bare), ["hub", "node"])
+    own = Window.partitionBy("hub", "kind", "node")
+    # those that no other node has come first, and are not there any more
+    alone = F.when(F.col("kind") == 0, F.col("e")).otherwise(F.col("m")) - F.count("*").over(own)
+    placed = materialize(counted.withColumn("at", alone + F.row_number().over(own.orderBy("n", "token"))).drop("n"), "lines-tokens")
 
     def shared(a: str, b: str) -> Column:
         return F.col(a) + F.col(f"{a}2") + apart(b) - limit  # twice the number that must be shared
@@ -273,7 +288,6 @@ def open_pairs(stars: DataFrame, roots: DataFrame) -> DataFrame:
     def enough(a: str, b: str) -> Column:
         return 2 * (1 + F.least(F.col(a) - F.col("at"), F.col(f"{a}2") - F.col("at2"))) >= shared(a, b)
 
-    distinct = F.col("root") != F.col("root2")
     fits = (apart("e") + apart("m") <= limit) & F.when(F.col("kind") == 0, enough("e", "m")).otherwise((shared("e", "m") <= 0) & enough("m", "e"))
     found = placed.join(other(placed), ["hub", "kind", "token"]).where((F.col("node") < F.col("node2")) & distinct & fits).select("node", "node2")
 
@@ -282,8 +296,8 @@ def open_pairs(stars: DataFrame, roots: DataFrame) -> DataFrame:
     outer = tight.where(~F.col("near") & (F.col("e") + F.col("m") <= slack * (F.col("size") + F.col("most")) + 1e-6)).select(*bare)
     close = outer.join(other(tight.select(*bare)), "hub").where(distinct & (both(F.greatest, "e") + both(F.greatest, "m") <= limit) & (F.col("node") != F.col("node2")))
     close = close.select(both(F.least, "node").alias("node"), both(F.greatest, "node").alias("node2"))
-    pairs = materialize(found.union(close).toDF("u", "v").distinct(), "lines-pairs")
-    discard(around, placed)
+    pairs = materialize(alike.union(found).union(close).toDF("u", "v").distinct(), "lines-pairs")
+    discard(whole, placed)
     return pairs
 
 
