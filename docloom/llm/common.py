@@ -8,7 +8,8 @@ import uuid
 from weakref import WeakKeyDictionary
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _local: dict[str, str] = {}
 _written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
@@ -66,6 +67,21 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def numbered(df: DataFrame, order: list[Column], label: str, within: tuple[str, ...] = (), name: str = "place") -> DataFrame:
+    """``df`` with the place (from 0) of each row in the given order, counted anew for each value of ``within``.
+
+    Rows are sorted over all partitions and written; after that only a count for each partition (and value of
+    ``within`` in it) is added up, so no task holds a whole group. Rows alike in ``order`` are spread as well.
+    """
+    tied = df.withColumn("at", F.monotonically_increasing_id())
+    ordered = tied.orderBy(*within, *order, "at").withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.shiftright("at", 33))
+    ordered = materialize(ordered, label)
+    before = Window.partitionBy(*within).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ordered.groupBy(*within, "part").agg(F.count("*").alias("n"), F.min("at").alias("begin"))
+    parts = parts.select(*within, "part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("begin")).alias("shift"))
+    return ordered.join(parts, [*within, "part"]).withColumn(name, F.col("at") + F.col("shift")).drop("at", "part", "shift")
+
+
 def utf8(text: str | None) -> bytes:
     """UTF-8 of a text; null is empty."""
     return b"" if text is None else text.encode("utf-8", "surrogatepass")

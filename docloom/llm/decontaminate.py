@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from docloom.llm.common import small_batches, table, utf8
 
 #: Words are digits, letters and everything outside ASCII; other ASCII characters part them.
-_FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 WINDOW = 10
 #: Items of at most about so many bytes go into one automaton (and one broadcast); more items, more scans.
@@ -22,7 +22,7 @@ SHARD_BYTES = 16_000_000
 
 
 def words(text: str | None) -> list[bytes]:
-    return utf8(text).translate(_FOLD).split()
+    return utf8(text).translate(FOLD).split()
 
 
 class Matcher:
