@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import questions as fq
 from docloom.functions import text_stats as ts
-from docloom.sources.tables import stable_id
+from docloom.operators.vectors import hashed_counts, neighbour_distances
+from docloom.sources.tables import stable_id, stripped
 
 # Separators by content type, tried in this order.
 PROSE = ["\n\n", "\n", ". ", "! ", "? ", "; ", ", ", " ", ""]
@@ -153,19 +155,49 @@ def edges(levels: DataFrame) -> DataFrame:
     return levels.select(F.col("parent_id").alias("parent_chunk_id"), F.col("child_id").alias("child_chunk_id"), "child_index")
 
 
-def split_semantic(sentences: DataFrame, key: str = "doc_id", order: str = "sentence_index", vector: str = "vector", percentile: float = 0.5) -> DataFrame:
-    """Adds semantic_chunk: a new chunk begins after a sentence whose cosine distance to the next is above the percentile (0 to 100) of its document."""
-    along = Window.partitionBy(key).orderBy(order)
+def split_semantic(sentences: DataFrame, key: str | list[str] = "doc_id", order: str = "sentence_index", vector: str = "vector", percentile: float = 0.5) -> DataFrame:
+    """Adds semantic_chunk: a new chunk begins after a sentence whose cosine distance to the next is above the percentile (0 to 100) of its document.
+
+    For sentences that have vectors already; their key should be a section of bounded size. ``split_semantic_pages`` begins at the text.
+    """
+    keys = [key] if isinstance(key, str) else key
+    along = Window.partitionBy(*keys).orderBy(order)
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     own, following = F.col(vector), F.lead(vector).over(along)
     distance = 1 - dot(own, following) / F.sqrt(dot(own, own) * dot(following, following))
     rows = sentences.withColumn("distance", F.round(distance, 9))
-    threshold = F.percentile("distance", F.lit(percentile / 100)).over(Window.partitionBy(key))
+    threshold = F.percentile("distance", F.lit(percentile / 100)).over(Window.partitionBy(*keys))
     rows = rows.withColumn("breaks", (F.col("distance") > threshold).cast("int"))
     before = along.rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("semantic_chunk", F.coalesce(F.sum("breaks").over(before), F.lit(0)).cast("int")).drop("breaks")
 
 
+def split_semantic_pages(pages: DataFrame, embed: Callable[[list[str]], np.ndarray] = hashed_counts, percentile: float = 0.5, neighbours: int = 1) -> DataFrame:
+    """(doc_id, page_number, chunk_index, content, n_sentences): pages cut where their meaning turns.
+
+    Sentences end with a full stop, question or exclamation mark before white space. Each is embedded together with
+    ``neighbours`` sentences on both sides; a chunk ends after a sentence whose cosine distance to the next is above the
+    percentile (0 to 100, interpolated) of its page's distances, so the default of 0.5 breaks nearly everywhere. A page is a
+    row from start to end: nothing is exchanged, and only the texts to embed leave the JVM. ``embed`` takes texts to
+    vectors, 50 at a time. A page of one sentence is one chunk; null and blank pages have none.
+    """
+    s, far = F.col("s"), F.col("far")
+    found = F.filter(F.split("content", r"(?<=[.?!])[\t-\r\x1C-\x20\x85\pZ]+", -1), lambda x: stripped(x) != "")
+    first = lambda i: F.greatest(i + 1 - neighbours, F.lit(1))
+    windows = F.transform(s, lambda _, i: F.array_join(F.slice(s, first(i), i + 2 + neighbours - first(i)), " "))
+    rows = pages.select("doc_id", "page_number", found.alias("s")).where(F.size("s") > 0)
+    rows = rows.withColumn("far", neighbour_distances(embed)(windows))
+    ranked, rank = F.array_sort(far), (F.size(far) - 1) * F.lit(percentile / 100)
+    low = F.element_at("ranked", F.floor("rank").cast("int") + 1)
+    high = F.element_at("ranked", F.least(F.floor("rank").cast("int") + 2, F.size(far)))
+    rows = rows.withColumns({"ranked": ranked, "rank": rank}).withColumn("limit", F.when(F.size(far) > 0, low + (high - low) * (F.col("rank") - F.floor("rank"))))
+    ends = F.filter(F.transform(far, lambda d, i: F.when(d > F.col("limit"), i + 1)), lambda e: e.isNotNull())
+    rows = rows.withColumn("ends", F.concat(ends, F.array(F.size(s))))
+    rows = rows.select("doc_id", "page_number", "s", F.posexplode(F.transform("ends", lambda e, i: F.struct(F.when(i > 0, F.get("ends", i - 1)).otherwise(0).alias("begin"), e.alias("end")))).alias("chunk_index", "span"))
+    size = F.col("span.end") - F.col("span.begin")
+    return rows.select("doc_id", "page_number", "chunk_index", F.array_join(F.slice("s", F.col("span.begin") + 1, size), " ").alias("content"), size.alias("n_sentences"))
+
+
 def all_chunks(*kinds: DataFrame) -> DataFrame:
     """Text, image and table chunks as one table; columns that a kind lacks are null."""
     out = kinds[0]

@@ -1,16 +1,20 @@
-"""Vector search: cosine, exact and approximate nearest chunks, reranking, embedding."""
+"""Vector search: cosine, exact nearest chunks, reranking, embedding."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import re
+import zlib
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of chunks that meet a query block at once.
 BLOCK = 4096
+_WORD = re.compile(r"\w+")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -29,6 +33,22 @@ def top(rows: DataFrame, keys: list[str], score: str, tie: str, k: int) -> DataF
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """The vectors of an Arrow list column, all of one length, as rows."""
+    values = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(values), -1) if len(values) else np.zeros((0, 0))
+
+
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    """Rows of unit length; rows of zeros stay."""
+    return x / np.maximum(np.linalg.norm(x, axis=1), 1e-300)[:, None]
+
+
+def whole_vectors(rows: DataFrame, name: str) -> DataFrame:
+    """Rows whose vector is there and holds no null and no NaN."""
+    return rows.where(F.col(name).isNotNull() & ~F.exists(name, lambda x: x.isNull() | F.isnan(x)))
+
+
 def knn(queries: DataFrame, chunks: DataFrame, k: int, by: str = "document_id", block: int = BLOCK) -> DataFrame:
     """(query_id, chunk_id, similarity, rank): the k chunks nearest by cosine to each query within its document.
 
@@ -45,24 +65,21 @@ def knn(queries: DataFrame, chunks: DataFrame, k: int, by: str = "document_id",
 def block_hits(queries: DataFrame, chunks: DataFrame, k: int, by: str, block: int = BLOCK) -> DataFrame:
     """(query_id, chunk_id, similarity): the k best of each query and block, as described at ``knn``."""
 
-    def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or c.empty:
-            return pd.DataFrame({"query_id": [], "chunk_id": [], "similarity": []})
-        c = c.sort_values("chunk_id", kind="stable")
-        ids, x = c["chunk_id"].to_numpy(), np.stack(c["embedding"].to_numpy()).astype(np.float64)
-        x /= np.maximum(np.linalg.norm(x, axis=1), 1e-300)[:, None]
-        out = []
-        for lo in range(0, len(q), 512):
-            part = q.iloc[lo : lo + 512]
-            y = np.stack(part["query_vector"].to_numpy()).astype(np.float64)
-            y /= np.maximum(np.linalg.norm(y, axis=1), 1e-300)[:, None]
-            s = np.round(y @ x.T, 9)
+    def run(q: pa.Table, c: pa.Table) -> pa.Table:
+        kinds = pa.schema([("query_id", q.schema.field("query_id").type), ("chunk_id", c.schema.field("chunk_id").type), ("similarity", pa.float64())])
+        if not q.num_rows or not c.num_rows:
+            return kinds.empty_table()
+        c = c.sort_by("chunk_id")
+        names, x, out = c.column("chunk_id").combine_chunks(), unit_rows(matrix(c.column("embedding"))), []
+        for lo in range(0, q.num_rows, 512):
+            part = q.slice(lo, 512)
+            s = np.round(unit_rows(matrix(part.column("query_vector"))) @ x.T, 9)
             take = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            out.append(pd.DataFrame({"query_id": np.repeat(part["query_id"].to_numpy(), take.shape[1]), "chunk_id": ids[take].ravel(), "similarity": np.take_along_axis(s, take, 1).ravel()}))
-        return pd.concat(out)
+            asked = part.column("query_id").combine_chunks().take(pa.array(np.repeat(np.arange(len(take)), take.shape[1])))
+            out.append(pa.table([asked, names.take(pa.array(take.ravel())), pa.array(np.take_along_axis(s, take, 1).ravel())], schema=kinds))
+        return pa.concat_tables(out)
 
-    whole = lambda rows, name: rows.where(F.col(name).isNotNull() & ~F.exists(name, lambda x: x.isNull() | F.isnan(x)))
-    queries, chunks = whole(queries, "query_vector"), whole(chunks, "embedding")
+    queries, chunks = whole_vectors(queries, "query_vector"), whole_vectors(chunks, "embedding")
     ids = dict(chunks.dtypes)["chunk_id"]
     number = lambda rows, name: rows.groupBy(by).agg(F.ceil(F.count("*") / block).cast("int").alias(name))
     sizes = number(chunks, "chunk_blocks").join(number(queries, "query_blocks"), by)
@@ -73,40 +90,7 @@ def block_hits(queries: DataFrame, chunks: DataFrame, k: int, by: str, block: in
     # aliased, as both sides may come from one table
     dealt = dealt.select(*[F.col(c).alias(c) for c in (by, "qb", "cb", "chunk_id", "embedding")])
     asked = asked.select(*[F.col(c).alias(c) for c in (by, "qb", "cb", "query_id", "query_vector")])
-    return asked.groupBy(by, "qb", "cb").cogroup(dealt.groupBy(by, "qb", "cb")).applyInPandas(run, f"query_id {dict(queries.dtypes)['query_id']}, chunk_id {ids}, similarity double")
-
-
-def ann(queries: DataFrame, chunks: DataFrame, k: int, by: str = "document_id", planes: int = 6, tables: int = 8, dim: int = 64, seed: int = 1, probes: int = 12) -> DataFrame:
-    """Approximate knn over ``tables`` random-hyperplane tables; candidates are scored exactly, block by block as in ``knn``.
-
-    Every chunk stands in one bucket of each table. A query looks into ``probes`` buckets of each table: its own
-    and those across the planes nearest to it (the least sum of distances to the planes crossed).
-    """
-    normals = np.random.default_rng(seed).standard_normal((tables * planes, dim))
-    masks = np.arange(1 << planes)
-    crossed = (masks[:, None] >> np.arange(planes)) & 1
-
-    def sides(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-        """[vector, table, plane] distances to the planes and [vector, table] keys."""
-        at = (np.stack(vectors.to_numpy()).astype(np.float64) @ normals.T).reshape(len(vectors), tables, planes)
-        return np.abs(at), ((at > 0) * (1 << np.arange(planes))).sum(axis=2)
-
-    @F.pandas_udf("array<int>")
-    def keys(vectors: pd.Series) -> pd.Series:
-        return pd.Series(list(sides(vectors)[1] + (np.arange(tables) << planes)))
-
-    @F.pandas_udf("array<int>")
-    def probed(vectors: pd.Series) -> pd.Series:
-        far, own = sides(vectors)
-        near = masks[np.argsort(far @ crossed.T, axis=2, kind="stable")[:, :, :probes]]
-        return pd.Series(list(((own[:, :, None] ^ near) + (np.arange(tables) << planes)[:, None]).reshape(len(vectors), -1)))
-
-    place = lambda rows, buckets: rows.withColumn("bucket", F.explode(buckets)).withColumn("place", F.concat(F.col(by).cast("string"), F.lit("/"), F.col("bucket").cast("string")))
-    q = place(queries.select(by, "query_id", "query_vector"), probed("query_vector"))
-    c = place(chunks.select(by, "chunk_id", "embedding"), keys("embedding"))
-    # a chunk may be met in several tables
-    scored = block_hits(q, c, k, "place").groupBy("query_id", "chunk_id").agg(F.max("similarity").alias("similarity"))
-    return top(scored, ["query_id"], "similarity", "chunk_id", k)
+    return asked.groupBy(by, "qb", "cb").cogroup(dealt.groupBy(by, "qb", "cb")).applyInArrow(run, f"query_id {dict(queries.dtypes)['query_id']}, chunk_id {ids}, similarity double")
 
 
 def rerank(candidates: DataFrame, k: int = 15, scorer: Callable[[Column, Column], Column] = cosine) -> DataFrame:
@@ -115,19 +99,46 @@ def rerank(candidates: DataFrame, k: int = 15, scorer: Callable[[Column, Column]
     return top(scored.drop("rank"), ["query_id"], "similarity", "chunk_id", k)
 
 
+def hashed_counts(texts: Sequence[str | None], dim: int = 64) -> np.ndarray:
+    """[text, place] how many words of each text hash to each place."""
+    out, places = np.zeros((len(texts), dim)), {}
+    for i, t in enumerate(texts):
+        for w in _WORD.findall((t or "").lower()):
+            at = places.get(w)
+            if at is None:
+                at = places[w] = zlib.crc32(w.encode()) % dim
+            out[i, at] += 1
+    return out
+
+
 def hashed_embedder(dim: int = 64):
     """A default embedder: hashed term frequencies, L2-normalised. Any iterator UDF of text batches may take its place."""
-    import re
-    import zlib
 
     @F.pandas_udf("array<float>")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            out = np.zeros((len(texts), dim), dtype=np.float32)
-            for i, t in enumerate(texts):
-                for w in re.findall(r"\w+", (t or "").lower()):
-                    out[i, zlib.crc32(w.encode()) % dim] += 1
+            out = hashed_counts(texts.tolist(), dim).astype(np.float32)
             out /= np.maximum(np.linalg.norm(out, axis=1), 1e-9)[:, None]
             yield pd.Series(list(out))
 
     return embed
+
+
+def neighbour_distances(embed: Callable[[list[str]], np.ndarray], batch: int = 50):
+    """A UDF from the texts of a row to the cosine distances of each text to the next; 1 where either vector is zero.
+
+    The texts of many rows are embedded together, ``batch`` at a time and in order.
+    """
+
+    @F.pandas_udf("array<double>")
+    def distances(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for rows in batches:
+            texts = [t for r in rows for t in r]
+            x = np.concatenate([np.asarray(embed(texts[at : at + batch]), np.float64) for at in range(0, len(texts), batch)] or [np.zeros((0, 1))])
+            own = (x * x).sum(axis=1)
+            norm = np.sqrt(own[:-1] * own[1:])
+            far = 1 - np.divide((x[:-1] * x[1:]).sum(axis=1), norm, out=np.zeros(len(norm)), where=norm > 0)
+            ends = np.cumsum([len(r) for r in rows])
+            yield pd.Series([far[e - len(r) : max(e - 1, 0)] for r, e in zip(rows, ends, strict=True)])
+
+    return distances

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docloom.operators import chunking, fusion, keyword, vectors
-from docloom.plans.registry import PAGES, query, read
+from docloom.operators import ann, chunking, fusion, keyword, vectors
+from docloom.plans.registry import PAGES, TRIM, crc32, query, read
 from docloom.plans.texts import pages
 
 
@@ -33,13 +33,38 @@ COS = "list_inner_product({a}, {b}) / (sqrt(list_inner_product({a}, {a})) * sqrt
 VECS = "vecs_ AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)"
 
 
-@query("c05_split_semantic", f"""WITH {VECS}, d_ AS (SELECT label, vec_id, round(1 - list_inner_product(v, nv) / sqrt(list_inner_product(v, v) * list_inner_product(nv, nv)), 9) AS distance FROM (SELECT *, lead(v) OVER (PARTITION BY label ORDER BY vec_id) AS nv FROM vecs_)),
-  t_ AS (SELECT label, quantile_cont(distance, 0.5) AS t FROM d_ GROUP BY label),
-  b_ AS (SELECT d_.*, (distance > t)::INTEGER AS br FROM d_ JOIN t_ USING (label))
-  SELECT label, vec_id, distance, coalesce(sum(br) OVER (PARTITION BY label ORDER BY vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INTEGER AS semantic_chunk FROM b_""")
+# Every hundred vectors of a label are one section.
+@query("c05_split_semantic", f"""WITH {VECS}, d_ AS (SELECT label, section, vec_id, round(1 - list_inner_product(v, nv) / sqrt(list_inner_product(v, v) * list_inner_product(nv, nv)), 9) AS distance FROM (SELECT *, vec_id // 100 AS section, lead(v) OVER (PARTITION BY label, vec_id // 100 ORDER BY vec_id) AS nv FROM vecs_)),
+  t_ AS (SELECT label, section, quantile_cont(distance, 0.5) AS t FROM d_ GROUP BY label, section),
+  b_ AS (SELECT d_.*, (distance > t)::INTEGER AS br FROM d_ JOIN t_ USING (label, section))
+  SELECT label, vec_id, distance, coalesce(sum(br) OVER (PARTITION BY label, section ORDER BY vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INTEGER AS semantic_chunk FROM b_""")
 def semantic(spark, sf_dir):
-    rows = read(spark, sf_dir, "embeddings").select("label", "vec_id", F.col("embedding").alias("vector"))
-    return chunking.split_semantic(rows, "label", "vec_id", percentile=50.0).select("label", "vec_id", "distance", "semantic_chunk")
+    rows = read(spark, sf_dir, "embeddings").select("label", F.floor(F.col("vec_id") / 100).alias("section"), "vec_id", F.col("embedding").alias("vector"))
+    return chunking.split_semantic(rows, ["label", "section"], "vec_id", percentile=50.0).select("label", "vec_id", "distance", "semantic_chunk")
+
+
+def semantic_sql(percentile: float) -> str:
+    """Sentences with their neighbours, hashed word counts by place, distances, and what stands between breaks."""
+    return rf"""WITH {PAGES}, s_ AS (SELECT doc_id, page_number, list_filter(string_split(regexp_replace(content, '([.?!])[\t-\r\x1C-\x20\x{{85}}\pZ]+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, {TRIM}) <> '') AS s FROM pages_),
+  n_ AS (SELECT doc_id, page_number, s, unnest(range(1, len(s) + 1)) AS i FROM s_),
+  w_ AS (SELECT doc_id, page_number, i, unnest(regexp_extract_all(lower(array_to_string(s[greatest(i - 1, 1):i + 1], ' ')), '[\p{{L}}\p{{N}}_]+')) AS w FROM n_),
+  h_ AS (SELECT w, {crc32("w")} % 64 AS place FROM (SELECT DISTINCT w FROM w_)),
+  v_ AS (SELECT doc_id, page_number, i, place, count(*)::DOUBLE AS n FROM w_ JOIN h_ USING (w) GROUP BY ALL),
+  o_ AS (SELECT doc_id, page_number, i, sum(n * n) AS own FROM v_ GROUP BY ALL),
+  p_ AS (SELECT a.doc_id, a.page_number, a.i, sum(a.n * b.n) AS both_ FROM v_ a JOIN v_ b ON a.doc_id = b.doc_id AND a.page_number = b.page_number AND b.i = a.i + 1 AND a.place = b.place GROUP BY ALL),
+  d_ AS (SELECT n_.doc_id, n_.page_number, n_.i, 1 - CASE WHEN a.own * b.own > 0 THEN coalesce(both_, 0) / sqrt(a.own * b.own) ELSE 0 END AS far FROM n_
+    LEFT JOIN o_ a USING (doc_id, page_number, i) LEFT JOIN o_ b ON b.doc_id = n_.doc_id AND b.page_number = n_.page_number AND b.i = n_.i + 1
+    LEFT JOIN p_ ON p_.doc_id = n_.doc_id AND p_.page_number = n_.page_number AND p_.i = n_.i WHERE n_.i < len(n_.s)),
+  l_ AS (SELECT doc_id, page_number, list(far ORDER BY far) AS r, (count(*) - 1) * ({percentile}::DOUBLE / 100) AS k FROM d_ GROUP BY ALL),
+  t_ AS (SELECT doc_id, page_number, r[floor(k)::INT + 1] + (r[least(floor(k)::INT + 2, len(r))] - r[floor(k)::INT + 1]) * (k - floor(k)) AS t FROM l_),
+  b_ AS (SELECT n_.doc_id, n_.page_number, n_.i, n_.s[n_.i] AS sentence, coalesce(d_.far > t, FALSE)::INT AS br FROM n_ LEFT JOIN d_ USING (doc_id, page_number, i) LEFT JOIN t_ USING (doc_id, page_number)),
+  g_ AS (SELECT *, coalesce(sum(br) OVER (PARTITION BY doc_id, page_number ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS chunk_index FROM b_)
+  SELECT doc_id, page_number, chunk_index, string_agg(sentence, ' ' ORDER BY i) AS content, count(*)::INT AS n_sentences FROM g_ GROUP BY ALL"""
+
+
+# The setting of 0.5 on the scale of 100, and one at which chunks of several sentences come.
+for _name, _percentile in (("c05_semantic_pages", 0.5), ("c05_semantic_pages_p80", 80.0)):
+    query(_name, semantic_sql(_percentile))(lambda s, d, p=_percentile: chunking.split_semantic_pages(pages(s, d), percentile=p))
 
 
 @query("c06_all_chunks", f"WITH {PAGES} SELECT doc_id, page_number, 'text' AS chunk_type, content FROM pages_ UNION ALL SELECT doc_id, 1, 'image', 'Image on page 1: ' || source FROM documents UNION ALL SELECT doc_id, 1, 'table', 'Table on page 1: ' || lang FROM documents")
@@ -112,7 +137,7 @@ def multi(spark, sf_dir):
 
 @query("e06_ann")
 def approximate(spark, sf_dir):
-    return vectors.ann(vector_queries(spark, sf_dir), vector_chunks(spark, sf_dir), 10)
+    return ann.ann(vector_queries(spark, sf_dir), vector_chunks(spark, sf_dir), 10)
 
 
 STOP_SQL = "[" + ", ".join(f"'{w}'" for w in keyword.STOP) + "]"

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.operators import budget, fusion, keyword, vectors
+from docloom.operators import ann, budget, fusion, keyword, vectors
 from docloom.plans import catalogue
 
 
@@ -35,18 +35,59 @@ def test_knn_is_exact(spark, data, block):
         assert [got[i, k + 1] for k in range(5)] == best
 
 
-def test_ann_recall(spark, data):
-    q, c = frames(spark, data)
-    exact = {(r.query_id, r.chunk_id) for r in vectors.knn(q, c, 5).collect()}
-    near = {(r.query_id, r.chunk_id) for r in vectors.ann(q, c, 5, planes=3, tables=16, dim=8).collect()}
-    assert len(exact & near) / len(exact) >= 0.9
+def pairs(hits):
+    return {(r.query_id, r.chunk_id) for r in hits.collect()}
 
 
-def test_registered_ann_recall(spark, sf):
-    pairs = lambda name: {(r.query_id, r.chunk_id) for r in catalogue.queries()[name](spark, sf).collect()}
-    exact, near = pairs("e02_knn"), pairs("e06_ann")
-    assert len(near) == len(exact)
-    assert len(exact & near) / len(exact) >= 0.9
+@pytest.mark.parametrize("block", [4096, 20])
+def test_ann_with_all_lists_and_scores_is_exact(spark, data, block):
+    q, c = frames(spark, data)
+    book = ann.fit(c, lists=6, parts=4, codes=16)
+    got = ann.ann(q, c, 5, book=book, probes=6, share=1.0, most=1000, block=block)
+    key = lambda rows: sorted((r.query_id, r["rank"], r.chunk_id, r.similarity) for r in rows.collect())
+    assert key(got) == key(vectors.knn(q, c, 5))
+    assert ann.build_index(c, book).count() == c.count()
+
+
+def test_ann_on_clusters_reads_few_lists_and_survives_a_large_list(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    centres = rng.standard_normal((20, 16)) * 3
+    x = centres[rng.integers(0, 20, 3000)] + rng.standard_normal((3000, 16))
+    x[:900] = x[0]  # one list holds a third of all
+    chunks = spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(x)], "chunk_id long, document_id int, embedding array<float>")
+    queries = chunks.where("chunk_id >= 900 and chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "document_id", F.col("embedding").alias("query_vector"))
+    book = ann.fit(chunks, lists=24, parts=8)
+    for block in (1 << 14, 200):
+        near = ann.ann(queries, chunks, 10, book=book, probes=4, block=block)
+        exact = pairs(vectors.knn(queries, chunks, 10))
+        assert len(exact & pairs(near)) / len(exact) >= 0.9
+        assert near.agg(F.max("n_scored")).first()[0] <= 0.2 * len(x)
+    ann.save_index(ann.build_index(chunks, book), book, f"file://{tmp_path}/index")
+    index, kept = ann.load_index(spark, f"file://{tmp_path}/index")
+    assert np.array_equal(kept.codes, book.codes) and np.array_equal(kept.centroids, book.centroids)
+    assert pairs(ann.search(queries, index, kept, 10, probes=4)) == pairs(ann.ann(queries, chunks, 10, book=book, probes=4))
+
+
+def test_ann_edges(spark):
+    rows = [(1, 0, [1.0, 0.0]), (2, 0, None), (3, 0, [float("nan"), 1.0]), (4, 0, [0.0, 0.0]), (5, None, [1.0, 0.0]), (6, 0, [1.0, 0.0])]
+    chunks = spark.createDataFrame(rows, "chunk_id long, document_id int, embedding array<float>")
+    queries = chunks.select(F.col("chunk_id").alias("query_id"), "document_id", F.col("embedding").alias("query_vector"))
+    got = sorted((r.query_id, r["rank"], r.chunk_id, r.similarity) for r in ann.ann(queries, chunks, 2).collect())
+    assert got == [(1, 1, 1, 1.0), (1, 2, 6, 1.0), (4, 1, 1, 0.0), (4, 2, 4, 0.0), (6, 1, 1, 1.0), (6, 2, 6, 1.0)]
+    assert ann.ann(queries, chunks.limit(0), 2).count() == ann.ann(queries.limit(0), chunks, 2).count() == 0
+
+
+def test_registered_ann(spark, sf):
+    exact, near = catalogue.queries()["e02_knn"](spark, sf), catalogue.queries()["e06_ann"](spark, sf)
+    assert exact.count() == near.count()
+    assert len(pairs(exact) & pairs(near)) / exact.count() >= 0.9
+
+
+def test_ann_moves_each_vector_once(spark, sf):
+    near = catalogue.queries()["e06_ann"](spark, sf)
+    plan = near._jdf.queryExecution().executedPlan().toString().split("\n")
+    assert sum("Exchange hashpartitioning" in line and "document_id" in line for line in plan) == 2  # chunks and queries
+    assert sum("Exchange" in line for line in plan) == 3  # and the merge of hits
 
 
 def test_one_set_keeps_raw_scores(spark):
