@@ -97,7 +97,7 @@ def test_semantic_pages_turn_where_the_meaning_does(spark):
     text = "The sun is up. The sun is hot!  The sun sets?\nThe sea is wide. The sea is deep. The sea is cold."
     rows = [(1, 1, text), (1, 2, "One sentence only"), (2, 1, None), (2, 2, " \n "), (3, 1, "No words here. None there. ")]
     pages = spark.createDataFrame(rows, "doc_id long, page_number int, content string")
-    got = {(r.doc_id, r.page_number, r.chunk_index): (r.content, r.n_sentences) for r in chunking.split_semantic_pages(pages, embed, 70.0, neighbours=0).collect()}
+    got = {(r.doc_id, r.page_number, r.chunk_index): (r.content, r.n_sentences) for r in split_semantic_pages(pages, embed, 70.0, neighbours=0).collect()}
     assert got == {
         (1, 1, 0): ("The sun is up. The sun is hot! The sun sets?", 3), (1, 1, 1): ("The sea is wide. The sea is deep. The sea is cold.", 3),
         (1, 2, 0): ("One sentence only", 1), (3, 1, 0): ("No words here. None there.", 2),
@@ -115,4 +115,4 @@ def test_semantic_pages_turn_where_the_meaning_does(spark):
 
     (far,) = frame(iter([pd.Series([["a", "b", "c"], [], ["d"], ["e", "f"]])]))
     assert [len(x) for x in far] == [2, 0, 0, 1] and calls == [4, 2]
-    assert chunking.split_semantic_pages(pages.limit(0), embed).count() == 0
+    assert split_semantic_pages(pages.limit(0), embed).count() == 0
