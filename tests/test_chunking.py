@@ -3,7 +3,7 @@
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from docloom.operators.chunking import LEVELS, PROSE, repaired, split_hierarchical, split_text
+from docloom.operators.chunking import LEVELS, PROSE, repaired, split_hierarchical, split_semantic_pages, split_text
 
 texts = st.text(alphabet="ab .,\n!éÄ", min_size=1, max_size=400)
 
