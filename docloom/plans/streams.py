@@ -100,13 +100,13 @@ _LIVE = "list_filter(f_.held, lambda h: h.ts > t_.ts - INTERVAL 10 HOURS)"
 _NEAR = f"list_sort(list_filter(list_transform({_LIVE}, lambda h: {{'far': -round(list_cosine_similarity(h.v, t_.v), 9), 'id': h.id}}), lambda x: x.far <= -0.3))[1]"
 
 
-@query("k06_semantic_cache", f"""WITH RECURSIVE t_ AS (SELECT label AS key, vec_id AS id, make_timestamp(vec_id * 60000000) AS ts, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i FROM embeddings),
+@query("k06_semantic_cache", f"""WITH RECURSIVE t_ AS (SELECT label + 10 * (vec_id // 600) AS key, vec_id AS id, make_timestamp(vec_id * 60000000) AS ts, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY label, vec_id // 600 ORDER BY vec_id) AS i FROM embeddings),
   f_ AS (SELECT key, i, id, ts, NULL::BIGINT AS entry_id, NULL::DOUBLE AS similarity, [{{'ts': ts, 'id': id, 'v': v}}] AS held FROM t_ WHERE i = 1
    UNION ALL SELECT t_.key, t_.i, t_.id, t_.ts, ({_NEAR}).id, -({_NEAR}).far, CASE WHEN ({_NEAR}).id IS NULL THEN list_append({_LIVE}, {{'ts': t_.ts, 'id': t_.id, 'v': t_.v}}) ELSE {_LIVE} END FROM f_ JOIN t_ ON t_.key = f_.key AND t_.i = f_.i + 1)
   SELECT key, id, ts, entry_id, similarity FROM f_""")
 def answered(spark, sf_dir):
-    """Every vector as a question about its document, one a minute, answered by a similar one of the last ten hours."""
-    rows = read(spark, sf_dir, "embeddings").select(F.col("label").alias("key"), F.col("vec_id").alias("id"), F.timestamp_seconds(F.col("vec_id") * 60).alias("ts"), F.col("embedding").alias("vector"))
+    """Every vector as a question about its document, one a minute, answered by a similar one of its ten hours; a key is a document and ten hours."""
+    rows = read(spark, sf_dir, "embeddings").select((F.col("label") + 10 * F.floor(F.col("vec_id") / 600)).alias("key"), F.col("vec_id").alias("id"), F.timestamp_seconds(F.col("vec_id") * 60).alias("ts"), F.col("embedding").alias("vector"))
     return jobs.semantic_cache(rows, 0.3, 36_000.0)
 
 

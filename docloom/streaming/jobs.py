@@ -1,8 +1,9 @@
-"""Structured Streaming jobs and their batch twins: ingestion, queue windows, rate limits, answers, sessions, caches."""
+"""Structured Streaming jobs and their batch twins: ingestion, queue windows, sessions, repeats; batch forms of those in ``state``."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -50,16 +51,16 @@ def success_windows(events: DataFrame, late: str | None = "10 minutes") -> DataF
     return hours.select(starts, "done", "failed").groupBy("start").agg(rate(F.sum("done"), F.sum("failed")))
 
 
-def admitted(times: list[float], held: list[float], limit: int, span: float) -> tuple[list[bool], list[float]]:
-    """Which requests a sliding log admits; entries of ``span`` seconds or more ago leave it, rejected requests never enter it."""
-    out = []
+def admitted(times: Iterable[float], held: Iterable[float], limit: int, span: float) -> tuple[list[bool], list[float]]:
+    """Which requests, in order, a sliding log admits; entries of ``span`` or more ago leave it, rejected requests never enter it."""
+    out, log = [], deque(held)
     for t in times:
-        held = [h for h in held if h > t - span]
-        ok = len(held) < limit
-        if ok:
-            held.append(t)
-        out.append(ok)
-    return out, held
+        while log and log[0] <= t - span:
+            log.popleft()
+        out.append(len(log) < limit)
+        if out[-1]:
+            log.append(t)
+    return out, list(log)
 
 
 def rate_limit(requests: DataFrame, limit: int = 60, span: float = 60.0) -> DataFrame:
@@ -75,72 +76,26 @@ def rate_limit(requests: DataFrame, limit: int = 60, span: float = 60.0) -> Data
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client, held, begun = None, [], False
         for batch in batches:
-            ok = []
-            for c, t in zip(batch["client"], batch["ts"], strict=True):
-                c = None if pd.isna(c) else c
-                if not begun or c != client:
-                    client, held, begun = c, [], True
-                (one,), held = admitted([t.timestamp()], held, limit, span)
-                ok.append(one)
+            codes, names = pd.factorize(batch["client"], use_na_sentinel=False)
+            times, ok = batch["ts"].astype("datetime64[us]").astype("int64").to_numpy(), []
+            cuts = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(batch)]
+            for low, high in zip(cuts, cuts[1:], strict=False):  # the runs of one client
+                own = None if pd.isna(names[codes[low]]) else names[codes[low]]
+                held = held if begun and own == client else []
+                client, begun = own, True
+                some, held = admitted(times[low:high].tolist(), held, limit, span * 1e6)
+                ok += some
             yield batch.assign(admitted=ok)
 
     dealt = rows.repartition("client").sortWithinPartitions("client", "ts", "request_id")
     return dealt.mapInPandas(fold, f"client {kinds['client']}, request_id {kinds['request_id']}, ts {kinds['ts']}, admitted boolean")
 
 
-def rate_limit_stream(requests: DataFrame, limit: int = 60, span: float = 60.0, late: str = "10 minutes") -> DataFrame:
-    """The same over a stream: the state of a client is the log of its admitted requests, at most ``limit`` times.
-
-    It goes when the watermark is ``span`` past the client's last request.
-    """
-
-    def fold(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = list(state.get[0]) if state.exists else []
-        group = pd.concat(list(batches)).sort_values(["ts", "request_id"])
-        times = [t.timestamp() for t in group["ts"]]
-        ok, held = admitted(times, held, limit, span)
-        state.update((held,))
-        state.setTimeoutTimestamp(max(int((max([*times, *held]) + span) * 1000), state.getCurrentWatermarkMs() + 1))
-        yield group.assign(client=key[0], admitted=ok)[["client", "request_id", "ts", "admitted"]]
-
-    rows = watermarked(requests.select("client", "request_id", "ts"), "ts", late)
-    kinds = dict(rows.dtypes)
-    schema = f"client {kinds['client']}, request_id {kinds['request_id']}, ts {kinds['ts']}, admitted boolean"
-    return rows.groupBy("client").applyInPandasWithState(fold, schema, "held array<double>", "append", "EventTimeTimeout")
-
-
-def assemble_answers_stream(deltas: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """assemble_answers over a stream of (message_id, seq, type, content, ts).
-
-    The state of a message holds its deltas, in whatever order they come; it is put together and goes when the watermark
-    has passed its last delta, so late deltas are in time if they are within ``late``.
-    """
-
-    def fold(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        seqs, kinds, parts = (list(x) for x in state.get[:3]) if state.exists else ([], [], [])
-        if state.hasTimedOut:
-            state.remove()
-            rows = sorted(zip(seqs, kinds, parts, strict=True))
-            end = next((i for i, r in enumerate(rows) if r[1] in ("done", "error")), None)
-            text = "".join(c for _, k, c in rows[:end] if k == "chunk")
-            yield pd.DataFrame({"message_id": [key[0]], "content": [text], "ended": [rows[end][1] if end is not None else None]})
-            return
-        newest = state.get[3] if state.exists else 0
-        for b in batches:
-            seqs += b["seq"].tolist()
-            kinds += b["type"].tolist()
-            parts += b["content"].fillna("").tolist()
-            newest = max(newest, int(b["ts"].max().timestamp() * 1000))
-        state.update((seqs, kinds, parts, newest))
-        state.setTimeoutTimestamp(max(newest + 1, state.getCurrentWatermarkMs() + 1))
-
-    rows = watermarked(deltas.select("message_id", "seq", "type", "content", "ts"), "ts", late)
-    kind = dict(rows.dtypes)["message_id"]
-    held = "seqs array<long>, kinds array<string>, parts array<string>, newest long"
-    return rows.groupBy("message_id").applyInPandasWithState(fold, f"message_id {kind}, content string, ended string", held, "append", "EventTimeTimeout")
+def assembled(deltas: list[tuple[int, str, str | None]]) -> tuple[str, str | None]:
+    """(content, kind of the first end) of a message's (seq, type, content)."""
+    rows = sorted(deltas, key=lambda r: r[:2])
+    end = next((i for i, r in enumerate(rows) if r[1] in ("done", "error")), None)
+    return "".join(c or "" for _, k, c in rows[:end] if k == "chunk"), rows[end][1] if end is not None else None
 
 
 def assemble_answers(deltas: DataFrame) -> DataFrame:
@@ -168,15 +123,42 @@ def cached_hits(lookups: DataFrame, inserts: DataFrame, hours: int = 2, late: st
     return a.join(b, near).select("lookup_id", "insert_id")
 
 
-def looked_up(vector: np.ndarray, held: list[tuple[float, int, np.ndarray]], least: float) -> tuple[int | None, float | None]:
-    """(entry id, similarity) of the most similar live entry, the older of equals; null below ``least``."""
-    if not held:
+class AnswerCache:
+    """Live entries of one key in the order of time; vectors stand in one array that doubles when it is full."""
+
+    def __init__(self, least: float, span: float, entries: Iterable[tuple[float, int, np.ndarray]] = ()):
+        self.least, self.span, self.times, self.ids, self.first, self.rows = least, span, [], [], 0, None
+        for entry in entries:
+            self.put(*entry)
+
+    def put(self, t: float, i: int, vector: np.ndarray) -> None:
+        n = len(self.ids)
+        if self.rows is None or n == len(self.rows):
+            live, self.times, self.ids = slice(self.first, n), self.times[self.first :], self.ids[self.first :]
+            grown = np.zeros((max(16, 2 * (n - self.first)), len(vector)))
+            norms = np.zeros(len(grown))
+            if self.rows is not None:
+                grown[: n - self.first], norms[: n - self.first] = self.rows[live], self.norms[live]
+            self.rows, self.norms, self.first, n = grown, norms, 0, n - self.first
+        self.rows[n], self.norms[n] = vector, np.linalg.norm(vector)
+        self.times.append(t)
+        self.ids.append(int(i))
+
+    def ask(self, t: float, i: int, v) -> tuple[int | None, float | None]:
+        """(entry id, similarity) of the most similar live entry, the older of equals; without one of ``least`` the question's own goes in."""
+        while self.first < len(self.ids) and self.times[self.first] <= t - self.span:
+            self.first += 1
+        if v is None:
+            return None, None
+        vector, live = np.asarray(v, dtype=np.float64), slice(self.first, len(self.ids))
+        if self.first < len(self.ids):
+            norms = self.norms[live] * np.linalg.norm(vector)
+            near = np.round(np.divide(self.rows[live] @ vector, norms, out=np.zeros(len(norms)), where=norms > 0), 9)
+            best = int(near.argmax())
+            if near[best] >= self.least:
+                return self.ids[self.first + best], float(near[best])
+        self.put(t, i, vector)
         return None, None
-    x = np.stack([v for _, _, v in held])
-    norms = np.linalg.norm(x, axis=1) * np.linalg.norm(vector)
-    near = np.round(np.divide(x @ vector, norms, out=np.zeros(len(x)), where=norms > 0), 9)
-    best = int(near.argmax())
-    return (held[best][1], float(near[best])) if near[best] >= least else (None, None)
 
 
 def semantic_cache(questions: DataFrame, least: float = 0.85, span: float = 7200.0) -> DataFrame:
@@ -190,56 +172,20 @@ def semantic_cache(questions: DataFrame, least: float = 0.85, span: float = 7200
     kinds = dict(rows.dtypes)
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, held, begun = None, [], False
+        key, cache = None, None
         for batch in batches:
-            hits = []
-            for k, i, t, v in zip(batch["key"], batch["id"], batch["ts"], batch["vector"], strict=True):
+            hits, times = [], batch["ts"].astype("datetime64[us]").astype("int64")
+            for k, i, t, v in zip(batch["key"], batch["id"], times, batch["vector"], strict=True):
                 k = None if pd.isna(k) else k
-                if not begun or k != key:
-                    key, held, begun = k, [], True
-                hit, held = asked(i, t.timestamp(), v, held, least, span)
-                hits.append(hit)
+                if cache is None or k != key:
+                    key, cache = k, AnswerCache(least, span * 1e6)
+                hits.append(cache.ask(t, i, v))
             yield batch[["key", "id", "ts"]].assign(entry_id=pd.array([h[0] for h in hits], dtype="Int64"), similarity=[h[1] for h in hits])
 
     dealt = rows.repartition("key").sortWithinPartitions("key", "ts", "id")
     return dealt.mapInPandas(fold, f"key {kinds['key']}, id long, ts {kinds['ts']}, entry_id long, similarity double")
 
 
-def asked(i: int, t: float, v, held: list, least: float, span: float) -> tuple[tuple, list]:
-    """The hit of one question and the live entries after it."""
-    held = [h for h in held if h[0] > t - span]
-    if v is None:
-        return (None, None), held
-    vector = np.asarray(v, dtype=np.float64)
-    hit = looked_up(vector, held, least)
-    return hit, held if hit[0] is not None else [*held, (t, int(i), vector)]
-
-
-def semantic_cache_stream(questions: DataFrame, least: float = 0.85, span: float = 7200.0, late: str = "10 minutes") -> DataFrame:
-    """semantic_cache over a stream; the entries of a key go when the watermark has passed the life of the last one."""
-
-    def fold(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = []
-        if state.exists:
-            times, ids, flat = state.get
-            held = [(t, i, v) for t, i, v in zip(times, ids, np.asarray(flat, dtype=np.float64).reshape(len(ids), -1), strict=True)] if len(ids) else []
-        group, hits = pd.concat(list(batches)).sort_values(["ts", "id"]), []
-        for i, t, v in zip(group["id"], group["ts"], group["vector"], strict=True):
-            hit, held = asked(i, t.timestamp(), v, held, least, span)
-            hits.append(hit)
-        state.update(([h[0] for h in held], [h[1] for h in held], [float(x) for h in held for x in h[2]]))
-        last = max([h[0] for h in held], default=0.0)
-        state.setTimeoutTimestamp(max(int((last + span) * 1000), state.getCurrentWatermarkMs() + 1))
-        yield group[["id", "ts"]].assign(key=key[0], entry_id=pd.array([h[0] for h in hits], dtype="Int64"), similarity=[h[1] for h in hits])[["key", "id", "ts", "entry_id", "similarity"]]
-
-    rows = watermarked(questions.select("key", "id", "ts", "vector"), "ts", late)
-    schema = f"key {dict(rows.dtypes)['key']}, id long, ts timestamp, entry_id long, similarity double"
-    return rows.groupBy("key").applyInPandasWithState(fold, schema, "times array<double>, ids array<long>, vectors array<double>", "append", "EventTimeTimeout")
-
-
 def ingest_levels_stream(spark: SparkSession, path: str, chunks: str, edges: str, progress: str, checkpoint: str, schema):
     """Ingests the Parquet files that arrive at ``path`` as parents, children and edges, and keeps count.
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from docloom.plans.registry import read
-from docloom.streaming import jobs
+from docloom.streaming import jobs, state
 
 
 def run(stream, name, mode="append"):
@@ -28,7 +28,7 @@ def test_rate_limit_folds():
 def test_rate_limit_stream_equals_batch(spark, sf):
     pick = lambda e: e.select((F.col("user_id") % 3).alias("client"), F.col("event_id").alias("request_id"), "ts")
     events = spark.readStream.schema(read(spark, sf, "events").schema).parquet(f"{sf}/events.parque?")
-    run(jobs.rate_limit_stream(pick(events), 2, 3600.0), "limits", "append")
+    run(state.rate_limit_stream(pick(events), 2, 3600.0), "limits", "append")
     batch = jobs.rate_limit(pick(read(spark, sf, "events")), 2, 3600.0)
     assert sorted(map(tuple, spark.table("limits").collect())) == sorted(map(tuple, batch.collect()))
 
@@ -75,7 +75,7 @@ def test_answer_stream_equals_batch(spark, tmp_path):
         [(9, 1, "error", "push", at(1200))],
     ]
     schema = "message_id long, seq long, type string, content string, ts timestamp"
-    run(jobs.assemble_answers_stream(batches_of(spark, rows, schema, tmp_path)), "answers")
+    run(state.assemble_answers_stream(batches_of(spark, rows, schema, tmp_path)), "answers")
     batch = jobs.assemble_answers(spark.createDataFrame([r for part in rows for r in part], schema))
     want = {tuple(r) for r in batch.where("message_id < 9").collect()}
     got = {tuple(r) for r in spark.table("answers").collect() if r.message_id < 9}
@@ -119,19 +119,70 @@ def test_semantic_cache_equals_brute_force_in_batch_and_stream(spark, tmp_path):
     assert sum(h is not None for _, _, h in want) > 10
     got = jobs.semantic_cache(spark.createDataFrame(rows, schema)).collect()
     assert sorted(((r.key, r.id, r.entry_id) for r in got), key=repr) == want
-    run(jobs.semantic_cache_stream(batches_of(spark, [rows[i : i + 20] for i in (0, 20, 40)], schema, tmp_path)), "cache")
+    run(state.semantic_cache_stream(batches_of(spark, [rows[i : i + 20] for i in (0, 20, 40)], schema, tmp_path)), "cache")
     assert sorted(((r.key, r.id, r.entry_id) for r in spark.table("cache").collect()), key=repr) == want
 
 
+def left(spark, checkpoint, *names):
+    """Entries that a stream's state still holds."""
+    return sum(spark.read.format("statestore").option("stateVarName", n).load(str(checkpoint)).count() for n in names)
+
+
+def kept_run(stream, name, checkpoint):
+    q = stream.writeStream.format("memory").queryName(name).option("checkpointLocation", str(checkpoint)).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
 def test_rate_limit_state_goes(spark, tmp_path):
-    rows = [[(1, i, at(0)) for i in range(3)], [(2, 9, at(300))], [(2, 10, at(301))]]
     schema = "client long, request_id long, ts timestamp"
-    stream = jobs.rate_limit_stream(batches_of(spark, rows, schema, tmp_path), 2, 60.0)
-    q = stream.writeStream.format("memory").queryName("expiring").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
+    rows = [[(1, i, at(0)) for i in range(3)], [(2, 9, at(300))], [(2, 10, at(301))]]
+    kept_run(state.rate_limit_stream(batches_of(spark, rows, schema, tmp_path / "in"), 2, 60.0), "expiring", tmp_path / "state")
     got = {(r.client, r.request_id): r.admitted for r in spark.table("expiring").collect()}
     assert got == {(1, 0): True, (1, 1): True, (1, 2): False, (2, 9): True, (2, 10): True}
-    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 1  # client 1 is forgotten
+    held = spark.read.format("statestore").option("stateVarName", "log").load(str(tmp_path / "state"))
+    assert {r.key[0] for r in held.select("key").collect()} == {2}  # client 1 is forgotten
+
+
+def test_the_log_of_a_busy_client_stays_small(spark, tmp_path):
+    schema = "client long, request_id long, ts timestamp"
+    rows = [[(1, 100 * b + i, at(2 * b + i / 50)) for i in range(100)] for b in range(8)]
+    kept_run(state.rate_limit_stream(batches_of(spark, rows, schema, tmp_path / "in"), 5, 60.0), "busy", tmp_path / "state")
+    batch = jobs.rate_limit(spark.createDataFrame([r for b in rows for r in b], schema), 5, 60.0)
+    assert sorted(map(tuple, spark.table("busy").collect())) == sorted(map(tuple, batch.collect()))
+    held = spark.read.format("statestore").option("stateVarName", "log").load(str(tmp_path / "state"))
+    assert held.count() <= 20  # of 80 admitted
+
+
+def test_a_long_answer_comes_at_its_end_and_leaves_no_state(spark, tmp_path):
+    n, parts = 100_000, 5
+    schema, size = "message_id long, seq long, type string, content string, ts timestamp", n // parts
+    for p in range(parts):
+        end = F.col("seq") == n - 1
+        part = spark.range(p * size, (p + 1) * size, 1, 1).select(F.lit(1).cast("long").alias("message_id"), F.col("id").alias("seq"))
+        part = part.select("*", F.when(end, "done").otherwise("chunk").alias("type"), F.when(~end, F.col("seq").cast("string")).alias("content"), F.timestamp_seconds(F.lit(1_700_000_000 + p)).alias("ts"))
+        part.write.parquet(f"{tmp_path}/in/part{p}")
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    kept_run(state.assemble_answers_stream(source), "long", tmp_path / "state")
+    assert [tuple(r) for r in spark.table("long").collect()] == [(1, "".join(map(str, range(n - 1))), "done")]  # though the watermark stands at its deltas
+    assert left(spark, tmp_path / "state", "log") == 0
+
+
+def test_answer_state_goes_with_the_watermark(spark, tmp_path):
+    schema = "message_id long, seq long, type string, content string, ts timestamp"
+    rows = [[(1, 1, "chunk", "b", at(0)), (2, 0, "chunk", "x", at(0)), (2, 1, "error", None, at(0))], [(1, 2, "done", None, at(1)), (2, 2, "chunk", "late", at(1))], [(9, 0, "chunk", "push", at(600))], [(9, 1, "chunk", "push", at(1200))]]
+    kept_run(state.assemble_answers_stream(batches_of(spark, rows, schema, tmp_path / "in")), "gaps", tmp_path / "state")
+    assert sorted(map(tuple, spark.table("gaps").where("message_id < 9").collect())) == [(1, "b", "done"), (2, "x", "error")]
+    held = spark.read.format("statestore").option("stateVarName", "seen").load(str(tmp_path / "state"))
+    assert {r.key[0] for r in held.select("key").collect()} <= {9}
+
+
+def test_cache_state_goes(spark, tmp_path):
+    schema = "key long, id long, ts timestamp, vector array<double>"
+    rows = [[(1, 1, at(0), [1.0, 0.0]), (1, 2, at(1), [1.0, 0.1])], [(1, 3, at(2), [0.0, 1.0]), (2, 4, at(900), [1.0, 0.0])], [(2, 5, at(901), [1.0, 0.0])]]
+    kept_run(state.semantic_cache_stream(batches_of(spark, rows, schema, tmp_path / "in")), "cached", tmp_path / "state")
+    assert {r.id: r.entry_id for r in spark.table("cached").collect()} == {1: None, 2: 1, 3: None, 4: None, 5: 4}
+    held = spark.read.format("statestore").option("stateVarName", "log").load(str(tmp_path / "state"))
+    assert {r.key[0] for r in held.select("key").collect()} == {2}
 
 
 def test_sessions_and_repeats_in_a_stream(spark, sf, tmp_path):
