@@ -25,12 +25,14 @@ def query_terms(text: Column) -> Column:
 def keyword_match(queries: DataFrame, chunks: DataFrame, by: str = "doc_id") -> DataFrame:
     """(query_id, chunk_id, n_terms, occurrences) of the chunks of a query's document that hold all its terms.
 
-    The terms of queries are exploded and met by the (document, term) table of the chunks, which is
-    counted by chunk before the exchange; frequent stop words never enter it.
+    Chunks of documents that no query asks for, and terms that none asks of its document, are left out before
+    anything is counted: by semi-joins, which need no exchange of the chunks as long as the queries are small.
     """
     asked = queries.select("query_id", by, query_terms(F.col("query")).alias("t")).withColumn("n_terms", F.size("t")).where("n_terms > 0")
     asked = asked.select("query_id", by, "n_terms", F.explode("t").alias("term"))
-    posted = chunks.select("chunk_id", by, F.explode(terms(F.col("content"))).alias("term")).where(~F.col("term").isin(STOP))
+    wanted = asked.select(by, "term").distinct()
+    mine = chunks.join(wanted.select(by).distinct(), by, "left_semi")
+    posted = mine.select("chunk_id", by, F.explode(terms(F.col("content"))).alias("term")).join(wanted, [by, "term"], "left_semi")
     posted = posted.groupBy("chunk_id", by, "term").agg(F.count("*").alias("n"))
     met = asked.join(posted, [by, "term"]).groupBy("query_id", "chunk_id", "n_terms").agg(F.count("*").alias("found"), F.sum("n").alias("occurrences"))
     return met.where("found = n_terms").drop("found")
@@ -67,21 +69,27 @@ def cover_density(positions: list[np.ndarray]) -> float:
     return sum(0.1 / (1 + (e - s + 1 - len(positions))) for s, e in covers)
 
 
-def keyword_rank(queries: DataFrame, chunks: DataFrame, k: int = 10, by: str = "doc_id") -> DataFrame:
-    """The k best matches of each query by cover density, as shares of the best; only matched chunks are scored."""
+def scored(matches: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, score): cover density of matches from the places of each term."""
 
     def density(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield b[["query_id", "chunk_id"]].assign(score=[cover_density([np.asarray(p) for p in ps]) for ps in b["places"]])
 
+    rows = matches.select("query_id", "chunk_id", "places")
+    kinds = dict(rows.dtypes)
+    return rows.mapInPandas(density, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double")
+
+
+def keyword_rank(queries: DataFrame, chunks: DataFrame, k: int = 10, by: str = "doc_id") -> DataFrame:
+    """The k best matches of each query by cover density, as shares of the best; only matched chunks are scored."""
+
     matched = keyword_match(queries, chunks, by).select("query_id", "chunk_id")
     asked = queries.select("query_id", query_terms(F.col("query")).alias("t"))
     full = matched.join(asked, "query_id").join(chunks.select("chunk_id", "content"), "chunk_id")
     words = terms(F.col("content"))
     places = F.transform("t", lambda t: F.filter(F.transform(F.col("words"), lambda w, i: F.when(w == t, i)), lambda i: i.isNotNull()))
     placed = full.withColumn("words", words).select("query_id", "chunk_id", places.alias("places"))
-    kinds = dict(placed.dtypes)
-    scored = placed.mapInPandas(density, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id")
-    best = scored.withColumn("score", F.round("score", 9)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    best = scored(placed).withColumn("score", F.round("score", 9)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return normalised(best).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docloom.operators import ann, chunking, fusion, keyword, vectors
-from docloom.plans.registry import PAGES, TRIM, crc32, query, read
+from docloom.operators import ann, chunking, fusion, keyword, postings, vectors
+from docloom.plans.registry import PAGES, TRIM, crc32, query, read, shared
 from docloom.plans.texts import pages
 
 
@@ -171,7 +171,11 @@ COVERS = f"""{KEYED}, w_ AS (SELECT doc_id * 1000 + page_number AS chunk_id, {WO
   d_ AS (SELECT query_id, chunk_id, round(sum(0.1::DOUBLE / (1 + (stop - start + 1 - nt))), 9) AS score FROM c_ GROUP BY query_id, chunk_id)"""
 
 
-@query("e08_keyword_rank", f"WITH {COVERS}, best_ AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank FROM d_) WHERE rank <= 10) SELECT query_id, chunk_id, round(score / max(score) OVER (PARTITION BY query_id), 6) AS score, rank FROM best_")
+MATCH_SQL = f"WITH {KEYED} SELECT query_id, chunk_id, n_terms, occurrences FROM match_"
+COVER_SQL = f"WITH {COVERS}, best_ AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank FROM d_) WHERE rank <= 10) SELECT query_id, chunk_id, round(score / max(score) OVER (PARTITION BY query_id), 6) AS score, rank FROM best_"
+
+
+@query("e08_keyword_rank", COVER_SQL)
 def cover_ranked(spark, sf_dir):
     return keyword.keyword_rank(keyword_queries(spark, sf_dir), keyword_chunks(spark, sf_dir))
 
@@ -181,6 +185,23 @@ def occurrence_ranked(spark, sf_dir):
     return keyword.occurrence_rank(keyword_queries(spark, sf_dir), keyword_chunks(spark, sf_dir))
 
 
+def stored_postings(spark, chunks, by: str = "doc_id"):
+    """The index of all chunks, written and opened again."""
+    path = shared(spark)
+    postings.save_postings(postings.build_postings(chunks, by), path, by)
+    return postings.open_postings(spark, path)
+
+
+@query("e07_posting_match", MATCH_SQL)
+def matched_by_postings(spark, sf_dir):
+    return postings.match(keyword_queries(spark, sf_dir), stored_postings(spark, keyword_chunks(spark, sf_dir)))
+
+
+@query("e08_posting_rank", COVER_SQL)
+def ranked_by_postings(spark, sf_dir):
+    return postings.top_matches(keyword_queries(spark, sf_dir), stored_postings(spark, keyword_chunks(spark, sf_dir)))
+
+
 @query("e10_rerank", f"""WITH {VECS}, {knn_sql(40, name="k1").format(shift=1)}, r_ AS (SELECT k.query_id, k.chunk_id, k.similarity AS original_similarity, round({COS.format(a='q.v', b='c.v')}, 9) AS similarity FROM k1_ k JOIN vecs_ q ON q.vec_id = k.query_id JOIN vecs_ c ON c.vec_id = k.chunk_id)
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id)::INTEGER AS rank FROM r_) WHERE rank <= 15""")
 def reranked(spark, sf_dir):
@@ -210,10 +231,12 @@ HITS = f"""texts_ AS (SELECT vec_id, label, text, {WORDS_SQL.format(t="text")} A
   kw_ AS (SELECT query_id, chunk_id, round(s / max(s) OVER (PARTITION BY query_id), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS r FROM km_) WHERE r <= 20)"""
 
 
-def keyword_hits(spark, sf_dir):
+def keyword_hits(spark, sf_dir, stored: bool = False):
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
     chunks = vector_chunks(spark, sf_dir).drop("embedding").join(docs, "chunk_id")
     asked = chunks.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "document_id", F.array_join(F.slice(keyword.terms(F.col("content")), 2, 2), " ").alias("query"))
+    if stored:
+        return postings.top_matches(asked, stored_postings(spark, chunks, "document_id"), 20, "document_id", density=False)
     return keyword.occurrence_rank(asked, chunks, 20, "document_id")
 
 
@@ -221,8 +244,8 @@ FUSED = f"""{MULTI}, {RRF}, {HITS}, both_ AS (SELECT coalesce(a.query_id, b.quer
   fused_ AS (SELECT query_id, chunk_id, semantic_score, keyword_score, round(CASE WHEN max(kw) OVER (PARTITION BY query_id) THEN 0.7::DOUBLE * semantic_score + 0.3::DOUBLE * keyword_score ELSE semantic_score END, 9) AS score FROM both_)"""
 
 
-def fused(spark, sf_dir):
-    return fusion.hybrid_fuse(fusion.rrf(knn_multi(spark, sf_dir, 10).withColumnRenamed("similarity", "score")), keyword_hits(spark, sf_dir))
+def fused(spark, sf_dir, stored: bool = False):
+    return fusion.hybrid_fuse(fusion.rrf(knn_multi(spark, sf_dir, 10).withColumnRenamed("similarity", "score")), keyword_hits(spark, sf_dir, stored))
 
 
 query("f02_hybrid_fuse", f"WITH {FUSED} SELECT query_id, chunk_id, semantic_score, keyword_score, score FROM fused_")(fused)
@@ -267,15 +290,21 @@ def same_content(spark, sf_dir):
     return fusion.content_hash_groups(read(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query("f07_retrieve", f"""WITH {FUSED}, top_ AS (SELECT query_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM fused_) WHERE r <= 40),
+RETRIEVE_SQL = f"""WITH {FUSED}, top_ AS (SELECT query_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM fused_) WHERE r <= 40),
   re_ AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS r FROM (SELECT t.query_id, t.chunk_id, round({COS.format(a='q.v', b='c.v')}, 9) AS similarity FROM top_ t JOIN vecs_ q ON q.vec_id = t.query_id JOIN vecs_ c ON c.vec_id = t.chunk_id)) WHERE r <= 15),
   {knn_sql(10, "c.vec_id % 3 = 0", name="sent").format(shift=0)}, {SHOWN},
   parts_ AS (SELECT query_id, chunk_id AS item_id, content, round(similarity, 9) AS score, 0 AS source FROM re_ JOIN shown_ USING (chunk_id) UNION ALL SELECT query_id, chunk_id, content, round(similarity * 1.2::DOUBLE, 9), 1 FROM sent_ JOIN shown_ USING (chunk_id)), {MERGE_SQL}
-  SELECT * FROM merged_ WHERE rank <= 10""")
-def retrieve(spark, sf_dir):
+  SELECT * FROM merged_ WHERE rank <= 10"""
+
+
+@query("f07_retrieve", RETRIEVE_SQL)
+def retrieve(spark, sf_dir, stored: bool = False):
     """The whole chain: two vector searches fused by rank, keywords mixed in, 40 reranked to 15, sentences merged, ten kept."""
-    best = vectors.top(fused(spark, sf_dir), ["query_id"], "score", "chunk_id", 40).select("query_id", "chunk_id", F.col("score").alias("similarity"))
+    best = vectors.top(fused(spark, sf_dir, stored), ["query_id"], "score", "chunk_id", 40).select("query_id", "chunk_id", F.col("score").alias("similarity"))
     full = best.join(vector_queries(spark, sf_dir).drop("document_id"), "query_id").join(vector_chunks(spark, sf_dir).drop("document_id"), "chunk_id")
     again = vectors.rerank(full)
     sentences = vectors.knn(vector_queries(spark, sf_dir), vector_chunks(spark, sf_dir).where("chunk_id % 3 = 0"), 10)
     return fusion.merge_sentences(with_content(spark, sf_dir, again), with_content(spark, sf_dir, sentences), limit=10)
+
+
+query("f07_retrieve_postings", RETRIEVE_SQL)(lambda s, d: retrieve(s, d, stored=True))

@@ -2,28 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from docloom.operators import chunking
-from docloom.plans.registry import query, read
+from docloom.plans.registry import query, read, shared
 from docloom.plans.texts import pages
 from docloom.sources import tables
 from docloom.streaming import jobs
 
 
-def shared(spark) -> str:
-    """A new path in the folder that all executors share."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="docloom-")
-    return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 @query("a02_stream_pages")
 def ingested(spark, sf_dir):
     """Runs the ingestion stream over the documents and reads what it wrote."""

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.operators import ann, budget, fusion, keyword, vectors
+from docloom.operators import ann, budget, fusion, keyword, postings, vectors
 from docloom.plans import catalogue
 
 
@@ -127,3 +127,55 @@ def test_merge_prefers_the_higher_score(spark):
     c = spark.createDataFrame([(1, 1, "Same text ", 0.5)], "query_id int, item_id int, content string, score double")
     s = spark.createDataFrame([(1, 2, "same TEXT", 0.45), (1, 3, "other", 0.1)], "query_id int, item_id int, content string, score double")
     assert [r.item_id for r in fusion.merge_sentences(c, s).orderBy("rank").collect()] == [2, 3]
+
+
+def keyword_corpus(spark, chunks=400, docs=4, seed=2):
+    rng = np.random.default_rng(seed)
+    words = np.array(["alpha", "beta", "gamma", "delta", "the", *[f"w{i}" for i in range(200)]])
+    weights = np.array([30, 20, 10, 5, 40, *[1] * 200], float)
+    rows = [(i, i % docs if i % 7 else 0, " ".join(rng.choice(words, rng.integers(1, 40), p=weights / weights.sum()))) for i in range(chunks)]
+    rows += [(chunks, 1, None), (chunks + 1, 1, "")]
+    return spark.createDataFrame(rows, "chunk_id long, doc_id long, content string")
+
+
+def keyword_asked(spark):
+    rows = [(1, 0, "alpha beta"), (2, 1, "Gamma the"), (3, 2, "delta w7"), (4, 0, "the of"), (5, 3, ""), (6, None, "alpha"), (7, 99, "alpha"), (8, 0, "alpha beta gamma")]
+    return spark.createDataFrame(rows, "query_id long, doc_id long, query string")
+
+
+@pytest.mark.parametrize(("block", "first"), [(128, 1), (5, 1), (5, 3)])
+def test_postings_give_what_a_scan_gives(spark, tmp_path, block, first):
+    chunks, asked = keyword_corpus(spark), keyword_asked(spark)
+    path = f"file://{tmp_path}/postings"
+    postings.save_postings(postings.build_postings(chunks, block=block), path)
+    index = postings.open_postings(spark, path)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(postings.match(asked, index)) == rows(keyword.keyword_match(asked, chunks))
+    for k in (1, 3, 500):
+        assert rows(postings.top_matches(asked, index, k, first=first)) == rows(keyword.keyword_rank(asked, chunks, k))
+        assert rows(postings.top_matches(asked, index, k, density=False, first=first)) == rows(keyword.occurrence_rank(asked, chunks, k))
+    assert postings.top_matches(asked.limit(0), index).count() == postings.match(asked, index.limit(0)).count() == 0
+
+
+def scanned_rows(df):
+    """Rows that the scans of a collected frame gave."""
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.finalPhysicalPlan() if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else plan
+    leaves, total = plan.collectLeaves(), 0
+    for i in range(leaves.size()):
+        rows = leaves.apply(i).metrics().get("numOutputRows")
+        total += rows.get().value() if rows.isDefined() else 0
+    return total
+
+
+def test_a_search_reads_the_pages_it_asks_for(spark, tmp_path):
+    chunks = keyword_corpus(spark, 3_000, docs=60)
+    path = f"file://{tmp_path}/postings"
+    postings.save_postings(postings.build_postings(chunks), path, page_rows=50)
+    index = postings.open_postings(spark, path)
+    asked = postings.asked_terms(spark.createDataFrame([(1, 17, "alpha w7"), (2, 40, "beta")], "query_id long, doc_id long, query string"))
+    mine = postings.only_asked(index, asked)
+    assert {(r.doc_id, r.term) for r in mine.collect()} <= {(d, t) for d in (17, 40) for t in ("alpha", "beta", "w7")}
+    assert scanned_rows(mine) < index.count() / 10
+    skipped = [b for b in postings.build_postings(chunks, block=5).groupBy("doc_id").agg(F.max("block").alias("b")).collect() if b.b > 0]
+    assert skipped  # several blocks of a document occur
