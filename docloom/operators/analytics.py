@@ -109,6 +109,39 @@ def token_totals(steps: DataFrame) -> DataFrame:
     return steps.withColumn("cost", cost).groupBy("request_id").agg(F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"), F.round(F.sum("cost"), 9).alias("cost"))
 
 
+def usage_maps(steps: DataFrame) -> DataFrame:
+    """(request_id, token_usage, costs) from (request_id, step, model, prompt_tokens, completion_tokens, event_id).
+
+    token_usage is a map from step to struct<prompt_tokens, completion_tokens, total_tokens> and costs one from step to dollars; a
+    step that comes again replaces its earlier entry. Both have an entry ``total`` unless it is 0. A map has an entry for
+    each kind of step.
+    """
+    use = F.struct("prompt_tokens", "completion_tokens", (F.col("prompt_tokens") + F.col("completion_tokens")).alias("total_tokens"))
+    last = steps.groupBy("request_id", "step").agg(F.max_by(F.struct(use.alias("use"), fq.token_cost(F.col("model"), F.col("prompt_tokens"), F.col("completion_tokens")).alias("cost")), "event_id").alias("last"))
+    entries = lambda c: F.map_from_entries(F.array_sort(F.collect_list(F.struct("step", F.col("last")[c]))))
+    maps = last.groupBy("request_id").agg(entries("use").alias("token_usage"), entries("cost").alias("costs"))
+    added = lambda c: F.aggregate(F.map_values("token_usage"), F.lit(0).cast("long"), lambda s, u: s + u[c])
+    total = F.struct(added("prompt_tokens").alias("prompt_tokens"), added("completion_tokens").alias("completion_tokens"), added("total_tokens").alias("total_tokens"))
+    dollars = F.aggregate(F.map_values("costs"), F.lit(0.0), lambda s, c: s + c)
+    return maps.select(
+        "request_id",
+        F.when(total["total_tokens"] > 0, F.map_concat("token_usage", F.create_map(F.lit("total"), total))).otherwise(F.col("token_usage")).alias("token_usage"),
+        F.when(dollars > 0, F.map_concat("costs", F.create_map(F.lit("total"), dollars))).otherwise(F.col("costs")).alias("costs"),
+    )
+
+
+def added_maps(a: F.Column, b: F.Column) -> F.Column:
+    """Two maps of numbers as one, with the sum of what either has for a key; a null map is empty."""
+    empty = F.create_map().cast("map<string,bigint>")
+    return F.map_zip_with(F.coalesce(a, empty), F.coalesce(b, empty), lambda _, x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0)))
+
+
+def summed_maps(rows: DataFrame, key: str, column: str) -> DataFrame:
+    """(``key``, ``column``): the maps of all rows of a key added up by entry; partial sums come before the exchange."""
+    parts = rows.select(key, F.explode(F.map_entries(column)).alias("e")).groupBy(key, F.col("e.key").alias("k")).agg(F.sum("e.value").alias("v"))
+    return parts.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias(column))
+
+
 def audit_filter(log: DataFrame, **equal) -> DataFrame:
     for column, value in equal.items():
         if value is not None:

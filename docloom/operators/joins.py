@@ -15,6 +15,11 @@ def parents_of_children(hits: DataFrame, edges: DataFrame, k: int) -> DataFrame:
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def with_parents(edges: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(child_chunk_id, child_index, and the columns of the parent's chunk): without an exchange if edges are bucketed by parent and chunks by id."""
+    return edges.join(chunks, edges["parent_chunk_id"] == chunks["chunk_id"]).select(edges["child_chunk_id"], edges["parent_chunk_id"], *[chunks[c] for c in chunks.columns if c != "chunk_id"])
+
+
 def preceding_headers(pages: DataFrame, headers: DataFrame, most: int | None = None) -> DataFrame:
     """(doc_id, page_number, headers): the headers of the document up to and on the page, by a running list over its pages.
 

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.operators import answers, budget, joins, vectors
 from docloom.plans import questions as qs
-from docloom.plans.registry import PAGES, TRIM, query, read, word_set
+from docloom.plans.registry import PAGES, TRIM, query, read, shared, word_set
 from docloom.plans.retrieval import VECS, knn_sql, vector_chunks, vector_queries
 from docloom.plans.texts import STRUCTURE, lines, pages, structure
-from docloom.sources import tables
+from docloom.sources import stored, tables
 
 WS = r"[\t-\r\x1C-\x20\x85\pZ]"
 
@@ -22,6 +26,22 @@ def parents(spark, sf_dir):
     return joins.parents_of_children(hits, edges, 10)
 
 
+@query("d01_parent_rows", f"""WITH {VECS}, {knn_sql(20, "c.vec_id % 3 = 1", name="kid").format(shift=0)}, p_ AS (SELECT query_id, chunk_id // 5 AS parent_chunk_id, max(similarity) AS similarity FROM kid_ GROUP BY 1, 2),
+  r_ AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, parent_chunk_id)::INTEGER AS rank FROM p_)
+  SELECT query_id, parent_chunk_id, similarity, rank, 'Parent ' || parent_chunk_id AS content FROM r_ WHERE rank <= 10""")
+def parent_rows(spark, sf_dir):
+    """The best parents of child hits with their rows, from tables bucketed by parent id."""
+    rows = vector_chunks(spark, sf_dir)
+    parent = F.floor(F.col("chunk_id") / 5).alias("parent_chunk_id")
+    name = f"docloom_{uuid.uuid4().hex}"
+    edges = stored.save_bucketed(rows.select(parent, F.col("chunk_id").alias("child_chunk_id")), f"{name}_edges", "parent_chunk_id", 8)
+    numbers = rows.select(F.floor(F.col("chunk_id") / 5).alias("chunk_id")).distinct()
+    chunks = stored.save_bucketed(numbers.withColumn("content", F.concat(F.lit("Parent "), F.col("chunk_id").cast("string"))), f"{name}_chunks", "chunk_id", 8)
+    hits = vectors.knn(vector_queries(spark, sf_dir), rows.where("chunk_id % 3 = 1"), 20)
+    best = joins.parents_of_children(hits, edges, 10)
+    return best.join(chunks, best["parent_chunk_id"] == chunks["chunk_id"]).select("query_id", "parent_chunk_id", "similarity", "rank", "content")
+
+
 HEADERS = f"{STRUCTURE}, headers_ AS (SELECT doc_id, page_number, line_index, bare AS text FROM kinds_ WHERE kind = 'header'), pg_ AS (SELECT DISTINCT doc_id, page_number FROM pages_)"
 
 
@@ -61,20 +81,39 @@ def conversation_list(spark, sf_dir):
     return joins.conversation_list(conversation_heads(spark, sf_dir), docs)
 
 
-@query("d07_cascade_delete", f"""WITH {PAGES}, {HEADS}, c_ AS (SELECT doc_id, doc_id * 1000 + page_number AS chunk_id FROM pages_)
-  SELECT 'documents' AS tab, doc_id AS key FROM documents WHERE doc_id % 7 <> 0 UNION ALL SELECT 'chunks', chunk_id FROM c_ WHERE doc_id % 7 <> 0 UNION ALL SELECT 'edges', chunk_id FROM c_ WHERE doc_id % 7 <> 0 UNION ALL SELECT 'conversations', conv_id FROM heads_ WHERE (doc_id // 7) % 7 <> 0 UNION ALL SELECT 'messages', conv_id * 100 + turn FROM conversations WHERE conv_id % 7 <> 0""")
-def cascade(spark, sf_dir):
+CASCADE_SQL = f"""WITH {PAGES}, {HEADS}, c_ AS (SELECT doc_id, doc_id * 1000 + page_number AS chunk_id FROM pages_)
+  SELECT 'documents' AS tab, doc_id AS key FROM documents WHERE doc_id % 7 <> 0 UNION ALL SELECT 'chunks', chunk_id FROM c_ WHERE doc_id % 7 <> 0 UNION ALL SELECT 'edges', chunk_id FROM c_ WHERE doc_id % 7 <> 0 UNION ALL SELECT 'conversations', conv_id FROM heads_ WHERE (doc_id // 7) % 7 <> 0 UNION ALL SELECT 'messages', conv_id * 100 + turn FROM conversations WHERE conv_id % 7 <> 0"""
+
+
+def documents_and_all(spark, sf_dir):
+    """documents, chunks, edges, conversations and messages, each with its document."""
     docs = read(spark, sf_dir, "documents").select("doc_id")
     chunks = pages(spark, sf_dir).select("doc_id", (F.col("doc_id") * 1000 + F.col("page_number")).alias("chunk_id"))
-    edges = chunks.select(F.col("chunk_id").alias("parent_chunk_id"), F.col("chunk_id").alias("child_chunk_id"))
-    convs = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.first("conv_id").alias("doc_id"))
-    left = joins.cascade_delete({"documents": docs, "chunks": chunks, "edges": edges, "conversations": convs, "messages": read(spark, sf_dir, "conversations")}, docs.where("doc_id % 7 = 0"))
+    edges = chunks.select("doc_id", F.col("chunk_id").alias("parent_chunk_id"), F.col("chunk_id").alias("child_chunk_id"))
+    messages = read(spark, sf_dir, "conversations").withColumn("doc_id", F.col("conv_id"))
+    return {"documents": docs, "chunks": chunks, "edges": edges, "conversations": messages.select("doc_id", "conv_id").distinct(), "messages": messages}
+
+
+def keys_of(tables_left):
     key = {"documents": F.col("doc_id"), "chunks": F.col("chunk_id"), "edges": F.col("child_chunk_id"), "conversations": F.col("conv_id"), "messages": F.col("conv_id") * 100 + F.col("turn")}
-    out = None
-    for name, df in left.items():
-        part = df.select(F.lit(name).alias("tab"), key[name].cast("long").alias("key"))
-        out = part if out is None else out.unionAll(part)
-    return out
+    return reduce(DataFrame.unionAll, [df.select(F.lit(name).alias("tab"), key[name].cast("long").alias("key")) for name, df in tables_left.items()])
+
+
+@query("d07_cascade_delete", CASCADE_SQL)
+def cascade(spark, sf_dir):
+    whole = documents_and_all(spark, sf_dir)
+    left = joins.cascade_delete(whole | {"edges": whole["edges"].drop("doc_id")}, whole["documents"].where("doc_id % 7 = 0"))
+    return keys_of(left)
+
+
+@query("d07_cascade_rewrite", CASCADE_SQL)
+def cascade_stored(spark, sf_dir):
+    """The same on stored tables, of which the touched buckets are rewritten."""
+    whole, path = documents_and_all(spark, sf_dir), shared(spark)
+    for name, rows in whole.items():
+        stored.write_by_document(rows, f"{path}/{name}", buckets=8)
+    stored.cascade_delete(spark, {name: f"{path}/{name}" for name in whole}, whole["documents"].where("doc_id % 7 = 0"), buckets=8)
+    return keys_of({name: spark.read.parquet(f"{path}/{name}") for name in whole})
 
 
 @query("d08_is_hierarchical", f"WITH {PAGES} SELECT doc_id, doc_id IN (SELECT doc_id FROM pages_ WHERE page_number = 2) AS is_hierarchical FROM documents")

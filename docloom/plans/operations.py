@@ -118,6 +118,30 @@ def totals(spark, sf_dir):
     return analytics.token_totals(steps(spark, sf_dir))
 
 
+# Requests are users; their steps are event types, of which each user has other ones.
+@query("i14_usage_maps", f"""WITH {STEPS.replace("event_id FROM", "event_type AS step, event_id FROM")}, l_ AS (SELECT request_id, step, max_by(prompt_tokens, event_id) AS prompt_tokens, max_by(completion_tokens, event_id) AS completion_tokens, max_by(model, event_id) AS model FROM steps_ GROUP BY ALL),
+  c_ AS (SELECT *, {COST} AS cost FROM l_), e_ AS (SELECT request_id, step, prompt_tokens, completion_tokens, cost FROM c_ UNION ALL SELECT request_id, 'total', sum(prompt_tokens), sum(completion_tokens), sum(cost) FROM c_ GROUP BY request_id HAVING sum(prompt_tokens + completion_tokens) > 0)
+  SELECT request_id, string_agg(step || ':' || prompt_tokens || ':' || completion_tokens || ':' || (prompt_tokens + completion_tokens), ',' ORDER BY step) AS token_usage, string_agg(step || ':' || round(cost * 100000000)::BIGINT, ',' ORDER BY step) FILTER (cost > 0 OR step <> 'total') AS costs FROM e_ GROUP BY request_id""")
+def usage(spark, sf_dir):
+    """Maps as sorted text; costs in units of 1e-8."""
+    rows = steps(spark, sf_dir).join(read(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("step")), "event_id")
+    text = lambda c, value: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat_ws(":", e["key"], *value(e["value"]))), ",")
+    return analytics.usage_maps(rows).select(
+        "request_id",
+        text("token_usage", lambda u: [u[x].cast("string") for x in ("prompt_tokens", "completion_tokens", "total_tokens")]).alias("token_usage"),
+        text("costs", lambda v: [F.round(v * 100000000).cast("long").cast("string")]).alias("costs"),
+    )
+
+
+@query("i14_merged_maps", "WITH c_ AS (SELECT user_id, event_type AS k, count(*) AS v FROM events GROUP BY ALL) SELECT user_id, string_agg(k || ':' || v, ',' ORDER BY k) AS counts FROM c_ GROUP BY user_id")
+def merged_maps(spark, sf_dir):
+    """Two kinds of rows with maps of unlike keys, added up by kind and then with each other."""
+    one = read(spark, sf_dir, "events").select("user_id", F.create_map("event_type", F.lit(1).cast("long")).alias("counts"), (F.col("event_type").isin("view", "click")).alias("seen"))
+    parts = [analytics.summed_maps(one.where(w), "user_id", "counts").withColumnRenamed("counts", n) for w, n in (("seen", "a"), ("NOT seen", "b"))]
+    both = parts[0].join(parts[1], "user_id", "full_outer").select("user_id", analytics.added_maps(F.col("a"), F.col("b")).alias("counts"))
+    return both.select("user_id", F.array_join(F.transform(F.array_sort(F.map_entries("counts")), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",").alias("counts"))
+
+
 query("i15_audit_page", "SELECT event_id, user_id FROM events WHERE event_type = 'click' ORDER BY ts DESC, event_id DESC LIMIT 100 OFFSET 200")(
     lambda s, d: analytics.audit_page(read(s, d, "events"), 200, 100, event_type="click").select("event_id", "user_id")
 )

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docloom.operators import chunking
-from docloom.plans.registry import query, read, shared
+from docloom.plans.registry import PAGES, query, read, shared
 from docloom.plans.texts import pages
-from docloom.sources import tables
+from docloom.sources import stored, tables
 from docloom.streaming import jobs
 
 
@@ -29,6 +29,16 @@ def written(spark, sf_dir):
     return stored.agg(F.lit(counts["success"]).cast("long").alias("success"), F.lit(counts["errors"]).cast("long").alias("errors"), F.count("*").alias("stored"))
 
 
+@query("a03_replace_chunks", f"WITH {PAGES} SELECT doc_id, page_number, CASE WHEN doc_id % 11 = 0 THEN 'changed ' || doc_id ELSE content END AS content FROM pages_ WHERE doc_id % 11 <> 0 OR page_number = 1")
+def replaced(spark, sf_dir):
+    """Every eleventh document comes again with one short page; only the buckets of these are rewritten."""
+    path, rows = shared(spark), pages(spark, sf_dir)
+    stored.write_by_document(rows, path)
+    again = rows.where("doc_id % 11 = 0 AND page_number = 1").withColumn("content", F.concat(F.lit("changed "), F.col("doc_id").cast("string")))
+    stored.replace_documents(spark, path, again)
+    return spark.read.parquet(path).select("doc_id", "page_number", "content")
+
+
 @query("a04_write_edges")
 def edges_written(spark, sf_dir):
     path = shared(spark)

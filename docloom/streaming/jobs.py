@@ -38,17 +38,18 @@ def queue_windows(events: DataFrame, late: str | None = "10 minutes") -> DataFra
     return counted.select(F.col("w.start").alias("start"), "completed", "failed")
 
 
-def success_windows(events: DataFrame, late: str | None = "10 minutes") -> DataFrame:
-    """Success rate over the last 24 hours, sliding by the hour; a table is counted by the hour first, and only the counts meet their 24 windows."""
+def success_windows(events: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """Success rate over the last 24 hours, sliding by the hour: events are counted by the hour, and only the counts meet their 24 windows.
+
+    On a stream the hourly counts go on into the second aggregation when the watermark has closed their hour; a window comes
+    out, in append mode, when its last hour has.
+    """
     done, failed = F.col("event_type") == "purchase", F.col("event_type") == "error"
-    rate = lambda a, b: F.coalesce(F.round(F.try_divide(a * 100.0, a + b), 4), F.lit(100.0)).alias("success_rate")
-    if events.isStreaming:
-        rows = watermarked(events, "ts", late) if late else events
-        rated = rows.groupBy(F.window("ts", "24 hours", "1 hour").alias("w")).agg(rate(F.count_if(done), F.count_if(failed)))
-        return rated.select(F.col("w.start").alias("start"), "success_rate")
-    hours = events.groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count_if(done).alias("done"), F.count_if(failed).alias("failed"))
-    starts = F.explode(F.sequence(F.col("w.start") - F.expr("INTERVAL 23 HOURS"), F.col("w.start"), F.expr("INTERVAL 1 HOUR"))).alias("start")
-    return hours.select(starts, "done", "failed").groupBy("start").agg(rate(F.sum("done"), F.sum("failed")))
+    rows = watermarked(events, "ts", late) if events.isStreaming else events
+    hours = rows.groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count_if(done).alias("done"), F.count_if(failed).alias("failed"))
+    rate = F.coalesce(F.round(F.try_divide(F.sum("done") * 100.0, F.sum("done") + F.sum("failed")), 4), F.lit(100.0))
+    day = F.window(F.window_time("w"), "24 hours", "1 hour").alias("d")
+    return hours.groupBy(day).agg(rate.alias("success_rate")).select(F.col("d.start").alias("start"), "success_rate")
 
 
 def admitted(times: Iterable[float], held: Iterable[float], limit: int, span: float) -> tuple[list[bool], list[float]]:

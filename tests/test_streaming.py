@@ -19,6 +19,18 @@ def test_windows_in_a_stream(spark, sf):
     assert sorted(map(tuple, spark.table("windows").collect())) == sorted(map(tuple, batch.collect()))
 
 
+def test_chained_windows_in_a_stream(spark, sf, tmp_path):
+    table = read(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    late = table.agg(F.max("ts").alias("ts")).select((F.col("ts") + F.expr("INTERVAL 9 DAYS")).alias("ts"), F.lit("view").alias("event_type"))
+    for i, part in enumerate((table.orderBy("ts").limit(600), table.orderBy(F.col("ts").desc()).limit(table.count() - 600), late, late.select(F.col("ts") + F.expr("INTERVAL 9 DAYS"), "event_type").toDF("ts", "event_type"))):
+        part.coalesce(1).write.parquet(f"{tmp_path}/in/part{i}")
+    events = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    stream = jobs.success_windows(events)
+    run(stream, "days")
+    got = sorted(map(tuple, spark.table("days").where(F.col("start") <= table.agg(F.max("ts")).first()[0]).collect()))
+    assert got == sorted(map(tuple, jobs.success_windows(table).collect()))
+
+
 def test_rate_limit_folds():
     ok, held = jobs.admitted([0, 1, 2, 59, 60, 61, 62], [], 3, 60)
     assert ok == [True, True, True, False, True, True, True]
