@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import questions as fq
@@ -108,6 +108,20 @@ def split_flat(pages: DataFrame, size: int = 1000, overlap: int = 200) -> DataFr
     return _chunk_rows(_with(pages, F.lit(size), F.lit(overlap), _marks(PROSE)), False)
 
 
+@F.udtf(returnType="chunk_index int, content string", useArrow=True)
+class SplitText:
+    """The flat splitter for SQL: a row for each chunk of a text; none for null."""
+
+    def eval(self, content: str, size: int, overlap: int):
+        if content is not None:
+            yield from enumerate(split_text(content, size, overlap, PROSE))
+
+
+def register_splitter(spark: SparkSession, name: str = "split_text") -> None:
+    """Makes ``SELECT ... FROM pages p, LATERAL split_text(p.content, 1000, 200) s`` work in the session."""
+    spark.udtf.register(name, SplitText)
+
+
 def split_adaptive(pages: DataFrame, repair: bool = False) -> DataFrame:
     """Chunks sized and cut by the content type of their page; ``repair`` moves incomplete sentences on."""
     kind = ts.identify_content_type(F.col("content"))

@@ -165,7 +165,15 @@ query("i18_distinct_parents", "SELECT DISTINCT label, vec_id // 5 AS parent FROM
 query("i19_grouping_sets", "SELECT event_type, user_id % 10 AS bucket, grouping_id(event_type, user_id % 10) AS gid, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY GROUPING SETS ((1, 2), (1), ())")(
     lambda s, d: read(s, d, "events").withColumn("bucket", F.col("user_id") % 10).groupingSets([["event_type", "bucket"], ["event_type"], []], "event_type", "bucket").agg(F.grouping_id().alias("gid"), F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 )
-query("i20_approx_users")(lambda s, d: analytics.approx_users(read(s, d, "events"), "event_type", "user_id"))
+@query("i20_approx_users", "SELECT event_type, count(DISTINCT user_id) AS exact, TRUE AS within FROM events GROUP BY event_type")
+def approximate_users(spark, sf_dir):
+    """The sketch beside the exact number; within tells whether it lies within three of its standard errors."""
+    events = read(spark, sf_dir, "events")
+    exact = events.groupBy("event_type").agg(F.count_distinct("user_id").alias("exact"))
+    both = analytics.approx_users(events, "event_type", "user_id").join(exact, "event_type")
+    return both.select("event_type", "exact", (F.abs(F.col("users") - F.col("exact")) <= 3 * 0.02 * F.col("exact")).alias("within"))
+
+
 
 query("j01_rank_in_list", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id)::INTEGER AS rank FROM events")(
     lambda s, d: read(s, d, "events").select("event_id", F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("value").desc(), "event_id")).alias("rank"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docloom.operators import ann, chunking, fusion, keyword, postings, vectors
+from docloom.operators import ann, chunking, fusion, keyword, postings, rerank, vectors
 from docloom.plans.registry import PAGES, TRIM, crc32, query, read, shared
 from docloom.plans.texts import pages
 
@@ -14,6 +14,14 @@ def flat(spark, sf_dir):
     return chunking.split_flat(pages(spark, sf_dir))
 
 
+@query("c01_split_sql")
+def flat_by_sql(spark, sf_dir):
+    """The flat splitter as a table function in a lateral join."""
+    chunking.register_splitter(spark)
+    pages(spark, sf_dir).createOrReplaceTempView("docloom_pages")
+    return spark.sql("SELECT p.doc_id, p.page_number, s.chunk_index, s.content FROM docloom_pages p, LATERAL split_text(p.content, 1000, 200) s")
+
+
 @query("c02_split_adaptive")
 def adaptive(spark, sf_dir):
     return chunking.split_adaptive(pages(spark, sf_dir))
@@ -75,7 +83,7 @@ def all_kinds(spark, sf_dir):
     return chunking.all_chunks(text, one("image", "Image", "source"), one("table", "Table", "lang")).select("doc_id", "page_number", "chunk_type", "content")
 
 
-@query("c07_attach_embeddings")
+@query("c07_attach_embeddings", f"WITH {PAGES} SELECT doc_id || ':' || page_number AS chunk_id, content, 64::INTEGER AS dim FROM pages_")
 def attached(spark, sf_dir):
     embed = vectors.hashed_embedder()
     chunks = pages(spark, sf_dir).withColumn("chunk_id", F.concat_ws(":", "doc_id", "page_number"))
@@ -210,6 +218,26 @@ def reranked(spark, sf_dir):
     return vectors.rerank(full).select("query_id", "chunk_id", "original_similarity", "similarity", "rank")
 
 
+# Words as the counts of their character trigrams by hash; each question word is given its most similar word of the text.
+@query("e10_rerank_texts", f"""WITH {PAGES}, q_ AS (SELECT doc_id AS query_id, doc_id, list_distinct({WORDS_SQL.format(t="text")}[2:4]) AS q FROM documents WHERE doc_id % 50 = 0 AND text IS NOT NULL),
+  c_ AS (SELECT query_id, doc_id * 1000 + page_number AS chunk_id, q, list_distinct({WORDS_SQL.format(t="content")}) AS t FROM q_ JOIN pages_ USING (doc_id)),
+  w_ AS (SELECT DISTINCT unnest(list_concat(q, t)) AS w FROM c_),
+  g_ AS (SELECT w, unnest(list_transform(range(1, length(w) + 1), lambda i: substr('^' || w || '$', i, 3))) AS g FROM w_),
+  v_ AS (SELECT w, {crc32("g")} % 256 AS place, count(*)::DOUBLE AS n FROM g_ GROUP BY ALL),
+  o_ AS (SELECT w, sum(n * n) AS own FROM v_ GROUP BY w),
+  p_ AS (SELECT DISTINCT a, b FROM (SELECT a, unnest(t) AS b FROM (SELECT unnest(q) AS a, t FROM c_))),
+  s_ AS (SELECT a, b, sum(x.n * y.n) AS both_ FROM p_ JOIN v_ x ON x.w = a JOIN v_ y ON y.w = b AND y.place = x.place GROUP BY a, b),
+  m_ AS (SELECT a, b, coalesce(both_, 0) / sqrt(i.own * j.own) AS near FROM p_ LEFT JOIN s_ USING (a, b) JOIN o_ i ON i.w = a JOIN o_ j ON j.w = b),
+  r_ AS (SELECT query_id, chunk_id, len(q) AS n, a, max(near) AS best FROM (SELECT query_id, chunk_id, q, a, unnest(t) AS b FROM (SELECT query_id, chunk_id, q, t, unnest(q) AS a FROM c_)) JOIN m_ USING (a, b) GROUP BY ALL),
+  f_ AS (SELECT c_.query_id, c_.chunk_id, round(coalesce(sum(best) / any_value(n), 0), 9) AS similarity FROM c_ LEFT JOIN r_ ON r_.query_id = c_.query_id AND r_.chunk_id = c_.chunk_id GROUP BY ALL)
+  SELECT * FROM (SELECT query_id, chunk_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id)::INTEGER AS rank FROM f_) WHERE rank <= 15""")
+def reranked_texts(spark, sf_dir):
+    """All pages of a question's document, scored by question text and page text."""
+    asked = keyword_queries(spark, sf_dir)
+    pairs = asked.join(keyword_chunks(spark, sf_dir), "doc_id").select("query_id", "chunk_id", "query", "content")
+    return rerank.rerank_texts(pairs).select("query_id", "chunk_id", "similarity", "rank")
+
+
 @query("e11_embed")
 def embedded(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", vectors.hashed_embedder()("text").alias("embedding"))

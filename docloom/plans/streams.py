@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from docloom.operators import chunking
@@ -39,16 +41,29 @@ def replaced(spark, sf_dir):
     return spark.read.parquet(path).select("doc_id", "page_number", "content")
 
 
-@query("a04_write_edges")
+@query("a04_write_edges", f"WITH {PAGES} SELECT count(*) AS stored, count(*) AS counted FROM pages_")
 def edges_written(spark, sf_dir):
-    path = shared(spark)
-    edges = chunking.edges(chunking.split_hierarchical(pages(spark, sf_dir)))
+    """Every page hangs on its document; each pair comes twice and is kept once."""
+    path, page = shared(spark), F.concat_ws("/", "doc_id", "page_number")
+    edges = pages(spark, sf_dir).select(F.col("doc_id").cast("string").alias("parent_chunk_id"), page.alias("child_chunk_id"), "page_number").withColumnRenamed("page_number", "child_index")
     n = tables.write_edges(edges.unionAll(edges), path)
     return spark.read.parquet(path).agg(F.count("*").alias("stored"), F.lit(n).cast("long").alias("counted"))
 
 
-@query("k01_progressive_ingestion")
+@query("k01_progressive_ingestion", f"WITH {PAGES} SELECT (SELECT count(*) FROM pages_) AS pages, (SELECT count(DISTINCT doc_id) FROM pages_) AS documents, TRUE AS chunks_agree, TRUE AS edges_agree")
 def progressive(spark, sf_dir):
+    """Runs the stream over the documents, edges included, and holds its own counts against the tables that it wrote."""
+    names = [shared(spark) for _ in range(4)]
+    jobs.ingest_levels_stream(spark, f"{sf_dir}/documents.parque?", *names, read(spark, sf_dir, "documents").schema).awaitTermination()
+    chunks, edges, progress = (spark.read.parquet(n) for n in names[:3])
+    told = progress.agg(F.sum("pages"), F.sum("chunks"), F.sum("edges")).first()
+    linked = edges.join(chunks.select(F.col("chunk_id").alias("child_chunk_id")), "child_chunk_id").count()
+    stored_chunks = chunks.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("documents"))
+    return stored_chunks.select(F.lit(told[0]).alias("pages"), "documents", (F.col("n") == told[1]).alias("chunks_agree"), F.lit(told[2] == linked).alias("edges_agree"))
+
+
+@query("k01_flat_ingestion")
+def flat_ingestion(spark, sf_dir):
     return jobs.stream_chunks(read(spark, sf_dir, "documents")).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.max("page_number").alias("pages"))
 
 
@@ -110,3 +125,17 @@ def answered(spark, sf_dir):
 query("k07_without_repeats", "SELECT count(*) AS n FROM (SELECT DISTINCT event_id FROM events)")(
     lambda s, d: jobs.without_repeats(read(s, d, "events").unionAll(read(s, d, "events").where("event_id % 2 = 0")), ["event_id"]).agg(F.count("*").alias("n"))
 )
+
+
+@query("a08_jdbc_customers", "SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer WHERE c_nationkey < 12")
+def customers(spark, sf_dir):
+    """customer written to the embedded database of Spark's distribution and read back in ranges; the filter runs in the database.
+
+    That database lives in the driver's process, so this one asks for a local master; a server's URL works on a cluster.
+    """
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("the embedded database serves a local master only")
+    url, driver = f"jdbc:derby:memory:docloom{uuid.uuid4().hex};create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    rows = read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
+    tables.write_jdbc(rows, url, "customer", driver)
+    return tables.read_jdbc_ranges(spark, url, "customer", "c_custkey", 4, driver).where("c_nationkey < 12").select("c_custkey", "c_name", "c_nationkey", "c_acctbal")

@@ -100,5 +100,16 @@ def read_jdbc(spark: SparkSession, url: str, table: str, column: str | None = No
     return spark.read.jdbc(url, table, column=column, lowerBound=lower, upperBound=upper, numPartitions=parts, properties=properties or {})
 
 
+def read_jdbc_ranges(spark: SparkSession, url: str, table: str, column: str, parts: int = 8, properties: dict | None = None, quote: str = '"') -> DataFrame:
+    """A relational table read in ``parts`` ranges between the least and the greatest value of a numeric column, which the database is asked for.
+
+    Filters and columns asked for later are sent to the database. Rows with a null in the column come with the first range.
+    """
+    bounds = spark.read.jdbc(url, f"(SELECT MIN({quote}{column}{quote}) AS low, MAX({quote}{column}{quote}) AS high FROM {table}) bounds", properties=properties or {}).first()
+    if bounds[0] is None:
+        return read_jdbc(spark, url, table, properties=properties)
+    return read_jdbc(spark, url, table, column, int(bounds[0]), int(bounds[1]) + 1, parts, properties)
+
+
 def write_jdbc(df: DataFrame, url: str, table: str, properties: dict | None = None) -> None:
     df.write.jdbc(url, table, mode="append", properties=properties or {})

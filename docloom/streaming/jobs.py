@@ -7,8 +7,9 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from docloom.operators import chunking
 from docloom.sources.tables import pages_of, stable_id
@@ -187,25 +188,55 @@ def semantic_cache(questions: DataFrame, least: float = 0.85, span: float = 7200
     return dealt.mapInPandas(fold, f"key {kinds['key']}, id long, ts {kinds['ts']}, entry_id long, similarity double")
 
 
-def ingest_levels_stream(spark: SparkSession, path: str, chunks: str, edges: str, progress: str, checkpoint: str, schema):
+class Progress(StreamingQueryListener):
+    """What the streams that observe their rows have done so far, by name of the observation: running sums of each micro-batch's counts."""
+
+    def __init__(self) -> None:
+        self.totals: dict[str, dict[str, int]] = {}
+
+    def onQueryProgress(self, event) -> None:
+        for name, row in event.progress.observedMetrics.items():
+            held = self.totals.setdefault(name, {})
+            for k, v in row.asDict().items():
+                held[k] = held.get(k, 0) + int(v or 0)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+def ingest_levels_stream(spark: SparkSession, path: str, chunks: str, edges: str, progress: str, checkpoint: str, schema, files: int | None = None):
     """Ingests the Parquet files that arrive at ``path`` as parents, children and edges, and keeps count.
 
-    Every micro-batch writes its own folder of each table, so a repeated batch overwrites itself. ``progress`` has a row for
-    each batch with its numbers of documents, pages, chunks and edges.
+    Counts are taken by ``observe`` where the rows pass: ``read`` (documents, texts) and ``split`` (pages, chunks, edges) are in every
+    progress report of the query, so a ``Progress`` listener follows a running stream; ``progress`` keeps a row for each batch.
+    A micro-batch (``files`` files at most) writes its own folder of each table and its counts last: one that failed half way is
+    run again after a restart and overwrites what it had left.
     """
+    first = F.col("child_index") == 0
+    counts = {"pages": F.count_if(first & (F.col("parent_index") == 0)), "chunks": F.count_if(first) + F.count(F.lit(1)), "edges": F.count(F.lit(1))}
 
     def write(batch: DataFrame, number: int) -> None:
-        pages = pages_of(batch)
-        levels = chunking.split_hierarchical(pages).persist()
+        seen = Observation()
+        levels = batch.persist()
         both = chunking.parents(levels).unionByName(chunking.children(levels))
         both.write.mode("overwrite").parquet(f"{chunks}/batch={number}")
-        chunking.edges(levels).write.mode("overwrite").parquet(f"{edges}/batch={number}")
-        counted = levels.agg(F.count_distinct("doc_id").alias("documents"), F.count_distinct("doc_id", "page_number").alias("pages"), (F.count_distinct("parent_id") + F.count("*")).alias("chunks"), F.count("*").alias("edges"))
-        counted.coalesce(1).write.mode("overwrite").parquet(f"{progress}/batch={number}")
+        told = levels.observe(seen, *[v.alias(k) for k, v in counts.items()])
+        chunking.edges(told).write.mode("overwrite").parquet(f"{edges}/batch={number}")
+        row = [(int(seen.get[k] or 0)) for k in counts]
+        spark.createDataFrame([row], ", ".join(f"{k} long" for k in counts)).coalesce(1).write.mode("overwrite").parquet(f"{progress}/batch={number}")
         levels.unpersist()
 
-    source = spark.readStream.schema(schema).parquet(path)
-    return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    reader = spark.readStream.schema(schema)
+    source = (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
+    source = source.observe("read", F.count(F.lit(1)).alias("documents"), F.count("text").alias("texts"))
+    levels = chunking.split_hierarchical(pages_of(source)).observe("split", *[v.alias(k) for k, v in counts.items()])
+    return levels.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def without_repeats(events: DataFrame, keys: list[str], late: str = "10 minutes") -> DataFrame:

@@ -116,3 +116,13 @@ def test_semantic_pages_turn_where_the_meaning_does(spark):
     (far,) = frame(iter([pd.Series([["a", "b", "c"], [], ["d"], ["e", "f"]])]))
     assert [len(x) for x in far] == [2, 0, 0, 1] and calls == [4, 2]
     assert split_semantic_pages(pages.limit(0), embed).count() == 0
+
+
+def test_the_table_function_splits_as_the_operator_does(spark, sf):
+    from docloom.plans import catalogue
+
+    rows = lambda name: sorted(tuple(r) for r in catalogue.queries()[name](spark, sf).select("doc_id", "page_number", "chunk_index", "content").collect())
+    assert rows("c01_split_sql") == rows("c01_split_flat")
+    spark.createDataFrame([(1, None), (2, ""), (3, "a b")], "i int, t string").createOrReplaceTempView("odd_texts")
+    got = spark.sql("SELECT o.i, s.content FROM odd_texts o, LATERAL split_text(o.t, 10, 0) s").collect()
+    assert [tuple(r) for r in got] == [(3, "a b")]

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.operators import ann, budget, fusion, keyword, postings, vectors
+from docloom.operators import ann, budget, fusion, keyword, postings, rerank, vectors
 from docloom.plans import catalogue
 
 
@@ -179,3 +179,52 @@ def test_a_search_reads_the_pages_it_asks_for(spark, tmp_path):
     assert scanned_rows(mine) < index.count() / 10
     skipped = [b for b in postings.build_postings(chunks, block=5).groupBy("doc_id").agg(F.max("block").alias("b")).collect() if b.b > 0]
     assert skipped  # several blocks of a document occur
+
+
+def plain_interaction(query, text):
+    import re
+    import zlib
+
+    def vector(w):
+        out = {}
+        for i in range(len(w)):
+            place = zlib.crc32(f"^{w}$"[i : i + 3].encode()) % 256
+            out[place] = out.get(place, 0) + 1
+        return out
+
+    words = lambda t: list(dict.fromkeys(re.findall(r"\w+", (t or "").lower())))
+    cos = lambda a, b: sum(n * b.get(p, 0) for p, n in a.items()) / (sum(n * n for n in a.values()) * sum(n * n for n in b.values())) ** 0.5
+    q, t = [vector(w) for w in words(query)], [vector(w) for w in words(text)]
+    return round(sum(max(cos(a, b) for b in t) for a in q) / len(q), 9) if q and t else 0.0
+
+
+def test_reranking_by_texts(spark):
+    rows = [(1, 1, "solar panel", "Panels of solar cells"), (1, 2, "solar panel", "wind"), (1, 3, "solar panel", None), (1, 4, "solar panel", "wind"), (2, 5, None, "wind"), (2, 6, "", "x"), (3, 7, "Éa éa", "éa")]
+    frame = spark.createDataFrame(rows, "query_id int, chunk_id int, query string, content string").withColumn("similarity", F.lit(0.5))
+    got = {(r.query_id, r.chunk_id): (r.similarity, r["rank"], r.original_similarity) for r in rerank.rerank_texts(frame).collect()}
+    assert {k: v[0] for k, v in got.items()} == {(q, c): pytest.approx(plain_interaction(a, b), abs=1e-9) for q, c, a, b in rows}
+    assert [got[1, c][1] for c in (1, 2, 3, 4)] == [1, 2, 3, 4] and got[1, 1][2] == 0.5
+    assert rerank.rerank_texts(frame, 1).count() == 3
+    assert rerank.rerank_texts(frame.limit(0)).count() == 0
+
+
+def test_a_pair_model_is_made_once_for_a_task_and_asked_in_batches():
+    import pandas as pd
+
+    made, asked = [], []
+
+    def make():
+        made.append(1)
+        return lambda q, t: asked.append(len(q)) or np.array([len(x) for x in t], float)
+
+    score = rerank.pair_scorer(make, batch=2).func
+    out = list(score(iter([(pd.Series(["a"] * 3), pd.Series(["x", None, "xyz"])), (pd.Series(["a"]), pd.Series(["xx"]))])))
+    assert [s.tolist() for s in out] == [[1.0, 0.0, 3.0], [2.0]]
+    assert (made, asked) == ([1], [2, 1, 1])
+
+
+def test_compression_takes_text_scores(spark):
+    rows = [(1, i, "solar panel", t) for i, t in enumerate(["Solar panels work.", "Cats sleep.", "A panel is flat.", "Rain falls.", "Solar power."])]
+    frame = spark.createDataFrame(rows, "chunk_id int, sentence_index int, query string, content string")
+    (got,) = budget.compress_chunks(rerank.sentence_scores(frame)).collect()
+    assert got.content == "Solar panels work. A panel is flat. Solar power." and got.sentences_total == 5

@@ -1,5 +1,6 @@
 """Streams give what their batch twins give."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from docloom.plans.registry import read
@@ -221,6 +222,43 @@ def test_levels_are_ingested_with_their_edges(spark, sf, tmp_path):
     levels = chunking.split_hierarchical(pages_of(docs))
     edges = {tuple(r) for r in spark.read.parquet(names[1]).select("parent_chunk_id", "child_chunk_id", "child_index").collect()}
     assert edges == {tuple(r) for r in chunking.edges(levels).collect()}
-    total = spark.read.parquet(names[2]).agg(F.sum("documents"), F.sum("edges")).first()
-    assert tuple(total) == (levels.select("doc_id").distinct().count(), len(edges))
+    total = spark.read.parquet(names[2]).agg(F.sum("pages"), F.sum("edges")).first()
+    assert tuple(total) == (levels.select("doc_id", "page_number").distinct().count(), len(edges))
     assert spark.read.parquet(names[0]).count() == chunking.parents(levels).count() + chunking.children(levels).count()
+
+
+def test_ingestion_tells_its_progress_and_goes_on_after_a_failure(spark, sf, tmp_path, monkeypatch):
+    import time
+
+    from docloom.operators import chunking
+
+    docs = read(spark, sf, "documents")
+    docs.repartition(3).write.parquet(f"{tmp_path}/in")
+    names = [f"{tmp_path}/{x}" for x in ("chunks", "edges", "progress", "checkpoint")]
+    told = jobs.Progress()
+    spark.streams.addListener(told)
+    start = lambda: jobs.ingest_levels_stream(spark, f"{tmp_path}/in", *names, docs.schema, files=1)
+    whole, calls = chunking.edges, []
+
+    def failing(levels):
+        calls.append(1)
+        if len(calls) == 2:
+            raise OSError("half way")
+        return whole(levels)
+
+    monkeypatch.setattr(chunking, "edges", failing)
+    with pytest.raises(Exception, match="half way"):
+        start().awaitTermination()
+    assert spark.read.parquet(names[0]).select("batch").distinct().count() == 2  # the second has chunks, but no edges and no count
+    assert spark.read.parquet(names[2]).count() == 1
+    start().awaitTermination()
+    chunks, edges, progress = (spark.read.parquet(n) for n in names[:3])
+    total = progress.agg(F.sum("chunks"), F.sum("edges"), F.sum("pages")).first()
+    assert (total[0], total[1]) == (chunks.count(), edges.count())
+    assert chunks.select("chunk_id").distinct().count() == chunks.count()
+    deadline = time.time() + 20
+    while time.time() < deadline and told.totals.get("split", {}).get("edges", 0) < total[1]:
+        time.sleep(0.2)
+    spark.streams.removeListener(told)
+    assert told.totals["split"] == {"pages": total[2], "chunks": total[0], "edges": total[1]}
+    assert told.totals["read"]["documents"] == docs.count()

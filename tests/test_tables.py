@@ -23,6 +23,21 @@ def test_jdbc_round_trip_in_parallel_ranges(spark):
     assert found.count() == 1
 
 
+def test_jdbc_ranges_come_from_the_table(spark):
+    url, driver = "jdbc:derby:memory:docloomranges;create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    rows = spark.range(1_000, 1_400).select(F.col("id").alias("doc_id"), (F.col("id") % 7).alias("kind"), F.concat(F.lit("t"), F.col("id")).alias("title"))
+    tables.write_jdbc(rows, url, "documents", driver)
+    back = tables.read_jdbc_ranges(spark, url, "documents", "doc_id", 4, driver)
+    sizes = [r.n for r in back.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 4 and min(sizes) >= 90  # the ranges lie between 1000 and 1400
+    found = back.where("kind < 2").select("doc_id", "kind")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "LessThan(kind,2)" in plan and "title" not in plan.split("PushedFilters")[0]
+    assert found.count() == rows.where("kind < 2").count()
+    tables.write_jdbc(rows.limit(0), url, "nothing", driver)
+    assert tables.read_jdbc_ranges(spark, url, "nothing", "doc_id", 4, driver).count() == 0
+
+
 def test_chunks_are_written_once_with_counts(spark, tmp_path):
     rows = [(str(i), i % 7, None if i % 10 == 0 else f"c{i}", None, None) for i in range(100)]
     frame = spark.createDataFrame(rows, "chunk_id string, doc_id long, content string, chunk_type string, chunk_level string")
