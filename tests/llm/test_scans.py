@@ -1,7 +1,9 @@
 """Decontamination, language, secrets, token counts and archives on small cases."""
 
 import base64
+import bz2
 import gzip
+import lzma
 import random
 import time
 import zlib
@@ -173,6 +175,101 @@ def test_scan_equals_brute_force_on_single_layers():
         assert want <= got
 
 
+PLAIN = "x password: hunter2hunter2 y"
+
+
+def zlibbed(s, bits):
+    c = zlib.compressobj(9, zlib.DEFLATED, bits)
+    return c.compress(s) + c.flush()
+
+
+def lines_of(s, n=40, end="\n"):
+    return end.join(s[i : i + n] for i in range(0, len(s), n))
+
+
+@pytest.mark.parametrize(
+    "wrap",
+    [
+        lambda s: base64.b64encode(s.encode("utf-16-le")).decode(),
+        lambda s: base64.b64encode(s.encode("utf-16")).decode(),
+        lambda s: base64.b64encode(s.encode("utf-16-be")).decode(),
+        lambda s: lines_of(base64.b64encode(s.encode() * 3).decode()),
+        lambda s: lines_of(base64.b64encode(gzip.compress(s.encode() * 3)).decode(), end="\r\n  "),
+        lambda s: lines_of(base64.b64encode(s.encode() * 3).decode(), end="\\n"),
+        lambda s: base64.b64encode(bz2.compress(s.encode())).decode(),
+        lambda s: base64.b64encode(lzma.compress(s.encode())).decode(),
+        *[lambda s, b=b: base64.b64encode(zlibbed(s.encode(), b)).decode() for b in range(9, 16)],
+        lambda s: base64.b64encode(zlibbed(s.encode(), -15)).decode(),
+        lambda s: "".join(f"%u{ord(c):04x}" for c in s),
+        lambda s: "".join(f"\\u{{{ord(c):x}}}" for c in s),
+        lambda s: "".join(f"\\u{{0000{ord(c):x}}}" for c in s),
+        lambda s: "".join(f"\\U{ord(c):08X}" for c in s),
+        lambda s: "".join(f"%5cu{ord(c):04x}" for c in s),
+        lambda s: "".join(f"\\u0025{ord(c):02x}" for c in s),
+    ],
+)
+def test_less_common_layers(wrap):
+    for times in (1, 2):
+        layer = wrap(PLAIN) if times == 1 else base64.b64encode(wrap(PLAIN).encode()).decode()
+        text = f"é see: {layer} :end"
+        spans = [(s, e) for s, e, k in ss.scan(text)[1] if k == "assign"]
+        assert spans
+        for s, e in spans:
+            assert text.index(layer) <= s < e <= text.index(layer) + len(layer)
+
+
+def test_deeply_nested_escapes():
+    took = {}
+    for n in (1_100, 10_000, 100_000):
+        for kind, text in enumerate(("%" + "25" * n + "70assword=hunter2hunter2", "\\" + "u005c" * n + "u0070assword=hunter2hunter2", "%" + "5cu0025" * (n // 5) + "70assword=hunter2hunter2")):
+            began = time.process_time()
+            spans = ss.scan(text)[1]
+            took[n, kind] = time.process_time() - began
+            assert (0, len(text), "assign") in spans
+    for kind in range(3):
+        assert took[100_000, kind] < 30 * took[10_000, kind] + 0.5  # in proportion
+
+
+def test_unwinding_ends_where_single_steps_end():
+    rng = random.Random(8)
+    for _ in range(400):
+        text = "".join(rng.choice(["%", "2", "5", "41", "%25", "g", "é", "%2", "5%"]) for _ in range(rng.randrange(30)))
+        want = text
+        while (made := ss.unescaped(want, ss._ESCAPE, ss.Origin())) is not None:
+            want = made[0]
+        got, origin = ss.unwound(text, ss.Origin())
+        assert got == want
+        if got:
+            assert origin.span(0, len(got)) == (0, len(text))
+            for i, c in enumerate(got):  # what was kept stands for itself
+                a, b = origin.span(i, i + 1)
+                assert b - a > 1 or text[a] == c
+
+
+def test_layers_nest_in_any_order():
+    rng = random.Random(9)
+    wraps = [
+        lambda b: base64.b64encode(b), lambda b: base64.urlsafe_b64encode(gzip.compress(b)), lambda b: base64.b64encode(zlibbed(b, 10)), lambda b: "".join(f"%{x:02x}" for x in b).encode(),
+        lambda b: "".join(f"\\u{x:04x}" for x in b).encode(), lambda b: base64.b64encode(bz2.compress(b)), lambda b: lines_of(base64.b64encode(b).decode(), 76).encode(), lambda b: quote(b.decode("latin-1"), safe="").encode(),
+    ]
+    for _ in range(120):
+        layer = PLAIN.encode()
+        for _ in range(rng.randrange(1, 5)):
+            layer = b"a: " + rng.choice(wraps)(layer) + b" b"
+        text = layer.decode()
+        assert any(k == "assign" for _, _, k in ss.scan(text)[1]), text[:200]
+
+
+def test_layers_larger_than_a_window(monkeypatch):
+    monkeypatch.setattr(ss, "WINDOW", 1 << 16)
+    monkeypatch.setattr(ss, "OVERLAP", 1 << 13)
+    noise = base64.b64encode(np.random.default_rng(3).integers(0, 256, 60_000, dtype=np.uint8).tobytes())
+    inner = base64.b64encode(gzip.compress(noise + b" " + PLAIN.encode() + b" " + noise))
+    for content in (inner, b"some words first, value=" + inner + b", and words after it", base64.b64encode(gzip.compress(noise + b"," + inner))):
+        layer = base64.b64encode(gzip.compress(content, 1)).decode()
+        assert {k for _, _, k in ss.scan(f"v {layer}")[1]} == {"assign"}
+
+
 def test_secret_spans_edges(spark):
     rows = [(1, "token = abcdefgh"), (1, "token = abcdefgh"), (None, "x"), (3, None), (4, ""), (5, "lorem " * 50_000 + "AKIA" + "A" * 16)]
     docs = spark.createDataFrame([(i, t, "q", "r") for i, t in rows], "doc_id long, text string, base string, spans string")
