@@ -94,6 +94,7 @@ def recommend_overlap(size: Column) -> Column:
     return F.greatest(F.lit(50), F.least(F.lit(400), (size * F.lit(0.15)).cast("int")))
 
 
+# Patterns of headings, list items and columns.
 NUMBERED = r"(?i)^([0-9]+\.|[0-9]+\.[0-9]+\.?|[\p{L}\p{N}_]+[\t-\r\x1C-\x20\x85\pZ]+[0-9]+|Chapter[\t-\r\x1C-\x20\x85\pZ]+[0-9]+|Section[\t-\r\x1C-\x20\x85\pZ]+[0-9]+)"
 BULLET = r"^[•\-*◦▪][\t-\r\x1C-\x20\x85\pZ]+"
 NUMBER_ITEM = r"^[0-9]+[.)][\t-\r\x1C-\x20\x85\pZ]+"

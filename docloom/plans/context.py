@@ -150,14 +150,14 @@ def wrong(spark, sf_dir):
     return answers.bad_citations(cited(spark, sf_dir), retrieved_pages(spark, sf_dir))
 
 
-@query("d10_match_annotation_text", f"""WITH {ANSWERS}, n_ AS (SELECT answer_id AS annotation_id, answer_id, turn AS page_number, substr(plain, 5, 12) AS t, plain FROM answers_),
-  c_ AS (SELECT answer_id, 0 AS rank, answer_id || ':a' AS chunk_id, substr(plain, 1, 10) AS content FROM answers_ UNION ALL SELECT answer_id, 1, answer_id || ':b', plain FROM answers_ UNION ALL SELECT answer_id, 2, answer_id || ':c', plain FROM answers_)
+@query("d10_match_annotation_text", f"""WITH {ANSWERS}, n_ AS (SELECT answer_id AS annotation_id, answer_id, turn AS page_number, plain AS t FROM answers_),
+  c_ AS (SELECT answer_id, 0 AS rank, answer_id || ':a' AS chunk_id, 'no such text' AS content FROM answers_ UNION ALL SELECT answer_id, 1, answer_id || ':b', plain FROM answers_ UNION ALL SELECT answer_id, 2, answer_id || ':c', plain FROM answers_)
   SELECT annotation_id, min_by(chunk_id, rank) AS chunk_id FROM n_ JOIN c_ USING (answer_id) WHERE contains(lower(content), lower(t)) GROUP BY annotation_id""")
 def text_match(spark, sf_dir):
     a = cited_answers(spark, sf_dir)
-    notes = a.select(F.col("answer_id").alias("annotation_id"), "answer_id", F.col("turn").alias("page_number"), F.substring("plain", 5, 12).alias("text_to_highlight"))
+    notes = a.select(F.col("answer_id").alias("annotation_id"), "answer_id", F.col("turn").alias("page_number"), F.col("plain").alias("text_to_highlight"))
     part = lambda r, mark, c: a.select("answer_id", F.col("turn").alias("page_number"), F.lit(r).alias("rank"), F.concat(F.col("answer_id").cast("string"), F.lit(f":{mark}")).alias("chunk_id"), c.alias("content"))
-    chunks = part(0, "a", F.substring("plain", 1, 10)).unionAll(part(1, "b", F.col("plain"))).unionAll(part(2, "c", F.col("plain")))
+    chunks = part(0, "a", F.lit("no such text")).unionAll(part(1, "b", F.col("plain"))).unionAll(part(2, "c", F.col("plain")))
     return joins.match_annotation_text(notes, chunks)
 
 
@@ -169,14 +169,15 @@ def image_match(spark, sf_dir):
     return joins.match_annotation_image(notes, chunks)
 
 
-@query("d12_highlight_spans", rf"""WITH {PAGES}, s_ AS (SELECT doc_id AS item_id, page_number * 10000 + i - 1 AS span_id, lower(l[i]) AS s, trim(l[i], {TRIM}) AS bare FROM (SELECT doc_id, page_number, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, page_number, string_split(content, chr(10)) AS l FROM pages_))),
-  q_ AS (SELECT doc_id AS item_id, lower(trim(substr(text, 10, 14), {TRIM})) AS q FROM documents), w_ AS (SELECT item_id, q, list_filter(regexp_extract_all(q, '[^\t-\r\x1C-\x20\x85\pZ]+'), lambda x: length(x) > 2) AS w FROM q_),
+# The first sentence of a document's first page asks.
+@query("d12_highlight_spans", rf"""WITH {qs.SENTENCES}, s_ AS (SELECT doc_id AS item_id, page_number * 10000 + i - 1 AS span_id, lower(l[i]) AS s, trim(l[i], {TRIM}) AS bare FROM (SELECT doc_id, page_number, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, page_number, string_split(content, chr(10)) AS l FROM pages_))),
+  q_ AS (SELECT doc_id AS item_id, lower(content) AS q FROM sentences_ WHERE page_number = 1 AND sentence_index = 0), w_ AS (SELECT item_id, q, list_filter(regexp_extract_all(q, '[^\t-\r\x1C-\x20\x85\pZ]+'), lambda x: length(x) > 2) AS w FROM q_),
   m_ AS (SELECT item_id, span_id, len(list_filter(w, lambda x: contains(s, x))) > 0 OR (length(bare) > 3 AND contains(q, lower(bare))) AS hit, coalesce(contains(s, w[1]), FALSE) AS starts FROM s_ JOIN w_ USING (item_id) WHERE bare <> ''),
   a_ AS (SELECT *, bool_or(hit) OVER (PARTITION BY item_id) AS any_hit FROM m_)
   SELECT item_id, span_id FROM a_ WHERE hit OR (NOT any_hit AND starts)""")
 def highlights(spark, sf_dir):
     spans = lines(spark, sf_dir).select(F.col("doc_id").alias("item_id"), (F.col("page_number").cast("long") * 10000 + F.col("line_index")).alias("span_id"), F.col("content").alias("span"))
-    asked = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.substring("text", 10, 14).alias("query"))
+    asked = qs.sentences(spark, sf_dir).where("page_number = 1 AND sentence_index = 0").select(F.col("doc_id").alias("item_id"), F.col("content").alias("query"))
     return joins.highlight_spans(spans.join(asked, "item_id"))
 
 
@@ -300,7 +301,7 @@ def usage(spark, sf_dir):
 
 
 # Annotated answers: by answer_id modulo 5 without a fence, a list, an object with a list, broken JSON, a single object.
-_CLEAN = "trim(regexp_replace(substr(plain, 1, 20), '[^A-Za-z ]', '', 'g'))"
+_CLEAN = "trim(regexp_replace(plain, '[^A-Za-z ]', '', 'g'))"
 NOTED = f"""{ANSWERS}, noted_ AS (SELECT answer_id, turn, plain, {_CLEAN} AS t, answer_id % 5 AS k FROM answers_),
   notes_ AS (SELECT answer_id, turn, plain, 0 AS annotation_id, turn::VARCHAR AS page, 'highlight' AS type, t AS text_to_highlight, NULL AS image_chunk_id, 'why' AS explanation FROM noted_ WHERE k IN (1, 2, 4)
    UNION ALL SELECT answer_id, turn, plain, 1, (turn + 1)::VARCHAR, 'circle', NULL, 'img1', NULL FROM noted_ WHERE k IN (1, 2)
@@ -308,7 +309,7 @@ NOTED = f"""{ANSWERS}, noted_ AS (SELECT answer_id, turn, plain, {_CLEAN} AS t,
 
 
 def noted_answers(spark, sf_dir):
-    t = F.trim(F.regexp_replace(F.substring("plain", 1, 20), "[^A-Za-z ]", ""))
+    t = F.trim(F.regexp_replace("plain", "[^A-Za-z ]", ""))
     turn, one = F.col("turn").cast("string"), (F.col("turn") + 1).cast("string")
     first = F.concat(F.lit('{"pageNumber": '), turn, F.lit(', "type": "highlight", "textToHighlight": "'), t, F.lit('", "explanation": "why"}'))
     rest = F.concat(F.lit(', {"pageNumber": '), one, F.lit(', "type": "circle", "bbox": [1, 2, 3, 4], "imageChunkId": "img1"}, {"pageNumber": "x", "type": "box", "textToHighlight": "'), t, F.lit('", "explanation": ""}, {"type": "odd"}'))

@@ -11,7 +11,7 @@ from docloom.sources import tables
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.pages_of(read(spark, sf_dir, "documents"))
+    return tables.pages_of(tables.spread(read(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 query("a01_read_pages", f"WITH {PAGES} SELECT doc_id, page_number, content FROM pages_")(pages)

@@ -38,8 +38,17 @@ def pages_of(documents: DataFrame, size: int = PAGE_CHARS) -> DataFrame:
     return rows.where(stripped("content") != "").select("doc_id", (F.col("i") + 1).alias("page_number"), "content")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt out to all cores where they come in fewer partitions, as from a file of one row group; larger inputs stay as they are.
+
+    For work that costs far more than an exchange of its rows.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def read_pages(spark: SparkSession, path: str, size: int = PAGE_CHARS) -> DataFrame:
-    return pages_of(spark.read.parquet(path), size)
+    return pages_of(spread(spark.read.parquet(path)), size)
 
 
 def write_chunks(chunks: DataFrame, path: str, buckets: int = 64) -> dict[str, int]:
