@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import ChainMap
+from collections.abc import Iterable, Iterator
 from unicodedata import ucd_3_2_0
 
 import pyarrow as pa
@@ -14,8 +15,10 @@ from docloom.llm.common import small_batches, table, utf8
 #: Texts of more characters than this are encoded in chunks of it.
 CHUNK = 16_384
 OVERLAP = 256
-#: Counts of pieces that a worker remembers.
-REMEMBER = 400_000
+#: Counts of pieces that a worker remembers, of so many characters each at most: about 100 MB.
+REMEMBER, REMEMBERED_CHARS = 400_000, 64
+#: Characters encoded at a time, as an encoding takes some hundred bytes a token.
+ENCODED_CHARS = 1 << 19
 _BLANK = " \n\r\t"
 #: First letters of the Unicode categories on both sides of a sure boundary: letter or digit, then a sign; letter and digit.
 _BREAKS = {"LP", "LS", "LN", "NL", "NP", "NS"}
@@ -114,13 +117,28 @@ class Counter:
     def counts(self, texts: list[str]) -> list[int]:
         split = [self.pieces(t) if len(t) <= self.chunk else None for t in texts]
         known = self.known
-        new = list({p for s in split if s for p in s if p not in known})
+        new = {p for s in split if s for p in s if p not in known}
         if len(known) + len(new) > REMEMBER:
             known.clear()
-            new = list({p for s in split if s for p in s})
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[p] = len(e.ids)
-        return [sum([known[p] for p in s]) if s is not None else spliced_count(self.tokenizer, t, self.chunk, self.overlap) for s, t in zip(split, texts, strict=True)]
+            new = {p for s in split if s for p in s}
+        once = {}
+        for group in self.groups(new):
+            for p, e in zip(group, self.tokenizer.encode_batch_fast(group, add_special_tokens=False), strict=True):
+                (known if len(p) <= REMEMBERED_CHARS else once)[p] = len(e.ids)
+        found = ChainMap(once, known) if once else known
+        return [sum([found[p] for p in s]) if s is not None else spliced_count(self.tokenizer, t, self.chunk, self.overlap) for s, t in zip(split, texts, strict=True)]
+
+    def groups(self, pieces: Iterable[str]) -> Iterator[list[str]]:
+        """Pieces in lists of about ``ENCODED_CHARS`` characters."""
+        held, size = [], 0
+        for p in pieces:
+            held.append(p)
+            size += len(p)
+            if size >= ENCODED_CHARS:
+                yield held
+                held, size = [], 0
+        if held:
+            yield held
 
 
 _counters: dict[tuple, Counter] = {}

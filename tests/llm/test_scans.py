@@ -339,6 +339,21 @@ def test_huge_texts_are_counted_in_linear_time(vocabulary):
         assert time.process_time() - began < times * plain + 0.3
 
 
+def test_memory_of_a_worker_is_bounded(vocabulary):
+    import resource
+
+    counter, rng = tc.Counter(vocabulary), random.Random(5)
+    signs = [chr(c) for c in range(0x4E00, 0x5E00)]
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    for _ in range(4):
+        texts = ["".join(rng.choices(signs, k=16_000)) for _ in range(100)] + ["a b"]
+        counts = counter.counts(texts)
+        assert counts[-1] == 2 and counts[0] == len(counter.tokenizer.encode(texts[0], add_special_tokens=False).ids)
+        assert all(len(p) <= tc.REMEMBERED_CHARS for p in counter.known)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000  # kB; all encodings at once take 1 GB and more
+    assert [sum(map(len, g)) for g in counter.groups(["x" * tc.ENCODED_CHARS, "a", "b"])] == [tc.ENCODED_CHARS, 2]
+
+
 def test_seams_never_change_a_count(vocabulary):
     counter = tc.Counter(vocabulary)
     rng = random.Random(2)
