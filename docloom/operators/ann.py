@@ -122,7 +122,7 @@ def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, Codebook]:
     return spark.read.parquet(f"{path}/rows"), Codebook(centroids, np.array([r.vector for r in kept if r.kind != "centroid"]).reshape(parts, -1, width))
 
 
-def search(queries: DataFrame, index: DataFrame, book: Codebook, k: int, by: str = "document_id", probes: int = 48, share: float = 0.1, most: int = 50, block: int = BLOCK) -> DataFrame:
+def search(queries: DataFrame, index: DataFrame, book: Codebook, k: int, by: str = "document_id", probes: int = 48, share: float = 0.1, most: int = 50, block: int = BLOCK, counted: DataFrame | None = None) -> DataFrame:
     """(query_id, chunk_id, similarity, rank, n_scored): the k best chunks by cosine among those whose codes look best.
 
     A query reads the codes of the ``probes`` lists nearest to it, and the best of these estimates are scored exactly: ``share``
@@ -130,11 +130,12 @@ def search(queries: DataFrame, index: DataFrame, book: Codebook, k: int, by: str
 
     Documents of at most ``block`` chunks are one cell, so every vector and query is exchanged once. Larger ones are cut
     along their lists into cells of about ``block`` rows, however large a list is, and a query goes to the cells of its
-    lists only. Similarities are exact; ties go to the smaller chunk id. Rows with a null document, and vectors that are
+    lists only. ``counted`` has the rows to find large documents by, where counting the index would build it once more.
+    Similarities are exact; ties go to the smaller chunk id. Rows with a null document, and vectors that are
     null or hold a null or NaN, take no part.
     """
     asked = whole_vectors(queries.where(F.col(by).isNotNull()), "query_vector").select(by, "query_id", F.col("query_vector").cast("array<double>").alias("query_vector"))
-    large = index.groupBy(by).count().where(F.col("count") > block).select(by)
+    large = (index if counted is None else counted).groupBy(by).count().where(F.col("count") > block).select(by)
     if large.isEmpty():
         index, asked = index.withColumn("cell", F.lit(0).cast("long")), asked.withColumn("cell", F.lit(0).cast("long"))
     else:
@@ -200,4 +201,4 @@ def ann(queries: DataFrame, chunks: DataFrame, k: int, by: str = "document_id",
     book = book or fit(chunks)
     if book is None:
         book = Codebook(np.zeros((1, 1)), np.zeros((1, 1, 1)))
-    return search(queries, build_index(chunks, book, by), book, k, by, probes, **how)
+    return search(queries, build_index(chunks, book, by), book, k, by, probes, counted=chunks, **how)

@@ -65,3 +65,15 @@ def test_headers_so_far_with_a_cap(spark):
     assert got(None) == [["a", "b"], ["a", "b"], ["a", "b", "c"], ["a", "b", "c"]]
     assert got(2) == [["a", "b"], ["a", "b"], ["b", "c"], ["b", "c"]]
     assert got(5) == got(None)
+
+
+def test_rows_of_small_files_are_dealt_out(spark, tmp_path):
+    rows = spark.range(1_000)
+    rows.coalesce(1).write.parquet(f"file://{tmp_path}/one")
+    one = spark.read.parquet(f"file://{tmp_path}/one")
+    dealt = tables.spread(one)
+    cores = spark.sparkContext.defaultParallelism
+    assert dealt.rdd.getNumPartitions() == cores
+    assert sorted(r.id for r in dealt.collect()) == list(range(1_000))
+    many = rows.repartition(2 * cores)
+    assert tables.spread(many) is many
