@@ -193,7 +193,7 @@ def op12_virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP12_SQL = f"""
 WITH RECURSIVE docs AS (SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT + 8 AS size, {_crc32("coalesce(text, '')")} AS text_crc32 FROM documents),
-records AS (SELECT *, (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '-') || ':' || text_crc32), 1, 8))::BIGINT % 4096)::INTEGER AS virtual_slot FROM docs),
+records AS (SELECT *, (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '-') || ':' || text_crc32), 1, 8))::BIGINT % 16384)::INTEGER AS virtual_slot FROM docs),
 slots AS (SELECT virtual_slot, virtual_slot % 24 AS old, sum(size)::BIGINT AS bytes FROM records GROUP BY virtual_slot),
 passed AS (SELECT *, sum(bytes) OVER (PARTITION BY old ORDER BY bytes DESC, virtual_slot ROWS UNBOUNDED PRECEDING) * 24 <= (sum(bytes) OVER ()) AS stays FROM slots),
 moved AS (SELECT virtual_slot, bytes, row_number() OVER (ORDER BY bytes DESC, virtual_slot) AS step FROM passed WHERE NOT stays),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import discard, materialize, numbered, shared_folder
 
-SLOTS, SHARDS = 4_096, 24
+SLOTS, SHARDS = 16_384, 24
 #: Bytes of a record besides its text.
 RECORD_BYTES = 8
 
