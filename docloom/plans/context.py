@@ -129,7 +129,7 @@ ANSWERS = "answers_ AS (SELECT conv_id * 100 + turn AS answer_id, conv_id, turn:
 def cited_answers(spark, sf_dir):
     t, one = F.col("turn").cast("string"), (F.col("turn") + 1).cast("string")
     text = F.concat(F.col("text"), F.lit(" [Page "), t, F.lit("] [Page "), one, F.lit("] [Page "), t, F.lit("]"))
-    return read(spark, sf_dir, "conversations").where("role = 'assistant'").select((F.col("conv_id") * 100 + F.col("turn")).alias("answer_id"), "conv_id", F.col("turn").cast("int").alias("turn"), text.alias("text"), F.col("text").alias("plain"))
+    return tables.spread(read(spark, sf_dir, "conversations")).where("role = 'assistant'").select((F.col("conv_id") * 100 + F.col("turn")).alias("answer_id"), "conv_id", F.col("turn").cast("int").alias("turn"), text.alias("text"), F.col("text").alias("plain"))
 
 
 def retrieved_pages(spark, sf_dir):

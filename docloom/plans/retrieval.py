@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docloom.operators import ann, chunking, fusion, keyword, postings, rerank, vectors
 from docloom.plans.registry import PAGES, TRIM, crc32, query, read, shared
 from docloom.plans.texts import pages
+from docloom.sources.tables import spread
 
 
 @query("c01_split_flat")
@@ -260,7 +261,7 @@ HITS = f"""texts_ AS (SELECT vec_id, label, text, {WORDS_SQL.format(t="text")} A
 
 
 def keyword_hits(spark, sf_dir, stored: bool = False):
-    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    docs = spread(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content")))
     chunks = vector_chunks(spark, sf_dir).drop("embedding").join(docs, "chunk_id")
     asked = chunks.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "document_id", F.array_join(F.slice(keyword.terms(F.col("content")), 2, 2), " ").alias("query"))
     if stored:
