@@ -246,6 +246,35 @@ def test_unwinding_ends_where_single_steps_end():
                 assert b - a > 1 or text[a] == c
 
 
+def test_every_level_of_escapes_is_looked_at(monkeypatch):
+    text = "%" + "25" * 8 + "41" + "a" * 22 + ", token=" + "%" + "25" * 9 + "5cu0041 end"
+    assert (17, 41, "hex") in ss.scan(text)[1]  # the level after has 22 digits left
+
+    def plain(text, origin, found):
+        while made := ss.unescaped(text, ss._ESCAPE, origin):
+            yield made
+            text, origin = made
+
+    rng = random.Random(3)
+    ends = ["41KIA" + "Z" * 16, "41" + "a" * 24, "70assword=hunter2hunter2", "secret%3dabcdefgh", base64.b64encode(PLAIN.encode()).decode(), base64.b64encode(zlibbed(b"token=abcdefgh", -15)).decode(), "\n" + "ab" * 20 + "\n" + "00" * 9, "\\\\x41", "x^abc", "{41}", "5"]
+    codes = [["25"], ["u005c"], ["5cu0025"], ["25", "5cu0025"], ["u{5c}"], ["x5c"], ["u0025"]]
+    passed = 0
+    for _ in range(150):
+        text = ""
+        for _ in range(rng.randrange(1, 4)):
+            code = rng.choice(codes)
+            text += rng.choice(["", " and more words than that; "]) + ("%" if code[0][0] in "25" else "\\") + "".join(rng.choice(code) for _ in range(rng.randrange(1, 90))) + rng.choice(ends)
+        whole, seen = ss.chained, []
+        monkeypatch.setattr(ss, "chained", lambda t, o, f: seen.append((t, got := whole(t, o, f))) or got)
+        got = ss.scan(text)
+        monkeypatch.undo()
+        passed += any(a != b for a, (b, _) in seen)
+        monkeypatch.setattr(ss, "levels", plain)
+        assert got == ss.scan(text), text
+        monkeypatch.undo()
+    assert passed > 20  # levels were passed over in these
+
+
 def test_layers_nest_in_any_order():
     rng = random.Random(9)
     wraps = [
