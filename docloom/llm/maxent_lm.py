@@ -87,16 +87,22 @@ class Weights:
     def log10(self, rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
         """log10 P(class | history) of each token."""
         z = self.logits(rows)
-        top = z.max(axis=1)
-        total = np.log(np.exp(z - top[:, None]).sum(axis=1)) + top
-        return (z[np.arange(len(z)), classes] - total) / math.log(10)
+        goal, top = z[np.arange(len(z)), classes], z.max(axis=1)
+        z -= top[:, None]
+        total = np.log(np.exp(z, out=z).sum(axis=1)) + top
+        return (goal - total) / math.log(10)
 
 
 def encoded(texts: list[str | None], coder: Coder) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Feature rows, classes and number of tokens (with the end) of some texts."""
+    return encoded_words([lower_words(text) for text in texts], coder)
+
+
+def encoded_words(texts: list[list[bytes]], coder: Coder) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same from the words of the texts."""
     rows, classes, sizes = [], [], []
-    for text in texts:
-        c, h = coder(lower_words(text))
+    for words in texts:
+        c, h = coder(words)
         rows.append(features(c, h))
         classes.append(np.append(c, END))
         sizes.append(len(c) + 1)
@@ -143,8 +149,7 @@ def train(rows: DataFrame, rate: float = RATE) -> Weights:
         seen = np.zeros(size, dtype=np.float64)
         coder = Coder()
         for b in batches:
-            texts = b.column(0).to_pylist()
-            rows, classes, _ = encoded(texts, coder)
+            rows, classes, _ = encoded(b.column(0).to_pylist(), coder)
             for lo in range(0, len(rows), STEP_TOKENS):
                 part, goal = rows[lo : lo + STEP_TOKENS], classes[lo : lo + STEP_TOKENS]
                 m = len(part)
@@ -157,11 +162,12 @@ def train(rows: DataFrame, rate: float = RATE) -> Weights:
                 z /= z.sum(axis=1)[:, None]
                 z[np.arange(m), goal] -= 1
                 for k in range(KINDS):
-                    order = np.argsort(part[:, k], kind="stable")
-                    keys = part[order, k]
+                    place = (part[:, k] - k * BUCKETS).astype(np.uint16)  # numpy sorts 16 bits by radix
+                    order = np.argsort(place, kind="stable")
+                    keys = place[order]
                     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
                     g = np.add.reduceat(z[order], first, axis=0)
-                    at = keys[first]
+                    at = keys[first].astype(np.int64) + k * BUCKETS
                     squares[at] += (g * g).mean(axis=1)
                     w[at] -= rate * g / np.sqrt(squares[at])[:, None]
                     seen[at] += np.diff(np.append(first, m))
@@ -232,14 +238,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (head, weights), coder = sent.value, Coder()
         for b in batches:
-            texts = b.column(2).to_pylist()
-            rows, classes, sizes = encoded(texts, coder)
+            texts = [lower_words(text) for text in b.column(2).to_pylist()]
+            rows, classes, sizes = encoded_words(texts, coder)
             logs = np.concatenate([weights.log10(rows[i : i + STEP_TOKENS], classes[i : i + STEP_TOKENS]) for i in range(0, len(rows), STEP_TOKENS)])
             firsts = np.cumsum(sizes) - sizes
             model = np.add.reduceat(logs - class_rest[classes], firsts)
             known, counted, rare, offsets = [], [], [], [0]
-            for text in texts:
-                words = lower_words(text)
+            for words in texts:
                 found = list(map(head.get, words))
                 if None in found:
                     rare += [w for w, v in zip(words, found, strict=True) if v is None]

@@ -104,6 +104,12 @@ def test_class_probabilities_add_up():
     assert total == pytest.approx(np.ones(len(rows)), rel=1e-4)
 
 
+def test_words_are_taken_from_a_text_once():
+    texts = ["Some words of A text", None, "", "x y x"]
+    for got, want in zip(lm.encoded_words([lm.lower_words(t) for t in texts], lm.Coder()), lm.encoded(texts, lm.Coder()), strict=True):
+        assert (got == want).all()
+
+
 def test_score_edges(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate([None, "", "a b", "a a a", "zz " * 3000, "a b"])] + [(None, "a"), (2, "a b")], "doc_id long, text string")
     got = lm.score(docs).collect()
