@@ -110,6 +110,15 @@ def test_words_are_taken_from_a_text_once():
         assert (got == want).all()
 
 
+def test_sums_of_groups():
+    rng = np.random.default_rng(5)
+    z, keys = rng.normal(size=(900, 7)).astype(np.float32), rng.geometric(0.02, 900)
+    order = np.argsort(keys, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], np.diff(keys[order]) > 0]))
+    got = lm.group_sums(z, order, first, np.diff(np.append(first, 900)))
+    assert np.allclose(got, np.add.reduceat(z[order], first, axis=0), atol=1e-4)
+
+
 def test_score_edges(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate([None, "", "a b", "a a a", "zz " * 3000, "a b"])] + [(None, "a"), (2, "a b")], "doc_id long, text string")
     got = lm.score(docs).collect()
