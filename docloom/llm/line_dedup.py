@@ -10,9 +10,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import discard, materialize, release, small_batches, table, utf8
+from docloom.llm.common import BATCH_ROWS, discard, materialize, release, small_batches, table, utf8
 from docloom.llm.components import connected_components
-from docloom.llm.verify import jaccard, verified, with_texts
+from docloom.llm.verify import verified, with_texts
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -22,12 +22,17 @@ BANDS, ROWS = 12, 7
 CHUNK = 1 << 16
 #: Lines that a task remembers in order not to sign a repeated line twice.
 SEEN_LINES = 500_000
-#: Lines whose band keys a task folds before it sends them on, and the parts that the folded ones are dealt to.
-FOLD_LINES, SALTS = 150_000, 64
+#: Lines whose band keys a task folds before it sends them on.
+FOLD_LINES = 150_000
+#: Key ranges in which they are sent, as a power of two, and the keys that a task looks through at once.
+RANGE_BITS, FULL = 14, 1 << 20
 #: Up to so many nodes around a hub are compared pair by pair.
 FEW = 8
 #: Most bits of the filter that keeps lines without candidates away from the text exchange.
 FILTER_BITS = 1 << 26
+_ASCII_SPACES = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
+#: All white space but the blank and the line feed.
+_SPACES = _ASCII_SPACES + "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _rng = np.random.default_rng(20_240_229)
 _MULTIPLIERS = (_rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64) | 1).astype(np.uint32)
 _PLACES = (_rng.integers(0, 1 << 32, SHINGLE, dtype=np.uint64) | 1).astype(np.uint32)
@@ -42,6 +47,14 @@ def normal(line: str) -> str:
     return " ".join(line.split())
 
 
+def normal_lines(text: str) -> list[str]:
+    """``normal`` of each line of a text; most texts have no white space but single blanks and line feeds."""
+    low = text.lower()
+    if "  " not in low and not any(x in low for x in (_ASCII_SPACES if low.isascii() else _SPACES)):
+        return [line if line[:1] != " " != line[-1:] else line.strip(" ") for line in low.split("\n")]
+    return [normal(line) for line in text.split("\n")]
+
+
 def shingles(line: str) -> set[str]:
     """Distinct character shingles; a shorter line is its own shingle."""
     return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
@@ -84,13 +97,15 @@ def band_keys(lines: list[str]) -> np.ndarray:
         hashed = (hashed ^ (hashed >> np.uint32(15))) * np.uint32(0x85EBCA6B)
         hashed ^= hashed >> np.uint32(13)
         firsts = np.cumsum(places) - places
-        for band in range(BANDS):
-            key = np.full(end - at, np.uint64(band * 0x2545F491 + 1))
-            for r in range(ROWS):
-                least = np.minimum.reduceat(hashed * _MULTIPLIERS[band * ROWS + r], firsts)
-                key = (key ^ (least.astype(np.uint64) * _MIXERS[r])) * np.uint64(0x94D049BB133111EB)
-                key ^= key >> np.uint64(29)
-            out[at:end, band] = key.view(np.int64)
+        least = np.empty((BANDS * ROWS, end - at), dtype=np.uint32)
+        product = np.empty_like(hashed)
+        for k, multiplier in enumerate(_MULTIPLIERS):
+            np.minimum.reduceat(np.multiply(hashed, multiplier, out=product), firsts, out=least[k])
+        key = np.repeat((np.arange(BANDS, dtype=np.uint64) * np.uint64(0x2545F491) + np.uint64(1))[:, None], end - at, axis=1)
+        for r in range(ROWS):
+            key = (key ^ (least[r::ROWS].astype(np.uint64) * _MIXERS[r])) * np.uint64(0x94D049BB133111EB)
+            key ^= key >> np.uint64(29)
+        out[at:end] = key.view(np.int64).T
         at = end
     return out
 
@@ -102,8 +117,8 @@ def line_occurrences(rows: DataFrame) -> DataFrame:
         for b in batches:
             owner, pos, nodes = [], [], []
             for i, text in enumerate(b.column(2).to_pylist()):
-                for k, line in enumerate(text.split("\n") if text else ()):
-                    if line := normal(line):
+                for k, line in enumerate(normal_lines(text) if text else ()):
+                    if line:
                         owner.append(i)
                         pos.append(k)
                         nodes.append(digest(line))
@@ -118,11 +133,22 @@ def short(line: str) -> int:
     return xxhash.xxh3_64_intdigest(utf8(line))
 
 
+def _runs(keys: np.ndarray) -> np.ndarray:
+    """Where the runs of equal keys begin, and the number of keys at the end."""
+    return np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
+
+
+def _packed(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The bytes of values[bounds[i] : bounds[i + 1]] as one item each."""
+    offsets = ((bounds - bounds[0]) * 8).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values[bounds[0] : bounds[-1]]))])
+
+
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, salt, id): one line of each bucket of a task has salt 0; the others are dealt to their own salts.
+    """(part, shared, keys, ids): band keys and lines, those of one key range together.
 
-    So a key has a row for each task under salt 0 however many lines share it. One of the others stands
-    under salt 0 too, which shows there that the bucket has more than one line.
+    Lines that share a bucket within a task are told at once (shared), in pieces. One line of each bucket of
+    a task is sent to the key's range, so a range has a line for each task however many lines share the key.
     """
     seen: set[int] = set()
     keys: list[np.ndarray] = []
@@ -133,22 +159,26 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         line = np.repeat(np.concatenate(ids), BANDS)
         keys.clear()
         ids.clear()
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         key, line = key[order], line[order]
-        first = np.concatenate([[True], key[1:] != key[:-1]])
-        second = np.concatenate([[False], ~first[1:] & first[:-1]])
-        salt = np.where(first, 0, 1 + (line % SALTS)).astype(np.int32)
-        for lo in range(0, len(key), CHUNK):
-            part = slice(lo, lo + CHUNK)
-            yield table({"key": pa.array(key[part]), "salt": pa.array(salt[part]), "id": pa.array(line[part])})
-        if second.any():
-            yield table({"key": pa.array(key[second]), "salt": pa.array(np.zeros(int(second.sum()), np.int32)), "id": pa.array(line[second])})
+        begin = _runs(key)
+        several = np.repeat(np.diff(begin) > 1, np.diff(begin))
+        begin = begin[:-1]
+        for shared, key, line in ((False, key[begin], line[begin]), (True, key[several], line[several])):
+            if not len(key):
+                continue
+            bounds = np.append(np.arange(0, len(key), CHUNK // 8), len(key)) if shared else _runs(key >> (64 - RANGE_BITS))
+            part = (line if shared else key)[bounds[:-1]] >> (64 - RANGE_BITS)
+            for lo in range(0, len(part), BATCH_ROWS):
+                some = bounds[lo : lo + BATCH_ROWS + 1]
+                n = len(some) - 1
+                yield table({"part": pa.array(part[lo : lo + n].astype(np.int32)), "shared": pa.array(np.full(n, shared)), "keys": _packed(key, some), "ids": _packed(line, some)})
 
     for b in batches:
         lines = {}
         for text in b.column(2).to_pylist():
-            for line in text.split("\n") if text else ():
-                if (line := normal(line)) and (node := short(line)) not in seen:
+            for line in normal_lines(text) if text else ():
+                if line and (node := short(line)) not in seen:
                     seen.add(node)
                     lines[node] = line
         if lines:
@@ -162,12 +192,51 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from fold()
 
 
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, id) of the keys with several lines, from rows of ``_banded`` in order of their ranges."""
+    keys: list[bytes] = []
+    ids: list[bytes] = []
+    last, size = None, 0
+
+    def pairs(key: np.ndarray, line: np.ndarray) -> pa.RecordBatch:
+        return table({"key": pa.array(key), "id": pa.array(line)})
+
+    def meet() -> pa.RecordBatch:
+        key, line = (np.frombuffer(b"".join(x), dtype=np.int64) for x in (keys, ids))
+        order = np.argsort(key)
+        key, line = key[order], line[order]
+        sizes = np.diff(_runs(key))
+        many = np.repeat(sizes > 1, sizes)
+        key, line = key[many], line[many]
+        order = np.lexsort((line, key))
+        key, line = key[order], line[order]
+        begin = _runs(key)
+        sizes = np.diff(begin)
+        apart = np.repeat(line[begin[:-1]] != line[begin[1:] - 1], sizes) if len(key) else many[:0]
+        return pairs(key[apart], line[apart])
+
+    for b in batches:
+        for part, shared, key, line in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if shared:
+                yield pairs(np.frombuffer(key, dtype=np.int64), np.frombuffer(line, dtype=np.int64))
+                continue
+            if part != last and size > 8 * FULL:
+                yield meet()
+                keys.clear()
+                ids.clear()
+                size = 0
+            last = part
+            keys.append(key)
+            ids.append(line)
+            size += len(key)
+    if keys:
+        yield meet()
+
+
 def candidate_buckets(rows: DataFrame) -> DataFrame:
     """(key, id) of the band buckets with two lines or more."""
-    bands = rows.mapInArrow(_banded, "key long, salt int, id long")
-    part = Window.partitionBy("key", "salt")
-    ends = bands.withColumn("low", F.min("id").over(part)).withColumn("high", F.max("id").over(part))
-    return ends.where("salt > 0 OR low <> high").select("key", "id").distinct()
+    bands = rows.mapInArrow(_banded, "part int, shared boolean, keys binary, ids binary")
+    return bands.repartition("part").sortWithinPartitions("part").mapInArrow(_met, "key long, id long").distinct()
 
 
 def _bits(ids: np.ndarray, bits: int) -> np.ndarray:
@@ -201,9 +270,8 @@ def candidate_texts(rows: DataFrame, nodes: DataFrame) -> DataFrame:
         for b in batches:
             lines = {}
             for text in b.column(2).to_pylist():
-                for line in text.split("\n") if text else ():
-                    if line := normal(line):
-                        lines[line] = None
+                lines.update(dict.fromkeys(normal_lines(text) if text else ()))
+            lines.pop("", None)
             if lines:
                 lines = list(lines)
                 ids = np.array([short(x) for x in lines], dtype=np.uint64)
@@ -221,19 +289,54 @@ def candidate_texts(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     return fetched.join(nodes, "id", "left_semi").groupBy("digest").agg(F.min("id").alias("id"), F.min("text").alias("text"))
 
 
+def numbered_shingles(line: str) -> tuple[np.ndarray, np.ndarray] | None:
+    """The distinct shingles in order, each as one number of 60 bits, and a place of each; None if a character needs over 12 bits."""
+    n = len(line) - SHINGLE + 1
+    codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    if n < 1 or codes.max() >= 1 << 12:
+        return None
+    codes = codes.astype(np.uint64)
+    number = codes[:n].copy()
+    for k in range(1, SHINGLE):
+        number <<= np.uint64(12)
+        number |= codes[k : k + n]
+    place = np.argsort(number)
+    number = number[place]
+    new = np.concatenate([[True], number[1:] != number[:-1]])
+    return number[new], place[new]
+
+
+def _absent(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the numbers a are not among b, both in order."""
+    return b[np.minimum(np.searchsorted(b, a), len(b) - 1)] != a
+
+
+def difference(hub: str, line: str, base: tuple[np.ndarray, np.ndarray] | None) -> tuple[list[str], list[str], int]:
+    """The shingles that a line has besides its hub's, those that it lacks, and the number of its shingles.
+
+    ``base`` is ``numbered_shingles(hub)``; where it is None, or would be for the line, the sets of texts are compared.
+    """
+    if base is None or (own := numbered_shingles(line)) is None:
+        ours, theirs = shingles(line), shingles(hub)
+        return list(ours - theirs), list(theirs - ours), len(ours)
+    extra = own[1][_absent(own[0], base[0])].tolist()
+    lack = base[1][_absent(base[0], own[0])].tolist()
+    return [line[i : i + SHINGLE] for i in extra], [hub[i : i + SHINGLE] for i in lack], len(own[0])
+
+
 def _deltas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Compares (hub, node, text of hub, text of node) and keeps what the node has besides its hub, and what it lacks."""
-    last, base = None, set()
+    last, base = None, None
     for b in batches:
         near, sizes, more, less = [], [], [], []
         for hub, text in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
             if hub != last:
-                last, base = hub, shingles(hub)
-            own = shingles(text)
-            near.append(jaccard(base, own) >= THRESHOLD)
-            sizes.append(len(own))
-            more.append(list(own - base))
-            less.append(list(base - own))
+                last, base = hub, numbered_shingles(hub)
+            extra, lack, size = difference(hub, text, base)
+            near.append((size - len(extra)) / (size + len(lack)) >= THRESHOLD)  # the Jaccard similarity
+            sizes.append(size)
+            more.append(extra)
+            less.append(lack)
         many = pa.list_(pa.string())
         yield table({"hub": b.column(0), "node": b.column(1), "near": pa.array(near, pa.bool_()), "size": pa.array(sizes, pa.int32()), "more": pa.array(more, many), "less": pa.array(less, many)})
 
@@ -251,9 +354,10 @@ def open_pairs(stars: DataFrame, roots: DataFrame) -> DataFrame:
     Around a hub with up to ``FEW`` nodes the numbers are simply counted for each pair.
     """
     slack = (1 - THRESHOLD) / (1 + THRESHOLD)
-    rooted = stars.join(roots, "node", "left").withColumn("root", F.coalesce("component", "node"))
+    rooted = stars.select("hub", "node", "size").join(roots, "node", "left").withColumn("root", F.coalesce("component", "node"))
     mixed = rooted.groupBy("hub").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("size").alias("most"), F.count("*").alias("members")).where("low <> high")
-    around = rooted.join(mixed.select("hub", "most", "members"), "hub").withColumn("e", F.size("more")).withColumn("m", F.size("less"))
+    placed = rooted.join(mixed, "hub").select("hub", "node", "root", "most", "members")
+    around = stars.join(placed, ["hub", "node"]).withColumn("e", F.size("more")).withColumn("m", F.size("less"))  # the shingles move once
     around = materialize(around.select("hub", "node", "near", "root", "size", "most", "members", "e", "m", "more", "less"), "lines-around")
     whole = around
 
@@ -271,9 +375,9 @@ def open_pairs(stars: DataFrame, roots: DataFrame) -> DataFrame:
     alike = few.join(other(few), "hub").where((F.col("node") < F.col("node2")) & distinct & (apart("e") + apart("m") <= limit) & (differ <= limit)).select("node", "node2")
 
     around = around.where(F.col("members") > FEW)
-    kinds = [around.select("hub", "node", F.lit(i).alias("kind"), F.explode(c).alias("token")) for i, c in enumerate(("more", "less"))]
     # lacking shingles only count where extras are few enough not to be shared
-    kinds[1] = kinds[1].join(around.where(F.col("e") <= slack * F.col("size") * (1 + 1 / THRESHOLD) + 1e-6).select("hub", "node"), ["hub", "node"])
+    lacking = around.where(F.col("e") <= slack * F.col("size") * (1 + 1 / THRESHOLD) + 1e-6)
+    kinds = [df.select("hub", "node", F.lit(i).alias("kind"), F.explode(c).alias("token")) for i, (df, c) in enumerate(((around, "more"), (lacking, "less")))]
     tokens = kinds[0].union(kinds[1]).withColumn("token", F.xxhash64("token"))
     often = tokens.groupBy("hub", "kind", "token").agg(F.count("*").alias("n")).where("n > 1")
     counted = tokens.join(often, ["hub", "kind", "token"]).join(around.select(*bare), ["hub", "node"])

@@ -218,3 +218,56 @@ def test_lines_edges(spark):
     kept = {r.doc_id for r in ld.dedup_lines(docs, drop_emptied=True).collect()}
     assert kept == {1, 3, 4, 5, None}
     assert ld.dedup_lines(docs.limit(0)).count() == 0
+
+
+SPACED = ["", "A b", " A", "a ", "a  b", "a\n", "\n", "a \n b\nC", "a\tb", "x\x85y", "Ένας ΟΔΟΣ\nΣ", "İI\u3000ß", "a\r\nb", "\u2028"]
+
+
+@pytest.mark.parametrize("text", SPACED)
+def test_lines_of_a_text_are_normalised_like_single_lines(text):
+    assert ld.normal_lines(text) == [ld.normal(line) for line in text.split("\n")]
+
+
+def test_all_white_space_is_known():
+    assert {" ", "\n", *ld._SPACES} == {c for c in map(chr, range(0x110000)) if c.isspace()}
+    assert {c for c in ld._SPACES if c.isascii()} == set(ld._ASCII_SPACES)
+
+
+def test_difference_from_a_hub_equals_that_of_the_sets():
+    rng = np.random.default_rng(11)
+    for letters in ("ab", "abcdefgh ", "aé\u0fff", "a\u1000漢", "a😀"):
+        for _ in range(60):
+            hub, line = ("".join(rng.choice(list(letters), rng.integers(1, 40))) for _ in range(2))
+            more, less, size = ld.difference(hub, line, ld.numbered_shingles(hub))
+            a, b = ld.shingles(hub), ld.shingles(line)
+            assert (sorted(more), sorted(less), size) == (sorted(b - a), sorted(a - b), len(b))
+
+
+def test_band_keys_are_sent_by_range_and_meet(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    monkeypatch.setattr(ld, "RANGE_BITS", 4)
+    common = ["one line that is in many of the texts"] * 3 + ["one line that is in many of the texts!"] * 2
+    lines = ["".join(rng.choice(list("abcdefgh "), 40)).strip() for _ in range(400)] + common
+    texts = ["\n".join(rng.choice(lines, 6).tolist()) for _ in range(300)] + ["", None, "\n \n"]
+    rows = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "doc long, version long, text string").repartition(5)
+    distinct = sorted({x for t in texts if t for x in ld.normal_lines(t) if x})
+    buckets = {}
+    for line, keys in zip(distinct, ld.band_keys(distinct).tolist(), strict=True):
+        for key in keys:
+            buckets.setdefault(key, set()).add(int(np.uint64(ld.short(line)).view(np.int64)))
+    want = {(k, i) for k, ids in buckets.items() if len(ids) > 1 for i in ids}
+    got = [(r.key, r.id) for r in ld.candidate_buckets(rows).collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == want and want
+    # a task sends a row for each range and piece, not for each line and band
+    batch = pa.RecordBatch.from_pydict({"doc": list(range(300)), "version": [0] * 300, "text": texts[:300]})
+    assert sum(b.num_rows for b in ld._banded(iter([batch]))) <= 17
+
+
+def test_band_keys_meet_over_several_looks(monkeypatch):
+    monkeypatch.setattr(ld, "FULL", 1)
+    raw = lambda *x: np.array(x, dtype=np.int64).tobytes()
+    rows = [(0, False, raw(5, 6), raw(1, 2)), (0, False, raw(5, 6), raw(3, 2)), (1, False, raw(9), raw(4)), (1, True, raw(8, 8), raw(7, 6)), (1, False, raw(9), raw(5)), (2, False, raw(11), raw(1))]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[k]]) for k in range(4)], names=["part", "shared", "keys", "ids"]) for r in rows]
+    got = {(r["key"], r["id"]) for b in ld._met(iter(batches)) for r in b.to_pylist()}
+    assert got == {(5, 1), (5, 3), (9, 4), (9, 5), (8, 7), (8, 6)}
