@@ -119,6 +119,28 @@ def test_sums_of_groups():
     assert np.allclose(got, np.add.reduceat(z[order], first, axis=0), atol=1e-4)
 
 
+def test_sums_of_long_and_short_groups_are_added_in_order():
+    rng = np.random.default_rng(21)
+    keys = np.minimum(rng.geometric(0.02, 3000) - 1, 200).astype(np.uint16)
+    z = rng.normal(size=(3000, lm.CLASSES)).astype(np.float32)
+    order = np.argsort(keys, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], np.diff(keys[order].astype(int)) > 0]))
+    sizes = np.diff(np.append(first, 3000))
+    assert sizes.max() > lm.ROUNDS > sizes.min()
+    want = np.zeros((len(first), lm.CLASSES), dtype=np.float32)
+    for i, (f, n) in enumerate(zip(first, sizes, strict=True)):
+        for row in order[f : f + n]:
+            want[i] += z[row]
+    assert (lm.group_sums(z, order, first, sizes) == want).all()
+
+
+def test_row_sums_equal_indexing():
+    rng = np.random.default_rng(22)
+    table = rng.normal(size=(lm.KINDS * lm.BUCKETS + 1, lm.CLASSES)).astype(np.float32)
+    rows = rng.integers(0, lm.KINDS * lm.BUCKETS, (50, lm.KINDS))
+    assert (lm.row_sums(table, rows) == table[rows[:, 0]] + table[rows[:, 1]] + table[rows[:, 2]] + table[rows[:, 3]]).all()
+
+
 def test_score_edges(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate([None, "", "a b", "a a a", "zz " * 3000, "a b"])] + [(None, "a"), (2, "a b")], "doc_id long, text string")
     got = lm.score(docs).collect()
