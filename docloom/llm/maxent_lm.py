@@ -185,7 +185,7 @@ def train(rows: DataFrame, rate: float = RATE) -> Weights:
                 z += w[-1]
                 z -= z.max(axis=1)[:, None]
                 np.exp(z, out=z)
-                z /= z.sum(axis=1)[:, None]
+                z *= (1 / z.sum(axis=1))[:, None]
                 z[np.arange(m), goal] -= 1
                 for k in range(KINDS):
                     place = (part[:, k] - k * BUCKETS).astype(np.uint16)  # numpy sorts 16 bits by radix
@@ -195,8 +195,9 @@ def train(rows: DataFrame, rate: float = RATE) -> Weights:
                     sizes = np.diff(np.append(first, m))
                     g = group_sums(z, order, first, sizes)
                     at = keys[first].astype(np.int64) + k * BUCKETS
-                    squares[at] += (g * g).mean(axis=1)
-                    w[at] -= rate * g / np.sqrt(squares[at])[:, None]
+                    squares[at] += np.einsum("ij,ij->i", g, g) / CLASSES
+                    g *= (rate / np.sqrt(squares[at]))[:, None]
+                    w[at] -= g
                     seen[at] += sizes
                 g = z.sum(axis=0)
                 squares[-1] += (g * g).mean()
