@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +26,10 @@ SEEN_LINES = 500_000
 FOLD_LINES = 150_000
 #: Key ranges in which they are sent, as a power of two, and the keys that a task looks through at once.
 RANGE_BITS, FULL = 14, 1 << 20
-#: Up to so many nodes around a hub are compared pair by pair.
-FEW = 8
+#: The key of a line that occurs several times. Band keys end in the number of their band.
+REPEATED, BAND_BITS = 15, 4
+#: Up to so many nodes around a hub are compared pair by pair, over so many shingles at once.
+FEW, COLUMNS = 8, 1 << 14
 #: Most bits of the filter that keeps lines without candidates away from the text exchange.
 FILTER_BITS = 1 << 26
 _ASCII_SPACES = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
@@ -36,6 +38,8 @@ _SPACES = _ASCII_SPACES + "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2
 _rng = np.random.default_rng(20_240_229)
 _MULTIPLIERS = (_rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64) | 1).astype(np.uint32)
 _PLACES = (_rng.integers(0, 1 << 32, SHINGLE, dtype=np.uint64) | 1).astype(np.uint32)
+#: Marks, in the Bloom filter, the lines that have a bucket.
+_NEAR = np.uint64(0x6A09E667F3BCC909)
 _MIXERS = _rng.integers(0, 1 << 63, ROWS, dtype=np.uint64) | np.uint64(1)
 
 
@@ -101,33 +105,17 @@ def band_keys(lines: list[str]) -> np.ndarray:
         product = np.empty_like(hashed)
         for k, multiplier in enumerate(_MULTIPLIERS):
             np.minimum.reduceat(np.multiply(hashed, multiplier, out=product), firsts, out=least[k])
-        key = np.repeat((np.arange(BANDS, dtype=np.uint64) * np.uint64(0x2545F491) + np.uint64(1))[:, None], end - at, axis=1)
+        band = np.arange(BANDS, dtype=np.uint64)[:, None]
+        key = np.repeat(band * np.uint64(0x2545F491) + np.uint64(1), end - at, axis=1)
         for r in range(ROWS):
             key = (key ^ (least[r::ROWS].astype(np.uint64) * _MIXERS[r])) * np.uint64(0x94D049BB133111EB)
             key ^= key >> np.uint64(29)
+        key = key >> np.uint64(BAND_BITS) << np.uint64(BAND_BITS) | band
         out[at:end] = key.view(np.int64).T
         at = end
     return out
 
 
-def line_occurrences(rows: DataFrame) -> DataFrame:
-    """(node, doc, version, pos): the digest of every line that isn't blank and where it stands."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            owner, pos, nodes = [], [], []
-            for i, text in enumerate(b.column(2).to_pylist()):
-                for k, line in enumerate(normal_lines(text) if text else ()):
-                    if line:
-                        owner.append(i)
-                        pos.append(k)
-                        nodes.append(digest(line))
-            owner = pa.array(owner, pa.int64())
-            yield table({"node": pa.array(nodes, pa.binary()), "doc": b.column(0).take(owner), "version": b.column(1).take(owner), "pos": pa.array(pos, pa.int32())})
-
-    return rows.mapInArrow(run, f"node binary, doc {dict(rows.dtypes)['doc']}, version long, pos int")
-
-
 def short(line: str) -> int:
     """64-bit number of a line among the candidates; lines that should share one are told apart by their digests."""
     return xxhash.xxh3_64_intdigest(utf8(line))
@@ -147,24 +135,29 @@ def _packed(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(part, shared, keys, ids): band keys and lines, those of one key range together.
 
-    Lines that share a bucket within a task are told at once (shared), in pieces. One line of each bucket of
-    a task is sent to the key's range, so a range has a line for each task however many lines share the key.
+    Lines that share a bucket within a task are told at once (shared), in pieces, and so are those that occur
+    twice there (key ``REPEATED``). One line of each bucket of a task is sent to the key's range, so a range has
+    a line for each task however many lines share the key.
     """
     seen: set[int] = set()
+    again: set[int] = set()
     keys: list[np.ndarray] = []
     ids: list[np.ndarray] = []
 
     def fold() -> Iterator[pa.RecordBatch]:
-        key = np.concatenate(keys).ravel()
-        line = np.repeat(np.concatenate(ids), BANDS)
+        key = np.concatenate([np.empty((0, BANDS), dtype=np.int64), *keys]).ravel()
+        line = np.repeat(np.concatenate([np.empty(0, dtype=np.int64), *ids]), BANDS)
+        twice = np.array(list(again), dtype=np.uint64).view(np.int64)
         keys.clear()
         ids.clear()
+        again.clear()
         order = np.argsort(key)
         key, line = key[order], line[order]
         begin = _runs(key)
         several = np.repeat(np.diff(begin) > 1, np.diff(begin))
-        begin = begin[:-1]
-        for shared, key, line in ((False, key[begin], line[begin]), (True, key[several], line[several])):
+        begin = begin[:-1] if len(key) else begin[:0]
+        told = np.append(key[several], np.full(len(twice), REPEATED)), np.append(line[several], twice)
+        for shared, key, line in ((False, key[begin], line[begin]), (True, *told)):
             if not len(key):
                 continue
             bounds = np.append(np.arange(0, len(key), CHUNK // 8), len(key)) if shared else _runs(key >> (64 - RANGE_BITS))
@@ -178,22 +171,30 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines = {}
         for text in b.column(2).to_pylist():
             for line in normal_lines(text) if text else ():
-                if line and (node := short(line)) not in seen:
+                if not line:
+                    continue
+                if (node := short(line)) in seen:
+                    again.add(node)
+                else:
                     seen.add(node)
                     lines[node] = line
         if lines:
             keys.append(band_keys(list(lines.values())))
             ids.append(np.array(list(lines), dtype=np.uint64).view(np.int64))
-        if sum(map(len, ids)) > FOLD_LINES:
+        if sum(map(len, ids)) > FOLD_LINES or len(seen) > SEEN_LINES:
             yield from fold()
         if len(seen) > SEEN_LINES:
             seen.clear()
-    if ids:
+    if ids or again:
         yield from fold()
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, id) of the keys with several lines, from rows of ``_banded`` in order of their ranges."""
+    """(key, id) of the keys with several lines, from rows of ``_banded`` in order of their ranges.
+
+    A line that several tasks have and that shares no bucket in any of them meets itself here; it is told
+    once, by its first band, under the key ``REPEATED``.
+    """
     keys: list[bytes] = []
     ids: list[bytes] = []
     last, size = None, 0
@@ -201,7 +202,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def pairs(key: np.ndarray, line: np.ndarray) -> pa.RecordBatch:
         return table({"key": pa.array(key), "id": pa.array(line)})
 
-    def meet() -> pa.RecordBatch:
+    def meet() -> Iterator[pa.RecordBatch]:
         key, line = (np.frombuffer(b"".join(x), dtype=np.int64) for x in (keys, ids))
         order = np.argsort(key)
         key, line = key[order], line[order]
@@ -213,7 +214,10 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin = _runs(key)
         sizes = np.diff(begin)
         apart = np.repeat(line[begin[:-1]] != line[begin[1:] - 1], sizes) if len(key) else many[:0]
-        return pairs(key[apart], line[apart])
+        yield pairs(key[apart], line[apart])
+        own = np.flatnonzero((key[1:] == key[:-1]) & (line[1:] == line[:-1]) & (key[1:] % (1 << BAND_BITS) == 0))
+        own = np.unique(line[1:][own])
+        yield pairs(np.full(len(own), REPEATED), own)
 
     for b in batches:
         for part, shared, key, line in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -221,7 +225,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pairs(np.frombuffer(key, dtype=np.int64), np.frombuffer(line, dtype=np.int64))
                 continue
             if part != last and size > 8 * FULL:
-                yield meet()
+                yield from meet()
                 keys.clear()
                 ids.clear()
                 size = 0
@@ -230,63 +234,86 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids.append(line)
             size += len(key)
     if keys:
-        yield meet()
+        yield from meet()
 
 
-def candidate_buckets(rows: DataFrame) -> DataFrame:
-    """(key, id) of the band buckets with two lines or more."""
+def line_buckets(rows: DataFrame) -> DataFrame:
+    """(key, id) of the band buckets with two lines or more, and of the lines that occur twice or more.
+
+    The latter have the key ``REPEATED``. It may be missing for a line that is in a bucket.
+    """
     bands = rows.mapInArrow(_banded, "part int, shared boolean, keys binary, ids binary")
     return bands.repartition("part").sortWithinPartitions("part").mapInArrow(_met, "key long, id long").distinct()
 
 
+def candidate_buckets(rows: DataFrame) -> DataFrame:
+    """(key, id) of the band buckets with two lines or more."""
+    return line_buckets(rows).where(F.col("key") != REPEATED)
+
+
 def _bits(ids: np.ndarray, bits: int) -> np.ndarray:
     mixed = ids * np.uint64(0x9E3779B97F4A7C15)
     return np.stack([ids, mixed ^ (mixed >> np.uint64(29)), ids ^ (mixed >> np.uint64(7))]) % np.uint64(bits)
 
 
-def candidate_texts(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id, digest, text) of the candidate lines, fetched by one more scan.
+def line_finds(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, digest, text, doc, version, pos): where the wanted lines (id, near) stand, by one more scan.
 
-    A Bloom filter of at most ``FILTER_BITS`` bits goes to the tasks, so that few other lines are
-    exchanged; the join that follows is exact. With far more candidates than the filter can tell
-    apart, each distinct line of a task is exchanged once.
+    A Bloom filter of at most ``FILTER_BITS`` bits goes to the tasks, so that few other lines are told. With far more
+    lines than the filter can tell apart, others are told as well, which occur once and have no bucket. The text stands
+    where a task first meets a line that may be near another.
     """
     spark = rows.sparkSession
-    bits = int(min(FILTER_BITS, 64 * max(1, nodes.count() * 12 // 64)))
+    bits = int(min(FILTER_BITS, 64 * max(1, wanted.count() * 24 // 64)))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                at = np.unique(_bits(b.column(0).to_numpy().view(np.uint64), bits).ravel())
+                ids = b.column(0).to_numpy().view(np.uint64)
+                near = ids[b.column(1).to_numpy(zero_copy_only=False)] ^ _NEAR
+                at = np.unique(_bits(np.concatenate([ids, near]), bits).ravel())
                 yield table({"word": pa.array((at // 64).astype(np.int64)), "mask": pa.array((np.uint64(1) << (at % np.uint64(64))).view(np.int64))})
 
-    marked = nodes.mapInArrow(mark, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
+    marked = wanted.select("id", "near").mapInArrow(mark, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
     words = np.zeros(bits // 64, dtype=np.uint64)
     words[marked["word"].to_numpy()] = marked["mask"].to_numpy().astype(np.int64).view(np.uint64)
     sent = spark.sparkContext.broadcast(words)  # at most 8 MB
 
+    def held(ids: np.ndarray) -> list[bool]:
+        at = _bits(ids, bits)
+        return ((sent.value[(at // np.uint64(64)).astype(np.int64)] >> (at % np.uint64(64))) & np.uint64(1)).all(axis=0)
+
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen = sent.value, set()
+        seen: set[bytes] = set()
         for b in batches:
-            lines = {}
-            for text in b.column(2).to_pylist():
-                lines.update(dict.fromkeys(normal_lines(text) if text else ()))
-            lines.pop("", None)
-            if lines:
-                lines = list(lines)
-                ids = np.array([short(x) for x in lines], dtype=np.uint64)
-                at = _bits(ids, bits)
-                hit = ((words[(at // np.uint64(64)).astype(np.int64)] >> (at % np.uint64(64))) & np.uint64(1)).all(axis=0)
-                found = [(i, d, x) for i, x, h in zip(ids.tolist(), lines, hit.tolist(), strict=True) if h and (d := digest(x)) not in seen]
-                seen.update(d for _, d, _ in found)
-                if found:
-                    numbers = pa.array(np.array([i for i, _, _ in found], dtype=np.uint64).view(np.int64))
-                    yield table({"id": numbers, "digest": pa.array([d for _, d, _ in found], pa.binary()), "text": pa.array([x for _, _, x in found], pa.string())})
+            lines, owner, pos = [], [], []
+            for i, text in enumerate(b.column(2).to_pylist()):
+                for k, line in enumerate(normal_lines(text) if text else ()):
+                    if line:
+                        lines.append(line)
+                        owner.append(i)
+                        pos.append(k)
+            if not lines:
+                continue
+            ids = np.array([short(x) for x in lines], dtype=np.uint64)
+            hit = np.flatnonzero(held(ids))
+            ids = ids[hit]
+            digests, texts = [], []
+            for at, near in zip(hit.tolist(), held(ids ^ _NEAR).tolist(), strict=True):
+                line = lines[at]
+                digests.append(d := digest(line))
+                texts.append(line if near and d not in seen else None)
+                if near:
+                    seen.add(d)
+            owner = pa.array(np.array(owner, dtype=np.int64)[hit])
+            yield table({
+                "id": pa.array(ids.view(np.int64)), "digest": pa.array(digests, pa.binary()), "text": pa.array(texts, pa.string()),
+                "doc": b.column(0).take(owner), "version": b.column(1).take(owner), "pos": pa.array(np.array(pos, dtype=np.int32)[hit]),
+            })
             if len(seen) > SEEN_LINES:
                 seen.clear()
 
-    fetched = rows.mapInArrow(fetch, "id long, digest binary, text string")
-    return fetched.join(nodes, "id", "left_semi").groupBy("digest").agg(F.min("id").alias("id"), F.min("text").alias("text"))
+    return rows.mapInArrow(fetch, f"id long, digest binary, text string, doc {dict(rows.dtypes)['doc']}, version long, pos int")
 
 
 def numbered_shingles(line: str) -> tuple[np.ndarray, np.ndarray] | None:
@@ -324,21 +351,91 @@ def difference(hub: str, line: str, base: tuple[np.ndarray, np.ndarray] | None)
     return [line[i : i + SHINGLE] for i in extra], [hub[i : i + SHINGLE] for i in lack], len(own[0])
 
 
-def _deltas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Compares (hub, node, text of hub, text of node) and keeps what the node has besides its hub, and what it lacks."""
+def _shingle_number(shingle: str) -> int:
+    """As in ``numbered_shingles``; a shingle that has no such number gets a hash below zero."""
+    if len(shingle) == SHINGLE and max(shingle) < "\u1000":
+        return sum(ord(c) << 12 * k for k, c in enumerate(reversed(shingle)))
+    return (xxhash.xxh3_64_intdigest(utf8(shingle)) >> 1) - (1 << 63)
+
+
+def numbered_difference(hub: str, line: str, base: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, int]:
+    """As ``difference``, with numbers for the shingles."""
+    if base is None or (own := numbered_shingles(line)) is None:
+        more, less, size = difference(hub, line, None)
+        return *(np.array([_shingle_number(x) for x in part], dtype=np.int64) for part in (more, less)), size
+    return own[0][_absent(own[0], base[0])].view(np.int64), base[0][_absent(base[0], own[0])].view(np.int64), len(own[0])
+
+
+def _compared(batches: Iterator[pa.RecordBatch], differ: Callable, lists: Callable) -> Iterator[pa.RecordBatch]:
     last, base = None, None
     for b in batches:
         near, sizes, more, less = [], [], [], []
         for hub, text in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
             if hub != last:
                 last, base = hub, numbered_shingles(hub)
-            extra, lack, size = difference(hub, text, base)
+            extra, lack, size = differ(hub, text, base)
             near.append((size - len(extra)) / (size + len(lack)) >= THRESHOLD)  # the Jaccard similarity
             sizes.append(size)
             more.append(extra)
             less.append(lack)
-        many = pa.list_(pa.string())
-        yield table({"hub": b.column(0), "node": b.column(1), "near": pa.array(near, pa.bool_()), "size": pa.array(sizes, pa.int32()), "more": pa.array(more, many), "less": pa.array(less, many)})
+        yield table({"hub": b.column(0), "node": b.column(1), "near": pa.array(near, pa.bool_()), "size": pa.array(sizes, pa.int32()), "more": lists(more), "less": lists(less)})
+
+
+def _deltas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compares (hub, node, text of hub, text of node) and keeps what the node has besides its hub, and what it lacks."""
+    yield from _compared(batches, difference, lambda x: pa.array(x, pa.list_(pa.string())))
+
+
+def _number_lists(lists: list[np.ndarray]) -> pa.Array:
+    offsets = np.cumsum([0, *map(len, lists)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, dtype=np.int64), *lists])))
+
+
+def _numbered_deltas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As ``_deltas``, with numbers for the shingles."""
+    yield from _compared(batches, numbered_difference, _number_lists)
+
+
+def _few_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, node2): similar nodes of different roots around one hub, from (hub, node, root, size, delta) in order of the hub.
+
+    The shingles in which two nodes differ are those in one delta only, be they extra or lacking. A hub has ``FEW`` nodes at most.
+    """
+    slack = (1 - THRESHOLD) / (1 + THRESHOLD)
+    kept: list[tuple] = []
+
+    def pairs() -> tuple[np.ndarray, np.ndarray]:
+        node, root, size = (np.array([r[k] for r in kept]) for k in (1, 2, 3))
+        count = np.array([len(r[4]) for r in kept])
+        token, inverse, times = np.unique(np.concatenate([r[4] for r in kept]), return_inverse=True, return_counts=True)
+        common = np.zeros((len(kept), len(kept)))
+        column = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[inverse]
+        row = np.repeat(np.arange(len(kept)), count)
+        for lo in range(0, int((times > 1).sum()), COLUMNS):
+            here = (column >= lo) & (column < lo + COLUMNS)
+            has = np.zeros((len(kept), min(COLUMNS, int(column.max()) + 1 - lo)), dtype=np.float32)
+            has[row[here], column[here] - lo] = 1
+            common += has @ has.T
+        fits = count[:, None] + count - 2 * common <= slack * (size[:, None] + size) + 1e-6
+        a, b = np.nonzero(fits & (root[:, None] != root) & (node[:, None] < node))
+        return node[a], node[b]
+
+    def made(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        none = np.empty(0, dtype=np.int64)
+        return table({name: pa.array(np.concatenate([none, *(p[k] for p in parts)])) for k, name in enumerate(("node", "node2"))})
+
+    for b in batches:
+        found = []
+        delta = b.column(4)
+        values, offsets = delta.values.to_numpy(), delta.offsets.to_numpy()
+        for i, r in enumerate(zip(*(b.column(k).to_pylist() for k in range(4)), strict=True)):
+            if kept and r[0] != kept[0][0]:
+                found.append(pairs())
+                kept.clear()
+            kept.append((*r, values[offsets[i] : offsets[i + 1]]))
+        yield made(found)
+    if kept:
+        yield made([pairs()])
 
 
 def open_pairs(stars: DataFrame, roots: DataFrame) -> DataFrame:
@@ -352,11 +449,14 @@ def open_pairs(stars: DataFrame, roots: DataFrame) -> DataFrame:
     can't make up the number, the pair has shared a rarer one or isn't similar. Independent changes of one line share
     nothing but what is common to all, so a large group of near copies makes few pairs. No similar pair is missed.
     Around a hub with up to ``FEW`` nodes the numbers are simply counted for each pair.
+    ``more`` and ``less`` hold the shingles or numbers that stand for them.
     """
     slack = (1 - THRESHOLD) / (1 + THRESHOLD)
     rooted = stars.select("hub", "node", "size").join(roots, "node", "left").withColumn("root", F.coalesce("component", "node"))
     mixed = rooted.groupBy("hub").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("size").alias("most"), F.count("*").alias("members")).where("low <> high")
     placed = rooted.join(mixed, "hub").select("hub", "node", "root", "most", "members")
+    if "string" in dict(stars.dtypes)["more"]:
+        stars = stars.withColumns({c: F.transform(c, lambda x: F.xxhash64(x)) for c in ("more", "less")})
     around = stars.join(placed, ["hub", "node"]).withColumn("e", F.size("more")).withColumn("m", F.size("less"))  # the shingles move once
     around = materialize(around.select("hub", "node", "near", "root", "size", "most", "members", "e", "m", "more", "less"), "lines-around")
     whole = around
@@ -369,16 +469,14 @@ def open_pairs(stars: DataFrame, roots: DataFrame) -> DataFrame:
     distinct = F.col("root") != F.col("root2")
 
     # a few nodes: their pairs are compared by the shingles themselves
-    few = around.where(F.col("members") <= FEW).select(*bare, "more", "less")
-    common = lambda c: F.size(F.array_intersect(c, f"{c}2"))
-    differ = F.col("e") + F.col("e2") - 2 * common("more") + F.col("m") + F.col("m2") - 2 * common("less")
-    alike = few.join(other(few), "hub").where((F.col("node") < F.col("node2")) & distinct & (apart("e") + apart("m") <= limit) & (differ <= limit)).select("node", "node2")
+    few = around.where(F.col("members") <= FEW).select("hub", "node", "root", "size", F.concat("more", "less").alias("delta"))
+    alike = few.repartition("hub").sortWithinPartitions("hub").mapInArrow(_few_pairs, "node long, node2 long")
 
     around = around.where(F.col("members") > FEW)
     # lacking shingles only count where extras are few enough not to be shared
     lacking = around.where(F.col("e") <= slack * F.col("size") * (1 + 1 / THRESHOLD) + 1e-6)
     kinds = [df.select("hub", "node", F.lit(i).alias("kind"), F.explode(c).alias("token")) for i, (df, c) in enumerate(((around, "more"), (lacking, "less")))]
-    tokens = kinds[0].union(kinds[1]).withColumn("token", F.xxhash64("token"))
+    tokens = kinds[0].union(kinds[1])
     often = tokens.groupBy("hub", "kind", "token").agg(F.count("*").alias("n")).where("n > 1")
     counted = tokens.join(often, ["hub", "kind", "token"]).join(around.select(*bare), ["hub", "node"])
     own = Window.partitionBy("hub", "kind", "node")
@@ -405,8 +503,10 @@ def open_pairs(stars: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs
 
 
-def line_components(rows: DataFrame) -> DataFrame:
-    """(node, component) of the lines with a near duplicate; node is the digest and components have numbers.
+def line_components(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, component) of the lines with a near duplicate, and (node, doc, version, pos) of all lines that may repeat.
+
+    A node is the digest of a line, components have numbers. Lines that occur once and are near none may be missing among the latter.
 
     Every bucket has a hub, its line with the most company. All its lines are compared with the hub first, which
     folds large groups of near copies at a cost linear in their size. Of the pairs of a bucket that lie in
@@ -414,21 +514,24 @@ def line_components(rows: DataFrame) -> DataFrame:
     are verified one by one (``open_pairs``). So every banded pair is verified, ruled out or already united.
     """
     spark = rows.sparkSession
-    banded = materialize(candidate_buckets(rows), "lines-buckets")
+    both = materialize(line_buckets(rows), "lines-buckets")
     release(spark)
-    wanted = materialize(banded.select("id").distinct(), "lines-candidates")
+    banded = both.where(F.col("key") != REPEATED)
+    wanted = materialize(both.groupBy("id").agg(F.max(F.col("key") != REPEATED).alias("near")), "lines-candidates")
+    finds = materialize(line_finds(rows, wanted), "lines-occurrences")
     # short numbers stand for the candidate lines from here on
-    texts = candidate_texts(rows, wanted).select(F.monotonically_increasing_id().alias("node"), "id", "digest", "text")
-    texts = materialize(texts, "lines-texts")
+    texts = finds.where("text is not null").select("id", "digest", "text").join(wanted.where("near").select("id"), "id", "left_semi")
+    texts = texts.groupBy("digest").agg(F.min("id").alias("id"), F.min("text").alias("text"))
+    texts = materialize(texts.select(F.monotonically_increasing_id().alias("node"), "id", "digest", "text"), "lines-texts")
     members = materialize(banded.join(texts.select("id", "node"), "id").select("key", "node"), "lines-members")
     release(spark)
-    discard(banded, wanted)
+    discard(both, wanted)
     company = members.join(members.groupBy("key").agg(F.count("*").alias("n")), "key").groupBy("node").agg(F.sum("n").alias("company"))
     ranked = materialize(members.join(company, "node"), "lines-ranked")
     hubs = ranked.groupBy("key").agg(F.max(F.struct("company", "node")).alias("top")).select("key", F.col("top.node").alias("hub"))
     spokes = ranked.join(hubs, "key").where("node <> hub").select("hub", "node").distinct()
-    kind = "hub long, node long, near boolean, size int, more array<string>, less array<string>"
-    stars = materialize(with_texts(spokes, texts).mapInArrow(_deltas, kind), "lines-stars")
+    kind = "hub long, node long, near boolean, size int, more array<long>, less array<long>"
+    stars = materialize(with_texts(spokes, texts).mapInArrow(_numbered_deltas, kind), "lines-stars")
     release(spark)
     discard(members, ranked)
     links = stars.where("near").select(F.col("hub").alias("u"), F.col("node").alias("v"))
@@ -439,7 +542,7 @@ def line_components(rows: DataFrame) -> DataFrame:
     united = connected_components(links.union(more), "lines-links")
     found = materialize(united.join(texts.select("node", "digest"), "node").select(F.col("digest").alias("node"), "component"), "lines-components")
     discard(texts, stars, pairs, more, first, united)
-    return found
+    return found, finds
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = False) -> DataFrame:
@@ -461,8 +564,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """As dedup_lines, with the number of lines_dropped added (a column of that name is replaced)."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.col(text_col)).alias("version"), F.col(text_col).alias("text"))
-    components = line_components(rows)
-    occurrences = materialize(line_occurrences(rows), "lines-occurrences")
+    components, finds = line_components(rows)
+    occurrences = finds.select(F.col("digest").alias("node"), "doc", "version", "pos")
     kept = occurrences.groupBy("node").agg(F.min(F.struct("doc", "version", "pos")).alias("first"), F.count("*").alias("n"))
     named = materialize(kept.join(components, "node", "left").where("n > 1 or component is not null"), "lines-named")
     alike = named.where("component is not null")
@@ -471,7 +574,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     gone = occurrences.join(losers, "node").where(~F.struct("doc", "version", "pos").eqNullSafe(F.col("keep")))
     gone = materialize(gone.groupBy("doc", "version").agg(F.collect_set("pos").alias("gone_lines")), "lines-gone")
     release(docs.sparkSession)
-    discard(components, occurrences, named)
+    discard(components, finds, named)
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -486,7 +589,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     columns = [c for c in docs.columns if c != "lines_dropped"]
     base = docs.select(F.struct(*[c for c in columns if c != text_col]).alias("row"), F.col(id_col).alias("own_id"), F.xxhash64(F.col(text_col)).alias("own_version"), F.col(text_col).alias("text"))
-    joined = base.join(gone, base["own_id"].eqNullSafe(gone["doc"]) & (base["own_version"] == gone["version"]), "left")
+    joined = base.join(gone.hint("shuffle_hash"), base["own_id"].eqNullSafe(gone["doc"]) & (base["own_version"] == gone["version"]), "left")
     packed = joined.select("row", "text", "gone_lines")
     made = packed.mapInArrow(rebuild, f"row {dict(packed.dtypes)['row']}, text string, lines_dropped long")
     return made.select(*[F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in columns], "lines_dropped")

@@ -271,3 +271,57 @@ def test_band_keys_meet_over_several_looks(monkeypatch):
     batches = [pa.RecordBatch.from_arrays([pa.array([r[k]]) for k in range(4)], names=["part", "shared", "keys", "ids"]) for r in rows]
     got = {(r["key"], r["id"]) for b in ld._met(iter(batches)) for r in b.to_pylist()}
     assert got == {(5, 1), (5, 3), (9, 4), (9, 5), (8, 7), (8, 6)}
+
+
+def test_numbers_tell_the_same_difference_from_a_hub():
+    rng = np.random.default_rng(13)
+    for letters in ("ab", "abcdefgh ", "aé\u0fff", "ab\u1000漢", "a😀"):
+        for _ in range(60):
+            hub, line = ("".join(rng.choice(list(letters), rng.integers(1, 40))) for _ in range(2))
+            more, less, size = ld.numbered_difference(hub, line, ld.numbered_shingles(hub))
+            want = ld.difference(hub, line, None)
+            assert [sorted(x.tolist()) for x in (more, less)] == [sorted(map(ld._shingle_number, x)) for x in want[:2]]
+            assert size == want[2] and len({*more.tolist(), *less.tolist()}) == len(more) + len(less)
+
+
+def test_few_nodes_around_a_hub_give_only_similar_pairs(spark, monkeypatch):
+    monkeypatch.setattr(ld, "COLUMNS", 7)
+    monkeypatch.setattr(ld, "FEW", 19)
+    rng = np.random.default_rng(14)
+    texts, spokes = {}, []
+    for hub in range(0, 400, 20):
+        texts[hub] = "".join(rng.choice(list("abcdefgh" if hub % 40 else "abé漢"), 90))
+        for node in range(hub + 1, hub + 20):
+            at, n, old = int(rng.integers(0, 80)), int(rng.integers(1, 9)), texts[int(rng.integers(hub, node))]
+            texts[node] = old[:at] + "".join(rng.choice(list("abxyz"), int(rng.integers(0, 9)))) + old[at + n :]
+            spokes.append((hub, node))
+    frame = spark.createDataFrame(list(texts.items()), "node long, text string")
+    kind = "hub long, node long, near boolean, size int, more array<long>, less array<long>"
+    stars = with_texts(spark.createDataFrame(spokes, "hub long, node long"), frame).mapInArrow(ld._numbered_deltas, kind).cache()
+    roots = stars.where("near").select("node", F.col("hub").alias("component"))
+    found = {(r.u, r.v) for r in ld.open_pairs(stars, roots).collect()}
+    sets = {k: ld.shingles(x) for k, x in texts.items()}
+    root = {k: k // 20 * 20 if jaccard(sets[k], sets[k // 20 * 20]) >= 0.8 else k for k in texts}
+    want = {(i, j) for h, j in spokes for i in range(h + 1, j) if root[i] != root[j] and jaccard(sets[i], sets[j]) >= 0.8}
+    assert found == want and len(want) > 50
+
+
+@pytest.mark.parametrize("remembered", [500_000, 40])
+def test_only_lines_that_may_repeat_are_told_by_place(spark, monkeypatch, remembered):
+    monkeypatch.setattr(ld, "SEEN_LINES", remembered)
+    rng = np.random.default_rng(15)
+    line = lambda: "".join(rng.choice(list("abcdefgh "), 60)).strip()
+    common = [line() for _ in range(40)]
+    common += [x + "!" for x in common[:10]]
+    texts = ["\n".join([*(line() for _ in range(5)), *([rng.choice(common)] * (i % 3))]) for i in range(300)]
+    rows = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "doc long, version long, text string").repartition(5)
+    components, finds = ld.line_components(rows)
+    got = {(r.doc, r.pos): r.digest for r in finds.collect()}
+    places = {(i, k): ld.digest(ld.normal(x)) for i, t in enumerate(texts) for k, x in enumerate(t.split("\n"))}
+    times = {}
+    for d in places.values():
+        times[d] = times.get(d, 0) + 1
+    near = {bytes(r.node) for r in components.collect()}
+    wanted = {at: d for at, d in places.items() if times[d] > 1 or d in near}
+    assert wanted.items() <= got.items() <= places.items()
+    assert len(got) < len(wanted) + 0.1 * len(places)
