@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import combinations
-from math import comb
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import discard, materialize, release, small_batches, table, utf8
@@ -19,8 +19,12 @@ from docloom.llm.verify import verified
 
 BITS = 64
 SEED = 42
-#: Shuffling and sorting one probe costs about as much as verifying so many candidates.
-PROBE_COST = 50
+#: Shuffling and sorting one probe costs about as much as verifying so many candidates: some 2.5 microseconds and 5 nanoseconds.
+PROBE_COST = 500
+#: Probes that are exchanged at once, about, or else so many times the rows that they look through.
+PROBES, PROBES_SHARE = 1 << 27, 4
+#: Bits of a key: the place in its group, the group and, from here on, the class of sizes.
+CLASS_BITS = 44
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -92,15 +96,28 @@ def bit_groups(distinct: DataFrame, parts: int) -> list[list[int]]:
     return groups
 
 
+def probes_of(parts: int, limit: int) -> int:
+    """The probes of a fingerprint whose thresholds are shared out evenly over the groups."""
+    share = [(limit + 1 + i) // parts - 1 for i in range(parts)]
+    return sum(sum(comb(BITS // parts, d) for d in range(t + 1)) for t in share)
+
+
 def choose_parts(n: int, limit: int) -> int:
     """The number of groups with the least probing plus verifying for n evenly spread fingerprints."""
+    return min(range(2, max(4, (limit + 1) // 2) + 1), key=lambda parts: probes_of(parts, limit) * (PROBE_COST + n / 2 ** (BITS // parts)))
+
+
+def slices_of(n: int, parts: int, limit: int, rows: int) -> int:
+    """In how many turns the probes of n nodes are exchanged, each of which exchanges ``rows`` rows to look through as well."""
+    return max(1, ceil(n * probes_of(parts, limit) / max(PROBES, PROBES_SHARE * rows)))
 
-    def cost(parts: int) -> float:
-        width, share = BITS // parts, [(limit + 1 + i) // parts - 1 for i in range(parts)]
-        keys = sum(sum(comb(width, d) for d in range(t + 1)) for t in share)
-        return keys * (PROBE_COST + n / 2**width)
 
-    return min(range(2, max(4, (limit + 1) // 2) + 1), key=cost)
+def size_class(size: Column, similarity: float) -> Column:
+    """Classes of set sizes; sets of a Jaccard similarity of ``similarity`` or more lie in one class or in neighbouring ones.
+
+    Their sizes have at least that ratio, and a class is a little wider, so that rounding does no harm.
+    """
+    return F.floor(F.log(F.greatest(size, F.lit(1)).cast("double")) / log(1 / (min(similarity, 0.95) - 1e-6))).cast("long")
 
 
 def take_bits(fps: np.ndarray, bits: list[int]) -> np.ndarray:
@@ -126,6 +143,7 @@ class Allocation:
     """Candidate estimates and the dynamic programme that gives each query its thresholds."""
 
     def __init__(self, distinct: DataFrame, groups: list[list[int]], n: int, limit: int):
+        """n is the number of nodes, all of which a probe may meet unless ``thresholds`` is told better."""
         self.groups, self.n, self.limit = groups, n, limit
         # keys of over 16 bits are estimated from halves, taken as independent
         self.halves = [[g] if len(g) <= 16 else [g[: len(g) // 2], g[len(g) // 2 :]] for g in groups]
@@ -145,8 +163,11 @@ class Allocation:
         shares = iter([(spheres(t, len(h), limit) / max(n, 1)).astype(np.float32) for t, h in zip(tables, flat, strict=True)])
         self.shares = [[next(shares) for _ in hs] for hs in self.halves]
 
-    def thresholds(self, fps: np.ndarray) -> np.ndarray:
-        """For each fingerprint and group the threshold, -1 to leave a group out; they add up to limit + 1 - groups."""
+    def thresholds(self, fps: np.ndarray, met: np.ndarray | None = None) -> np.ndarray:
+        """For each fingerprint and group the threshold, -1 to leave a group out; they add up to limit + 1 - groups.
+
+        met: for each fingerprint the number of nodes among which it is looked for.
+        """
         units, size = self.limit + 1, len(fps)
         best, choice = np.full((units + 1, size), np.inf), []
         best[0] = 0
@@ -155,7 +176,7 @@ class Allocation:
             if len(hs) > 1:
                 other = shares[1][:, take_bits(fps, hs[1])]
                 near = np.stack([sum(near[d] * other[e - d] for d in range(e + 1)) for e in range(units)])
-            found = np.cumsum(near, axis=0) * self.n
+            found = np.cumsum(near, axis=0) * (self.n if met is None else met)
             keys = np.cumsum([comb(len(g), d) for d in range(units)])
             cost = np.concatenate([np.zeros((1, size)), found + PROBE_COST * keys[:, None]])
             step, pick = np.full((units + 1, size), np.inf), np.zeros((units + 1, size), dtype=np.int8)
@@ -187,31 +208,40 @@ def near_components(nodes: DataFrame, limit: int = 4, check: Callable[[DataFrame
        groups of near copies into components at a cost linear in their size.
     3. Every node probes the keys within its own thresholds, and candidates of other components
        are verified on the whole 64 bits inside an equi-join, whose hot keys Spark splits.
+       Nodes take turns, so that about ``PROBES`` probes are exchanged at once, however many there are.
     No pair within the limit is missed: its larger node probes, and by the generalised
     pigeonhole principle at least one group lies within its threshold. Nodes are distinct and may share a fingerprint.
     ``check`` may take candidate pairs (u, v) and return those that are links; without it all are. A column
-    root of ``nodes`` tells what is known to be linked already.
+    root of ``nodes`` tells what is known to be linked already. With a column class (whole numbers from 0) only pairs of one class
+    or of neighbouring ones are links: a bucket then holds the nodes of a class and of the one below, in which
+    those of the class probe, so a node meets no others.
     """
     spark = nodes.sparkSession
-    known = nodes.select("node", "fp", "root" if "root" in nodes.columns else F.col("node").alias("root"))
-    n = nodes.count()
-    groups = bit_groups(nodes, choose_parts(n, limit))
-    plan = spark.sparkContext.broadcast(Allocation(nodes, groups, n, limit).__dict__)  # at most 4 tables of 2^16 x 5 floats
+    classed = "class" in nodes.columns
+    known = nodes.select("node", "fp", "root" if "root" in nodes.columns else F.col("node").alias("root"), (F.col("class") if classed else F.lit(0)).cast("long").alias("class"))
+    sizes = {r["class"]: r["count"] for r in known.groupBy("class").count().collect()}  # a row for each class
+    n = sum(sizes.values())
+    met = np.array([sizes.get(c, 0) + sizes.get(c - 1, 0) for c in range(max(sizes, default=0) + 1)])
+    parts = choose_parts(sum(k * int(met[c]) for c, k in sizes.items()) // max(n, 1), limit)
+    groups = bit_groups(nodes, parts)
+    plan = spark.sparkContext.broadcast(Allocation(nodes, groups, n, limit).__dict__ | {"met": met})  # at most 4 tables of 2^16 x 5 floats
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = b.column(1).to_numpy()
+            fps, own = b.column(1).to_numpy(), b.column(3).to_numpy()
             for i, g in enumerate(groups):
-                yield table({"key": pa.array(take_bits(fps, g) | (i << 40)), "x": b.column(0), "x_fp": b.column(1), "x_root": b.column(2)})
+                for up in (0, 1) if classed else (0,):
+                    key = take_bits(fps, g) | (i << 40) | (own + up << CLASS_BITS)
+                    yield table({"key": pa.array(key), "x": b.column(0), "x_fp": b.column(1), "x_root": b.column(2), "below": pa.array(np.full(len(fps), up == 1))})
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         allocation = Allocation.__new__(Allocation)
         allocation.__dict__.update(plan.value)
         for b in batches:
-            fps = b.column(1).to_numpy()
-            taken = allocation.thresholds(fps)
+            fps, own = b.column(1).to_numpy(), b.column(3).to_numpy()
+            taken = allocation.thresholds(fps, allocation.met[own])
             for i, g in enumerate(groups):
-                keys = take_bits(fps, g)
+                keys = take_bits(fps, g) | (own << CLASS_BITS)
                 for d in range(limit + 1):
                     use = np.flatnonzero(taken[i] >= d)
                     if len(use):
@@ -222,23 +252,37 @@ def near_components(nodes: DataFrame, limit: int = 4, check: Callable[[DataFrame
                             at = pa.array(np.repeat(use, len(part)))
                             yield table({"key": pa.array(probe.ravel()), "q": b.column(0).take(at), "q_fp": b.column(1).take(at), "q_root": b.column(2).take(at)})
 
-    columns = "long, {0} long, {0}_fp long, {0}_root long"
+    columns = "key long, {0} long, {0}_fp long, {0}_root long"
+    looked_through = columns.format("x") + ", below boolean"
     near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= limit
-    index = known.mapInArrow(keyed, "key " + columns.format("x"))
+    index = known.mapInArrow(keyed, looked_through)
     pivots = index.groupBy("key").agg(F.min(F.struct("x", "x_fp", "x_root")).alias("pivot"))
     close = index.join(pivots, "key").where((F.col("x_root") != F.col("pivot.x_root")) & near("x_fp", "pivot.x_fp")).select(F.col("x").alias("u"), F.col("pivot.x").alias("v"))
     close = check(close) if check else close
     first = connected_components(close.union(known.where("node <> root").select("node", "root")), f"{label}-dense")
-    rooted = known.select("node", "fp").join(first, "node", "left")
-    rooted = materialize(rooted.select("node", "fp", F.coalesce("component", "node").alias("root")), f"{label}-rooted")
-
-    found = rooted.mapInArrow(probes, "key " + columns.format("q")).join(rooted.mapInArrow(keyed, "key " + columns.format("x")), "key")
-    found = found.where((F.col("q") > F.col("x")) & (F.col("q_root") != F.col("x_root")) & near("q_fp", "x_fp"))
+    rooted = known.select("node", "fp", "class").join(first, "node", "left")
+    rooted = materialize(rooted.select("node", "fp", F.coalesce("component", "node").alias("root"), "class"), f"{label}-rooted")
+    turns = slices_of(n, parts, limit, n * parts * (1 + classed))
+
+    def found(turn: int) -> DataFrame:
+        mine = rooted.where(F.pmod(F.xxhash64("node"), F.lit(turns)) == turn) if turns > 1 else rooted
+        pairs = mine.mapInArrow(probes, columns.format("q")).join(rooted.mapInArrow(keyed, looked_through), "key")
+        pairs = pairs.where((F.col("below") | (F.col("q") > F.col("x"))) & (F.col("q_root") != F.col("x_root")) & near("q_fp", "x_fp"))
+        return pairs.select(F.col("q").alias("u"), F.col("x").alias("v")) if check else pairs.select("q_root", "x_root")
+
+    written = []
+    if turns > 1:
+        for turn in range(turns):
+            written.append(materialize(found(turn).distinct(), f"{label}-found"))
+            release(spark)
+    pairs = reduce(DataFrame.union, written) if written else found(0)
     if check:
-        links = check(found.select(F.col("q").alias("u"), F.col("x").alias("v")))
+        links = check(pairs)
         second = connected_components(links.union(rooted.where("node <> root").select("node", "root")), f"{label}-links")
+        discard(*written)
         return rooted.select("node").join(second, "node", "left").select("node", F.coalesce("component", "node").alias("root"))
-    second = connected_components(found.select("q_root", "x_root"), f"{label}-links")
+    second = connected_components(pairs, f"{label}-links")
+    discard(*written)
     joined = rooted.join(second.withColumnRenamed("node", "root"), "root", "left")
     return joined.select("node", F.coalesce("component", "root").alias("root"))
 
@@ -287,6 +331,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     Texts link at a Jaccard similarity of ``similarity`` or more of their word shingles; groups are what
     links reach. Two fingerprints of the distinct shingles are searched one after the other, and texts at most
     ``limit`` bits apart in one of them make candidates: of pairs at exactly 0.8 that is 99 in 100, at 0.85 nearly all.
+    Sets that similar have sizes in a ratio of ``similarity`` at least, so fingerprints meet within a class of sizes or its neighbour only.
     Candidates that two looser bounds rule out, on the numbers of shingles and on the other
     fingerprint, are not fetched; the others are compared on their shingles. Every distinct
     text is a node of its own, so texts that share a fingerprint without being alike are judged like any others.
@@ -310,7 +355,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     signed = materialize(rows.mapInArrow(run, f"id {kind}, version long, fp long, fp2 long, n long, words long"), "keep-signed")
     # exact copies by words first: one node for all of them
     texts = signed.groupBy("fp", "fp2", "n", "words").agg(F.min(F.struct("id", "version")).alias("least"))
-    texts = materialize(texts.select(F.monotonically_increasing_id().alias("node"), "*"), "keep-texts")
+    texts = materialize(texts.select(F.monotonically_increasing_id().alias("node"), "*", size_class(F.col("n"), similarity).alias("class")), "keep-texts")
     sides = [texts.select(F.col("node").alias(c), F.col("fp").alias(f"{c}_fp"), F.col("fp2").alias(f"{c}_fp2"), F.col("n").alias(f"{c}_n")) for c in "uv"]
     bits = lambda c: F.bit_count(F.col(f"u_{c}").bitwiseXOR(F.col(f"v_{c}")))
 
@@ -328,9 +373,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
         discard(both, known)
         return links
 
-    roots = materialize(near_components(texts.select("node", "fp"), limit, check, "keep-one"), "keep-roots-one")
+    roots = materialize(near_components(texts.select("node", "fp", "class"), limit, check, "keep-one"), "keep-roots-one")
     release(docs.sparkSession)
-    known = texts.select("node", F.col("fp2").alias("fp")).join(roots, "node")
+    known = texts.select("node", F.col("fp2").alias("fp"), "class").join(roots, "node")
     both, roots = roots, materialize(near_components(known, limit, check, "keep-two"), "keep-roots")
     discard(both)
     release(docs.sparkSession)

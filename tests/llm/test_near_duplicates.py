@@ -116,6 +116,41 @@ def test_nodes_with_one_fingerprint_are_judged_like_any_others(spark):
     assert got == {i: i % 3 for i in range(9)}
 
 
+@pytest.mark.parametrize("probes", [1 << 27, 500])
+def test_nodes_meet_those_of_neighbouring_classes_in_turns(spark, monkeypatch, probes):
+    monkeypatch.setattr(sh, "PROBES", probes)
+    monkeypatch.setattr(sh, "PROBES_SHARE", 0)
+    rng = np.random.default_rng(21)
+    base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    fps = np.concatenate([base ^ (np.uint64(1) << np.uint64(b)) for b in range(5)]).view(np.int64)
+    classes = rng.integers(0, 6, len(fps))
+    frame = spark.createDataFrame([(i, int(x), int(c)) for i, (x, c) in enumerate(zip(fps, classes, strict=True))], "node long, fp long, class long")
+    links = [(i, j) for i in range(len(fps)) for j in range(i) if i % 60 == j % 60 and abs(classes[i] - classes[j]) <= 1]
+    want = components(len(fps), links)
+    assert len(set(want)) > 60
+    assert (sh.slices_of(len(fps), sh.choose_parts(100, 4), 4, 0) > 1) == (probes == 500)
+    got = {r.node: r.root for r in sh.near_components(frame).collect()}
+    assert [got[i] for i in range(len(fps))] == want
+    got = {r.node: r.root for r in sh.near_components(frame, 4, lambda pairs: pairs.distinct()).collect()}
+    assert [got[i] for i in range(len(fps))] == want
+
+
+def test_similar_sets_lie_in_neighbouring_classes(spark):
+    sizes = spark.range(0, 3000).select(F.col("id").alias("n"), sh.size_class(F.col("id"), 0.8).alias("c"), sh.size_class(F.ceil(F.col("id") * 0.8 - 1e-9), 0.8).alias("low"))
+    rows = sizes.collect()
+    assert all(0 <= r.c - r.low <= 1 for r in rows)
+    assert max(r.c for r in rows) > 30
+
+
+def test_probes_of_a_text_do_not_grow_with_the_table():
+    # 0.11 of the texts lie in a class of sizes and the one below; 2.65 million texts are some 6 GB, 13 million 30 GB
+    for n in (226_000, 2_650_000, 13_000_000):
+        parts = sh.choose_parts(int(0.11 * n), 13)
+        assert sh.probes_of(parts, 13) <= 100
+        turns = sh.slices_of(n, parts, 13, n * parts * 2)
+        assert n * sh.probes_of(parts, 13) / turns <= max(1 << 27, 60 * n)
+
+
 def test_components_of_paths_and_cliques(spark):
     path = [(i, i + 1) for i in range(100, 160)]
     clique = [(i, j) for i in range(20) for j in range(i)]
