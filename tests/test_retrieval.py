@@ -181,6 +181,25 @@ def test_a_search_reads_the_pages_it_asks_for(spark, tmp_path):
     assert skipped  # several blocks of a document occur
 
 
+def test_an_index_exchanges_chunks_and_not_their_words(spark, tmp_path):
+    chunks = keyword_corpus(spark, 2_000, docs=900)
+    path = f"file://{tmp_path}/postings"
+    plan = postings.build_postings(chunks)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange rangepartitioning") == 1 and "Generate" not in plan
+    postings.save_postings(postings.build_postings(chunks), path)
+    index = postings.open_postings(spark, path)
+    # more documents than go into the scan as filters
+    asked = chunks.select("doc_id").distinct().where("doc_id IS NOT NULL AND doc_id < 300").select(F.col("doc_id").alias("query_id"), "doc_id", F.lit("alpha beta").alias("query"))
+    assert asked.count() > postings.PUSHED
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    want = rows(keyword.keyword_match(asked, chunks))
+    assert want and rows(postings.match(asked, index)) == want
+    # the rest of the index is read, but neither exchanged nor sorted
+    plan = postings.only_asked(index, postings.asked_terms(asked))._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi, BuildRight" in plan and "SortMergeJoin" not in plan
+    assert rows(postings.top_matches(asked, index, 3)) == rows(keyword.keyword_rank(asked, chunks, 3))
+
+
 def plain_interaction(query, text):
     import re
     import zlib
